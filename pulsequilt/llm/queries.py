@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, digest, media, packing
+from . import attribution, digest, media, packing, simhash
 from .common import table
 
 
+def op2_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
