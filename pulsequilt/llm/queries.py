@@ -6,18 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, digest, media, packing, simhash
+from . import attribution, chat, digest, langid, media, packing, pii, simhash, warc
 from .common import table
 
 
+def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_spans(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op2_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op4_collapsed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op7_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op8_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.media_table(table(spark, sf_dir, "documents")))
 
@@ -37,4 +53,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_collapsed_chat": chat.SQL}
