@@ -101,7 +101,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     order = (F.col("doc_id").desc_nulls_last(), F.col("text"))
-    ranges = texts(docs).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = texts(docs).repartitionByRange(order[0]).sortWithinPartitions(*order)
     names = [x.split()[0] for x in FIELDS.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     schema = pa.schema([*zip(names, kinds, strict=True), ("part", pa.int64()), ("edge", pa.string()), ("edge_text", pa.string())])
