@@ -66,7 +66,7 @@ def word_ids(text: str, path: str) -> bytes:
             memo.clear()
         # a full stop or comma behind a letter is a token of its own
         stem = lambda w: w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isalpha() else w
-        need = list({s for w in words if w not in memo if (s := stem(w)) not in memo} | {".", ","} - memo.keys())
+        need = list({s for w in words if w not in memo if (s := stem(w)) not in memo} | {m for m in ".," if m not in memo})
         for w, e in zip(need, tokenizer.encode_batch(need, add_special_tokens=False), strict=True):
             memo[w] = np.array(e.ids, "<u4").tobytes()
         for w in words:
