@@ -134,7 +134,7 @@ def write_archive(pages: DataFrame) -> DataFrame:
                         if out is not None:
                             out.close()
                         name, at = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", 0
-                        out = store.open_output_stream(f"{base}/{name}")
+                        out = store.open_output_stream(f"{base}/{name}", compression=None)
                     record = encode_record(page_id, url, html.encode(), original)
                     out.write(record)
                     lines.append((url_key(url), page_id, f"{root}/{name}", at, len(record)))
