@@ -33,7 +33,7 @@ SEQUENCE = 4096
 #: Length classes of remainders; a class is SEQUENCE / CLASSES tokens wide.
 CLASSES = 128
 #: Words whose ids a worker remembers; at more it starts anew.
-MEMO = 300_000
+MEMO = 1_000_000
 #: Width of the blocks in which gaps meet what fills them.
 BLOCK = 8192
 END_ID = 2
@@ -44,12 +44,31 @@ END_ID = 2
 
 @lru_cache
 def _word_tokenizer(path: str):
+    """The tokenizer, what it remembers, and which ids end a word."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends[i] = token.endswith("</w>")
+    return tokenizer, {}, ends
+
+
+def _remember(need: list[str], tokenizer, memo: dict[str, bytes], ends: np.ndarray) -> None:
+    """Encodes words, all of letters in one go: each of these has one token with a word end, which tells them apart again."""
+    letters = [w for w in need if w.isalpha()]
+    if letters:
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+        if len(cuts) == len(letters):
+            data = ids.tobytes()
+            memo.update(zip(letters, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+    rest = [w for w in need if w not in memo]
+    for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        memo[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def word_ids(text: str, path: str) -> bytes:
@@ -57,19 +76,19 @@ def word_ids(text: str, path: str) -> bytes:
 
     Words part at spaces, tabs and line ends only, each of which the tokenizer
     counts as white space; what other white space a word holds is left to it.
+    A full stop or comma behind a letter is a token of its own, so such words
+    are remembered by their stems too.
     """
-    tokenizer, memo = _word_tokenizer(path)
+    tokenizer, memo, ends = _word_tokenizer(path)
     words = text.replace("\n", " ").replace("\t", " ").split(" ")
     parts = list(map(memo.get, words))
     if None in parts:
         if len(memo) > MEMO:
             memo.clear()
-        # a full stop or comma behind a letter is a token of its own
-        stem = lambda w: w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isalpha() else w
-        need = list({s for w in words if w not in memo if (s := stem(w)) not in memo} | {m for m in ".," if m not in memo})
-        for w, e in zip(need, tokenizer.encode_batch(need, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        for w in words:
+        stem = lambda w: w[:-1] if w[-1:] in (".", ",") and w[-2:-1].lower().isalpha() else w
+        new = {w for w in words if w not in memo}
+        _remember([w for w in {*map(stem, new), ".", ","} if w not in memo], tokenizer, memo, ends)
+        for w in new:
             if w not in memo:
                 memo[w] = memo[stem(w)] + memo[w[-1]]
         parts = list(map(memo.__getitem__, words))
