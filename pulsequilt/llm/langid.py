@@ -201,3 +201,11 @@ def identify_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """doc_id, lang, confidence, text_lang, n_grams of documents, whose source stands for the host and whose own lang is what they declare."""
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text", F.col("source").alias("host"), F.col("source").alias("domain"), F.lit("").alias("suffix"), F.lower(F.substring("lang", 1, 3)).alias("declared"))
     return fused(rows, fit_text_model(labelled)).withColumnRenamed("key", "doc_id")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs (documents) whose language can be told: neither ``und`` nor of a confidence under ``least``. All columns stay as they are."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    rows = docs.select(h.alias("key"), "text", F.col("source").alias("host"), F.col("source").alias("domain"), F.lit("").alias("suffix"), F.lower(F.substring("lang", 1, 3)).alias("declared"))
+    refused = fused(rows, fit_text_model(docs)).where((F.col("lang") == "und") | (F.col("confidence") < least)).select(F.col("key").alias("_h")).distinct()
+    return docs.withColumn("_h2", h).join(refused, F.col("_h2") == F.col("_h"), "left_anti").drop("_h2")

@@ -200,3 +200,24 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     least = roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = roots.join(least, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) with one document of each component: that of the least doc_id, or if it is repeated there, of the least hashed text. Null doc_ids stay only where a component has no other; of equal rows one stays."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def make():
+        def run(x):
+            fps = [fingerprint(t, words) for t in x["text"]]
+            return {"doc_id": x["doc_id"], "h": x["h"], "fp": [f - (f >> 63 << 64) for f in fps]}
+
+        return run
+
+    rows = stored(by_batch(shown.withColumn("h", F.xxhash64("text")), make, "doc_id long, h long, fp long"))
+    nodes = stored(rows.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "h")).alias("least")))
+    roots = link_components(nodes)
+    kept = roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h"))
+    names = docs.columns
+    joined = docs.withColumn("_h2", h).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")))
+    return joined.dropDuplicates(["_id", "_h"]).select(*names)
