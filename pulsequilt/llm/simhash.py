@@ -177,8 +177,10 @@ def link_components(nodes: DataFrame) -> DataFrame:
     own = stored(nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
     held = stored(_keyed(own, "exact"))
-    ends = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    seek = _keyed(own, "near").join(ends, "key").where((F.col("low") != F.col("high")) | (F.col("low") != F.col("root"))).select("key", "fp", "root")
+    # bits that all of a key's fingerprints share bound the distance to each of them from below: a key met by chance mostly goes by that
+    ends = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"))
+    differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("all")).bitwiseAND(F.bitwise_not(F.col("all").bitwiseXOR(F.col("any")))))
+    seek = _keyed(own, "near").join(ends, "key").where(((F.col("low") != F.col("high")) | (F.col("low") != F.col("root"))) & (differ <= MAX_ERRORS)).select("key", "fp", "root")
     other = held.select("key", F.col("fp").alias("other"), F.col("root").alias("other_root"))
     apart = (F.col("root") != F.col("other_root")) & (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_ERRORS)
     seek, other = seek.alias("s"), other.alias("o")
