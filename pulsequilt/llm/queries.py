@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import attribution, chat, digest, langid, media, packing, pii, simhash, warc
+from . import attribution, chat, digest, langid, media, packing, pieces, pii, simhash, warc
 from .common import table
 
 
@@ -26,6 +27,14 @@ def op4_collapsed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
