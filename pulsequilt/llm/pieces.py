@@ -28,7 +28,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,11 +50,11 @@ class Vocabulary:
     special: frozenset[int]  # control, unknown and byte pieces: never in a text
     byte_0: int
 
-    @property
+    @cached_property
     def ids(self) -> dict[str, int]:
         return {p: i for i, p in enumerate(self.pieces) if i not in self.special}
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(len(p) for p in self.ids)
 
