@@ -26,7 +26,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
@@ -100,55 +100,47 @@ def marked(text: str) -> str:
 
 
 def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit, edges: all substrings of a unit that are pieces, as structs (rank, start, end, score, id), the better scores first and then from left to right. pieces (piece, score, id) is a vocabulary and is broadcast."""
+    """unit, edges: the substrings of two code points or more of a unit that are pieces, as structs (rank, start, end, ends, inside), better scores first and then from left to right; the two masks hold the bounds at an edge's ends and those strictly inside. pieces (piece, score) is a vocabulary and is broadcast."""
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.alias("start"), (s + k).alias("end"), F.substring(F.col("unit"), s + 1, k).alias("piece")))))
-    found = units.select("unit").repartition("unit").select("unit", F.explode(spans).alias("x")).select("unit", "x.*").join(F.broadcast(pieces), "piece")
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "start", "end", "score", "id"))).alias("edges"))
-
-
-def merges(lattice: Column, n: Column) -> Column:
-    """The bounds (bit k: before code point k, bit n: the end) of byte-pair merging: again and again the best edge is taken that joins two neighbouring symbols."""
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.alias("start"), (s + k).alias("end"), F.substring(F.col("unit"), s + 1, k).alias("piece")))))
+    found = units.select("unit").repartition("unit").where(n > 1).select("unit", F.explode(F.filter(spans, lambda x: x["end"] - x["start"] > 1)).alias("x")).select("unit", "x.*").join(F.broadcast(pieces), "piece")
     one = F.lit(1).cast("long")
-    bit = lambda k: F.call_function("shiftleft", one, k)
-    inside = lambda e: (bit(e["end"]) - bit(e["start"] + 1))
-    long_ones = F.filter(lattice, lambda e: e["end"] - e["start"] > 1)
+    low, high = F.call_function("shiftleft", one, F.col("start")), F.call_function("shiftleft", one, F.col("end"))
+    edge = F.struct((-F.col("score")).alias("rank"), "start", "end", low.bitwiseOR(high).alias("ends"), (high - low - low).alias("inside"))
+    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
-    def step(state: Column, _: Column) -> Column:
-        fits = lambda e: (state["bounds"].bitwiseAND(bit(e["start"]).bitwiseOR(bit(e["end"]))) == bit(e["start"]).bitwiseOR(bit(e["end"]))) & (F.bit_count(state["bounds"].bitwiseAND(inside(e))) == 1)
-        best = F.get(F.filter(state["left"], fits), F.lit(0))
-        bounds = F.when(best.isNull(), state["bounds"]).otherwise(state["bounds"].bitwiseAND(F.bitwise_not(inside(best))))
-        return F.struct(bounds.alias("bounds"), F.when(best.isNull(), F.slice(state["left"], 1, 0)).otherwise(state["left"]).alias("left"))
 
-    start = F.struct((bit(n + 1) - 1).alias("bounds"), long_ones.alias("left"))
-    return F.aggregate(F.sequence(F.lit(1), n), start, step)["bounds"]
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it stands in it (also within lambdas)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def viterbi(lattice: Column, n: Column, unknown: float) -> Column:
-    """The path of greatest score as an array of bounds; a code point without a piece costs ``unknown``. Of equal paths the one whose last piece starts first wins at each end."""
-    Node = lambda score, path: F.struct(score.alias("score"), path.alias("path"))
+def merges(lattice: Column, n: Column) -> Column:
+    """The bounds (bit k: before code point k, bit n: the end) of byte-pair merging: again and again the best edge is taken that joins two neighbouring symbols. Edges with an end inside a symbol are dropped on the way."""
 
-    def step(nodes: Column, end: Column) -> Column:
-        skip = F.struct((F.get(nodes, end - 1)["score"] + unknown).alias("score"), (-(end - 1)).alias("from"))
-        here = F.transform(F.filter(lattice, lambda e: e["end"] == end), lambda e: F.struct((F.get(nodes, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("from")))
-        best = F.array_max(F.when(F.exists(lattice, lambda e: (e["end"] == end) & (e["start"] == end - 1)), here).otherwise(F.concat(here, F.array(skip))))
-        return F.concat(nodes, F.array(Node(best["score"], F.concat(F.get(nodes, -best["from"])["path"], F.array(end)))))
+    def step(state: Column, _: Column) -> Column:
+        def merged(best: Column) -> Column:
+            bounds = state["bounds"].bitwiseAND(F.bitwise_not(best["inside"]))
+            alive = F.filter(state["left"], lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (bounds.bitwiseAND(e["inside"]) != 0))
+            return F.when(best.isNull(), F.struct(state["bounds"].alias("bounds"), F.slice(state["left"], 1, 0).alias("left"))).otherwise(F.struct(bounds.alias("bounds"), alive.alias("left")))
+
+        return _let(F.get(F.filter(state["left"], lambda e: F.bit_count(state["bounds"].bitwiseAND(e["inside"])) == 1), F.lit(0)), merged)
 
-    first = F.array(Node(F.lit(0.0).cast("double"), F.array(F.lit(0))))
-    return F.get(F.aggregate(F.sequence(F.lit(1), n), first, step), n)["path"]
+    whole = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
+    return F.aggregate(F.sequence(F.lit(2), n), F.struct(whole.alias("bounds"), lattice.alias("left")), step)["bounds"]
 
 
-def ids_of_spans(unit: Column, lattice: Column, bounds: Column, byte_0: int) -> Column:
-    """Ids of the spans between bounds (an ascending array); spans without an edge are single code points and become bytes."""
-    spans = F.transform(F.slice(bounds, 2, F.size(bounds) - 1), lambda e, i: F.struct(F.get(bounds, i).alias("s"), e.alias("e")))
+def viterbi(lattice: Column, n: Column, single: Column) -> Column:
+    """The bounds of the path of greatest score; ``single`` is the array of the scores of single code points. Of equal paths the one whose last piece starts first wins at each end."""
 
-    def one(x: Column) -> Column:
-        edge = F.get(F.filter(lattice, lambda y: (y["start"] == x["s"]) & (y["end"] == x["e"])), F.lit(0))
-        code = F.hex(F.encode(F.substring(unit, x["s"] + 1, F.lit(1)), "UTF-8"))
-        raw = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda k: (F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + byte_0))
-        return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(raw)
+    def step(nodes: Column, end: Column) -> Column:
+        alone = F.struct((F.get(nodes, end - 1)["score"] + F.get(single, end - 1)).alias("score"), (-(end - 1)).alias("from"))
+        here = F.transform(F.filter(lattice, lambda e: e["end"] == end), lambda e: F.struct((F.get(nodes, e["start"])["score"] - e["rank"]).alias("score"), (-e["start"]).alias("from")))
+        bound = F.call_function("shiftleft", F.lit(1).cast("long"), end)
+        return F.concat(nodes, F.array(_let(F.array_max(F.concat(here, F.array(alone))), lambda best: F.struct(best["score"].alias("score"), F.get(nodes, -best["from"])["bounds"].bitwiseOR(bound).alias("bounds")))))
 
-    return F.flatten(F.transform(spans, one))
+    first = F.array(F.struct(F.lit(0.0).cast("double").alias("score"), F.lit(1).cast("long").alias("bounds")))
+    return F.get(F.aggregate(F.sequence(F.lit(1), n), first, step), n)["bounds"]
 
 
 def merged_in_python(unit: str, vocab: Vocabulary, ids: dict[str, int]) -> list[int]:
@@ -186,29 +178,41 @@ def merged_in_python(unit: str, vocab: Vocabulary, ids: dict[str, int]) -> list[
 
 
 def unit_ids(units: DataFrame, vocab: Vocabulary, *, fold: str = "merges", unknown: float = -1e6) -> DataFrame:
-    """unit, ids (array of int) for distinct units (no empty ones)."""
+    """unit, ids (array of int) of distinct units (no empty ones). Spans without a piece are single code points and become bytes; ``unknown`` is their score in the Viterbi fold."""
     spark = units.sparkSession
-    table = spark.createDataFrame([(p, float(vocab.scores[i]), i) for p, i in vocab.ids.items()], "piece string, score double, id int")
+    table = spark.createDataFrame([(p, float(vocab.scores[i])) for p, i in vocab.ids.items() if len(p) > 1], "piece string, score double")
     n = F.length("unit")
-    short = units.where(n <= LONGEST_UNIT)
-    lattice = edges(short, table, vocab.longest)
+    lattice = edges(units.where(n <= LONGEST_UNIT), table, vocab.longest)
     if fold == "merges":
-        bits = F.filter(F.sequence(F.lit(0), n), lambda k: F.call_function("getbit", F.col("bounds"), k) == 1)
-        cut = lattice.withColumn("bounds", merges(F.col("edges"), n)).withColumn("at", bits)
+        bounds = merges(F.col("edges"), n)
     else:
-        cut = lattice.withColumn("at", viterbi(F.col("edges"), n, unknown))
-    known = cut.select("unit", ids_of_spans(F.col("unit"), F.col("edges"), F.col("at"), vocab.byte_0).alias("ids"))
+        letters = spark.createDataFrame([(p, float(vocab.scores[i])) for p, i in vocab.ids.items() if len(p) == 1], "letter string, letter_score double")
+        alone = units.where(n <= LONGEST_UNIT).select("unit", F.posexplode(F.split("unit", ""))).where("col <> ''").join(F.broadcast(letters), F.col("col") == F.col("letter"), "left")
+        alone = alone.groupBy("unit").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("letter_score", F.lit(unknown)).alias("s")))), lambda x: x["s"]).alias("single"))
+        lattice = alone.join(lattice, "unit", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<rank:double,start:int,end:int,ends:bigint,inside:bigint>>)")))
+        bounds = viterbi(F.col("edges"), n, F.col("single"))
+    folded = lattice.select("unit", bounds.alias("bounds"))
+    # units of one code point, or too long for a fold, have no bounds yet
+    folded = units.select("unit").join(folded, "unit", "left")
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = vocab.ids
         for batch in batches:
-            found = [merged_in_python(u, vocab, ids) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["unit", "ids"])
-
-    if fold == "merges":
-        known = known.unionByName(units.where(n > LONGEST_UNIT).select("unit").mapInArrow(rest, "unit string, ids array<int>"))
-    # units without any edge have no row in the lattice
-    return known
+            out = []
+            for unit, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bits is None and len(unit) > LONGEST_UNIT:
+                    out.append(merged_in_python(unit, vocab, ids))
+                    continue
+                found, a = [], 0
+                for k in range(1, len(unit) + 1):
+                    if bits is None or bits >> k & 1:
+                        piece = unit[a:k]
+                        found += [ids[piece]] if piece in ids else [vocab.byte_0 + x for x in piece.encode()]
+                        a = k
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["unit", "ids"])
+
+    return folded.mapInArrow(run, "unit string, ids array<int>")
 
 
 # ---------------------------------------------------------------- texts
@@ -248,7 +252,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     held = stored(pairs.repartition("unit").groupBy("unit").agg(F.collect_set("file").alias("files")))
     ids = unit_ids(held.select("unit"), vocab)
     root = shared_dir(spark) + "-units"
-    lines = held.join(ids, "unit", "left").select("unit", "ids", F.explode("files").alias("file"))
+    lines = held.join(ids, "unit").select("unit", "ids", F.explode("files").alias("file"))
     lines.repartition("file").write.partitionBy("file").parquet(root)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +269,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     with store.open_input_file(info.path) as f:
                         t = pq.read_table(f, columns=["unit", "ids"])
                     for unit, x in zip(t.column("unit").to_pylist(), t.column("ids").to_pylist(), strict=True):
-                        if x is None:  # no piece at all: bytes
-                            x = [vocab.byte_0 + b for b in unit.encode()]
                         out[unit] = struct.pack(f"<{len(x)}i", *x)
             return out
 
