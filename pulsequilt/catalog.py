@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
 
-def queries() -> dict:
-    return {}
+from pulsequilt.plans import registry
+
+for _name in ("rhythm", "intervals", "fusion", "quality", "waves", "records", "signals", "streams"):
+    importlib.import_module(f"pulsequilt.plans.{_name}")
+
+
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
