@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +57,26 @@ def reasons(*pairs: tuple[Column, str]) -> Column:
 def listed(x: Column) -> Column:
     """An array of strings as text for comparison."""
     return F.array_join(x, ",")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it stands in it (also within lambdas)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def total(xs: Column, f: Callable[[Column], Column] = lambda v: v) -> Column:
+    """The sum of f over an array of double."""
+    return F.aggregate(xs, F.lit(0.0), lambda a, v: a + f(v))
+
+
+def dot(xs: Column, ys: Column) -> Column:
+    return total(F.zip_with(xs, ys, lambda a, b: a * b))
+
+
+def centred(xs: Column) -> Column:
+    return let(total(xs) / F.size(xs), lambda m: F.transform(xs, lambda v: v - m))
+
+
+def unit(xs: Column) -> Column:
+    """The centred array divided by its length; null if it is constant."""
+    return let(centred(xs), lambda c: let(F.sqrt(dot(c, c)), lambda n: F.when(n > 0, F.transform(c, lambda v: v / n))))
