@@ -32,8 +32,8 @@ from .common import by_batch, stored, texts
 SEQUENCE = 4096
 #: Length classes of remainders; a class is SEQUENCE / CLASSES tokens wide.
 CLASSES = 128
-#: Words whose ids a worker remembers; at more it starts anew.
-MEMO = 1_000_000
+#: Words whose ids a worker remembers in each of two generations.
+MEMO = 300_000
 #: Width of the blocks in which gaps meet what fills them.
 BLOCK = 8192
 END_ID = 2
@@ -42,6 +42,26 @@ END_ID = 2
 # ---------------------------------------------------------------- tokens
 
 
+class Memo(dict):
+    """Words' ids in two generations: a full one becomes the old one, from which words that still come are taken over. Words in neither are noted in ``lacking``."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.lacking: list[str] = []
+
+    def __missing__(self, word: str) -> bytes | None:
+        if (ids := self.old.get(word)) is None:
+            self.lacking.append(word)
+        else:
+            self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 @lru_cache
 def _word_tokenizer(path: str):
     """The tokenizer, what it remembers, and which ids end a word."""
@@ -54,7 +74,7 @@ def _word_tokenizer(path: str):
     ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
     for token, i in tokenizer.get_vocab().items():
         ends[i] = token.endswith("</w>")
-    return tokenizer, {}, ends
+    return tokenizer, Memo(), ends
 
 
 def _remember(need: list[str], tokenizer, memo: dict[str, bytes], ends: np.ndarray) -> None:
@@ -81,17 +101,19 @@ def word_ids(text: str, path: str) -> bytes:
     """
     tokenizer, memo, ends = _word_tokenizer(path)
     words = text.replace("\n", " ").replace("\t", " ").split(" ")
-    parts = list(map(memo.get, words))
-    if None in parts:
-        if len(memo) > MEMO:
-            memo.clear()
+    if len(memo) > MEMO:
+        memo.age()
+    memo.lacking = []
+    parts = list(map(memo.__getitem__, words))
+    if lacking := memo.lacking:
         stem = lambda w: w[:-1] if w[-1:] in (".", ",") and w[-2:-1].lower().isalpha() else w
-        new = {w for w in words if w not in memo}
+        new = set(lacking)
         _remember([w for w in {*map(stem, new), ".", ","} if w not in memo], tokenizer, memo, ends)
         for w in new:
             if w not in memo:
                 memo[w] = memo[stem(w)] + memo[w[-1]]
-        parts = list(map(memo.__getitem__, words))
+        late = iter(lacking)
+        parts = [memo[next(late)] if x is None else x for x in parts]
     return b"".join(parts)
 
 
