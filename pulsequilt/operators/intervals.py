@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsequilt.functions.expressions import ANGLES, median
+from pulsequilt.operators.rhythm import by_record
 
-BY_RECORD = Window.partitionBy("record_id")
 # Fixed values of the interval rules.
 LIMITS_MS = {"pr": (60.0, 350.0), "p_duration": (35.0, 180.0), "qrs": (40.0, 220.0), "qt": (240.0, 700.0), "jt": (120.0, 650.0)}
 CORE_MS, CORE_LEADS, CORE_REGULAR_LEADS, CORE_DELTA_MS, CORE_REGULAR_DELTA_MS, IRREGULAR_CV = 45.0, 3, 5, 25.0, 35.0, 0.12
@@ -55,8 +55,8 @@ def dispersion(values: DataFrame) -> DataFrame:
 
 def weighted_median(values: DataFrame, x: str, weight: str, *order: str) -> DataFrame:
     """The first value of a record at which the running weight is half the total."""
-    w = BY_RECORD.orderBy(x, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = values.withColumns({"_run": F.sum(weight).over(w), "_all": F.sum(weight).over(BY_RECORD.orderBy(x, *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    w = by_record().orderBy(x, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = values.withColumns({"_run": F.sum(weight).over(w), "_all": F.sum(weight).over(by_record().orderBy(x, *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     return run.where(F.col("_run") >= F.col("_all") / 2).groupBy("record_id").agg(F.min(x).alias("weighted_median"))
 
 
@@ -71,7 +71,7 @@ def raw_core(values: DataFrame, consensus: DataFrame) -> DataFrame:
 
 def late_cluster(values: DataFrame, consensus: DataFrame) -> DataFrame:
     """Regular records only: the densest 35 ms cluster of at least four and half of the leads, 20 ms or more late; ties by greater median, then smaller span."""
-    total = F.count("qt").over(BY_RECORD)
+    total = F.count("qt").over(by_record())
     x = clusters(values.withColumn("total", total), "qt", 35.0).join(consensus, "record_id").where(F.coalesce(F.col("rr_cv") < IRREGULAR_CV, F.lit(True)))
     fits = (F.col("n") >= F.greatest(F.lit(4.0), F.col("total") * 0.5)) & (F.col("mid") - F.col("consensus_qt") >= 20.0)
     return x.where(fits).groupBy("record_id").agg(F.max(F.struct("n", "mid", (-F.col("span")).alias("tight"))).alias("best")).select("record_id", F.col("best.n").alias("n_leads"), F.col("best.mid").alias("late_qt_ms"))
@@ -80,7 +80,7 @@ def late_cluster(values: DataFrame, consensus: DataFrame) -> DataFrame:
 def irregular_core(beat_qt: DataFrame) -> DataFrame:
     """Median of the beats' median QT in 300 to 520 ms within 1.5 interquartile ranges, of five beats at least. beat_qt: record_id, beat_id, qt."""
     b = beat_qt.groupBy("record_id", "beat_id").agg(median("qt").alias("qt")).where(F.col("qt").between(300.0, 520.0))
-    q1, q3 = (F.percentile("qt", F.lit(p)).over(BY_RECORD) for p in (0.25, 0.75))
+    q1, q3 = (F.percentile("qt", F.lit(p)).over(by_record()) for p in (0.25, 0.75))
     kept = b.withColumns({"q1": q1, "q3": q3}).where(F.col("qt").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     return kept.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_beats"), median("qt").alias("core_qt_ms")).where("n_beats >= 5")
 
@@ -131,7 +131,7 @@ def t_axis(leads: DataFrame, least_leads: int = 2) -> DataFrame:
 
 def transition_zone(balance: DataFrame) -> DataFrame:
     """Where r - |s| first turns from negative to not along V1 to V6, by linear interpolation. balance: record_id, idx, value."""
-    w = BY_RECORD.orderBy("idx")
+    w = by_record().orderBy("idx")
     x = balance.withColumns({"next": F.lead("value").over(w), "next_idx": F.lead("idx").over(w)}).where("next is not null")
     at = F.when(F.col("value") == 0.0, F.col("idx").cast("double")).when((F.col("value") < 0.0) & (F.col("next") >= 0.0), F.col("idx") - F.col("value") / (F.col("next") - F.col("value")) * (F.col("next_idx") - F.col("idx")))
     zone = x.withColumn("zone", at).where("zone is not null").groupBy("record_id").agg(F.min_by("zone", "idx").alias("transition_zone"))

@@ -6,14 +6,11 @@ windows by record only, so one shuffle by record serves a chain of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pulsequilt.functions.expressions import median, reasons
 
-BY_RECORD = Window.partitionBy("record_id")
-IN_TIME = BY_RECORD.orderBy("beat_id")
-
 # Fixed values of the rhythm rules.
 PAUSE_RATIO, MOBITZ_INCREMENT_MS, MOBITZ_SPREAD_MS = 1.4, 10.0, 20.0
 CAPTURE_MS, PR_CONDUCTED_MS, RETROGRADE_MS = 160.0, (60.0, 280.0), (0.0, 240.0)
@@ -21,9 +18,17 @@ ORGANIZED_PR_MS, ORGANIZED_RADIUS_MS, ATRIAL_CONFIDENCE = (80.0, 320.0), 30.0, 0
 AF_CV, AF_NEAR_CV, P_GATE, P_BAND, PR_SCATTER_MS, FLUTTER_CONFIDENCE = 0.12, 0.09, 0.60, (0.45, 0.75), 20.0, 0.60
 
 
+def by_record() -> WindowSpec:
+    return Window.partitionBy("record_id")
+
+
+def in_time() -> WindowSpec:
+    return by_record().orderBy("beat_id")
+
+
 def intervals(beats: DataFrame) -> DataFrame:
     """Beats that have an interval before them (rr), with the difference to the interval before that one."""
-    return beats.where("rr_prev is not null").withColumn("rr", F.col("rr_prev")).withColumn("diff", F.col("rr") - F.lag("rr").over(IN_TIME))
+    return beats.where("rr_prev is not null").withColumn("rr", F.col("rr_prev")).withColumn("diff", F.col("rr") - F.lag("rr").over(in_time()))
 
 
 def heart_rate(beats: DataFrame) -> DataFrame:
@@ -43,12 +48,12 @@ def time_domain(beats: DataFrame) -> DataFrame:
 def interval_entropy(beats: DataFrame, width: float = 20.0) -> DataFrame:
     """Entropy in bits of the histogram of intervals; records with under three have none."""
     counts = intervals(beats).groupBy("record_id", F.floor(F.col("rr") / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    p = F.col("n") / F.sum("n").over(BY_RECORD)
+    p = F.col("n") / F.sum("n").over(by_record())
     return counts.withColumn("p", p).groupBy("record_id").agg(F.sum("n").alias("n_rr"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy")).select("record_id", "n_rr", F.when(F.col("n_rr") >= 3, F.col("entropy")).alias("rr_entropy_bits"))
 
 
 def with_median(beats: DataFrame) -> DataFrame:
-    return beats.withColumn("median_rr", median("rr_prev").over(BY_RECORD))
+    return beats.withColumn("median_rr", median("rr_prev").over(by_record()))
 
 
 def interval_context(beats: DataFrame) -> DataFrame:
@@ -125,7 +130,7 @@ def pacing_failures(spikes: DataFrame, qrs: DataFrame) -> DataFrame:
 
 def events_per_interval(atrial: DataFrame, qrs: DataFrame) -> DataFrame:
     """Atrial events (record_id, us) in each half-open interval from a QRS complex (record_id, at, beat_id) to the next."""
-    nxt = F.lead("at").over(BY_RECORD.orderBy("at", "beat_id"))
+    nxt = F.lead("at").over(by_record().orderBy("at", "beat_id"))
     spans = qrs.withColumn("until", nxt).where("until is not null")
     a = atrial.select(F.col("record_id").alias("_record"), "us")
     inside = (F.col("record_id") == F.col("_record")) & (F.col("us") >= F.col("at")) & (F.col("us") < F.col("until"))
@@ -178,7 +183,7 @@ def organized_ratio(events: DataFrame, beats: DataFrame) -> DataFrame:
 def pr_scatter(events: DataFrame) -> DataFrame:
     """Scaled MAD of the beats' median PR; records with four such beats at least."""
     per_beat = conducted(events).groupBy("record_id", "qrs_beat_id").agg(median("pr_ms").alias("pr"))
-    x = per_beat.withColumn("dev", F.abs(F.col("pr") - median("pr").over(BY_RECORD)))
+    x = per_beat.withColumn("dev", F.abs(F.col("pr") - median("pr").over(by_record())))
     return x.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_beats"), (median("dev") * 1.4826).alias("pr_dispersion_ms")).where("n_beats >= 4")
 
 

@@ -69,7 +69,7 @@ y AS (SELECT *, (b2 IS NOT NULL)::INT + (b1 IS NOT NULL)::INT AS nb, (a1 IS NOT
 SELECT record_id, beat_id, CASE WHEN nb = 2 AND b1 - b2 >= 10 THEN 'mobitz_i' WHEN nb + na >= 2 AND ((nb >= 1 AND na >= 1) OR nb >= 2) AND spread <= 20 THEN 'mobitz_ii' ELSE 'second_degree_av_block' END AS av_block FROM y""")
 def mobitz_type(spark, sf):
     pr = beats(spark, sf).withColumn("pr", F.when(F.col("kind") != "error", 60.0 + F.col("amp")))
-    around = {f"{n}{k}": f("pr", k).over(R.IN_TIME) for n, f in (("before", F.lag), ("after", F.lead)) for k in (1, 2)}
+    around = {f"{n}{k}": f("pr", k).over(R.in_time()) for n, f in (("before", F.lag), ("after", F.lead)) for k in (1, 2)}
     return R.second_degree_type(pr.withColumns(around).where("pr is null")).select("record_id", "beat_id", "av_block")
 
 
@@ -208,7 +208,7 @@ FROM g JOIN rn ON g.record_id = rn.record_id AND g.kind = rn.kind""")
 def group_features(spark, sf):
     b = beats(spark, sf)
     g = b.groupBy("record_id", "kind").agg(F.count(F.lit(1)).alias("n_beats"), F.avg("rr_prev").alias("rr"), (F.avg("amp") + 1e-9).alias("qrs")).join(R.longest_runs(b), ["record_id", "kind"])
-    g = g.withColumn("share", F.col("n_beats") / F.sum("n_beats").over(R.BY_RECORD)).withColumn("rate", 60000.0 / F.col("rr"))
+    g = g.withColumn("share", F.col("n_beats") / F.sum("n_beats").over(R.by_record())).withColumn("rate", 60000.0 / F.col("rr"))
     return published(g.withColumns({"wide": F.col("qrs") >= 120, "share": rounded(F.col("share"))}), "record_id", "kind", "n_beats", "longest_run", "wide", "share", mean_rr_ms="rr", rate_bpm="rate", mean_qrs_ms="qrs")
 
 
@@ -217,7 +217,7 @@ def measurement_beats(spark, sf):
     """Beats of each record's dominant morphology group; of equal groups the one seen first."""
     w = Window.partitionBy("record_id", "kind")
     x = beats(spark, sf).withColumns({"n": F.count(F.lit(1)).over(w), "first": F.min("beat_id").over(w)})
-    return x.withColumn("rank", F.dense_rank().over(R.BY_RECORD.orderBy(F.desc("n"), "first"))).where("rank = 1").select("record_id", "beat_id", "kind")
+    return x.withColumn("rank", F.dense_rank().over(R.by_record().orderBy(F.desc("n"), "first"))).where("rank = 1").select("record_id", "beat_id", "kind")
 
 
 @query(MARKS_SQL + """, d AS (SELECT record_id, median(amp) FILTER (kind = 'view') AS pr, count(*) FILTER (kind = 'click' AND conf >= 0.5) AS deltas, median(amp) FILTER (kind = 'purchase') AS qrs, median(amp) FILTER (kind = 'signup') - 90 AS axis FROM beats GROUP BY record_id)

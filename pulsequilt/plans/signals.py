@@ -1 +1,108 @@
-"""To come."""
+"""Signal queries: a generated recording for each nation, and kernels on it."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pulsequilt.functions.expressions import centred, dot, rounded, total
+from pulsequilt.operators import kernels as K
+from pulsequilt.plans.registry import query
+from pulsequilt.sources import signals as S
+from pulsequilt.sources.adapters import table, waveforms
+
+
+def recordings(spark, sf) -> DataFrame:
+    """record_id, lead (I, II), fs, samples: a rate for each nation."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("record_id"), (0.6 + F.col("n_nationkey") * 0.02).alias("rr_s"))
+    return S.generated(n.repartition("record_id"))
+
+
+def limbs(spark, sf) -> DataFrame:
+    return S.limb_leads(S.pairs_of(recordings(spark, sf)))
+
+
+def _lead_sql(angle: float) -> str:
+    terms = [f"{amp * math.cos(math.radians(d - angle))!r} * exp(-0.5 * ((ph - {s} - ({o})) / {w}) ** 2)" for o, w, amp, d in S.WAVES for s in ("0", "rr")]
+    return " + ".join(terms)
+
+
+SIGNALS_SQL = f"""WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS record_id, 0.6 + n_nationkey * CAST(0.02 AS DOUBLE) AS rr FROM nation), t AS (SELECT record_id, i, rr, (i / 250.0 - 0.5) - rr * floor((i / 250.0 - 0.5) / rr) AS ph FROM n, range(2500) r(i)),
+s AS (SELECT record_id, i, {_lead_sql(0.0)} AS one, {_lead_sql(60.0)} AS two FROM t),
+l AS (SELECT record_id, i, unnest(['I', 'II', 'III', 'aVR', 'aVL', 'aVF']) AS lead, unnest([one, two, two - one, -(one + two) / 2, one - two / 2, two - one / 2]) AS x FROM s)
+"""
+
+
+@query(SIGNALS_SQL + "SELECT record_id, lead, round(min(x), 6) + 0.0 AS low, round(max(x), 6) + 0.0 AS high, round(sqrt(avg(x * x)), 6) AS rms FROM l GROUP BY ALL")
+def limb_derive(spark, sf):
+    s = F.col("samples")
+    return limbs(spark, sf).select("record_id", "lead", rounded(F.array_min(s)).alias("low"), rounded(F.array_max(s)).alias("high"), rounded(F.sqrt(dot(s, s) / F.size(s))).alias("rms"))
+
+
+@query(SIGNALS_SQL + ", p AS (SELECT record_id, lead, max(x) - min(x) AS ptp FROM l GROUP BY ALL) SELECT record_id, count(*) AS n_leads, round((max(ptp) - min(ptp)) / max(ptp), 6) AS peak_to_peak_spread, (max(ptp) - min(ptp)) / max(ptp) < 0.01 AS per_lead_normalized FROM p WHERE ptp > 0.05 GROUP BY record_id")
+def calibration_check(spark, sf):
+    p = limbs(spark, sf).select("record_id", (F.array_max("samples") - F.array_min("samples")).alias("ptp")).where("ptp > 0.05")
+    spread = (F.max("ptp") - F.min("ptp")) / F.max("ptp")
+    return p.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_leads"), rounded(spread).alias("peak_to_peak_spread"), (spread < 0.01).alias("per_lead_normalized"))
+
+
+@query(SIGNALS_SQL + """, w AS (SELECT record_id, i, one AS a, two AS b, two - one AS c, -(one + two) / 2 AS r, one - two / 2 AS l, two - one / 2 AS f FROM s),
+k AS (SELECT record_id, corr(a, -b) AS ab, corr(r, l) AS rl, corr(r, f) AS rf, corr(c, -a) AS ca, corr(l, f) AS lf, max(a) - min(a) AS pa, max(b) - min(b) AS pb, max(c) - min(c) AS pc FROM w GROUP BY record_id)
+SELECT record_id, ab > 0.75 AND rl > 0.55 AS probable_ra_la, ab > 0.75 AND rf > 0.55 AS probable_ra_ll, ca > 0.65 AND lf > 0.55 AS probable_la_ll, greatest(pa, pb, pc) > 0.15 AND pb < 0.08 AND pc < 0.08 AS probable_ra_rl, round(ab, 6) + 0.0 AS corr_i_ii, round(rl, 6) + 0.0 AS corr_avr_avl FROM k""")
+def limb_reversal(spark, sf):
+    """Electrode swaps by correlations of limb leads and their ranges."""
+    m = limbs(spark, sf).withColumn("c", centred(F.col("samples"))).groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("lead", "c"))).alias("m"))
+    r = lambda a, b: dot(F.col("m")[a], F.col("m")[b]) / F.sqrt(dot(F.col("m")[a], F.col("m")[a]) * dot(F.col("m")[b], F.col("m")[b]))
+    span = lambda a: F.array_max(F.col("m")[a]) - F.array_min(F.col("m")[a])
+    x = m.select("record_id", (-r("I", "II")).alias("ab"), r("aVR", "aVL").alias("rl"), r("aVR", "aVF").alias("rf"), (-r("III", "I")).alias("ca"), r("aVL", "aVF").alias("lf"), span("I").alias("pa"), span("II").alias("pb"), span("III").alias("pc"))
+    c = F.col
+    return x.select("record_id", ((c("ab") > 0.75) & (c("rl") > 0.55)).alias("probable_ra_la"), ((c("ab") > 0.75) & (c("rf") > 0.55)).alias("probable_ra_ll"), ((c("ca") > 0.65) & (c("lf") > 0.55)).alias("probable_la_ll"), ((F.greatest("pa", "pb", "pc") > 0.15) & (c("pb") < 0.08) & (c("pc") < 0.08)).alias("probable_ra_rl"), rounded(c("ab")).alias("corr_i_ii"), rounded(c("rl")).alias("corr_avr_avl"))
+
+
+@query(SIGNALS_SQL + ", v AS (SELECT record_id, count(*) AS n FROM s GROUP BY record_id) SELECT record_id, lead, CASE WHEN record_id % 5 = 0 THEN 'sampling_rate_too_low' WHEN record_id % 7 = 0 THEN 'too_short' END AS error_code FROM v, (VALUES ('I'), ('II')) l(lead)")
+def validate_prepare(spark, sf):
+    """The first rule that a signal breaks: some of the recordings get a low rate or lose most samples."""
+    x = recordings(spark, sf).withColumn("fs", F.when(F.col("record_id") % 5 == 0, 50.0).otherwise(F.col("fs"))).withColumn("samples", F.when(F.col("record_id") % 7 == 0, F.slice("samples", 1, 200)).otherwise(F.col("samples")))
+    return S.checked(x).select("record_id", "lead", "error_code")
+
+
+@query(SIGNALS_SQL + ", q AS (SELECT record_id, floor(i / 250.0) AS second, max(one) - min(one) AS span FROM s GROUP BY ALL) SELECT record_id, round(avg(CASE WHEN span < 1.4 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS flatline_fraction FROM q GROUP BY record_id")
+def flatline_fraction(spark, sf):
+    """The share of seconds of lead I whose range is small."""
+    x = recordings(spark, sf).where("lead = 'I'").select("record_id", F.posexplode("samples")).groupBy("record_id", F.floor(F.col("pos") / 250.0).alias("second")).agg((F.max("col") - F.min("col")).alias("span"))
+    return x.groupBy("record_id").agg(rounded(F.avg(F.when(F.col("span") < 1.4, 1.0).otherwise(0.0))).alias("flatline_fraction"))
+
+
+@query()
+def filters(spark, sf):
+    """Band-passed and notched leads: their range and energy."""
+    s = F.col("samples")
+    return K.filtered(limbs(spark, sf)).select("record_id", "lead", rounded(F.array_max(s) - F.array_min(s), 4).alias("span"), rounded(total(s, lambda v: v * v), 4).alias("energy"))
+
+
+@query()
+def qrs_detect(spark, sf):
+    return K.detected(limbs(spark, sf))
+
+
+@query()
+def delineation(spark, sf):
+    return K.delineated(limbs(spark, sf))
+
+
+@query()
+def quality_full(spark, sf):
+    return K.signal_quality(limbs(spark, sf)).withColumn("flags", F.array_join("flags", ","))
+
+
+@query()
+def beat_clusters(spark, sf):
+    return K.clustered(waveforms(spark, sf).select((F.col("beat_id") % 20).alias("record_id"), "beat_id", "samples"))
+
+
+@query()
+def t_fusion(spark, sf):
+    m = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), (F.col("l_quantity") + 200).cast("long").alias("value"), (1.0 - F.col("l_discount") * 5).alias("weight"))
+    return K.fused_t_ends(m, 500.0)

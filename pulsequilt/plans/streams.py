@@ -1 +1,30 @@
-"""To come."""
+"""Streaming operators as queries: a stream over the stored events is run to its end and what it wrote is returned."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsequilt.plans.registry import query
+from pulsequilt.sources.adapters import table
+from pulsequilt.streaming import online
+
+
+def _drained(spark: SparkSession, sf: str, make) -> DataFrame:
+    """All rows of make(stream) after everything stored so far, from a memory table."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf)
+    beats = stream.select(F.col("user_id").alias("record_id"), F.col("event_id").alias("mark"), F.col("ts").cast("timestamp").alias("ts"))
+    name = f"stream_{uuid.uuid4().hex}"
+    q = make(beats).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT user_id AS record_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_beats FROM events GROUP BY ALL")
+def stream_daily_beats(spark, sf):
+    """Beats a record and day by a windowed streaming aggregate with a watermark. Windows are of UTC days, as are the session's days where it keeps to UTC."""
+    x = _drained(spark, sf, online.windowed_counts)
+    return x.select("record_id", F.date_format("first", "yyyy-MM-dd").alias("day"), "n_beats")
