@@ -18,6 +18,7 @@ doc_id are packed each. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -33,7 +34,9 @@ SEQUENCE = 4096
 #: Length classes of remainders; a class is SEQUENCE / CLASSES tokens wide.
 CLASSES = 128
 #: Words whose ids a worker remembers in each of two generations.
-MEMO = 300_000
+MEMO = 450_000
+#: Hashed levels of remainders, some of which are cut to fill gaps.
+LEVELS = 256
 #: Width of the blocks in which gaps meet what fills them.
 BLOCK = 8192
 END_ID = 2
@@ -43,19 +46,33 @@ END_ID = 2
 
 
 class Memo(dict):
-    """Words' ids in two generations: a full one becomes the old one, from which words that still come are taken over. Words in neither are noted in ``lacking``."""
+    """Words' ids in two generations: a full one becomes the old one, from which words that still come are taken over. Letters before a full stop or comma, which is a token of its own, are looked up without it. Words in neither are noted in ``lacking``."""
 
-    def __init__(self):
+    _PARTS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+
+    def __init__(self, marks: dict[str, bytes]):
         super().__init__()
+        self.marks = marks
         self.old: dict[str, bytes] = {}
         self.lacking: list[str] = []
 
+    def parts(self, word: str) -> tuple[str, ...]:
+        """What the word's ids are made of: letters and a run of ASCII marks behind them are tokens of their own."""
+        m = None if word.isalpha() else self._PARTS(word)
+        return m.groups() if m and m[1].lower().isalpha() else (word,)
+
     def __missing__(self, word: str) -> bytes | None:
-        if (ids := self.old.get(word)) is None:
-            self.lacking.append(word)
-        else:
+        if ids := self.old.get(word):
             self[word] = ids
-        return ids
+            return ids
+        if mark := self.marks.get(word[-1:]):
+            stem = word[:-1]
+            if (ids := self.get(stem)) is None and (ids := self.old.get(stem)):
+                self[stem] = ids
+            if ids and stem[-1:].lower().isalpha():
+                return ids + mark
+        self.lacking.append(word)
+        return None
 
     def age(self) -> None:
         self.old = dict(self)
@@ -74,10 +91,11 @@ def _word_tokenizer(path: str):
     ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
     for token, i in tokenizer.get_vocab().items():
         ends[i] = token.endswith("</w>")
-    return tokenizer, Memo(), ends
+    mark = lambda m: np.array(tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes()
+    return tokenizer, Memo({m: mark(m) for m in ".,"}), ends
 
 
-def _remember(need: list[str], tokenizer, memo: dict[str, bytes], ends: np.ndarray) -> None:
+def _remember(need: list[str], tokenizer, memo: Memo, ends: np.ndarray) -> None:
     """Encodes words, all of letters in one go: each of these has one token with a word end, which tells them apart again."""
     letters = [w for w in need if w.isalpha()]
     if letters:
@@ -91,30 +109,30 @@ def _remember(need: list[str], tokenizer, memo: dict[str, bytes], ends: np.ndarr
         memo[w] = np.array(e.ids, "<u4").tobytes()
 
 
-def word_ids(text: str, path: str) -> bytes:
-    """Ids (little-endian uint32) of a tokenizer that drops white space and never joins across it, so that words are encoded one by one and remembered.
+def word_ids(texts_: list[str], path: str) -> list[bytes]:
+    """Ids (little-endian uint32) of each text by a tokenizer that drops white space and never joins across it, so that words are encoded one by one and remembered; new words of all the texts are encoded in one go.
 
     Words part at spaces, tabs and line ends only, each of which the tokenizer
     counts as white space; what other white space a word holds is left to it.
-    A full stop or comma behind a letter is a token of its own, so such words
-    are remembered by their stems too.
     """
     tokenizer, memo, ends = _word_tokenizer(path)
-    words = text.replace("\n", " ").replace("\t", " ").split(" ")
     if len(memo) > MEMO:
         memo.age()
     memo.lacking = []
-    parts = list(map(memo.__getitem__, words))
+    out = [list(map(memo.__getitem__, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts_]
     if lacking := memo.lacking:
-        stem = lambda w: w[:-1] if w[-1:] in (".", ",") and w[-2:-1].lower().isalpha() else w
-        new = set(lacking)
-        _remember([w for w in {*map(stem, new), ".", ","} if w not in memo], tokenizer, memo, ends)
-        for w in new:
-            if w not in memo:
-                memo[w] = memo[stem(w)] + memo[w[-1]]
-        late = iter(lacking)
-        parts = [memo[next(late)] if x is None else x for x in parts]
-    return b"".join(parts)
+        made = {w: memo.parts(w) for w in set(lacking)}
+        _remember([x for x in {x for parts in made.values() for x in parts} if x not in memo], tokenizer, memo, ends)
+        for w, parts in made.items():
+            if w not in memo and w[-1] not in memo.marks:
+                memo[w] = b"".join(map(memo.__getitem__, parts))
+        late = iter([memo.get(w) or b"".join(map(memo.__getitem__, made[w])) for w in lacking])
+        for ids in out:
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                ids[at] = next(late)
+    return [b"".join(ids) for ids in out]
 
 
 def token_rows(docs: DataFrame, path: str, sequence: int = SEQUENCE, classes: int = CLASSES) -> DataFrame:
@@ -127,8 +145,8 @@ def token_rows(docs: DataFrame, path: str, sequence: int = SEQUENCE, classes: in
         def run(x):
             nonlocal uid
             rows = []
-            for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
-                ids = np.frombuffer(word_ids(text, path) + END_ID.to_bytes(4, "little"), "<u4")
+            for doc_id, found in zip(x["doc_id"], word_ids(x["text"], path), strict=True):
+                ids = np.frombuffer(found + END_ID.to_bytes(4, "little"), "<u4")
                 for start in range(0, ids.size, sequence):
                     piece = ids[start : start + sequence]
                     whole = piece.size == sequence
@@ -264,24 +282,28 @@ def pack(docs: DataFrame, path: str, *, sequence: int = SEQUENCE, classes: int =
     salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = token_rows(docs, path, sequence, classes)
 
-    def demand(df) -> np.ndarray:
-        out = np.zeros(classes + 1, np.int64)
-        for c, n in df.groupBy("cls").count().collect():
-            out[c] = n
-        out[0] = 0
-        return out
-
-    tokens = rows.where("cls > 0").agg(F.sum("length")).first()[0] or 0
-    waste = sum(m for m, _ in whole_patterns(demand(rows), classes)) * sequence - tokens
-    share = min(1.0, 1.1 * waste / max(1, waste + tokens) + 0.002)
-    fills = F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < int(share * (1 << 20))
+    # counts and tokens of the remainders by class and hashed level: at most CLASSES times LEVELS rows
+    level = F.pmod(F.xxhash64("uid"), F.lit(LEVELS))
+    counts, tokens = np.zeros((LEVELS, classes + 1), np.int64), np.zeros(LEVELS, np.int64)
+    for c, k, n, t in rows.where("cls > 0").groupBy("cls", level.alias("level")).agg(F.count(F.lit(1)), F.sum("length")).collect():
+        counts[k, c] = n
+        tokens[k] += t
+    # the levels below ``filling`` are cut: as few as fill what the patterns of the others leave free
+    filling, patterns = 0, whole_patterns(counts.sum(axis=0), classes)
+    while filling < LEVELS:
+        waste = sum(m for m, _ in patterns) * sequence - int(tokens[filling:].sum())
+        short = waste - int(tokens[:filling].sum())
+        if short <= 0:
+            break
+        filling = min(LEVELS, filling + max(1, int(LEVELS * short / max(1, 2 * int(tokens.sum())))))
+        patterns = whole_patterns(counts[filling:].sum(axis=0), classes)
+    fills = level < filling
     # uid, doc_id, start, length, ids_crc32, doc_tokens, cls: -1 for what fills, 0 for full sequences
     light = rows.withColumn("cls", F.when((F.col("cls") > 0) & fills, -1).otherwise(F.col("cls"))).drop("ids")
-    patterns = whole_patterns(demand(light.where("cls > 0")), classes)
     places = Places(patterns)
     n_items = places.sequences
 
-    ranked, counts = _running(light.where("cls >= 0").withColumn("one", F.lit(1)), "cls", "one", salts, "uid", "rank")
+    ranked, n_ranked = _running(light.where("cls >= 0").withColumn("one", F.lit(1)), "cls", "one", salts, "uid", "rank")
 
     def make():
         def run(x):
@@ -296,7 +318,7 @@ def pack(docs: DataFrame, path: str, *, sequence: int = SEQUENCE, classes: int =
     placed = by_batch(ranked.drop("one"), make, f"uid long, {columns}")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = stored(placed.withColumn("offset", F.sum("length").over(inside) - F.col("length")))
-    n_full = counts.get(0, 0)
+    n_full = n_ranked.get(0, 0)
 
     # gaps of the patterns' sequences, and the stream that fills them
     gaps = placed.where(F.col("sequence_id") < n_items).groupBy("sequence_id").agg((F.lit(sequence) - F.sum("length")).alias("gap"), F.sum("length").alias("used")).where("gap > 0").withColumn("all", F.lit(0))
