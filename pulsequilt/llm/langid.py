@@ -30,6 +30,8 @@ from .common import small_batches, stored
 
 #: Labelled documents that the text model is fitted on, at most (but for ties).
 SAMPLE = 4000
+#: A document's trigrams count as so many at most, so that no long one makes up the model.
+DOCUMENT_WEIGHT = 2000
 #: Languages told apart at most: the most frequent of the sample.
 LANGUAGES = 64
 BUCKETS = 1 << 14
@@ -80,16 +82,17 @@ def fit_text_model(labelled: DataFrame, label: str = "lang", sample: int = SAMPL
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = trigram_counts(text)
+                c = c * (DOCUMENT_WEIGHT / max(DOCUMENT_WEIGHT, int(c.sum())))
                 sums[label] = sums[label] + c if label in sums else c
         for label, c in sums.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * at.size, pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["label", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([label] * at.size, pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.float64())], names=["label", "bucket", "n"])
 
     small_batches(labelled.sparkSession)
     chosen = rows.where(F.col("h") <= least)
     names = sorted(r[0] for r in chosen.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect())
     counts = np.zeros((BUCKETS, len(names)))
-    for label, bucket, n in chosen.where(F.col("label").isin(names)).select("text", "label").mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n")).collect():
+    for label, bucket, n in chosen.where(F.col("label").isin(names)).select("text", "label").mapInArrow(run, "label string, bucket int, n double").groupBy("label", "bucket").agg(F.sum("n")).collect():
         counts[bucket, names.index(label)] = n
     p = counts + 0.1
     return TextModel(tuple(names), np.log(p / p.sum(axis=0)))
