@@ -115,4 +115,4 @@ def leaf_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def first_by_hash(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     """The n rows of each group whose keys have the least SHA-256; partial ranking keeps no more than n a group and task before the shuffle."""
     w = Window.partitionBy(by).orderBy("hash", key)
-    return rows.withColumn("hash", F.sha2(F.col(key).cast("string"), 256)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return rows.withColumn("hash", F.sha2(F.col(key).cast("string"), 256)).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)

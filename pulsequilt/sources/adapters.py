@@ -28,7 +28,7 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """marks with beat_id (from zero in time order), rr_prev and rr_next in ms: one shuffle by record."""
     w = Window.partitionBy("record_id").orderBy("us", "mark")
     gap = lambda a, b: (a - b) / F.lit(3e7)
-    return marks(spark, sf_dir).select("*", (F.row_number().over(w) - 1).alias("beat_id"), gap(F.col("us"), F.lag("us").over(w)).alias("rr_prev"), gap(F.lead("us").over(w), F.col("us")).alias("rr_next"))
+    return marks(spark, sf_dir).select("*", (F.row_number().over(w) - 1).cast("long").alias("beat_id"), gap(F.col("us"), F.lag("us").over(w)).alias("rr_prev"), gap(F.lead("us").over(w), F.col("us")).alias("rr_next"))
 
 
 #: The same in DuckDB, to begin a query with.
