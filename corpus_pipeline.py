@@ -25,8 +25,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of all documents in their sequences. Workers still hold what earlier stages loaded, so they remember fewer words."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=150_000)
 
 
 STAGES = [("language", known_language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", packing_stage)]

@@ -109,14 +109,14 @@ def _remember(need: list[str], tokenizer, memo: Memo, ends: np.ndarray) -> None:
         memo[w] = np.array(e.ids, "<u4").tobytes()
 
 
-def word_ids(texts_: list[str], path: str) -> list[bytes]:
+def word_ids(texts_: list[str], path: str, remembered: int = MEMO) -> list[bytes]:
     """Ids (little-endian uint32) of each text by a tokenizer that drops white space and never joins across it, so that words are encoded one by one and remembered; new words of all the texts are encoded in one go.
 
     Words part at spaces, tabs and line ends only, each of which the tokenizer
     counts as white space; what other white space a word holds is left to it.
     """
     tokenizer, memo, ends = _word_tokenizer(path)
-    if len(memo) > MEMO:
+    if len(memo) > remembered:
         memo.age()
     memo.lacking = []
     out = [list(map(memo.__getitem__, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts_]
@@ -135,7 +135,7 @@ def word_ids(texts_: list[str], path: str) -> list[bytes]:
     return [b"".join(ids) for ids in out]
 
 
-def token_rows(docs: DataFrame, path: str, sequence: int = SEQUENCE, classes: int = CLASSES) -> DataFrame:
+def token_rows(docs: DataFrame, path: str, sequence: int = SEQUENCE, classes: int = CLASSES, remembered: int = MEMO) -> DataFrame:
     """Pieces before packing: uid, doc_id, start, length, ids_crc32, doc_tokens, cls (0: a full sequence; else the remainder's length class) and the remainder's ids (uint16 or uint32), as a stored table."""
 
     def make():
@@ -145,7 +145,7 @@ def token_rows(docs: DataFrame, path: str, sequence: int = SEQUENCE, classes: in
         def run(x):
             nonlocal uid
             rows = []
-            for doc_id, found in zip(x["doc_id"], word_ids(x["text"], path), strict=True):
+            for doc_id, found in zip(x["doc_id"], word_ids(x["text"], path, remembered), strict=True):
                 ids = np.frombuffer(found + END_ID.to_bytes(4, "little"), "<u4")
                 for start in range(0, ids.size, sequence):
                     piece = ids[start : start + sequence]
@@ -276,11 +276,11 @@ def _running(df: DataFrame, group: str, value: str, salts: int, key: str, to: st
     return df.withColumn("_run", F.sum(value).over(w) - F.col(value)).join(F.broadcast(offsets), [group, "_salt"]).withColumn(to, F.col("_run") + F.col("_start")).drop("_run", "_start", "_salt"), group_total
 
 
-def pack(docs: DataFrame, path: str, *, sequence: int = SEQUENCE, classes: int = CLASSES) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, *, sequence: int = SEQUENCE, classes: int = CLASSES, remembered: int = MEMO) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``remembered`` bounds the words that a worker remembers (a generation; results don't depend on it)."""
     spark = docs.sparkSession
     salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = token_rows(docs, path, sequence, classes)
+    rows = token_rows(docs, path, sequence, classes, remembered)
 
     # counts and tokens of the remainders by class and hashed level: at most CLASSES times LEVELS rows
     level = F.pmod(F.xxhash64("uid"), F.lit(LEVELS))
