@@ -39,6 +39,8 @@ BUCKETS = 1 << 14
 TEMPER = 1 / 3
 #: Rows of pseudo-evidence at each level of the host hierarchy, and for declarations and suffixes.
 PRIOR_ROWS = 5.0
+#: A host with more than one in HOT of the rows is dealt to HOT tasks.
+HOT = 128
 #: Under so many trigrams a text is too short to be less likely than chance.
 SHORT = 20
 SUFFIXES = ("com", "org", "net", "edu", "gov", "info", "io")
@@ -137,10 +139,15 @@ def fused(rows: DataFrame, model: TextModel) -> DataFrame:
             made.append((value, np.log(p / overall).tolist()))
         return F.broadcast(spark.createDataFrame(made, f"{by} string, log_{by} array<double>"))
 
-    hosts = voters.groupBy("domain", "host").agg(_sums(n).alias("host_soft"))
+    hosts = voters.groupBy("domain", "host").agg(_sums(n).alias("host_soft"), F.count(F.lit(1)).alias("n_rows"))
     domains = hosts.groupBy("domain").agg(_sums(n, "host_soft").alias("domain_soft"))
-    hosts = hosts.join(domains, "domain")
-    x = seen.join(hosts, ["domain", "host"], "left").join(ratios("suffix"), "suffix", "left").join(ratios("declared"), "declared", "left")
+    hosts = stored(hosts.join(domains, "domain"))
+    # hosts of many rows (at most HOT of them) meet their prior in many tasks
+    hot = [r[0] for r in hosts.where(F.col("n_rows") * HOT > float(total.sum())).select("host").distinct().collect()]
+    is_hot = F.col("host").isin(hot) if hot else F.lit(False)
+    spread = seen.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("key", "log_text"), F.lit(HOT))).otherwise(0))
+    hosts = hosts.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT - 1))).otherwise(F.array(F.lit(0))))).withColumn("salt", F.col("salt").cast("long")).drop("n_rows")
+    x = spread.join(hosts, ["domain", "host", "salt"], "left").join(ratios("suffix"), "suffix", "left").join(ratios("declared"), "declared", "left")
     own = lambda i: F.when(F.col("n_grams") > 0, F.col("text_post")[i]).otherwise(0.0)
     left = lambda c, i: F.greatest(F.coalesce(F.col(c)[i], F.lit(0.0)) - own(i), F.lit(0.0))
     all_left = lambda c: sum((left(c, i) for i in range(1, n)), left(c, 0))
