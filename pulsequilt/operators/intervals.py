@@ -93,7 +93,7 @@ def error_risk(rows: DataFrame, threshold_ms: float = 40.0, prior: float = 3.0)
     x = x.withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("record")))
     overall = x.agg((F.sum(F.col("bad") * F.col("w")) / F.count_distinct("record")).alias("overall"))
     binned = x.groupBy("bin").agg(F.sum(F.col("bad") * F.col("w")).alias("bad"), F.sum("w").alias("w"), F.count_distinct("record").alias("n_records"))
-    return binned.crossJoin(F.broadcast(overall)).select("bin", "n_records", ((F.col("bad") + prior * F.col("overall")) / (F.col("w") + prior)).alias("risk"))  # one row on the right
+    return binned.select("bin", "n_records", ((F.col("bad") + prior * overall.scalar()) / (F.col("w") + prior)).alias("risk"))
 
 
 def reject_gate(x: DataFrame) -> DataFrame:
