@@ -279,7 +279,7 @@ def _running(df: DataFrame, group: str, value: str, salts: int, key: str, to: st
 def pack(docs: DataFrame, path: str, *, sequence: int = SEQUENCE, classes: int = CLASSES, remembered: int = MEMO) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``remembered`` bounds the words that a worker remembers (a generation; results don't depend on it)."""
     spark = docs.sparkSession
-    salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = min(1024, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = token_rows(docs, path, sequence, classes, remembered)
 
     # counts and tokens of the remainders by class and hashed level: at most CLASSES times LEVELS rows
