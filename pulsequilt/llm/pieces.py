@@ -185,8 +185,8 @@ def merged_in_python(unit: str, vocab: Vocabulary, ids: dict[str, int]) -> list[
     return out
 
 
-def unit_ids(units: DataFrame, vocab: Vocabulary, *, fold: str = "merges", unknown: float = -1e6) -> DataFrame:
-    """unit, ids (array of int) of distinct units (no empty ones). Spans without a piece are single code points and become bytes; ``unknown`` is their score in the Viterbi fold."""
+def unit_ids(units: DataFrame, vocab: Vocabulary, *, fold: str = "merges", unknown: float = -1e6, packed: bool = False) -> DataFrame:
+    """unit, ids (array of int; if packed, their little-endian bytes) of distinct units (no empty ones). Spans without a piece are single code points and become bytes; ``unknown`` is their score in the Viterbi fold."""
     spark = units.sparkSession
     table = spark.createDataFrame([(p, float(vocab.scores[i])) for p, i in vocab.ids.items() if len(p) > 1], "piece string, score double")
     n = F.length("unit")
@@ -218,9 +218,10 @@ def unit_ids(units: DataFrame, vocab: Vocabulary, *, fold: str = "merges", unkno
                         found += [ids[piece]] if piece in ids else [vocab.byte_0 + x for x in piece.encode()]
                         a = k
                 out.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["unit", "ids"])
+            ids_column = pa.array([struct.pack(f"<{len(x)}i", *x) for x in out], pa.binary()) if packed else pa.array(out, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids_column], names=["unit", "ids"])
 
-    return folded.mapInArrow(run, "unit string, ids array<int>")
+    return folded.mapInArrow(run, f"unit string, ids {'binary' if packed else 'array<int>'}")
 
 
 # ---------------------------------------------------------------- texts
@@ -258,7 +259,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     pairs = rows.select("text", "file").mapInArrow(collect, "file long, unit string")
     held = stored(pairs.repartition("unit").groupBy("unit").agg(F.collect_set("file").alias("files")))
-    ids = unit_ids(held.select("unit"), vocab)
+    ids = unit_ids(held.select("unit"), vocab, packed=True)
     root = shared_dir(spark) + "-units"
     lines = held.join(ids, "unit").select("unit", "ids", F.explode("files").alias("file"))
     lines.repartition("file").write.partitionBy("file").parquet(root)
@@ -275,15 +276,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for info in store.get_file_info(fs.FileSelector(f"{base}/file={file}")):
                 if info.path.endswith(".parquet"):
                     with store.open_input_file(info.path) as f:
-                        t = pq.read_table(f, columns=["unit", "ids"])
-                    for unit, x in zip(t.column("unit").to_pylist(), t.column("ids").to_pylist(), strict=True):
-                        out[unit] = struct.pack(f"<{len(x)}i", *x)
+                        for part in pq.ParquetFile(f).iter_batches(20_000, columns=["unit", "ids"]):
+                            out.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
             return out
 
         for batch in batches:
             made = []
             for text, file in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if file != at:
+                    known = {}  # the last file's units go first
                     known, at = load(file), file
                 made.append(b"".join(map(known.__getitem__, find(marked(text)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "text", "ids"])
