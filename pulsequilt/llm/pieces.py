@@ -106,12 +106,13 @@ def marked(text: str) -> str:
 def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """unit, edges: the substrings of two code points or more of a unit that are pieces, as structs (rank, start, end, ends, inside), better scores first and then from left to right; the two masks hold the bounds at an edge's ends and those strictly inside. pieces (piece, score) is a vocabulary and is broadcast."""
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.alias("start"), (s + k).alias("end"), F.substring(F.col("unit"), s + 1, k).alias("piece")))))
     # small partitions: a unit grows into some fifty substrings, and the groups of a task are held at once
     spark = units.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * UNITS))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // UNITS))
-    found = units.select("unit").repartition(tasks, "unit").where(n > 1).select("unit", F.explode(F.filter(spans, lambda x: x["end"] - x["start"] > 1)).alias("x")).select("unit", "x.*").join(F.broadcast(pieces), "piece")
+    starts = units.select("unit").repartition(tasks, "unit").where(n > 1).select("unit", F.explode(F.sequence(F.lit(0), n - 2)).alias("start"))
+    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("start")))).alias("size"))
+    found = spans.select("unit", "start", (F.col("start") + F.col("size")).alias("end"), F.substring("unit", F.col("start") + 1, F.col("size")).alias("piece")).join(F.broadcast(pieces), "piece")
     one = F.lit(1).cast("long")
     low, high = F.call_function("shiftleft", one, F.col("start")), F.call_function("shiftleft", one, F.col("end"))
     edge = F.struct((-F.col("score")).alias("rank"), "start", "end", low.bitwiseOR(high).alias("ends"), (high - low - low).alias("inside"))
