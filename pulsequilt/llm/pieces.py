@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ LONGEST_UNIT = 60
 UNITS = 20_000
 #: Distinct units a task gathers before it sends them on.
 GATHERED = 300_000
+#: Words of several units that a task remembers beside a file's units.
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
@@ -100,6 +103,11 @@ def marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def words_of(text: str) -> list[str] | None:
+    """The words between single spaces: each with a mark in front tiles into the same units as in its text. None where spaces stand together or in front."""
+    return None if "  " in text or text[:1] == " " else text.split(" ") if text else []
+
+
 # ---------------------------------------------------------------- folds over lattices
 
 
@@ -187,7 +195,7 @@ def merged_in_python(unit: str, vocab: Vocabulary, ids: dict[str, int]) -> list[
 
 
 def unit_ids(units: DataFrame, vocab: Vocabulary, *, fold: str = "merges", unknown: float = -1e6, packed: bool = False) -> DataFrame:
-    """unit, ids (array of int; if packed, their little-endian bytes) of distinct units (no empty ones). Spans without a piece are single code points and become bytes; ``unknown`` is their score in the Viterbi fold."""
+    """unit, ids (array of int; if packed, their little-endian bytes) of distinct units (no empty ones), and the other columns of units. Spans without a piece are single code points and become bytes; ``unknown`` is their score in the Viterbi fold."""
     spark = units.sparkSession
     table = spark.createDataFrame([(p, float(vocab.scores[i])) for p, i in vocab.ids.items() if len(p) > 1], "piece string, score double")
     n = F.length("unit")
@@ -202,7 +210,8 @@ def unit_ids(units: DataFrame, vocab: Vocabulary, *, fold: str = "merges", unkno
         bounds = viterbi(F.col("edges"), n, F.col("single"))
     folded = lattice.select("unit", bounds.alias("bounds"))
     # units of one code point, or too long for a fold, have no bounds yet
-    folded = units.select("unit").join(folded, "unit", "left")
+    others = [c for c in units.columns if c != "unit"]
+    folded = units.join(folded, "unit", "left").select("unit", "bounds", *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = vocab.ids
@@ -220,9 +229,10 @@ def unit_ids(units: DataFrame, vocab: Vocabulary, *, fold: str = "merges", unkno
                         a = k
                 out.append(found)
             ids_column = pa.array([struct.pack(f"<{len(x)}i", *x) for x in out], pa.binary()) if packed else pa.array(out, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids_column], names=["unit", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids_column, *batch.columns[2:]], names=["unit", "ids", *others])
 
-    return folded.mapInArrow(run, f"unit string, ids {'binary' if packed else 'array<int>'}")
+    kinds = dict(units.dtypes)
+    return folded.mapInArrow(run, ", ".join(["unit string", f"ids {'binary' if packed else 'array<int>'}", *(f"{c} {kinds[c]}" for c in others)]))
 
 
 # ---------------------------------------------------------------- texts
@@ -241,28 +251,36 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern).findall
+        words: dict[int, set[str]] = {}  # distinct words part into units once
         held: dict[int, set[str]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
+            for file, found in words.items():
+                into = held.setdefault(file, set())
+                for word in found:
+                    into.update(find(SPACE + word))
             for file, units in held.items():
                 listed = list(units)
                 for at in range(0, len(listed), 50_000):
                     part = listed[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([file] * len(part), pa.int64()), pa.array(part, pa.string())], names=["file", "unit"])
+            words.clear()
             held.clear()
 
         for batch in batches:
             for text, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(file, set()).update(find(marked(text)))
-            if sum(map(len, held.values())) > GATHERED:
+                if (found := words_of(text)) is None:
+                    held.setdefault(file, set()).update(find(marked(text)))
+                else:
+                    words.setdefault(file, set()).update(found)
+            if sum(map(len, held.values())) + sum(map(len, words.values())) > GATHERED:
                 yield from out()
         yield from out()
 
     pairs = rows.select("text", "file").mapInArrow(collect, "file long, unit string")
     held = stored(pairs.repartition("unit").groupBy("unit").agg(F.collect_set("file").alias("files")))
-    ids = unit_ids(held.select("unit"), vocab, packed=True)
     root = shared_dir(spark) + "-units"
-    lines = held.join(ids, "unit").select("unit", "ids", F.explode("files").alias("file"))
+    lines = unit_ids(held, vocab, packed=True).select("unit", "ids", F.explode("files").alias("file"))
     lines.repartition("file").write.partitionBy("file").parquet(root)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,43 +288,63 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow.parquet as pq
 
         find, store, base = re.compile(pattern).findall, *fs.FileSystem.from_uri(root)
-        at, known = None, {}
+        at, room = None, 0
+        words: dict[str, bytes] = {}  # units with a single mark in front, without it
+        rest: dict[str, bytes] = {}
 
-        def load(file: int) -> dict[str, bytes]:
-            out = {}
+        def load(file: int) -> None:
+            words.clear()
+            rest.clear()
             for info in store.get_file_info(fs.FileSelector(f"{base}/file={file}")):
                 if info.path.endswith(".parquet"):
                     with store.open_input_file(info.path) as f:
                         for part in pq.ParquetFile(f).iter_batches(20_000, columns=["unit", "ids"]):
-                            out.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-            return out
+                            for unit, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                                if unit[0] == SPACE and unit[1:2] not in ("", SPACE):
+                                    words[unit[1:]] = ids
+                                else:
+                                    rest[unit] = ids
+
+        def joined(text: str) -> bytes:
+            return b"".join([words[u[1:]] if u[0] == SPACE and u[1:2] not in ("", SPACE) else rest[u] for u in find(text)])
 
         for batch in batches:
             made = []
             for text, file in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if file != at:
-                    known = {}  # the last file's units go first
-                    known, at = load(file), file
-                made.append(b"".join(map(known.__getitem__, find(marked(text)))))
+                    load(file)
+                    at, room = file, len(words) + REMEMBERED
+                if (found := words_of(text)) is None:
+                    made.append(joined(marked(text)))
+                    continue
+                ids, k = list(map(words.get, found)), -1
+                for _ in range(ids.count(None)):
+                    k = ids.index(None, k + 1)
+                    word = found[k]
+                    if (known := words.get(word)) is None:
+                        known = joined(SPACE + word)
+                        if len(words) < room:
+                            words[word] = known
+                    ids[k] = known
+                made.append(b"".join(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "text", "ids"])
 
     return rows.mapInArrow(assemble, "doc_id long, text string, ids binary")
 
 
-def decoded(ids: bytes, pieces: list[bytes]) -> str:
+def decoded(ids: bytes, pieces: np.ndarray) -> str:
     """The text of ids; pieces holds each id's bytes."""
-    data = b"".join(map(pieces.__getitem__, struct.unpack(f"<{len(ids) // 4}i", ids)))
-    return data.decode(errors="replace")[1:]
+    return b"".join(pieces[np.frombuffer(ids, "<i4")].tolist()).decode(errors="replace")[1:]
 
 
-def piece_bytes(vocab: Vocabulary) -> list[bytes]:
+def piece_bytes(vocab: Vocabulary) -> np.ndarray:
     out = [p.replace(SPACE, " ").encode() for p in vocab.pieces]
     for b in range(256):
         out[vocab.byte_0 + b] = bytes([b])
     for i in vocab.special:
         if not vocab.byte_0 <= i < vocab.byte_0 + 256:
             out[i] = b""
-    return out
+    return np.array(out, object)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -36,7 +36,7 @@ def test_awkward_texts(awkward, no_documents):
 
 def test_symbols_spaces_and_unknown_characters(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    texts = ["Hello  world\n x\ty  ", " a", "    ", "²²..;x²y", "a_b__c", "12345 1²3", "💥💥 ok", "don't;{}()[]=>", "\x00\x01", "αβγ δ", "'''\"\"\"", "ſ", "éé"]
+    texts = ["Hello  world\n x\ty  ", " a", "    ", "²²..;x²y", "a_b__c", "12345 1²3", "💥💥 ok", "don't;{}()[]=>", "\x00\x01", "αβγ δ", "a ", "▁a b", "a ▁b c", "'''\"\"\"", "ſ", "éé"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pieces.encode(docs, PATH).collect():
         assert unpacked(r.ids) == model.encode(r.text), r.text
