@@ -43,9 +43,9 @@ LONGEST_UNIT = 60
 #: Units in a task of the lattice, on average.
 UNITS = 20_000
 #: Distinct units a task gathers before it sends them on.
-GATHERED = 300_000
+GATHERED = 150_000
 #: Words of several units that a task remembers beside a file's units.
-REMEMBERED = 100_000
+REMEMBERED = 30_000
 
 
 @dataclass(frozen=True)
