@@ -21,7 +21,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -198,7 +198,8 @@ def locate(index: DataFrame, wanted: DataFrame) -> DataFrame:
                 key = url_key(url), LEAST if page_id is None else page_id
                 at = _bisect_block(firsts, key)
                 if at >= 0:
-                    rows.append((at, *key))
+                    # equal lines can begin at the end of the slot before the first entry that equals the key
+                    rows += [(slot, *key) for slot in {at, max(0, bisect_left(firsts, key) - 1)}]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["slot", "key", "id"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

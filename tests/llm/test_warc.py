@@ -39,6 +39,14 @@ def test_a_repeated_row_is_read_back_twice(spark):
     check(spark.createDataFrame([(1, "http://a.org", "x"), (1, "http://a.org", "x"), (2, "http://a.org", "x")], "page_id long, url string, html string"))
 
 
+@pytest.mark.parametrize("directory", [200_000, 3])
+def test_repeated_rows_over_a_block_bound_are_all_read(spark, monkeypatch, directory):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    monkeypatch.setattr(warc, "DIRECTORY", directory)
+    rows = [(k, f"http://h.org/{k:03}", f"p{k}") for k in range(40) for _ in range(1 + k % 3)] + [(20, "http://h.org/020", "p20")] * 11
+    check(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
 def test_lookup_finds_only_what_is_there(spark):
     pages = spark.createDataFrame([(k, f"http://h{k % 7}.org/{k}", f"p{k}") for k in range(1500)], "page_id long, url string, html string")
     index = warc.build_index(warc.write_archive(pages))
