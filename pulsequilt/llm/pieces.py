@@ -15,10 +15,11 @@ fold with Spark's higher-order ``aggregate`` turns the lattice into ids:
 Characters without a piece become byte pieces. Units too long for a fold's
 64-bit state go through a merge queue in Python, with the same result.
 
-Each file of the corpus gets the ids of its own units as a table in the shared
-folder; encoding reads the texts again with the one file's table at hand, so
-no text and no occurrence of a unit is shuffled. A null text is empty and has
-no ids. Repeated rows are encoded each. Decoding inverts encoding exactly.
+Files are cut into slices of neighbouring rows with a bounded number of units,
+however large a file is. Each slice gets the ids of its own units as a table in
+the shared folder; encoding reads the texts again with the one slice's table at
+hand, so no text and no occurrence of a unit is shuffled. A null text is empty
+and has no ids. Repeated rows are encoded each. Decoding inverts encoding exactly.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +47,9 @@ LONGEST_UNIT = 60
 UNITS = 20_000
 #: Distinct units a task gathers before it sends them on.
 GATHERED = 150_000
-#: Words of several units that a task remembers beside a file's units.
+#: A slice of a file ends with the batch after which so many units (counted once each time they are sent on) were gathered for it.
+SLICE_UNITS = 600_000
+#: Words of several units that a task remembers beside a slice's units.
 REMEMBERED = 30_000
 
 
@@ -238,50 +243,70 @@ def unit_ids(units: DataFrame, vocab: Vocabulary, *, fold: str = "merges", unkno
 # ---------------------------------------------------------------- texts
 
 
+def read_in_place(docs: DataFrame) -> bool:
+    """Whether docs are the rows of Parquet files as they stand there: each row knows its file and number, and a task reads them in order."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith("LogicalRelation"):
+        return False
+    try:
+        return bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:  # files of another kind have no row numbers
+        return False
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, text, ids (little-endian int32 bytes) of documents (doc_id, text) of a BPE model file."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     vocab = vocabulary(path)
     pattern = unit_pattern(vocab)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if rows.where(F.input_file_name() == "").take(1):  # not read from files as it is
-        rows = stored(rows)
-    rows = rows.withColumn("file", F.xxhash64(F.input_file_name()))
+    kept = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")]
+    if not read_in_place(docs):
+        docs = stored(docs.select(*kept))
+    # where a row stands: the file, the part of it that one task reads at a stretch, and the row's number in the file
+    rows = docs.select(*kept, F.xxhash64(F.input_file_name()).alias("file"), F.input_file_block_start().alias("block"), F.col("_metadata.row_index").alias("row"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern).findall
-        words: dict[int, set[str]] = {}  # distinct words part into units once
-        held: dict[int, set[str]] = {}
+        words: dict[tuple[int, int], set[str]] = {}  # distinct words part into units once
+        held: dict[tuple[int, int], set[str]] = {}
+        stretch, piece, sent, last = None, (0, 0), 0, -1
 
         def out() -> Iterator[pa.RecordBatch]:
-            for file, found in words.items():
-                into = held.setdefault(file, set())
+            nonlocal sent
+            for key, found in words.items():
+                into = held.setdefault(key, set())
                 for word in found:
                     into.update(find(SPACE + word))
-            for file, units in held.items():
+            for (file, start), units in held.items():
+                sent += len(units) if (file, start) == piece else 0
                 listed = list(units)
                 for at in range(0, len(listed), 50_000):
                     part = listed[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part), pa.int64()), pa.array(part, pa.string())], names=["file", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part), pa.int64()), pa.array([start] * len(part), pa.int64()), pa.array(part, pa.string())], names=["file", "start", "unit"])
             words.clear()
             held.clear()
 
         for batch in batches:
-            for text, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, file, block, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != stretch or (sent >= SLICE_UNITS and row > last):
+                    stretch, piece, sent = (file, block), (file, row), 0
+                last = row
                 if (found := words_of(text)) is None:
-                    held.setdefault(file, set()).update(find(marked(text)))
+                    held.setdefault(piece, set()).update(find(marked(text)))
                 else:
-                    words.setdefault(file, set()).update(found)
+                    words.setdefault(piece, set()).update(found)
             if sum(map(len, held.values())) + sum(map(len, words.values())) > GATHERED:
                 yield from out()
         yield from out()
 
-    pairs = rows.select("text", "file").mapInArrow(collect, "file long, unit string")
-    held = stored(pairs.repartition("unit").groupBy("unit").agg(F.collect_set("file").alias("files")))
+    pairs = rows.select("text", "file", "block", "row").mapInArrow(collect, "file long, start long, unit string")
+    held = stored(pairs.repartition("unit").groupBy("unit").agg(F.collect_set(F.struct("file", "start")).alias("slices")))
     root = shared_dir(spark) + "-units"
-    lines = unit_ids(held, vocab, packed=True).select("unit", "ids", F.explode("files").alias("file"))
-    lines.repartition("file").write.partitionBy("file").parquet(root)
+    lines = unit_ids(held, vocab, packed=True).select("unit", "ids", F.explode("slices").alias("slice")).select("unit", "ids", "slice.*")
+    lines.repartition("file", "start").write.partitionBy("file", "start").parquet(root)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -289,13 +314,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
         find, store, base = re.compile(pattern).findall, *fs.FileSystem.from_uri(root)
         at, room = None, 0
+        starts: list[int] = []  # of the slices of the file at hand
         words: dict[str, bytes] = {}  # units with a single mark in front, without it
         rest: dict[str, bytes] = {}
 
-        def load(file: int) -> None:
+        def listed(folder: str) -> list:
+            return store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+
+        def load(file: int, start: int) -> None:
             words.clear()
             rest.clear()
-            for info in store.get_file_info(fs.FileSelector(f"{base}/file={file}")):
+            for info in listed(f"{base}/file={file}/start={start}"):
                 if info.path.endswith(".parquet"):
                     with store.open_input_file(info.path) as f:
                         for part in pq.ParquetFile(f).iter_batches(20_000, columns=["unit", "ids"]):
@@ -310,10 +339,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
         for batch in batches:
             made = []
-            for text, file in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if file != at:
-                    load(file)
-                    at, room = file, len(words) + REMEMBERED
+            for text, file, row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if at is None or file != at[0]:
+                    starts = sorted(int(x.base_name.removeprefix("start=")) for x in listed(f"{base}/file={file}"))
+                    at = None
+                k = bisect_right(starts, row) - 1
+                here = file, starts[k] if k >= 0 else -1  # before the first slice with units are only empty texts
+                if here != at:
+                    load(*here)
+                    at, room = here, len(words) + REMEMBERED
                 if (found := words_of(text)) is None:
                     made.append(joined(marked(text)))
                     continue
@@ -329,7 +363,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 made.append(b"".join(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "text", "ids"])
 
-    return rows.mapInArrow(assemble, "doc_id long, text string, ids binary")
+    return rows.select("doc_id", "text", "file", "row").mapInArrow(assemble, "doc_id long, text string, ids binary")
 
 
 def decoded(ids: bytes, pieces: np.ndarray) -> str:

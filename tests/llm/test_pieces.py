@@ -24,6 +24,24 @@ def test_ids_are_the_librarys_and_decode_to_the_text(spark):
         assert r.decoded == r.text
 
 
+def test_a_large_file_is_cut_into_slices_of_bounded_units(spark, tmp_path, monkeypatch):
+    path, root = str(tmp_path / "one"), tmp_path / "shared"
+    spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert pieces.read_in_place(docs) and not pieces.read_in_place(docs.repartition(2))
+    monkeypatch.setattr(pieces, "GATHERED", 1000)
+    monkeypatch.setattr(pieces, "SLICE_UNITS", 1000)
+    monkeypatch.setattr(pieces, "shared_dir", lambda _: str(root / "x"))
+    monkeypatch.setattr(pieces, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50"))
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rows = pieces.encode(docs, PATH).collect()
+    assert len(rows) == docs.count()
+    assert all(unpacked(r.ids) == model.encode(r.text) for r in rows)
+    tables = [spark.read.parquet(str(d)).count() for d in root.glob("x-units/file=*/*") if d.is_dir()]
+    whole = spark.read.parquet(str(root / "x-units")).select("unit").distinct().count()
+    assert len(tables) > 1 and max(tables) < whole
+
+
 def test_awkward_texts(awkward, no_documents):
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
     rows = pieces.decode(pieces.encode(awkward, PATH), PATH).collect()
