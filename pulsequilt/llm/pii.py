@@ -93,9 +93,11 @@ MAX_GROUPS = 8
 DIGITS = (7, 19)
 _GROUP = re.compile(r"[0-9]+")
 _BETWEEN = re.compile(r"[\x20]{0,2}[-.()/]{0,2}[\x20]{0,1}")
+# a local part of labels between dots and spelled dots, an at sign, and the labels of a domain: as many as names can have
+_DOT = r"(?: ?[\[(](?i:dot)[\])] ?| (?i:dot) |\.)"
 _SPELLED = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9_%+-]{0,63}(?: ?[\[(](?:at|AT)[\])] ?| (?:at|AT) )"
-    r"[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:(?: ?[\[(](?:dot|DOT)[\])] ?| (?:dot|DOT) |\.)[A-Za-z][A-Za-z0-9-]{1,62}){1,3}"
+    rf"(?<![A-Za-z0-9_%+-])(?<![A-Za-z0-9_%+-]\.)[A-Za-z0-9][A-Za-z0-9_%+-]{{0,63}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,31}}(?: ?[\[(](?i:at)[\])] ?| (?i:at) )"
+    rf"[A-Za-z0-9][A-Za-z0-9-]{{0,62}}(?:{_DOT}[A-Za-z0-9][A-Za-z0-9-]{{0,62}}){{0,125}}{_DOT}[A-Za-z][A-Za-z0-9-]{{1,62}}"
 )
 _CUES = {"phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"), "card": ("card", "visa", "mastercard", "amex", "karte", "tarjeta", "carte"), "ip": ("ip", "host", "server", "address"), "email": ("email", "e-mail", "mail", "contact"), "other": ("version", "license", "isbn", "invoice", "order", "token", "id", "build", "no")}
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
@@ -170,7 +172,8 @@ def runs(text: str) -> Iterator[Run]:
         groups.append(m.span())
     if groups:
         yield run_of(groups)
-    if " at " in text or "(at)" in text or "[at]" in text or " AT " in text or "(AT)" in text or "[AT]" in text:
+    low = text.lower()
+    if " at " in low or "(at)" in low or "[at]" in low:
         for m in _SPELLED.finditer(text):
             yield 1, lambda _, m=m: [Segment(text, m.start(), m.end(), 0, 0)]
 
@@ -268,7 +271,10 @@ def sentences(n: int, seed: int = 7) -> list[tuple[str, dict[tuple[int, int], st
 
     def spelled() -> str:
         at, dot = r.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" [at] ", "."), (" (at) ", ".")])
-        return f"{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'example'])}"
+        case = r.choice([str, str, str, str.upper, str.title])
+        at, dot = case(at), case(dot)
+        local = r.choice(["", "", word() + ".", word()[0] + ".", word() + dot]) + word()
+        return f"{local}{at}{dot.join(word() for _ in range(r.choice([1, 1, 1, 2, 5])))}{dot}{r.choice(['com', 'org', 'net', 'example'])}"
 
     def other() -> str:
         return r.choice([f"{digits(4)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} {digits(2)}:{digits(2)}", f"{r.randint(1, 20)}.{r.randint(0, 9)}.{r.randint(0, 9)}", f"{digits(r.randint(1, 6))}", f"ISBN 978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f'"{r.choice("abcdef")}{digits(7)}{r.choice("abcdef")}{digits(9)}"', f"{digits(3)},{digits(3)}", f"x{digits(9)}", f"order {digits(8)}", f"{r.randint(256, 999)}.{digits(2)}.{digits(3)}.{digits(2)}", f"{digits(3)}/{digits(4)} {digits(2)}/{digits(4)}", f"{word()} at {word()}.{word()[:3]} {word()}", f"{digits(r.randint(20, 30))}", f"{digits(4)} {digits(4)}", f"0.{digits(12)}"])

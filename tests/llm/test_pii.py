@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -67,6 +68,19 @@ def test_held_out_sentences():
     assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.97
 
 
+@pytest.mark.parametrize("address", ["john.smith [at] example.com", "j.doe at mail dot org", "first dot last at x dot com", "anna Dot berg At mail Dot example Dot org", "k.l.m (At) a.b.c.d.e.example.net", "rose AT one DOT two DOT three DOT four DOT five DOT com", "ab.cd [dot] ef [at] 1.example [dot] com"])
+def test_spelled_addresses_are_found_whole(address):
+    text = f"write (or not) to {address}, thanks"
+    assert [text[a:b] for a, b, k in pii.all_spans(text, pii.base_spans(text), pii.trained()) if k == "email"] == [address]
+
+
+@pytest.mark.parametrize("text", ["a dot " * 30000, "a.b." * 50000, "a at b." * 30000, "a at " + "b." * 60000, "a dot b at c dot " * 15000], ids=lambda t: t[:8])
+def test_long_texts_of_spelled_parts_stay_fast(text):
+    begun = time.perf_counter()
+    pii.all_spans(text, pii.base_spans(text), pii.trained())
+    assert time.perf_counter() - begun < 20
+
+
 def test_dynamic_program_against_all_segmentations():
     field = pii.trained()
     for text, _ in pii.sentences(60, seed=5):
