@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +119,60 @@ def greedy_matches(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     return pairs.withColumns({"i": first("x", "y"), "j": first("y", "x")}).where("i = 1 and j = 1").select("record_id", "x", "y", "gap")
 
 
+def one_to_one(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+    """Greedy one-to-one pairs of a (record_id, x) and b (record_id, y): each x in order takes the nearest y within reach that is still free (the earlier of equal ones). A task holds only the peaks within reach of each other."""
+    peaks = a.select("record_id", F.col("x").cast("double").alias("at"), F.lit(0).alias("side")).unionByName(b.select("record_id", F.col("y").cast("double").alias("at"), F.lit(1).alias("side")))
+    kind = dict(a.dtypes)["record_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, waiting, free = None, deque(), []
+
+        def settled(before: float) -> list[tuple]:
+            """Pairs of the waiting x whose reach ends before ``before``."""
+            out = []
+            while waiting and waiting[0] + reach < before:
+                x = waiting.popleft()
+                while free and free[0] < x - reach:
+                    free.pop(0)
+                near = [(abs(y - x), y) for y in free if abs(y - x) <= reach]
+                if near:
+                    gap, y = min(near)
+                    free.remove(y)
+                    out.append((record, x, y, gap))
+            while free and free[0] < (waiting[0] if waiting else before) - reach:
+                free.pop(0)
+            return out
+
+        def made(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (key, *[pa.float64()] * 3), strict=True)], names=["record_id", "x", "y", "gap"])
+
+        key = None
+        for batch in batches:
+            key, out = batch.schema.field("record_id").type, []
+            for r, at, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != record:
+                    out += settled(float("inf"))
+                    free.clear()
+                    record = r
+                out += settled(at)
+                (free if side else waiting).append(at)
+            if out:
+                yield made(out, key)
+        if last := settled(float("inf")):
+            yield made(last, key)
+
+    return peaks.repartition("record_id").sortWithinPartitions("record_id", "at", "side").mapInArrow(run, f"record_id {kind}, x double, y double, gap double")
+
+
+def agreement(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+    """record_id, n_a, n_b, matched, precision, recall, f1 of peaks a (record_id, x) against b (record_id, y)."""
+    n = lambda p, name: p.groupBy("record_id").agg(F.count(F.lit(1)).alias(name))
+    x = n(a, "n_a").join(n(b, "n_b"), "record_id", "full").join(n(one_to_one(a, b, reach), "matched"), "record_id", "left").fillna(0, ["n_a", "n_b", "matched"])
+    x = x.withColumns({"precision": F.col("matched") / F.greatest("n_a", F.lit(1)), "recall": F.col("matched") / F.greatest("n_b", F.lit(1))})
+    both = F.col("precision") + F.col("recall")
+    return x.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
+
+
 def leaves(docs: DataFrame) -> DataFrame:
     """key, name, value of the members of flat JSON objects."""
     entries = F.map_entries(F.from_json("doc", "map<string,string>"))

@@ -115,6 +115,14 @@ def detector_agreement(spark, sf):
     return L.greedy_matches(at("purchase", "x"), at("signup", "y"), 500.0).groupBy("record_id").agg(F.count(F.lit(1)).alias("matched"), rounded(F.avg("gap"), 2).alias("mean_gap_ms"))
 
 
+@query()
+def detector_agreement_f1(spark, sf):
+    """Greedy one-to-one matches in peak order, with precision, recall and F1; ``detector_agreement`` keeps the mutual nearest pairs of its SQL."""
+    m = marks(spark, sf)
+    at = lambda kind, name: m.where(F.col("kind") == kind).select("record_id", (F.col("us") / F.lit(3e7)).alias(name)).distinct()
+    return L.agreement(at("purchase", "x"), at("signup", "y"), 500.0)
+
+
 @query("SELECT event_id AS key, '/' || k AS pointer, json_extract_string(props, '/' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def iter_leaves(spark, sf):
     return L.leaves(table(spark, sf, "events").select(F.col("event_id").alias("key"), F.col("props").alias("doc")))

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from pulsequilt.functions.expressions import escape_token, unescape_token
 from pulsequilt.operators import records as D
 from pulsequilt.operators import rhythm as R
+from pulsequilt.operators.leads import agreement
 
 
 def test_absence_has_one_default_and_the_rest_as_exceptions(spark):
@@ -46,3 +49,19 @@ def test_empty_tables_give_empty_results(spark):
     beats = spark.createDataFrame([], "record_id long, beat_id long, kind string, rr_prev double, rr_next double, us long, mark long")
     for f in (R.heart_rate, R.time_domain, R.interval_entropy, R.robust_profile, R.pauses, R.escape_or_interpolated, R.longest_runs):
         assert f(beats).count() == 0
+
+
+def test_peaks_match_one_to_one_in_order(spark):
+    r = random.Random(4)
+    xs = {(0, 0.0), (0, 10.0), (2, 5.0)} | {(1, float(r.randint(0, 400))) for _ in range(120)}
+    ys = {(0, 9.0), (0, 11.0), (3, 5.0)} | {(1, float(r.randint(0, 400))) for _ in range(120)}
+    want = {}
+    for k in range(4):
+        free, want[k] = sorted(y for i, y in ys if i == k), 0
+        for x in sorted(x for i, x in xs if i == k):
+            if near := [(abs(y - x), y) for y in free if abs(y - x) <= 10]:
+                free.remove(min(near)[1])
+                want[k] += 1
+    got = {row.record_id: row for row in agreement(spark.createDataFrame(sorted(xs), "record_id long, x double"), spark.createDataFrame(sorted(ys), "record_id long, y double"), 10.0).collect()}
+    assert {k: row.matched for k, row in got.items()} == want and want[0] == 2
+    assert (got[0].precision, got[0].recall, got[0].f1) == (1.0, 1.0, 1.0) and got[2].f1 == 0.0
