@@ -162,21 +162,23 @@ def delineate(x: np.ndarray, fs: float, r_at: np.ndarray) -> list[dict]:
     return rows
 
 
+def join_cluster(protos: list[np.ndarray], w: np.ndarray, threshold: float = 0.88, most: int = 5, keep: float = 0.8) -> int:
+    """The number of the prototype of greatest cosine if that is at least the threshold (or no more groups may begin), which then moves towards the window; else of a new one."""
+    n = np.linalg.norm(w)
+    u = w / n if n > 1e-12 else w
+    sims = [float(u @ p / max(np.linalg.norm(p), 1e-12)) for p in protos]
+    best = int(np.argmax(sims)) if sims else -1
+    if best >= 0 and (sims[best] >= threshold or len(protos) >= most):
+        protos[best] = keep * protos[best] + (1 - keep) * u
+        return best
+    protos.append(u.copy())
+    return len(protos) - 1
+
+
 def online_clusters(windows: np.ndarray, threshold: float = 0.88, most: int = 5, keep: float = 0.8) -> np.ndarray:
-    """Group numbers by falling size: each window joins the prototype of greatest cosine if that is at least the threshold (or no more groups may begin), which then moves towards it."""
+    """Group numbers by falling size of windows that join clusters one after the other."""
     protos: list[np.ndarray] = []
-    group = np.zeros(len(windows), int)
-    for k, w in enumerate(windows):
-        n = np.linalg.norm(w)
-        u = w / n if n > 1e-12 else w
-        sims = [float(u @ p / max(np.linalg.norm(p), 1e-12)) for p in protos]
-        best = int(np.argmax(sims)) if sims else -1
-        if best >= 0 and (sims[best] >= threshold or len(protos) >= most):
-            protos[best] = keep * protos[best] + (1 - keep) * u
-        else:
-            protos.append(u.copy())
-            best = len(protos) - 1
-        group[k] = best
+    group = np.array([join_cluster(protos, w, threshold, most, keep) for w in windows], int)
     sizes = np.bincount(group, minlength=len(protos))
     rank = np.argsort(np.lexsort((np.arange(len(protos)), -sizes)))
     return rank[group]

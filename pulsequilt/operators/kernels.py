@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsequilt.functions import dsp
@@ -83,13 +83,22 @@ def signal_quality(signals: DataFrame, mains: float = 50.0) -> DataFrame:
 
 
 def clustered(waves: DataFrame) -> DataFrame:
-    """beat_id, group: online clustering of each record's windows in beat order; waves: record_id, beat_id, samples."""
-    rows = waves.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("beat_id", "samples"))).alias("x")).select("record_id", F.lit(0.0).alias("fs"), F.col("x.beat_id").cast("array<string>").alias("leads"), F.col("x.samples").alias("samples"))
+    """beat_id, group: online clustering of each record's windows in beat order, groups by falling size; waves: record_id, beat_id, samples. Windows stream through a task, which holds a record's prototypes alone."""
 
-    def kernel(record_id, fs, beats, x):
-        return [{"record_id": record_id, "beat_id": int(b), "group": int(g)} for b, g in zip(beats, dsp.online_clusters(x), strict=True)]
-
-    return per_record(rows, kernel, "record_id long, beat_id long, group long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, protos = None, []
+        for batch in batches:
+            raw = []
+            for r, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if r != record:
+                    record, protos = r, []
+                raw.append(dsp.join_cluster(protos, np.array(w, float)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.int64())], names=["record_id", "beat_id", "raw"])
+
+    rows = waves.select(F.col("record_id").cast("long").alias("record_id"), F.col("beat_id").cast("long").alias("beat_id"), "samples")
+    raw = rows.repartition("record_id").sortWithinPartitions("record_id", "beat_id").mapInArrow(run, "record_id long, beat_id long, raw long")
+    sized = raw.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("record_id", "raw")))
+    return sized.select("record_id", "beat_id", (F.dense_rank().over(Window.partitionBy("record_id").orderBy(F.desc("n"), "raw")) - 1).cast("long").alias("group"))
 
 
 def fused_t_ends(members: DataFrame, fs: float) -> DataFrame:

@@ -97,9 +97,13 @@ def quality_full(spark, sf):
     return K.signal_quality(limbs(spark, sf)).withColumn("flags", F.array_join("flags", ","))
 
 
+#: Beats of a record of clustering: records grow in number with the table, not in size.
+RECORD_BEATS = 4096
+
+
 @query()
 def beat_clusters(spark, sf):
-    return K.clustered(waveforms(spark, sf).select((F.col("beat_id") % 20).alias("record_id"), "beat_id", "samples"))
+    return K.clustered(waveforms(spark, sf).select(F.floor(F.col("beat_id") / RECORD_BEATS).cast("long").alias("record_id"), "beat_id", "samples"))
 
 
 @query()

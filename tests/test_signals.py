@@ -69,6 +69,17 @@ def test_clusters_and_fusion():
     assert abs(f["boundary"] - 201) <= 1 and f["support"] == 4
 
 
+def test_clusters_of_records_stream_in_beat_order(spark):
+    r = np.random.default_rng(2)
+    rows = [(k % 3, k, (np.eye(6)[r.integers(0, 3)] + 0.2 * r.normal(size=6)).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "record_id long, beat_id long, samples array<double>").repartition(5)
+    got = {row.beat_id: row.group for row in K.clustered(df).collect()}
+    for k in range(3):
+        part = [x for x in rows if x[0] == k]
+        assert [got[b] for _, b, _ in part] == dsp.online_clusters(np.array([w for *_, w in part])).tolist()
+    assert "collect_list" not in K.clustered(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bad_signals_are_named(spark):
     rows = [(1, "I", 50.0, [0.0] * 500), (2, "I", 500.0, []), (3, "I", 500.0, [0.0] * 10), (4, "I", 500.0, [float("nan")] * 600), (5, "a|b", 500.0, [0.0] * 600), (6, "I", 500.0, [0.0] * 600), (7, "I", None, None)]
     df = S.checked(spark.createDataFrame(rows, "record_id long, lead string, fs double, samples array<double>"))
