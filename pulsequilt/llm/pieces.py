@@ -199,6 +199,22 @@ def merged_in_python(unit: str, vocab: Vocabulary, ids: dict[str, int]) -> list[
     return out
 
 
+def viterbi_in_python(unit: str, vocab: Vocabulary, ids: dict[str, int], unknown: float) -> list[int]:
+    """The ids of the path of greatest score with back pointers: the same as ``viterbi`` for units of any length."""
+    score, back = [0.0], [0]
+    for end in range(1, len(unit) + 1):
+        edges = [(score[a] + (vocab.scores[i] if (i := ids.get(unit[a:end])) is not None else unknown), -a) for a in range(max(0, end - vocab.longest), end) if a == end - 1 or unit[a:end] in ids]
+        best, start = max(edges)
+        score.append(best)
+        back.append(-start)
+    out, end = [], len(unit)
+    while end:
+        piece = unit[back[end] : end]
+        out.append([ids[piece]] if piece in ids else [vocab.byte_0 + x for x in piece.encode()])
+        end = back[end]
+    return [i for part in reversed(out) for i in part]
+
+
 def unit_ids(units: DataFrame, vocab: Vocabulary, *, fold: str = "merges", unknown: float = -1e6, packed: bool = False) -> DataFrame:
     """unit, ids (array of int; if packed, their little-endian bytes) of distinct units (no empty ones), and the other columns of units. Spans without a piece are single code points and become bytes; ``unknown`` is their score in the Viterbi fold."""
     spark = units.sparkSession
@@ -224,7 +240,7 @@ def unit_ids(units: DataFrame, vocab: Vocabulary, *, fold: str = "merges", unkno
             out = []
             for unit, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bits is None and len(unit) > LONGEST_UNIT:
-                    out.append(merged_in_python(unit, vocab, ids))
+                    out.append(merged_in_python(unit, vocab, ids) if fold == "merges" else viterbi_in_python(unit, vocab, ids, unknown))
                     continue
                 found, a = [], 0
                 for k in range(1, len(unit) + 1):
@@ -256,8 +272,8 @@ def read_in_place(docs: DataFrame) -> bool:
         return False
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, text, ids (little-endian int32 bytes) of documents (doc_id, text) of a BPE model file."""
+def encode(docs: DataFrame, path: str, *, fold: str = "merges") -> DataFrame:
+    """doc_id, text, ids (little-endian int32 bytes) of documents (doc_id, text) of a model file: a BPE model, or a unigram model with fold ``viterbi``."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     vocab = vocabulary(path)
@@ -305,7 +321,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     pairs = rows.select("text", "file", "block", "row").mapInArrow(collect, "file long, start long, unit string")
     held = stored(pairs.repartition("unit").groupBy("unit").agg(F.collect_set(F.struct("file", "start")).alias("slices")))
     root = shared_dir(spark) + "-units"
-    lines = unit_ids(held, vocab, packed=True).select("unit", "ids", F.explode("slices").alias("slice")).select("unit", "ids", "slice.*")
+    lines = unit_ids(held, vocab, fold=fold, packed=True).select("unit", "ids", F.explode("slices").alias("slice")).select("unit", "ids", "slice.*")
     lines.repartition("file", "start").write.partitionBy("file", "start").parquet(root)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import functools
 import struct
 
 import public_tokenizers
@@ -105,3 +106,16 @@ def test_query_over_the_whole_table(spark):
     got = op5_piece_lattice(spark, SF)
     assert got.where(~F.col("round_trip")).count() == 0
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_long_units_of_the_viterbi_fold_take_the_best_path(spark):
+    vocab = pieces.Vocabulary(("<0>", "a", "b", "ab", "ba", "aab"), (0.0, -2.0, -2.5, -3.0, -3.25, -3.5), frozenset({0}), 1000)
+    unit = "aabab" * 13 + "b"
+
+    @functools.cache
+    def best(at):
+        return max((vocab.scores[i] + best(at + len(p)) for p, i in vocab.ids.items() if unit.startswith(p, at)), default=0.0)
+
+    [row] = pieces.unit_ids(spark.createDataFrame([(unit,)], "unit string"), vocab, fold="viterbi").collect()
+    assert len(unit) > pieces.LONGEST_UNIT and "".join(vocab.pieces[i] for i in row.ids) == unit
+    assert abs(sum(vocab.scores[i] for i in row.ids) - best(0)) < 1e-9
