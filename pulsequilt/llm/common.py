@@ -2,14 +2,20 @@
 
 Tables cut lineage as Parquet in the folder that ``spark.checkpoint.dir``
 names, which the driver and all executors share. Only where that setting is
-absent (tests, notebooks) a temporary folder takes its place.
+absent and Spark runs in one process (tests, notebooks) a temporary folder
+takes its place; on a cluster its absence is an error.
+
+Tables that a result is read from must outlive the call that returns it. Those
+made within ``sweeping`` are deleted at its end, all others when Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,23 +30,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process made, without those deleted since.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the shared one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pulsequilt-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def made(path: str) -> str:
+    """path, from now on among the folders to delete."""
+    _made.append(path)
+    return path
+
+
+def _delete(paths: list[str]) -> None:
+    from pyarrow import fs
+
+    for path in paths:
+        store, local = fs.FileSystem.from_uri(path)
+        if store.get_file_info(local).type == fs.FileType.Directory:
+            store.delete_dir(local)
+
+
+@contextmanager
+def sweeping() -> Iterator[Callable[[str], None]]:
+    """Deletes the folders made within, however it ends, but for those given to the function it yields."""
+    before, kept = len(_made), set()
+    try:
+        yield kept.add
+    finally:
+        gone = [x for x in _made[before:] if x not in kept]
+        _made[before:] = [x for x in _made[before:] if x in kept]
+        _delete(gone)
+
+
+@atexit.register
+def _sweep() -> None:
+    _delete(_made)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df as a table in the shared folder: written once, read as often as needed, and there when an executor is lost."""
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = made(shared_dir(spark))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what is run within; then they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, so that very long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored
+from .common import made, shared_dir, small_batches, stored
 
 BLOCK_LINES = 256
 #: The directory that goes to all tasks has at most so many entries; beyond, each stands for several blocks.
@@ -113,7 +113,7 @@ def write_archive(pages: DataFrame) -> DataFrame:
     """Writes the archive of pages (page_id, url, html); returns its capture lines (key, page_id, file, offset, length) as a stored table."""
     spark = pages.sparkSession
     small_batches(spark)
-    root = shared_dir(spark) + "-warc"
+    root = made(shared_dir(spark) + "-warc")
     rows = _rows(pages).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     ids = rows.select("page_id", "sha1")
     first = ids.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
