@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import made, shared_dir, small_batches, stored
+from .common import among, dealt_join, hot_values, made, shared_dir, small_batches, stored
 
 BLOCK_LINES = 256
 #: The directory that goes to all tasks has at most so many entries; beyond, each stands for several blocks.
 DIRECTORY = 200_000
 #: A file is closed and a new one begun at this size.
 FILE_BYTES = 1 << 30
-#: Records this near in a file are read by one task.
+#: Records this near in a file are read by one task, and a task reads as much on average.
 STRETCH = 4 << 20
 LEAST = -(1 << 63)
 
@@ -115,9 +115,10 @@ def write_archive(pages: DataFrame) -> DataFrame:
     small_batches(spark)
     root = made(shared_dir(spark) + "-warc")
     rows = _rows(pages).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    ids = rows.select("page_id", "sha1")
-    first = ids.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = ids.join(first, "sha1").where("page_id <> first").distinct()
+    ids = stored(rows.select("page_id", "sha1"))
+    first = stored(ids.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    hot = among("sha1", hot_values(first, "sha1"))
+    again = dealt_join(ids, first.where("n > 1").drop("n"), ["sha1"], hot, F.xxhash64("page_id")).where("page_id <> first").distinct()
     rows = rows.join(again, ["page_id", "sha1"], "left").select("page_id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +177,8 @@ def build_index(captures: DataFrame) -> DataFrame:
     return stored(lines.mapInArrow(run, "part long, no long, first_key string, first_id long, n long, data binary"))
 
 
-def _bisect_block(firsts: list[tuple[str, int]], key: tuple[str, int]) -> int:
-    return bisect_right(firsts, key) - 1
-
-
 def locate(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """page_id, file, offset, length of the captures of wanted (page_id, url). Each wanted pair comes once, with all records of it."""
+    """page_id, file, offset, length of all captures of the distinct pairs of wanted (page_id, url)."""
     spark = index.sparkSession
     small_batches(spark)
     n = index.count()
@@ -189,47 +186,39 @@ def locate(index: DataFrame, wanted: DataFrame) -> DataFrame:
     directory = index.select("first_key", "first_id", "part", "no")
     if stride > 1:
         directory = directory.where(F.col("no") % stride == 0)
-    firsts = sorted((r[0], r[1]) for r in directory.collect())  # bounded by DIRECTORY and the number of parts
+    firsts = sorted(tuple(r) for r in directory.collect())  # bounded by DIRECTORY and the number of parts
+
+    def span(entries: list[tuple], key: tuple) -> range:
+        """The entries whose blocks may hold the key: equal lines can begin in the block before the first that starts with them, and go through several."""
+        last = bisect_right(entries, (*key, 1 << 62)) - 1
+        return range(max(0, bisect_left(entries, key) - 1), last + 1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page_id, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = url_key(url), LEAST if page_id is None else page_id
-                at = _bisect_block(firsts, key)
-                if at >= 0:
-                    # equal lines can begin at the end of the slot before the first entry that equals the key
-                    rows += [(slot, *key) for slot in {at, max(0, bisect_left(firsts, key) - 1)}]
+            keys = [(url_key(url), LEAST if page_id is None else page_id) for page_id, url in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [(slot, *key) for key in keys for slot in span(firsts, key)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["slot", "key", "id"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [_bisect_block(firsts, x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            slots = [bisect_right(firsts, x) - 1 for x in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), *batch.columns], names=["slot", *batch.schema.names])
 
     def read(wanted_rows: pa.Table, blocks: pa.Table) -> pa.Table:
-        starts = sorted(zip(blocks.column("first_key").to_pylist(), blocks.column("first_id").to_pylist(), blocks.column("data").to_pylist(), strict=True), key=lambda x: x[:2])
-        tops, open_at, keys, lines, out = [x[:2] for x in starts], None, [], [], []
+        held = sorted(zip(*(blocks.column(c).to_pylist() for c in ("first_key", "first_id", "part", "no", "data")), strict=True), key=lambda x: x[:4])
+        tops, open_at, keys, lines, out = [x[:4] for x in held], None, [], [], []
         for key in sorted(set(zip(wanted_rows.column("key").to_pylist(), wanted_rows.column("id").to_pylist(), strict=True))):
-            at = _bisect_block(tops, key)
-            while at >= 0:
+            for at in span(tops, key):
                 if at != open_at:
-                    lines = [x.split("\t") for x in zlib.decompress(starts[at][2]).decode().split("\n")]
+                    lines = [x.split("\t") for x in zlib.decompress(held[at][4]).decode().split("\n")]
                     keys = [(x[0], int(x[1]) if x[1] else LEAST) for x in lines]
                     open_at = at
-                end = bisect_right(keys, key)
-                begin = end
-                while begin and keys[begin - 1] == key:
-                    begin -= 1
-                    out.append((None if key[1] == LEAST else key[1], lines[begin][2], int(lines[begin][3]), int(lines[begin][4])))
-                if begin or end == begin:
-                    break
-                at -= 1  # equal lines can begin in the block before
+                out += [(None if key[1] == LEAST else key[1], x[2], int(x[3]), int(x[4])) for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["page_id", "file", "offset", "length"])
 
-    asked = wanted.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url")).mapInArrow(find, "slot long, key string, id long")
-    blocks = index.select("first_key", "first_id", "data").mapInArrow(place, "slot long, first_key string, first_id long, data binary")
+    asked = wanted.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url")).distinct().mapInArrow(find, "slot long, key string, id long")
+    blocks = index.select("first_key", "first_id", "part", "no", "data").mapInArrow(place, "slot long, first_key string, first_id long, part long, no long, data binary")
     return asked.groupBy("slot").cogroup(blocks.groupBy("slot")).applyInArrow(read, "page_id long, file string, offset long, length long")
 
 
@@ -259,8 +248,11 @@ def read_records(located: DataFrame) -> DataFrame:
         if file is not None:
             file.close()
 
+    located = stored(located)
+    # as many tasks as the bytes they read ask for, not their pointers
+    tasks = 1 + (located.agg(F.sum("length")).first()[0] or 0) // STRETCH
     near = located.withColumn("stretch", F.floor(F.col("offset") / STRETCH))
-    dealt = near.repartition("file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
+    dealt = near.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
     return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
