@@ -1,7 +1,8 @@
 """Language identification by Bayesian fusion of evidence.
 
 Text likelihoods come from hashed byte trigrams, fitted on a bounded sample of
-labelled documents (``SAMPLE`` rows, those of the least hashed ids). Grouped
+labelled documents (``SAMPLE`` rows, those of the least hashes; of equal rows
+one counts), whole texts and all labels in it. Grouped
 aggregation over all rows then gives, from the text posteriors, how languages
 go with declared markup languages and with address suffixes, and the soft
 counts of each host and domain. A row's posterior combines its own text with
@@ -9,7 +10,9 @@ its host's prior (smoothed by its domain's, and that by the corpus's; the row
 itself left out), its declared language and its suffix.
 
 Declared languages and suffixes fall into closed sets, so their tables are
-bounded and are broadcast; hosts, which grow with the corpus, are joined.
+bounded and are broadcast; hosts, which grow with the corpus, are joined, and
+rows of hosts that hold much of the corpus, as hosts of such domains, are dealt
+to many tasks.
 
 Null texts are empty. Rows without letters, or less like every language than
 chance, are ``und`` (undetermined); so is everything if there are no labels.
@@ -26,21 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import HOT, among, dealt_join, hot_values, small_batches, stored
 
-#: Labelled documents that the text model is fitted on, at most (but for ties).
+#: Labelled documents that the text model is fitted on, at most.
 SAMPLE = 4000
-#: A document's trigrams count as so many at most, so that no long one makes up the model.
-DOCUMENT_WEIGHT = 2000
-#: Languages told apart at most: the most frequent of the sample.
-LANGUAGES = 64
 BUCKETS = 1 << 14
+DAMPED_UNIT = 1024
 #: Neighbouring trigrams share letters, so each counts as a third of one.
 TEMPER = 1 / 3
 #: Rows of pseudo-evidence at each level of the host hierarchy, and for declarations and suffixes.
 PRIOR_ROWS = 5.0
-#: A host with more than one in HOT of the rows is dealt to HOT tasks.
-HOT = 128
 #: Under so many trigrams a text is too short to be less likely than chance.
 SHORT = 20
 SUFFIXES = ("com", "org", "net", "edu", "gov", "info", "io")
@@ -58,6 +56,11 @@ def trigram_counts(text: str) -> np.ndarray:
     return np.bincount((h ^ h >> np.uint32(15)) * np.uint32(2654435761) >> np.uint32(18), minlength=BUCKETS)
 
 
+def damped(counts: np.ndarray) -> np.ndarray:
+    """log(1 + count) in whole parts of 1 / DAMPED_UNIT, the usual damping of a multinomial model: what one document repeats says little more of its language. Whole numbers add up alike in any order."""
+    return np.rint(np.log1p(counts) * DAMPED_UNIT).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class TextModel:
     languages: tuple[str, ...]
@@ -73,9 +76,9 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, label: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """Fits on the ``sample`` labelled rows of least hashed ids; per language the trigram counts, added up in Spark, come to the driver (BUCKETS by languages numbers)."""
-    rows = labelled.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lower(F.col(label)).alias("label"), F.xxhash64("doc_id").alias("h")).where("label is not null")
-    least = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    """Fits on the ``sample`` labelled rows of least hashes (of equal rows one counts); per language the damped trigram counts, added up in Spark, come to the driver (BUCKETS by languages numbers)."""
+    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.lower(F.col(label)).alias("label"), F.xxhash64("doc_id", "text", F.lower(F.col(label))).alias("h")).where("label is not null")
+    least = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if least is None:
         return TextModel((), np.zeros((BUCKETS, 0)))
 
@@ -83,20 +86,20 @@ def fit_text_model(labelled: DataFrame, label: str = "lang", sample: int = SAMPL
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = trigram_counts(text)
-                c = c * (DOCUMENT_WEIGHT / max(DOCUMENT_WEIGHT, int(c.sum())))
+                c = damped(trigram_counts(text))
                 sums[label] = sums[label] + c if label in sums else c
         for label, c in sums.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * at.size, pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.float64())], names=["label", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([label] * at.size, pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["label", "bucket", "n"])
 
     small_batches(labelled.sparkSession)
-    chosen = rows.where(F.col("h") <= least)
-    names = sorted(r[0] for r in chosen.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect())
+    chosen = stored(rows.where(F.col("h") <= least).dropDuplicates(["h"]))
+    names = sorted(r[0] for r in chosen.select("label").distinct().collect())  # at most sample
+    place = {x: k for k, x in enumerate(names)}
     counts = np.zeros((BUCKETS, len(names)))
-    for label, bucket, n in chosen.where(F.col("label").isin(names)).select("text", "label").mapInArrow(run, "label string, bucket int, n double").groupBy("label", "bucket").agg(F.sum("n")).collect():
-        counts[bucket, names.index(label)] = n
-    p = counts + 0.1
+    for label, bucket, n in chosen.select("text", "label").mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n")).collect():
+        counts[bucket, place[label]] = n
+    p = counts / DAMPED_UNIT + 0.1
     return TextModel(tuple(names), np.log(p / p.sum(axis=0)))
 
 
@@ -140,14 +143,13 @@ def fused(rows: DataFrame, model: TextModel) -> DataFrame:
         return F.broadcast(spark.createDataFrame(made, f"{by} string, log_{by} array<double>"))
 
     hosts = voters.groupBy("domain", "host").agg(_sums(n).alias("host_soft"), F.count(F.lit(1)).alias("n_rows"))
-    domains = hosts.groupBy("domain").agg(_sums(n, "host_soft").alias("domain_soft"))
-    hosts = stored(hosts.join(domains, "domain"))
-    # hosts of many rows (at most HOT of them) meet their prior in many tasks
-    hot = [r[0] for r in hosts.where(F.col("n_rows") * HOT > float(total.sum())).select("host").distinct().collect()]
-    is_hot = F.col("host").isin(hot) if hot else F.lit(False)
-    spread = seen.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("key", "log_text"), F.lit(HOT))).otherwise(0))
-    hosts = hosts.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT - 1))).otherwise(F.array(F.lit(0))))).withColumn("salt", F.col("salt").cast("long")).drop("n_rows")
-    x = spread.join(hosts, ["domain", "host", "salt"], "left").join(ratios("suffix"), "suffix", "left").join(ratios("declared"), "declared", "left")
+    hosts = stored(hosts)
+    domains = stored(hosts.groupBy("domain").agg(_sums(n, "host_soft").alias("domain_soft"), F.count(F.lit(1)).alias("n_hosts")))
+    of_many = among("domain", hot_values(domains, "domain", "n_hosts"))
+    hosts = stored(dealt_join(hosts, domains.drop("n_hosts"), ["domain"], of_many, F.xxhash64("host")))
+    hot = [r[0] for r in hosts.where(F.col("n_rows") * HOT > float(total.sum())).select("host").distinct().collect()]  # fewer than HOT
+    x = dealt_join(seen, hosts.drop("n_rows"), ["domain", "host"], among("host", hot), F.xxhash64("key", F.spark_partition_id()), "left")
+    x = x.join(ratios("suffix"), "suffix", "left").join(ratios("declared"), "declared", "left")
     own = lambda i: F.when(F.col("n_grams") > 0, F.col("text_post")[i]).otherwise(0.0)
     left = lambda c, i: F.greatest(F.coalesce(F.col(c)[i], F.lit(0.0)) - own(i), F.lit(0.0))
     all_left = lambda c: sum((left(c, i) for i in range(1, n)), left(c, 0))
@@ -214,8 +216,8 @@ def identify_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs (documents) whose language can be told: neither ``und`` nor of a confidence under ``least``. All columns stay as they are."""
+    """The rows of docs (documents) whose language can be told: neither ``und`` nor of a confidence under ``least``. All columns, whatever their names, stay as they are. Null texts count as empty; equal rows stay or go together."""
     h = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     rows = docs.select(h.alias("key"), "text", F.col("source").alias("host"), F.col("source").alias("domain"), F.lit("").alias("suffix"), F.lower(F.substring("lang", 1, 3)).alias("declared"))
-    refused = fused(rows, fit_text_model(docs)).where((F.col("lang") == "und") | (F.col("confidence") < least)).select(F.col("key").alias("_h")).distinct()
-    return docs.withColumn("_h2", h).join(refused, F.col("_h2") == F.col("_h"), "left_anti").drop("_h2")
+    refused = fused(rows, fit_text_model(docs)).where((F.col("lang") == "und") | (F.col("confidence") < least)).select("key").distinct()
+    return docs.select(F.struct("*").alias("row"), h.alias("key")).join(refused, "key", "left_anti").select("row.*")

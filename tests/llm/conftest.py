@@ -8,8 +8,8 @@ AWKWARD = [(1, None), (2, ""), (3, "   \n\t "), (4, "same words here again and a
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Documents with extra columns whose names clash with what operators use inside."""
-    rows = [(i, t, "en", "src0", len(t or ""), 1, "x", 2) for i, t in AWKWARD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key int, fp string, part int")
+    rows = [(i, t, "en", "src0", len(t or ""), 1, "x", 2, "h2", 3, 4, 5, "row") for i, t in AWKWARD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key int, fp string, part int, _h2 string, _id int, _h int, root int, row string")
 
 
 @pytest.fixture(scope="session")

@@ -24,7 +24,7 @@ def test_pages_against_their_markup_and_a_plain_fusion(spark):
         return sum((post[k] for k, v in seen.items() if v[3][field] == value), np.zeros(n))
 
     K = langid.PRIOR_ROWS
-    for k, (_, _, log, r) in list(seen.items())[:60]:
+    for k, (_, _, log, r) in seen.items():
         domain, host = soft("domain", r.domain) - post[k], sum((post[j] for j, v in seen.items() if v[3].host == r.host and v[3].domain == r.domain), np.zeros(n)) - post[k]
         d = (domain + K * overall) / (domain.sum() + K)
         h = (host + K * d) / (host.sum() + K)
@@ -58,6 +58,34 @@ def test_documents_keep_what_can_be_told(spark, awkward, no_documents):
     assert langid.keep_identified(no_documents).count() == 0
     ids = sorted(x.doc_id or 0 for x in langid.keep_identified(awkward).collect())
     assert 1 not in ids and 2 not in ids and 4 in ids and ids.count(5) == 2
+    kept = langid.keep_identified(awkward)
+    assert kept.columns == awkward.columns and {tuple(r[5:]) for r in kept.collect()} == {tuple(r[5:]) for r in awkward.collect()}
+
+
+def test_an_empty_table_of_pages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert langid.identify_pages(spark.read.parquet(f"{SF}/pages.parquet").where("false"), docs).count() == 0
+
+
+def test_seventy_languages_are_all_told(spark):
+    r = random.Random(3)
+    letters = [r.sample("abcdefghijklmnopqrstuvwxyzäöüéèñçøåß", 12) for _ in range(70)]
+    text = lambda k: " ".join("".join(r.choices(letters[k], k=r.randint(3, 9))) for _ in range(80))
+    docs = spark.createDataFrame([(100 * k + j, text(k), f"l{k:02d}", f"src{k % 7}") for k in range(70) for j in range(3)], "doc_id long, text string, lang string, source string")
+    assert len(langid.fit_text_model(docs).languages) == 70
+    got = {x.doc_id: x.lang for x in langid.identify_documents(docs, docs).collect()}
+    assert sum(got[100 * k + j] == f"l{k:02d}" for k in range(70) for j in range(3)) >= 205
+
+
+def test_the_sample_is_bounded_with_null_and_repeated_ids(spark):
+    rows = [(None, f"de la {k}", "fr") for k in range(10_000)] + [(1, "of the", "en")] * 9000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_text_model(docs, sample=50)
+    one = langid.damped(langid.trigram_counts("de la 1234")).sum() / langid.DAMPED_UNIT
+    counts = np.exp(model.log_p)
+    fr = counts[:, model.languages.index("fr")]
+    # the share of a trigram without a count tells how many were counted
+    assert 40 * one <= 0.1 / fr.min() - 0.1 * langid.BUCKETS <= 51 * one
 
 
 def test_markup_is_left_out():
