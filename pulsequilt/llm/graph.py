@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import among, dealt_join, hot_values, stored
 
 
 def _mark(df: DataFrame) -> tuple:
@@ -17,18 +17,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points neighbours at the least node they see: larger neighbours
     first, then smaller ones. Stars stay stars, so it ends when a round changes
-    nothing; a component of diameter d needs about log d rounds.
+    nothing; a component of diameter d needs about log d rounds. Rows of hubs are
+    dealt to many tasks.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        large = large.unionByName(e.select("a", "b").join(least.select(F.col("a"), F.col("m")), "a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        hub = among("a", hot_values(least, "a", of=2 * mark[0]))
+        seen = dealt_join(both, least.drop("n"), ["a"], hub, F.xxhash64("b"))
+        # larger neighbours, and the node itself, point to the least node of the neighbourhood
+        down = seen.select(F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        down = stored(down)
+        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        hub = among("a", hot_values(low, "a"))
+        small = dealt_join(down, low.drop("n"), ["a"], hub, F.xxhash64("b"))
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b")
         e = stored(small.distinct())
         before, mark = mark, _mark(e)
         if mark == before:

@@ -8,9 +8,13 @@ home of one is among the near codewords (distance four or less) of the other.
 
 Of at most four errors, either two segments have at most one each, and then
 the pair of their codeword indices (24 bits) meets between home and near keys;
-or the errors are two, two and none, and then the third segment is equal. So
-three home keys, up to 108 near keys and three exact keys of a fingerprint
-find all links, which an exact Hamming test confirms.
+or the errors are two, two and none, and then one segment is equal and another
+two bits apart: the equal segment with the other's home codeword (33 bits or
+more) meets among its codewords of distance five or less, some 22. So six home
+keys and some 170 others of a fingerprint find all links, which an exact
+Hamming test confirms. Of n fingerprints without likeness, some n^2 / 200,000
+pairs meet by chance in a key of two codewords: linear work up to some hundred
+million documents, beyond which longer fingerprints would be needed.
 
 Copies meet as one fingerprint before any key is made. Pivots of the home keys
 link most of a large group by stars; the keys' join then looks only at pairs
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, stored, texts
+from .common import among, by_batch, dealt_join, hot_values, stored, texts
 from .graph import components
 
 #: Offset and width of the segments.
@@ -65,9 +69,13 @@ def fingerprint(text: str, words: int = 4) -> int:
 # ---------------------------------------------------------------- Golay code
 
 
+#: Codewords at distance four or less, and at distance five or less, of a word, at most.
+NEAR, WIDE = 6, 22
+
+
 @lru_cache
-def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Remainders of each byte at each of three places; for each of 2048 remainders the error to its home codeword; and the errors to all codewords at distance four or less (-1: none)."""
+def golay() -> tuple[np.ndarray, np.ndarray]:
+    """Remainders of each byte at each of three places; and for each of 2048 remainders the errors to all codewords at distance five or less (-1: none), nearest first."""
 
     def remainder(x: int) -> int:
         for bit in range(22, 10, -1):
@@ -76,51 +84,62 @@ def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return x
 
     of_byte = np.array([[remainder(b << 8 * k) if b << 8 * k < 1 << 23 else 0 for b in range(256)] for k in range(3)])
-    near = np.full((2048, 6), -1, np.int64)
+    of_bit = [remainder(1 << k) for k in range(23)]
+    near = np.full((2048, WIDE), -1, np.int64)
     used = np.zeros(2048, int)
-    for weight in range(5):
+    for weight in range(6):
         for places in combinations(range(23), weight):
-            e = sum(1 << p for p in places)
-            s = remainder(e)
+            e = s = 0
+            for p in places:
+                e, s = e | 1 << p, s ^ of_bit[p]
             near[s, used[s]] = e
             used[s] += 1
-    return of_byte, near[:, 0].copy(), near
+    return of_byte, near
 
 
-def codewords(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Home indices (n) and near indices (n, 6; -1: none), 12 bits each, of 23-bit words."""
-    of_byte, home, near = golay()
+def codewords(x: np.ndarray, most: int = NEAR) -> np.ndarray:
+    """Indices (12 bits each) of codewords near 23-bit words: the home in the first column, then those of greater distance (-1: none); NEAR columns hold all up to distance four, WIDE all up to five."""
+    of_byte, near = golay()
     s = of_byte[0][x & 255] ^ of_byte[1][x >> 8 & 255] ^ of_byte[2][x >> 16 & 255]
-    e = near[s]
-    return (x ^ home[s]) >> 11, np.where(e < 0, -1, (x[:, None] ^ e) >> 11)
+    e = near[s, :most]
+    if most == NEAR:
+        e = np.where(np.bitwise_count(e.astype(np.uint64)) > 4, -1, e)
+    return np.where(e < 0, -1, (x[:, None] ^ e) >> 11)
 
 
 def segments(fp: np.ndarray) -> list[np.ndarray]:
     return [(fp.view(np.uint64) >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
 
 
+#: The kind of a key (0 to 2: two codewords; 3 to 5: an equal segment and a codeword of the next) is in its bits from here on.
+KIND = 40
+
+
 def home_keys(fp: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the row each is of: one for each pair of segments, and with ``exact`` one for each segment."""
+    """Keys and the row each is of: one for each pair of segments, and with ``exact`` one for each equal segment."""
     parts = segments(fp)
-    codes = [codewords(x)[0] for x in parts]
-    keys = [k << 24 | codes[a] << 12 | codes[b] for k, (a, b) in enumerate(PAIRS)]
+    codes = [codewords(x, 1)[:, 0] for x in parts]
+    keys = [k << KIND | codes[a] << 12 | codes[b] for k, (a, b) in enumerate(PAIRS)]
     if exact:
-        keys += [(3 + k) << 24 | x for k, x in enumerate(parts)]
+        keys += [(3 + k) << KIND | x << 12 | codes[(k + 1) % 3] for k, x in enumerate(parts)]
     return np.concatenate(keys), np.tile(np.arange(fp.size), len(keys))
 
 
 def near_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that a linked fingerprint has among its home keys (with exact), and the row each is of."""
     parts = segments(fp)
-    codes = [codewords(x)[1] for x in parts]
+    codes = [codewords(x) for x in parts]
     keys, rows = [], []
     for k, (a, b) in enumerate(PAIRS):
-        both = k << 24 | codes[a][:, :, None] << 12 | codes[b][:, None, :]
+        both = k << KIND | codes[a][:, :, None] << 12 | codes[b][:, None, :]
         at = np.nonzero((codes[a][:, :, None] >= 0) & (codes[b][:, None, :] >= 0))
         keys.append(both[at])
         rows.append(at[0])
     for k, x in enumerate(parts):
-        keys.append((3 + k) << 24 | x)
-        rows.append(np.arange(fp.size))
+        wide = codewords(parts[(k + 1) % 3], WIDE)
+        at = np.nonzero(wide >= 0)
+        keys.append(((3 + k) << KIND | x[:, None] << 12 | wide)[at])
+        rows.append(at[0])
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -184,9 +203,10 @@ def link_components(nodes: DataFrame) -> DataFrame:
     other = held.select("key", F.col("fp").alias("other"), F.col("root").alias("other_root"))
     apart = (F.col("root") != F.col("other_root")) & (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_ERRORS)
     seek, other = seek.alias("s"), other.alias("o")
-    links = seek.join(other, (F.col("s.key") == F.col("o.key")) & apart & (_first_way() == F.shiftright(F.col("s.key"), 24))).select(F.col("root").alias("a"), F.col("other_root").alias("b"))
-    second = components(links)
-    return own.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    links = seek.join(other, (F.col("s.key") == F.col("o.key")) & apart & (_first_way() == F.shiftright(F.col("s.key"), KIND))).select(F.col("root").alias("a"), F.col("other_root").alias("b"))
+    second = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    hot = hot_values(own.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
+    return dealt_join(own, second, ["root"], among("root", hot), F.xxhash64("fp"), "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -197,16 +217,16 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     doc_ids are kept; they count for a component only where it has no other.
     """
     rows = fingerprints(docs, words)
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = stored(link_components(nodes))
-    least = roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = roots.join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = stored(link_components(nodes).join(nodes, "fp"))
+    tops = stored(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    of_fp = dealt_join(roots.select("fp", "root"), tops.drop("n"), ["root"], among("root", hot_values(tops, "root")), F.xxhash64("fp")).select("fp", "component_id")
+    found = dealt_join(rows, of_fp, ["fp"], among("fp", hot_values(nodes, "fp")), F.xxhash64("doc_id", F.spark_partition_id()))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 4) -> DataFrame:
     """The rows of docs (doc_id, text and any others) with one document of each component: that of the least doc_id, or if it is repeated there, of the least hashed text. Null doc_ids stay only where a component has no other; of equal rows one stays."""
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
     shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def make():
@@ -219,7 +239,9 @@ def one_of_each(docs: DataFrame, words: int = 4) -> DataFrame:
     rows = stored(by_batch(shown.withColumn("h", F.xxhash64("text")), make, "doc_id long, h long, fp long"))
     nodes = stored(rows.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "h")).alias("least")))
     roots = link_components(nodes)
-    kept = roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h"))
-    names = docs.columns
-    joined = docs.withColumn("_h2", h).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")))
-    return joined.dropDuplicates(["_id", "_h"]).select(*names)
+    kept = roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("x")).select(F.coalesce("x.doc_id", F.lit(0)).alias("id"), "x.unnamed", "x.h")
+    hot = among("h", hot_values(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"))
+    # columns of the table stand inside a struct, where no name of ours can meet them
+    doc = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.isnull("doc_id").alias("unnamed"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    on = ["id", "unnamed", "h"]
+    return dealt_join(doc, kept, on, hot, F.spark_partition_id()).dropDuplicates(on).select("row.*")

@@ -62,6 +62,8 @@ def test_awkward_rows(awkward, no_documents):
     kept = sorted(r.doc_id or 0 for r in simhash.one_of_each(awkward).collect())
     assert kept == [0, 1, 4, 7, 8, 9, 10, 11]
     assert simhash.one_of_each(no_documents).count() == 0
+    assert simhash.one_of_each(awkward).columns == awkward.columns
+    assert {tuple(r[5:]) for r in simhash.one_of_each(awkward).collect()} == {tuple(r[5:]) for r in awkward.collect()}
 
 
 def test_every_pair_within_four_bits_shares_a_key():
@@ -81,12 +83,13 @@ def test_every_pair_within_four_bits_shares_a_key():
 
 
 def test_golay_code_is_perfect():
-    _, home, near = simhash.golay()
-    assert (home >= 0).all() and max(int(x).bit_count() for x in home) == 3
-    assert sorted(((near >= 0).sum(axis=1)).tolist()) == [1] * 277 + [6] * 1771
+    _, near = simhash.golay()
+    assert (near[:, 0] >= 0).all() and max(int(x).bit_count() for x in near[:, 0]) == 3
+    close = (near >= 0) & (np.bitwise_count(near.astype(np.uint64)) <= 4)
+    assert sorted(close.sum(axis=1).tolist()) == [1] * 277 + [6] * 1771
+    assert (close == (simhash.codewords(near[:, 0], simhash.WIDE) >= 0)[:, :1] & close).all() and (near >= 0).sum() == 44552  # all words within five errors
     word = np.array([0b1010101], np.int64)
-    index, _ = simhash.codewords(word)
-    assert index[0] < 4096
+    assert 0 <= simhash.codewords(word)[0, 0] < 4096
 
 
 def test_dense_clouds_and_chains(spark):
