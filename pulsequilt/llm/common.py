@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +85,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make() as a stored table; what make stored on its way is deleted once that is written."""
+    with sweeping() as keep:
+        df = stored(make())
+        keep(_made[-1])
+    return df
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings for what is run within; then they are as before."""
@@ -101,6 +109,28 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+#: A value that more than one in HOT rows hold is hot: its rows are dealt to HOT tasks.
+HOT = 128
+
+
+def hot_values(counts: DataFrame, value: str, n: str = "n", of: int | None = None) -> list:
+    """The values of more than one in HOT of all rows (fewer than HOT of them), from a table with a row for each value and its number of rows n; ``of`` is the number of all rows, where it is known."""
+    total = counts.agg(F.sum(n)).first()[0] or 0 if of is None else of
+    return [r[0] for r in counts.where(F.col(n) * HOT > total).select(value).collect()]
+
+
+def dealt_join(many: DataFrame, few: DataFrame, on: list[str], hot: Column, salt: Column, how: str = "inner") -> DataFrame:
+    """many joined with few, which has one row for each ``on``: where ``hot`` (a condition on columns of ``on``) holds, many's rows go to HOT tasks by ``salt``, and few's row to each of them."""
+    name = "dealt_" + uuid.uuid4().hex[:8]
+    many = many.withColumn(name, F.when(hot, F.pmod(salt.cast("long"), F.lit(HOT))).otherwise(F.lit(0).cast("long")))
+    few = few.withColumn(name, F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(HOT - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return many.join(few, [*on, name], how).drop(name)
+
+
+def among(column: str, values: list) -> Column:
+    return F.col(column).isin(values) if values else F.lit(False)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, so that very long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
