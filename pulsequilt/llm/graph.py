@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, dealt_join, hot_values, stored
+from .common import dealt_join, stored
+
+#: Each node's edges are dealt to so many tasks, since any may be a hub.
+TASKS = 16
 
 
 def _mark(df: DataFrame) -> tuple:
@@ -24,15 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        hub = among("a", hot_values(least, "a", of=2 * mark[0]))
-        seen = dealt_join(both, least.drop("n"), ["a"], hub, F.xxhash64("b"))
+        seen = dealt_join(both, both.groupBy("a").agg(F.min("b").alias("m")), ["a"], F.lit(True), F.xxhash64("b"), tasks=TASKS)
         # larger neighbours, and the node itself, point to the least node of the neighbourhood
         down = seen.select(F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
-        down = stored(down)
-        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        hub = among("a", hot_values(low, "a"))
-        small = dealt_join(down, low.drop("n"), ["a"], hub, F.xxhash64("b"))
+        small = dealt_join(down, down.groupBy("a").agg(F.min("b").alias("m")), ["a"], F.lit(True), F.xxhash64("b"), tasks=TASKS)
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b")
         e = stored(small.distinct())
         before, mark = mark, _mark(e)

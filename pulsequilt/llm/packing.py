@@ -95,18 +95,24 @@ def _word_tokenizer(path: str):
     return tokenizer, Memo({m: mark(m) for m in ".,"}), ends
 
 
+#: Words given to the tokenizer at once, whose own records of a text take a hundred times its length.
+TOGETHER = 4000
+
+
 def _remember(need: list[str], tokenizer, memo: Memo, ends: np.ndarray) -> None:
-    """Encodes words, all of letters in one go: each of these has one token with a word end, which tells them apart again."""
-    letters = [w for w in need if w.isalpha()]
-    if letters:
+    """Encodes words, those of letters some thousand in one go: each of these has one token with a word end, which tells them apart again."""
+    all_letters = [w for w in need if w.isalpha()]
+    for at in range(0, len(all_letters), TOGETHER):
+        letters = all_letters[at : at + TOGETHER]
         ids = np.array(tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
         cuts = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
         if len(cuts) == len(letters):
             data = ids.tobytes()
             memo.update(zip(letters, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
     rest = [w for w in need if w not in memo]
-    for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-        memo[w] = np.array(e.ids, "<u4").tobytes()
+    for at in range(0, len(rest), TOGETHER):
+        for w, e in zip(rest[at : at + TOGETHER], tokenizer.encode_batch_fast(rest[at : at + TOGETHER], add_special_tokens=False), strict=True):
+            memo[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def word_ids(texts_: list[str], path: str, remembered: int = MEMO) -> list[bytes]:
