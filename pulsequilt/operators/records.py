@@ -80,7 +80,7 @@ def parse_address(x: Column) -> Column:
 
 def tokens(pointer: Column) -> Column:
     """The unescaped tokens of a pointer; an empty array for the whole document."""
-    return F.when(pointer == "", F.array().cast("array<string>")).otherwise(F.transform(F.slice(F.split(pointer, "/"), 2, 10_000), unescape_token))
+    return F.when(pointer == "", F.array().cast("array<string>")).otherwise(F.transform(F.slice(F.split(pointer, "/"), F.lit(2), F.size(F.split(pointer, "/")) - 1), unescape_token))
 
 
 def answer(cells: DataFrame, queries: DataFrame) -> DataFrame:

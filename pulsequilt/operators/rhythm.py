@@ -112,11 +112,21 @@ def pacing_context(beats: DataFrame, spikes: DataFrame) -> DataFrame:
     return x.select("record_id", ((F.col("spike_count") > 0) | (F.col("n_paced") > 0)).alias("enabled"), "spike_count", (F.col("n_paced") / F.col("n")).alias("paced_fraction"), every.alias("continuous_pacing"), ((F.col("n_paced") > 0) & ~every).alias("intermittent_pacing"), F.col("wide").alias("ventricular_pacing_present"), (every & F.col("wide")).alias("suppress_rhythm"))
 
 
+#: Microseconds of a millisecond of record time.
+PER_MS = 30_000_000
+
+
+def _bucket(us: Column, width: int) -> Column:
+    return F.floor(us / F.lit(width))
+
+
 def within(left: DataFrame, right: DataFrame, low: float, high: float, how: str) -> DataFrame:
-    """Rows of left (record_id, us) with (left_semi) or without (left_anti) a row of right (record_id, at) low to high ms after them."""
-    r = right.select(F.col("record_id").alias("_record"), "at")
+    """Rows of left (record_id, us) with (left_semi) or without (left_anti) a row of right (record_id, at) low to high ms after them. Joined by record and stretch of time, so a long record is no single task's work."""
+    width = int(PER_MS * max(high - low, 1.0))
+    early, late = F.col("at") - F.lit(int(PER_MS * high)), F.col("at") - F.lit(int(PER_MS * low))
+    r = right.select(F.col("record_id").alias("_record"), "at", F.explode(F.sequence(_bucket(early, width), _bucket(late, width))).alias("_bucket"))
     dt = (F.col("at") - F.col("us")) / F.lit(3e7)
-    return left.join(r, (F.col("record_id") == F.col("_record")) & dt.between(low, high), how)
+    return left.join(r, (F.col("record_id") == F.col("_record")) & (_bucket(F.col("us"), width) == F.col("_bucket")) & dt.between(low, high), how)
 
 
 def pacing_failures(spikes: DataFrame, qrs: DataFrame) -> DataFrame:
@@ -129,12 +139,12 @@ def pacing_failures(spikes: DataFrame, qrs: DataFrame) -> DataFrame:
 
 
 def events_per_interval(atrial: DataFrame, qrs: DataFrame) -> DataFrame:
-    """Atrial events (record_id, us) in each half-open interval from a QRS complex (record_id, at, beat_id) to the next."""
-    nxt = F.lead("at").over(by_record().orderBy("at", "beat_id"))
-    spans = qrs.withColumn("until", nxt).where("until is not null")
-    a = atrial.select(F.col("record_id").alias("_record"), "us")
-    inside = (F.col("record_id") == F.col("_record")) & (F.col("us") >= F.col("at")) & (F.col("us") < F.col("until"))
-    return spans.join(a, inside, "left").groupBy("record_id", "beat_id").agg(F.count("us").alias("atrial_events"))
+    """Atrial events (record_id, us) in each half-open interval from a QRS complex (record_id, at, beat_id) to the next. Order alone decides: each event belongs to the last complex at or before it."""
+    both = qrs.select("record_id", F.col("at").alias("us"), F.lit(0).alias("atrial"), "beat_id").unionByName(atrial.select("record_id", "us", F.lit(1).alias("atrial"), F.lit(None).cast("long").alias("beat_id")))
+    owner = F.last("beat_id", ignorenulls=True).over(by_record().orderBy("us", "atrial", "beat_id"))
+    final = F.max(F.when(F.col("atrial") == 0, F.struct("us", "beat_id"))).over(by_record())["beat_id"]
+    x = both.select("record_id", owner.alias("owner"), final.alias("final"), "atrial").where("owner <> final")
+    return x.groupBy("record_id", F.col("owner").alias("beat_id")).agg(F.sum("atrial").alias("atrial_events"))
 
 
 def associate(atrial: DataFrame, qrs: DataFrame, t_waves: DataFrame | None = None) -> DataFrame:
@@ -145,21 +155,23 @@ def associate(atrial: DataFrame, qrs: DataFrame, t_waves: DataFrame | None = Non
     an offset), whichever is nearer, then conducted first, then the earlier
     beat; else blocked. qrs: record_id, beat_id, onset, offset.
     """
-    q = qrs.select(F.col("record_id").alias("_record"), F.col("beat_id").alias("qrs_beat_id"), "onset", "offset")
+    width = 600 * PER_MS  # no way reaches further from an onset
+    near = F.explode(F.array(*(_bucket(F.col("onset"), width) + k for k in (-1, 0, 1)))).alias("_bucket")
+    q = qrs.select(F.col("record_id").alias("_record"), F.col("beat_id").alias("qrs_beat_id"), "onset", "offset", near)
     before, after = (F.col("onset") - F.col("us")) / F.lit(3e7), (F.col("us") - F.col("offset")) / F.lit(3e7)
     ways = F.array_compact(F.array(
         F.when(before.between(*PR_CONDUCTED_MS), F.struct(before.alias("gap"), F.lit(0).alias("way"), "qrs_beat_id")),
         F.when(after.between(*RETROGRADE_MS), F.struct(after.alias("gap"), F.lit(1).alias("way"), "qrs_beat_id")),
     ))
-    reach = (F.col("record_id") == F.col("_record")) & (F.col("onset") >= F.col("us") - int(3e7 * 600)) & (F.col("onset") <= F.col("us") + int(3e7 * 600))
+    reach = (F.col("record_id") == F.col("_record")) & (_bucket(F.col("us"), width) == F.col("_bucket"))
     best = atrial.join(q, reach).select("record_id", "mark", F.array_min(ways).alias("x")).groupBy("record_id", "mark").agg(F.min("x").alias("best"))
     out = atrial.join(best, ["record_id", "mark"], "left")
     kind = F.when(F.col("best").isNull(), "blocked").when(F.col("best.way") == 0, "conducted").otherwise("retrograde")
     out = out.select("record_id", "mark", "us", "conf", F.col("best.qrs_beat_id").alias("qrs_beat_id"), kind.alias("association"), F.when(F.col("best.way") == 0, F.col("best.gap")).alias("pr_ms"))
     if t_waves is None:
         return out
-    t = t_waves.select(F.col("record_id").alias("_record"), "start", "stop")
-    inside = (F.col("record_id") == F.col("_record")) & F.col("us").between(F.col("start"), F.col("stop"))
+    t = t_waves.select(F.col("record_id").alias("_record"), "start", "stop", F.explode(F.sequence(_bucket(F.col("start"), width), _bucket(F.col("stop"), width))).alias("_bucket"))
+    inside = (F.col("record_id") == F.col("_record")) & (_bucket(F.col("us"), width) == F.col("_bucket")) & F.col("us").between(F.col("start"), F.col("stop"))
     artifact = atrial.join(t, inside, "left_semi").select("record_id", "mark", F.lit(True).alias("artifact"))
     out = out.join(artifact, ["record_id", "mark"], "left")
     clear = lambda c: F.when(F.col("artifact").isNull(), F.col(c)).alias(c)
@@ -171,11 +183,21 @@ def conducted(events: DataFrame) -> DataFrame:
 
 
 def organized_ratio(events: DataFrame, beats: DataFrame) -> DataFrame:
-    """The largest share of a record's beats whose conducted events have PR intervals within 30 ms of one of them."""
-    c = conducted(events).select("record_id", "qrs_beat_id", "pr_ms")
-    other = c.select(F.col("record_id").alias("_record"), F.col("qrs_beat_id").alias("_beat"), F.col("pr_ms").alias("_pr"))
-    near = c.select("record_id", "pr_ms").distinct().join(other, (F.col("record_id") == F.col("_record")) & (F.abs(F.col("pr_ms") - F.col("_pr")) <= ORGANIZED_RADIUS_MS))
-    most = near.groupBy("record_id", "pr_ms").agg(F.count_distinct("_beat").alias("n")).groupBy("record_id").agg(F.max("n").alias("n"))
+    """The largest share of a record's beats whose conducted events have PR intervals within 30 ms of one of them.
+
+    A sweep over PR: each beat is open from 30 ms before to 30 ms after its
+    events (stretches that meet are one), and the running number of open beats
+    is read at each event. Linear in the events, whatever a record's length.
+    """
+    radius = int(ORGANIZED_RADIUS_MS * PER_MS)
+    c = conducted(events).select("record_id", "qrs_beat_id", F.round(F.col("pr_ms") * PER_MS).cast("long").alias("pr"))
+    in_beat = Window.partitionBy("record_id", "qrs_beat_id").orderBy("pr")
+    gap = lambda x: F.coalesce(x > 2 * radius, F.lit(True))
+    x = c.withColumns({"opens": gap(F.col("pr") - F.lag("pr").over(in_beat)), "shuts": gap(F.lead("pr").over(in_beat) - F.col("pr"))})
+    point = lambda at, kind, step: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(step).alias("step"))
+    points = x.select("record_id", F.explode(F.array_compact(F.array(F.when(F.col("opens"), point(F.col("pr") - radius, 0, 1)), point(F.col("pr"), 1, 0), F.when(F.col("shuts"), point(F.col("pr") + radius, 2, -1))))).alias("p")).select("record_id", "p.*")
+    opened = points.withColumn("n", F.sum("step").over(by_record().orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    most = opened.where("kind = 1").groupBy("record_id").agg(F.max("n").alias("n"))
     total = beats.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_beats"))
     return total.join(most, "record_id", "left").select("record_id", F.least(F.lit(1.0), F.coalesce(F.col("n") / F.col("n_beats"), F.lit(0.0))).alias("organized_p_ratio"))
 

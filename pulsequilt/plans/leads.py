@@ -107,20 +107,32 @@ def applicability(spark, sf):
     return published(L.limited_mode(x, "axis_deg", "qtc_ms"), "record_id", "state", axis_deg="axis_deg", qtc_ms="qtc_ms")
 
 
-@query(MARKS_SQL + """, a AS (SELECT DISTINCT record_id, us / 3e7 AS x FROM marks WHERE kind = 'purchase'), b AS (SELECT DISTINCT record_id, us / 3e7 AS y FROM marks WHERE kind = 'signup'), p AS (SELECT record_id, x, y, abs(x - y) AS gap FROM a JOIN b USING (record_id) WHERE abs(x - y) <= 500),
-m AS (SELECT *, row_number() OVER (PARTITION BY record_id, x ORDER BY gap, y) AS i, row_number() OVER (PARTITION BY record_id, y ORDER BY gap, x) AS j FROM p) SELECT record_id, count(*) AS matched, round(avg(gap), 2) + 0.0 AS mean_gap_ms FROM m WHERE i = 1 AND j = 1 GROUP BY record_id""")
-def detector_agreement(spark, sf):
+#: Greedy matching in the order of x: step k gives the k-th x its nearest y that is still free.
+MATCHED_SQL = MARKS_SQL.replace("WITH", "WITH RECURSIVE", 1) + """, g AS (SELECT record_id, coalesce(list_sort(list_distinct(list(us / 3e7) FILTER (kind = 'purchase'))), []) AS xs, coalesce(list_sort(list_distinct(list(us / 3e7) FILTER (kind = 'signup'))), []) AS ys FROM marks GROUP BY record_id),
+s AS (SELECT record_id, xs, ys, 1 AS k, CAST([] AS DOUBLE[]) AS used, 0 AS matched, CAST(0 AS DOUBLE) AS gaps FROM g WHERE len(xs) + len(ys) > 0
+  UNION ALL SELECT record_id, xs, ys, k + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.y) END, matched + CASE WHEN best IS NULL THEN 0 ELSE 1 END, gaps + coalesce(best.g, 0) FROM (
+    SELECT *, list_sort(list_transform(list_filter(ys, lambda y: abs(y - xs[k]) <= 500 AND NOT list_contains(used, y)), lambda y: {'g': abs(y - xs[k]), 'y': y}))[1] AS best FROM s WHERE k <= len(xs))),
+m AS (SELECT record_id, len(xs) AS n_a, len(ys) AS n_b, matched, gaps, matched / greatest(len(xs), 1) AS p, matched / greatest(len(ys), 1) AS r FROM s WHERE k = len(xs) + 1)
+"""
+
+
+def peak_pairs(spark, sf):
     m = marks(spark, sf)
     at = lambda kind, name: m.where(F.col("kind") == kind).select("record_id", (F.col("us") / F.lit(3e7)).alias(name)).distinct()
-    return L.greedy_matches(at("purchase", "x"), at("signup", "y"), 500.0).groupBy("record_id").agg(F.count(F.lit(1)).alias("matched"), rounded(F.avg("gap"), 2).alias("mean_gap_ms"))
+    return at("purchase", "x"), at("signup", "y"), 500.0
+
+
+@query(MATCHED_SQL + "SELECT record_id, matched, round(gaps / matched, 2) + 0.0 AS mean_gap_ms FROM m WHERE matched > 0")
+def detector_agreement(spark, sf):
+    """Greedy one-to-one matches in peak order."""
+    return L.one_to_one(*peak_pairs(spark, sf)).groupBy("record_id").agg(F.count(F.lit(1)).alias("matched"), rounded(F.avg("gap"), 2).alias("mean_gap_ms"))
 
 
-@query()
+@query(MATCHED_SQL + 'SELECT record_id, n_a, n_b, matched, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m')
 def detector_agreement_f1(spark, sf):
-    """Greedy one-to-one matches in peak order, with precision, recall and F1; ``detector_agreement`` keeps the mutual nearest pairs of its SQL."""
-    m = marks(spark, sf)
-    at = lambda kind, name: m.where(F.col("kind") == kind).select("record_id", (F.col("us") / F.lit(3e7)).alias(name)).distinct()
-    return L.agreement(at("purchase", "x"), at("signup", "y"), 500.0)
+    """The same matches as precision, recall and F1."""
+    x = L.agreement(*peak_pairs(spark, sf))
+    return x.withColumns({c: rounded(F.col(c)) for c in ("precision", "recall", "f1")})
 
 
 @query("SELECT event_id AS key, '/' || k AS pointer, json_extract_string(props, '/' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
