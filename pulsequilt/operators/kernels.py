@@ -18,8 +18,21 @@ def records(signals: DataFrame) -> DataFrame:
     return g.select("record_id", "fs", F.col("x.lead").alias("leads"), F.col("x.samples").alias("samples"))
 
 
+#: Rows of results that are sent on together.
+ROWS_TOGETHER = 512
+
+
+def matrices(samples: pa.ListArray) -> Iterator[np.ndarray]:
+    """The leads-by-samples matrix of each row of an array of arrays, without boxing any sample."""
+    inner = samples.values
+    flat = inner.values.to_numpy(zero_copy_only=False)
+    outer, bounds = samples.offsets.to_numpy(), inner.offsets.to_numpy()
+    for a, b in zip(outer, outer[1:], strict=False):
+        yield np.array([flat[bounds[k] : bounds[k + 1]] for k in range(a, b)], float)
+
+
 def per_record(rows: DataFrame, kernel: Callable[..., list[dict]], schema: str) -> DataFrame:
-    """The rows that kernel(record_id, fs, leads, matrix) makes of each record."""
+    """The rows that kernel(record_id, fs, leads, matrix) makes of each record. Spark ends an Arrow batch by its bytes (spark.sql.execution.arrow.maxBytesPerBatch), so a batch is a few recordings however many records a table has."""
     target = rows.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -27,10 +40,14 @@ def per_record(rows: DataFrame, kernel: Callable[..., list[dict]], schema: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for record_id, fs, leads, samples in zip(*(batch.column(c).to_pylist() for c in ("record_id", "fs", "leads", "samples")), strict=True):
-                made = kernel(record_id, fs, leads, np.array(samples, float))
-                if made:
+            made: list[dict] = []
+            for record_id, fs, leads, x in zip(*(batch.column(c).to_pylist() for c in ("record_id", "fs", "leads")), matrices(batch.column("samples")), strict=True):
+                made += kernel(record_id, fs, leads, x)
+                if len(made) >= ROWS_TOGETHER:
                     yield pa.RecordBatch.from_pylist(made, arrow)
+                    made = []
+            if made:
+                yield pa.RecordBatch.from_pylist(made, arrow)
 
     return rows.mapInArrow(run, target)
 

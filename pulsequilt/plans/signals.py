@@ -1,4 +1,4 @@
-"""Signal queries: a generated recording for each nation, and kernels on it."""
+"""Signal queries: a generated recording for each supplier, and kernels on it."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ from pulsequilt.sources.adapters import table, waveforms
 
 
 def recordings(spark, sf) -> DataFrame:
-    """record_id, lead (I, II), fs, samples: a rate for each nation."""
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("record_id"), (0.6 + F.col("n_nationkey") * 0.02).alias("rr_s"))
+    """record_id, lead (I, II), fs, samples: a recording for each supplier, so their number grows with the tables."""
+    n = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("record_id"), (0.6 + F.col("s_suppkey") % 25 * 0.02).alias("rr_s"))
     return S.generated(n.repartition("record_id"))
 
 
@@ -24,12 +24,17 @@ def limbs(spark, sf) -> DataFrame:
     return S.limb_leads(S.pairs_of(recordings(spark, sf)))
 
 
+def real(spark, sf) -> DataFrame:
+    """Limb leads of recordings with drift, hum, noise and flat stretches."""
+    return S.limb_leads(S.pairs_of(S.disturbed(recordings(spark, sf))))
+
+
 def _lead_sql(angle: float) -> str:
     terms = [f"{amp * math.cos(math.radians(d - angle))!r} * exp(-0.5 * ((ph - {s} - ({o})) / {w}) ** 2)" for o, w, amp, d in S.WAVES for s in ("0", "rr")]
     return " + ".join(terms)
 
 
-SIGNALS_SQL = f"""WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS record_id, 0.6 + n_nationkey * CAST(0.02 AS DOUBLE) AS rr FROM nation), t AS (SELECT record_id, i, rr, (i / 250.0 - 0.5) - rr * floor((i / 250.0 - 0.5) / rr) AS ph FROM n, range(2500) r(i)),
+SIGNALS_SQL = f"""WITH n AS (SELECT CAST(s_suppkey AS BIGINT) AS record_id, 0.6 + s_suppkey % 25 * CAST(0.02 AS DOUBLE) AS rr FROM supplier), t AS (SELECT record_id, i, rr, (i / 250.0 - 0.5) - rr * floor((i / 250.0 - 0.5) / rr) AS ph FROM n, range(2500) r(i)),
 s AS (SELECT record_id, i, {_lead_sql(0.0)} AS one, {_lead_sql(60.0)} AS two FROM t),
 l AS (SELECT record_id, i, unnest(['I', 'II', 'III', 'aVR', 'aVL', 'aVF']) AS lead, unnest([one, two, two - one, -(one + two) / 2, one - two / 2, two - one / 2]) AS x FROM s)
 """
@@ -79,22 +84,22 @@ def flatline_fraction(spark, sf):
 def filters(spark, sf):
     """Band-passed and notched leads: their range and energy."""
     s = F.col("samples")
-    return K.filtered(limbs(spark, sf)).select("record_id", "lead", rounded(F.array_max(s) - F.array_min(s), 4).alias("span"), rounded(total(s, lambda v: v * v), 4).alias("energy"))
+    return K.filtered(real(spark, sf)).select("record_id", "lead", rounded(F.array_max(s) - F.array_min(s), 4).alias("span"), rounded(total(s, lambda v: v * v), 4).alias("energy"))
 
 
 @query()
 def qrs_detect(spark, sf):
-    return K.detected(limbs(spark, sf))
+    return K.detected(real(spark, sf))
 
 
 @query()
 def delineation(spark, sf):
-    return K.delineated(limbs(spark, sf))
+    return K.delineated(real(spark, sf))
 
 
 @query()
 def quality_full(spark, sf):
-    return K.signal_quality(limbs(spark, sf)).withColumn("flags", F.array_join("flags", ","))
+    return K.signal_quality(real(spark, sf)).withColumn("flags", F.array_join("flags", ","))
 
 
 #: Beats of a record of clustering: records grow in number with the table, not in size.

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsequilt.plans.registry import query
-from pulsequilt.sources.adapters import table
+from pulsequilt.sources.adapters import shared_folder, table
 from pulsequilt.streaming import online
 
 
 def _drained(spark: SparkSession, sf: str, make) -> DataFrame:
-    """All rows of make(stream) after everything stored so far, from a memory table."""
+    """All rows of make(stream) after everything stored so far: executors write them, and the stream's progress, below the shared folder."""
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf)
     beats = stream.select(F.col("user_id").alias("record_id"), F.col("event_id").alias("mark"), F.col("ts").cast("timestamp").alias("ts"))
-    name = f"stream_{uuid.uuid4().hex}"
-    q = make(beats).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    root = shared_folder(spark)
+    out = make(beats)
+    # in complete mode each batch holds the whole result, so a batch that is run again writes the same
+    q = out.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/rows")).outputMode("complete").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{root}/rows")
 
 
 @query("SELECT user_id AS record_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_beats FROM events GROUP BY ALL")

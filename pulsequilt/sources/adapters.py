@@ -7,6 +7,9 @@ a minute, ``value`` is an amplitude, ``event_type`` a lead or a wave class and
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below that of spark.checkpoint.dir, which the driver and all executors share. Without that setting a temporary folder serves where all run in one process, and nothing does elsewhere."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="pulsequilt-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, mark (unique), kind, amp, conf, us: the events without an order."""
     e = table(spark, sf_dir, "events")

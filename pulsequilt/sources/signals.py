@@ -35,6 +35,19 @@ def generated(records: DataFrame, fs: int = 250, seconds: int = 10) -> DataFrame
     return made[0].unionByName(made[1])
 
 
+def disturbed(signals: DataFrame) -> DataFrame:
+    """signals with what recordings have besides beats, by record: drift, mains hum in every third, noise in every second, and a flat second in every seventh. Each sample's noise follows from its record and place, so a lost task makes the same again."""
+    k = F.col("record_id")
+
+    def value(x: Column, i: Column) -> Column:
+        t = i / F.col("fs")
+        noise = F.pmod(F.xxhash64(k, "lead", i), F.lit(2001)) / 1000.0 - 1.0
+        y = x + F.sin(t * (2 * np.pi * 0.25) + k) * 0.08 + F.when(k % 3 == 0, F.sin(t * (2 * np.pi * 50.0)) * 0.05).otherwise(0.0) + F.when(k % 2 == 0, noise * 0.03).otherwise(0.0)
+        return F.when((k % 7 == 0) & (t >= 4.0) & (t < 5.0), 0.0).otherwise(y)
+
+    return signals.withColumn("samples", F.transform("samples", value))
+
+
 def limb_leads(pairs: DataFrame) -> DataFrame:
     """All six limb leads of records with I and II (record_id, fs, one, two: arrays): III = II - I, aVR = -(I + II) / 2, aVL = I - II / 2, aVF = II - I / 2."""
     one, two = F.col("one"), F.col("two")
@@ -82,11 +95,14 @@ def read_arrays(spark: SparkSession, path: str, fs: float, leads: list[str]) ->
 
 
 HEADER = re.compile(r"^(\S+)\s+(\d+)\s+([0-9.]+)\S*\s+(\d+)")
-SIGNAL = re.compile(r"^(\S+)\s+(16|32|80)(?:\S*)\s+([0-9.]+)(?:\((-?\d+)\))?(?:/(\S+))?\s+(\d+)\s+(-?\d+)(?:\s+(-?\d+)\s+(-?\d+)\s+(\d+))?(?:\s+(.*))?$")
+SIGNAL = re.compile(r"^(\S+)\s+(\d+)(?:x(\d+))?(?::(\d+))?(?:\+(\d+))?\s+([0-9.]+)(?:\((-?\d+)\))?(?:/(\S+))?\s+(\d+)\s+(-?\d+)(?:\s+(-?\d+)\s+(-?\d+)\s+(\d+))?(?:\s+(.*))?$")
+#: How a format's samples lie in a file: type, what zero is written as, and the number that marks a missing sample.
+FORMATS = {16: ("<i2", 0, -(1 << 15)), 32: ("<i4", 0, -(1 << 31)), 61: (">i2", 0, -(1 << 15)), 80: ("u1", 128, -128)}
+UNITS = {"mV": 1.0, "uV": 1e-3, "V": 1e3}
 
 
 def parse_header(text: str) -> dict:
-    """A single-segment waveform-database header: rate, samples and per signal its file, format, gain, baseline, unit and name."""
+    """A single-segment waveform-database header: rate, samples and per signal its file, format, byte offset, gain, baseline, unit and name. What the reader can't decode (other formats, several samples a frame, skew, unknown units) is a ValueError."""
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     body = [x for x in lines if not x.startswith("#")]
     m = HEADER.match(body[0]) if body else None
@@ -97,16 +113,34 @@ def parse_header(text: str) -> dict:
         s = SIGNAL.match(line)
         if not s:
             raise ValueError(f"signal line: {line}")
-        zero = int(s[7])
-        signals.append({"file": s[1], "format": int(s[2]), "gain": float(s[3]) or 200.0, "baseline": int(s[4]) if s[4] else zero, "unit": s[5] or "mV", "lead": (s[11] or "").strip() or str(len(signals))})
+        if int(s[2]) not in FORMATS or int(s[3] or 1) != 1 or int(s[4] or 0) or (s[8] or "mV") not in UNITS:
+            raise ValueError(f"signal line of an unsupported kind: {line}")
+        zero = int(s[10])
+        signals.append({"file": s[1], "format": int(s[2]), "offset": int(s[5] or 0), "gain": float(s[6]) or 200.0, "baseline": int(s[7]) if s[7] else zero, "unit": s[8] or "mV", "lead": (s[14] or "").strip() or str(len(signals))})
     if len({s["lead"] for s in signals}) != len(signals) or len(signals) != int(m[2]):
         raise ValueError("lead names")
     comments = dict(x.lstrip("# ").split(":", 1) for x in lines if x.startswith("#") and ":" in x)
     return {"record_id": m[1], "fs": float(m[3]), "n_samples": int(m[4]), "signals": signals, "comments": {k.strip(): v.strip() for k, v in comments.items()}}
 
 
+def decode_file(content: bytes, signals: list[dict], n_samples: int) -> np.ndarray:
+    """The samples (signals by time, in mV; missing ones nan) of the signals that share a file, whose samples take turns in it from the byte offset on. An .mat file of 16-bit integers, signals by time, is such a file behind its 24 bytes of head."""
+    kinds = {(s["format"], s["offset"]) for s in signals}
+    if len(kinds) != 1:
+        raise ValueError("signals of one file differ in format or offset")
+    [(kind, offset)] = kinds
+    dtype, zero, missing = FORMATS[kind]
+    raw = np.frombuffer(content, dtype, offset=offset).astype(np.int64) - zero
+    if n_samples and raw.size < n_samples * len(signals) or raw.size % len(signals):
+        raise ValueError(f"{raw.size} samples in a file of {len(signals)} signals of {n_samples}")
+    raw = raw.reshape(-1, len(signals)).T[:, : n_samples or None]
+    x = np.where(raw == missing, np.nan, raw.astype(float))
+    column = lambda f: np.array([f(s) for s in signals], float)[:, None]
+    return (x - column(lambda s: s["baseline"])) / column(lambda s: s["gain"]) * column(lambda s: UNITS[s["unit"]])
+
+
 class WaveformReader(DataSourceReader):
-    """Format-16 signals next to their headers; one partition a record."""
+    """Signals of the files that headers name; one partition a record."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -124,11 +158,12 @@ class WaveformReader(DataSourceReader):
         with store.open_input_file(partition.value) as f:
             head = parse_header(f.read().decode())
         folder = partition.value.rsplit("/", 1)[0]
-        with store.open_input_file(f"{folder}/{head['signals'][0]['file']}") as f:
-            raw = np.frombuffer(f.read(), "<i2").reshape(-1, len(head["signals"])).T
-        for s, row in zip(head["signals"], raw, strict=True):
-            scale = {"mV": 1.0, "uV": 1e-3, "V": 1e3}[s["unit"]]
-            yield head["record_id"], s["lead"], head["fs"], ((row.astype(float) - s["baseline"]) / s["gain"] * scale).tolist()
+        for name in dict.fromkeys(s["file"] for s in head["signals"]):
+            own = [s for s in head["signals"] if s["file"] == name]
+            with store.open_input_file(f"{folder}/{name}") as f:
+                rows = decode_file(f.read(), own, head["n_samples"])
+            for s, row in zip(own, rows, strict=True):
+                yield head["record_id"], s["lead"], head["fs"], row.tolist()
 
 
 class WaveformSource(DataSource):

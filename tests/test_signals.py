@@ -99,3 +99,40 @@ def test_files_are_read(spark, tmp_path):
     assert got == {"I": [0.5, 1.0], "II": [0.002, 0.0]}
     with pytest.raises(ValueError):
         S.parse_header("nonsense")
+
+
+def test_formats_offsets_and_files_of_waveform_databases(spark, tmp_path):
+    a, b = np.array([[100, 200, -5], [7, -(1 << 31), 9]]), np.array([[1, -128, 127]])
+    (tmp_path / "x.mat").write_bytes(b"h" * 24 + np.array([[10, 20], [30, -32768]], "<i2").T.tobytes())
+    (tmp_path / "x.hea").write_text("x 2 500 2\nx.mat 16+24 10/mV 16 0 0 0 0 I\nx.mat 16+24 10/mV 16 0 0 0 0 II\n")
+    (tmp_path / "y1.dat").write_bytes(a.T.astype("<i4").tobytes())
+    (tmp_path / "y2.dat").write_bytes((b.T + 128).astype("u1").tobytes())
+    (tmp_path / "y.hea").write_text("y 3 250 3\ny1.dat 32 200(0)/mV 32 0 0 0 0 I\ny2.dat 80 1/mV 8 0 0 0 0 V1\ny1.dat 32 1/mV 32 0 0 0 0 II\n")
+    spark.dataSource.register(S.WaveformSource)
+    got = {(r.record_id, r.lead): r.samples for r in spark.read.format("waveform_db").load(str(tmp_path)).collect()}
+    same = lambda x, y: np.array_equal(np.array(x), np.array(y), equal_nan=True)
+    assert same(got["x", "I"], [1.0, 2.0]) and same(got["x", "II"], [3.0, np.nan])
+    assert same(got["y", "I"], [0.5, 1.0, -0.025]) and same(got["y", "II"], [7.0, np.nan, 9.0]) and same(got["y", "V1"], [1.0, np.nan, 127.0])
+    for line in ("y1.dat 212 200 12 0 0 0 0 I", "y1.dat 16x2 200 16 0 0 0 0 I", "y1.dat 16:3 200 16 0 0 0 0 I", "y1.dat 16 200/mmHg 16 0 0 0 0 I"):
+        with pytest.raises(ValueError):
+            S.parse_header("y 1 250 3\n" + line)
+    with pytest.raises(ValueError):
+        S.decode_file(b"\0" * 6, S.parse_header("y 1 250 4\ny1.dat 16 200 16 0 0 0 0 I")["signals"], 4)
+
+
+def test_kernels_on_disturbed_recordings(spark):
+    """Beats are found through drift, hum and noise to 8 ms, and what is wrong with a recording is flagged."""
+    n = spark.range(1, 15).select(F.col("id").alias("record_id"), (0.7 + F.col("id") * 0.02).alias("rr_s"))
+    signals = S.limb_leads(S.pairs_of(S.disturbed(S.generated(n))))
+    want = {k: [0.5 + j * (0.7 + k * 0.02) for j in range(20) if 0.5 + j * (0.7 + k * 0.02) < 9.9] for k in range(1, 15)}
+    got = {k: [] for k in want}
+    for r in K.detected(signals).collect():
+        got[r.record_id].append(r.time_s)
+    for k, times in want.items():
+        flat = k % 7 == 0
+        inside = [t for t in times if not (flat and 3.9 <= t <= 5.1)]
+        assert all(min(abs(t - g) for g in got[k]) <= 0.008 for t in inside), k
+    flags = {}
+    for r in K.signal_quality(signals).collect():
+        flags.setdefault(r.record_id, set()).update(r.flags)
+    assert any("mains" in f for f in flags[3]) and not any("mains" in f for f in flags[1])

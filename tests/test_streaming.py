@@ -19,7 +19,7 @@ def feed(spark, tmp_path, make, mode):
 
 
 def test_running_intervals_follow_the_whole_stream(spark, tmp_path):
-    got, rows = feed(spark, tmp_path, online.running_intervals, "update")
+    got, rows = feed(spark, tmp_path, lambda s: online.running_intervals(s, us_per_ms=3e7), "update")
     last = max((r for r in got if r.record_id == 0), key=lambda r: r.n_rr)
     assert last.n_rr == 19
     rr = [3.0 * 1000 / 1000 for _ in range(19)]
