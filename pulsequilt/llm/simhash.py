@@ -19,10 +19,16 @@ million documents, beyond which longer fingerprints would be needed.
 Copies meet as one fingerprint before any key is made. Pivots of the home keys
 link most of a large group by stars; the keys' join then looks only at pairs
 from different components, and skips keys that hold a single one.
+
+Copies with some words edited differ in more than four bits of a shingle
+fingerprint, as each word is in four shingles. ``one_of_each`` therefore has a
+second way to a link: a fingerprint of single words, found by the same keys,
+and at most twelve differing bits of the shingle fingerprint to confirm it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 from itertools import combinations
 
@@ -41,6 +47,8 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 GENERATOR = 0xC75
 PIVOTS = 4
 MAX_ERRORS = 4
+#: Differing bits of shingle fingerprints that confirm a link by words: a likeness of 0.8 has 10 on average.
+MARK_ERRORS = 12
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -66,6 +74,22 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def word_fingerprint(text: str) -> int:
+    """SimHash of single words, each weighing 16 + 16 log2 of its count (whole numbers), so that common words don't outweigh all others. No words: 0."""
+    import xxhash
+
+    counts = Counter(text.encode().lower().split())
+    if not counts:
+        return 0
+    words = list(counts)
+    weights = (16 + 16 * np.log2(np.fromiter(counts.values(), np.int64, len(words)))).astype(np.int64)
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(words), 1 << 14):
+        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words[at : at + (1 << 14)]], "<u8")
+        bits += weights[at : at + (1 << 14)] @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits > weights.sum(), bitorder="little").view("<u8")[0])
+
+
 # ---------------------------------------------------------------- Golay code
 
 
@@ -185,28 +209,49 @@ def _first_way() -> F.Column:
     return out
 
 
-def link_components(nodes: DataFrame) -> DataFrame:
-    """fp, root (the least fingerprint that links reach) of distinct fingerprints; nodes is a stored table with a column fp."""
-    nodes = nodes.select("fp")
-    homes = _keyed(nodes, "home")
-    pivots = homes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.min(F.struct(F.xxhash64(F.col("fp"), F.lit(k)).alias("h"), F.col("fp").alias("fp"))).alias(f"p{k}") for k in range(PIVOTS))).where("n > 1").select("key", F.array_distinct(F.array(*(F.col(f"p{k}.fp") for k in range(PIVOTS)))).alias("pivots"))
-    close = F.filter("pivots", lambda p: (p != F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(p)) <= MAX_ERRORS))
-    stars = homes.join(pivots, "key").select("fp", F.explode(close).alias("pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    first = stored(components(stars))
-    own = stored(nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+def _moved(own: DataFrame, roots: DataFrame, hot: list) -> DataFrame:
+    """own with the roots that roots (node, root) gives for its own."""
+    few = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return dealt_join(own, few, ["root"], among("root", hot), F.xxhash64("fp"), "left").select(*(F.coalesce("top", "root").alias("root") if c == "root" else c for c in own.columns))
+
+
+def _hot_roots(own: DataFrame) -> list:
+    return hot_values(own.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
+
+
+def link_more(own: DataFrame, hot: list) -> DataFrame:
+    """own with the roots that links reach from the roots it has: fp, root and, where links need it, a mark of which MARK_ERRORS bits may differ (all long, each fp and mark once, a stored table); hot are roots of many rows."""
+    marked = "mark" in own.columns
+    names = ["fp", "mark"] if marked else ["fp"]
+
+    def near(column) -> F.Column:
+        """Whether a row and the one whose columns column(name) gives are linked."""
+        differ = lambda n: F.bit_count(F.col(n).bitwiseXOR(column(n)))
+        return (differ("fp") <= MAX_ERRORS) & (differ("mark") <= MARK_ERRORS) if marked else differ("fp") <= MAX_ERRORS
+
+    own = own.select(*names, "root")
+    homes = _keyed(own, "home")
+    pivots = homes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.min(F.struct(F.xxhash64(*names, F.lit(k)).alias("h"), F.struct(*names, "root").alias("x"))).alias(f"p{k}") for k in range(PIVOTS))).where("n > 1").select("key", F.array_distinct(F.array(*(F.col(f"p{k}.x") for k in range(PIVOTS)))).alias("pivots"))
+    close = F.filter("pivots", lambda p: (p["root"] != F.col("root")) & near(lambda n: p[n]))
+    stars = homes.join(pivots, "key").select("root", F.explode(close).alias("pivot")).select(F.col("root").alias("a"), F.col("pivot.root").alias("b"))
+    own = stored(_moved(own, components(stars), hot))
 
     held = stored(_keyed(own, "exact"))
     # bits that all of a key's fingerprints share bound the distance to each of them from below: a key met by chance mostly goes by that
     ends = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"))
     differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("all")).bitwiseAND(F.bitwise_not(F.col("all").bitwiseXOR(F.col("any")))))
-    seek = _keyed(own, "near").join(ends, "key").where(((F.col("low") != F.col("high")) | (F.col("low") != F.col("root"))) & (differ <= MAX_ERRORS)).select("key", "fp", "root")
-    other = held.select("key", F.col("fp").alias("other"), F.col("root").alias("other_root"))
-    apart = (F.col("root") != F.col("other_root")) & (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_ERRORS)
+    seek = _keyed(own, "near").join(ends, "key").where(((F.col("low") != F.col("high")) | (F.col("low") != F.col("root"))) & (differ <= MAX_ERRORS)).select("key", *names, "root")
+    other = held.select("key", *(F.col(n).alias(f"other_{n}") for n in [*names, "root"]), F.col("fp").alias("other"))
+    later = F.struct(*names) < F.struct(*(F.col(f"other_{n}") for n in names))
+    apart = (F.col("root") != F.col("other_root")) & later & near(lambda n: F.col(f"other_{n}"))
     seek, other = seek.alias("s"), other.alias("o")
     links = seek.join(other, (F.col("s.key") == F.col("o.key")) & apart & (_first_way() == F.shiftright(F.col("s.key"), KIND))).select(F.col("root").alias("a"), F.col("other_root").alias("b"))
-    second = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    hot = hot_values(own.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
-    return dealt_join(own, second, ["root"], among("root", hot), F.xxhash64("fp"), "left").select("fp", F.coalesce("top", "root").alias("root"))
+    return _moved(own, components(links), _hot_roots(own))
+
+
+def link_components(nodes: DataFrame) -> DataFrame:
+    """fp, root (the least fingerprint that links reach) of distinct fingerprints; nodes is a stored table with a column fp."""
+    return link_more(nodes.select("fp", F.col("fp").alias("root")), [])
 
 
 def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -226,20 +271,27 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 4) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) with one document of each component: that of the least doc_id, or if it is repeated there, of the least hashed text. Null doc_ids stay only where a component has no other; of equal rows one stays."""
+    """The rows of docs (doc_id, text and any others) with one document of each component: that of the least doc_id, or if it is repeated there, of the least hashed text. Null doc_ids stay only where a component has no other; of equal rows one stays.
+
+    Links are those of ``near_duplicates``, and between texts of which at most
+    four bits of the word fingerprints and twelve of the shingle fingerprints differ.
+    """
     shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = lambda f: f - (f >> 63 << 64)
 
     def make():
         def run(x):
-            fps = [fingerprint(t, words) for t in x["text"]]
-            return {"doc_id": x["doc_id"], "h": x["h"], "fp": [f - (f >> 63 << 64) for f in fps]}
+            return {"doc_id": x["doc_id"], "h": x["h"], "mark": [signed(fingerprint(t, words)) for t in x["text"]], "fp": [signed(word_fingerprint(t)) for t in x["text"]]}
 
         return run
 
-    rows = stored(by_batch(shown.withColumn("h", F.xxhash64("text")), make, "doc_id long, h long, fp long"))
-    nodes = stored(rows.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "h")).alias("least")))
-    roots = link_components(nodes)
-    kept = roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("x")).select(F.coalesce("x.doc_id", F.lit(0)).alias("id"), "x.unnamed", "x.h")
+    rows = stored(by_batch(shown.withColumn("h", F.xxhash64("text")), make, "doc_id long, h long, mark long, fp long"))
+    nodes = stored(rows.groupBy("mark", "fp").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "h")).alias("least")))
+    marks = stored(nodes.groupBy("mark").agg(F.count(F.lit(1)).alias("n")))
+    roots = link_components(marks.select(F.col("mark").alias("fp"))).select(F.col("fp").alias("mark"), "root")
+    own = stored(dealt_join(nodes.select("mark", "fp"), roots, ["mark"], among("mark", hot_values(marks, "mark")), F.xxhash64("fp")))
+    both = link_more(own, _hot_roots(own))
+    kept = both.join(nodes, ["mark", "fp"]).groupBy("root").agg(F.min("least").alias("x")).select(F.coalesce("x.doc_id", F.lit(0)).alias("id"), "x.unnamed", "x.h")
     hot = among("h", hot_values(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"))
     # columns of the table stand inside a struct, where no name of ours can meet them
     doc = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.isnull("doc_id").alias("unnamed"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
