@@ -6,7 +6,7 @@ import importlib
 
 from pulsequilt.plans import registry
 
-for _name in ("rhythm", "intervals", "fusion", "quality", "waves", "records", "leads", "signals", "streams"):
+for _name in ("rhythm", "intervals", "fusion", "quality", "waves", "records", "leads", "policies", "signals", "streams"):
     importlib.import_module(f"pulsequilt.plans.{_name}")
 
 
