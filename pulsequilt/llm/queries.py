@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10, each over its whole table, and the SQL that some of them can be held against."""
+"""The queries of this subpackage: op1 to op13, each over its whole table, and the SQL that some of them can be held against."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, digest, langid, media, packing, pieces, pii, simhash, warc
+from . import attribution, audit, chat, digest, langid, media, packing, pieces, pii, secrets, simhash, warc
 from .common import table
 
 
@@ -57,9 +57,18 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_filter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("version"), "text")
+    return secrets.digest_findings(secrets.scan_history(docs, secrets.new_ledger(spark)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_collapsed_chat": chat.SQL}
+    return {"op4_collapsed_chat": chat.SQL, "op11_filter_replay": audit.SQL, "op12_blob_ledger": secrets.SQL}
