@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, audit, chat, digest, langid, media, packing, pieces, pii, secrets, simhash, warc
+from . import attribution, audit, chat, digest, langid, media, packing, pieces, pii, search, secrets, simhash, warc
 from .common import table
 
 
@@ -66,9 +66,13 @@ def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_findings(secrets.scan_history(docs, secrets.new_ledger(spark)))
 
 
+def op13_clustered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_collapsed_chat": chat.SQL, "op11_filter_replay": audit.SQL, "op12_blob_ledger": secrets.SQL}
+    return {"op4_collapsed_chat": chat.SQL, "op11_filter_replay": audit.SQL, "op12_blob_ledger": secrets.SQL, "op13_clustered_search": search.SQL}
