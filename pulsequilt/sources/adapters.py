@@ -7,6 +7,7 @@ a minute, ``value`` is an amplitude, ``event_type`` a lead or a wave class and
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -30,6 +31,28 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Folders of tables that this process stored; they go when Python ends.
+_stored: list[str] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    from pyarrow import fs
+
+    for path in _stored:
+        store, local = fs.FileSystem.from_uri(path)
+        if store.get_file_info(local).type == fs.FileType.Directory:
+            store.delete_dir(local)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df as a table in the shared folder: lineage ends there, and it is there when an executor is lost."""
+    spark = df.sparkSession
+    _stored.append(shared_folder(spark))
+    df.write.parquet(_stored[-1])
+    return spark.read.schema(df.schema).parquet(_stored[-1])
+
+
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, mark (unique), kind, amp, conf, us: the events without an order."""
     e = table(spark, sf_dir, "events")
