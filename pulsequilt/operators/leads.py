@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -113,27 +115,24 @@ def limited_mode(x: DataFrame, *fields: str) -> DataFrame:
 
 
 def one_to_one(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
-    """Greedy one-to-one pairs of a (record_id, x) and b (record_id, y): each x in order takes the nearest y within reach that is still free (the earlier of equal ones). A task holds only the peaks within reach of each other."""
-    peaks = a.select("record_id", F.col("x").cast("double").alias("at"), F.lit(0).alias("side")).unionByName(b.select("record_id", F.col("y").cast("double").alias("at"), F.lit(1).alias("side")))
+    """Greedy one-to-one pairs of a (record_id, x) and b (record_id, y): each x in order takes the nearest y within reach that is still free (the earlier of equal ones). A task holds only the peaks within reach of each other; null positions match nothing."""
+    peaks = a.select("record_id", F.col("x").cast("double").alias("at"), F.lit(0).alias("side")).unionByName(b.select("record_id", F.col("y").cast("double").alias("at"), F.lit(1).alias("side"))).where("at is not null")
     kind = dict(a.dtypes)["record_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        record, waiting, free = None, deque(), []
+        record, waiting, free = None, deque(), []  # free: in order, as peaks come
 
         def settled(before: float) -> list[tuple]:
             """Pairs of the waiting x whose reach ends before ``before``."""
             out = []
             while waiting and waiting[0] + reach < before:
                 x = waiting.popleft()
-                while free and free[0] < x - reach:
-                    free.pop(0)
-                near = [(abs(y - x), y) for y in free if abs(y - x) <= reach]
+                k = bisect_left(free, x)  # the nearest stands on either side of here
+                near = [j for j in (bisect_left(free, free[k - 1]) if k else -1, k) if 0 <= j < len(free) and abs(free[j] - x) <= reach]
                 if near:
-                    gap, y = min(near)
-                    free.remove(y)
-                    out.append((record, x, y, gap))
-            while free and free[0] < (waiting[0] if waiting else before) - reach:
-                free.pop(0)
+                    y = free.pop(min(near, key=lambda j: (abs(free[j] - x), free[j])))
+                    out.append((record, x, y, abs(y - x)))
+            del free[: bisect_left(free, (waiting[0] if waiting else before) - reach)]
             return out
 
         def made(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
@@ -166,7 +165,65 @@ def agreement(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     return x.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
 
 
+def leaves_of(value: object, pointer: str = "") -> Iterator[tuple[str, str]]:
+    """Pointer and JSON text of every leaf: what is neither an object nor an array, and empty ones. A stack stands in for recursion, so depth is no limit."""
+    left = [(pointer, value)]
+    while left:
+        at, x = left.pop()
+        if isinstance(x, dict) and x:
+            left += [(f"{at}/{k.replace('~', '~0').replace('/', '~1')}", v) for k, v in reversed(x.items())]
+        elif isinstance(x, list) and x:
+            left += [(f"{at}/{k}", v) for k, v in reversed(list(enumerate(x)))]
+        else:
+            yield at, json.dumps(x, ensure_ascii=False)
+
+
 def leaves(docs: DataFrame) -> DataFrame:
-    """key, name, value of the members of flat JSON objects."""
-    entries = F.map_entries(F.from_json("doc", "map<string,string>"))
-    return docs.select("key", F.explode(entries).alias("e")).select("key", F.concat(F.lit("/"), F.col("e.key")).alias("pointer"), F.col("e.value").alias("value"))
+    """key, pointer, value (JSON text) of every leaf of JSON documents (key, doc), at any depth, in the order of the text; nothing is shuffled. Of a repeated member the last counts. Null documents and text that isn't JSON have no leaves."""
+    kind = dict(docs.dtypes)["key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+            for k, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    mine = list(leaves_of(json.loads(doc))) if doc is not None else []
+                except (ValueError, RecursionError):
+                    mine = []
+                keys += [k] * len(mine)
+                found += mine
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array([p for p, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["key", "pointer", "value"])
+
+    return docs.select("key", "doc").mapInArrow(run, f"key {kind}, pointer string, value string")
+
+
+#: What the input of two runs must agree on before their results are compared.
+INPUT_FACTS = ("adapter", "window", "fs", "units", "lead_names", "shape", "signal_sha256", "signal_meta_sha256", "source_files")
+
+
+def input_mismatches(expected: DataFrame, observed: DataFrame, facts: tuple[str, ...] = INPUT_FACTS) -> DataFrame:
+    """key, mismatches (names in order) of the cases that both have: facts that differ, nulls being equal to nulls."""
+    x = expected.select("key", F.struct(*facts).alias("e")).join(observed.select("key", F.struct(*facts).alias("o")), "key")
+    return x.select("key", F.array_compact(F.array(*(F.when(~F.col(f"e.{f}").eqNullSafe(F.col(f"o.{f}")), f) for f in facts))).alias("mismatches"))
+
+
+def compare_cases(expected: DataFrame, observed: DataFrame, tolerances: DataFrame, facts: tuple[str, ...] = INPUT_FACTS) -> DataFrame:
+    """key, status, mismatches, changed, removed, added of cases (key, facts, doc as JSON): leaf by leaf, in a full join of both sides' leaves.
+
+    status: missing (one side has no such case), integrity_error (the inputs differ, so
+    leaves aren't compared), diff or pass. Numbers at a pointer that matches a pattern of
+    ``tolerances`` (pattern, at_most) may differ by the least of these; others must be equal.
+    The table of tolerances is a configuration of a few rows, and is broadcast.
+    """
+    cases = expected.select("key", F.lit(True).alias("has_e")).join(observed.select("key", F.lit(True).alias("has_o")), "key", "full").join(input_mismatches(expected, observed, facts), "key", "left")
+    sound = cases.where(F.size("mismatches") == 0).select("key")
+    side = lambda d, name: leaves(d.join(sound, "key", "left_semi")).select("key", "pointer", F.col("value").alias(name))
+    both = side(expected, "before").join(side(observed, "after"), ["key", "pointer"], "full")
+    apart = both.where(~F.col("before").eqNullSafe(F.col("after")))  # most leaves are equal and need no tolerance
+    gap = F.abs(F.expr("try_cast(before as double)") - F.expr("try_cast(after as double)"))
+    allowed = apart.join(F.broadcast(tolerances), F.regexp_like("pointer", "pattern"), "left").groupBy("key", "pointer").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.min("at_most").alias("at_most"))
+    kind = F.when(F.col("after").isNull(), "removed").when(F.col("before").isNull(), "added").when(~F.coalesce(gap <= F.col("at_most"), F.lit(False)), "changed")
+    counts = allowed.select("key", kind.alias("kind")).groupBy("key").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("changed", "removed", "added")))
+    x = cases.join(counts, "key", "left").fillna(0, ["changed", "removed", "added"])
+    status = F.when(F.col("has_e").isNull() | F.col("has_o").isNull(), "missing").when(F.size("mismatches") > 0, "integrity_error").when(F.col("changed") + F.col("removed") + F.col("added") > 0, "diff").otherwise("pass")
+    return x.select("key", status.alias("status"), F.coalesce("mismatches", F.array().cast("array<string>")).alias("mismatches"), "changed", "removed", "added")

@@ -7,6 +7,9 @@ flag counts as false, and a missing number fails its condition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,22 @@ CAPTURED_BEATS, CAPTURE_OFFSET = 2, 55.0
 RESCUE = {"beats": 5, "more_beats": 2, "ratio": 1.35, "captured": 3, "beat_share": 0.50, "spike_share": 0.60, "cv": 0.15, "deviation": 0.35, "rr_min": 240.0, "rr_max": 2400.0, "before": 80.0, "after": 20.0}
 
 
+def finite(rows: DataFrame) -> DataFrame:
+    """rows with null for every number that is not finite: in Spark NaN is above all others, so it would pass any lower limit."""
+    floats = [n for n, kind in rows.dtypes if kind in ("double", "float")]
+    return rows.withColumns({n: F.when(F.abs(n) < float("inf"), F.col(n)) for n in floats}) if floats else rows
+
+
+def _of_finite(policy: Callable) -> Callable:
+    """policy with its tables' numbers finite or null."""
+
+    @wraps(policy)
+    def decide(*args, **kwargs):
+        return policy(*(finite(a) if isinstance(a, DataFrame) else a for a in args), **{k: finite(a) if isinstance(a, DataFrame) else a for k, a in kwargs.items()})
+
+    return decide
+
+
 def _flag(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
@@ -51,6 +70,7 @@ def disorganized_atrium() -> Column:
     return F.when(F.col("organized_p_ratio") < ORGANIZED_P_MIN, F.col("organized_p_ratio"))
 
 
+@_of_finite
 def measurement_availability(facts: DataFrame) -> DataFrame:
     """facts (the flags of UNAVAILABLE, atrial_faster_than_ventricular, organized_p_ratio) with reasons, atrial_rhythm_available, pr_available, p_axis_available and pr_soft_reasons.
 
@@ -70,11 +90,13 @@ def measurement_availability(facts: DataFrame) -> DataFrame:
     return x.withColumns({"atrial_rhythm_available": size == 0, "p_axis_available": axis, "pr_soft_reasons": F.when(F.col("pr_available"), kept).otherwise(F.array().cast("array<string>"))})
 
 
+@_of_finite
 def majority_paced(beats: DataFrame) -> DataFrame:
     """record_id, group_paced: whether more than half the measured beats (record_id, paced) are paced."""
     return beats.groupBy("record_id").agg((F.count_if("paced") * 2 > F.count(F.lit(1))).alias("group_paced"))
 
 
+@_of_finite
 def capture_alignment(spikes: DataFrame, facts: DataFrame) -> DataFrame:
     """facts (record_id, paced, supports_routing: null where the evidence wasn't assessed) with confirmed, action and reason; spikes (record_id, offset_ms) are those next to a QRS complex."""
     near = spikes.groupBy("record_id").agg(F.count("offset_ms").alias("n"), median(F.abs("offset_ms")).alias("median_offset"))
@@ -86,6 +108,7 @@ def capture_alignment(spikes: DataFrame, facts: DataFrame) -> DataFrame:
     return x.withColumns({"n_aligned_spikes": F.coalesce("n", F.lit(0)), "action": action, "reason": reason}).drop("n", "median_offset")
 
 
+@_of_finite
 def group_widths(groups: DataFrame) -> DataFrame:
     """record_id with dominant_ms (QRS duration of the first dominant group; without one, the median of all), wide_ms (median of groups of 150 ms and more, without these of 120 ms and more) of groups of beats (record_id, grp, qrs_ms, dominant)."""
     q = F.col("qrs_ms")
@@ -94,12 +117,14 @@ def group_widths(groups: DataFrame) -> DataFrame:
     return groups.groupBy("record_id").agg(F.coalesce(first["qrs_ms"], median("qrs_ms")).alias("dominant_ms"), F.coalesce(at_least(WIDE_GROUP), at_least(WIDE_QRS)).alias("wide_ms"))
 
 
+@_of_finite
 def raw_widths(leads: DataFrame) -> DataFrame:
     """record_id, raw_ms: the median plausible QRS duration of reliable leads (record_id, qrs_ms, reliable), if two or more have one."""
     q = F.when(F.col("reliable") & F.col("qrs_ms").between(RAW_QRS_MIN, RAW_QRS_MAX), F.col("qrs_ms"))
     return leads.groupBy("record_id").agg(F.when(F.count(q) >= 2, median(q)).alias("raw_ms"))
 
 
+@_of_finite
 def pacing_like(facts: DataFrame, groups: DataFrame, leads: DataFrame) -> DataFrame:
     """facts (record_id, qrs_ms, av_dissociation, dropped_p, atrial_measurements_invalid, atrial_events_per_rr) with context, context_reason, and override_ms and override_rule: the QRS duration that takes the place of one measured too small or too large where the ventricle behaves as if paced; of three rules the first that holds."""
     x = facts.join(group_widths(groups), "record_id", "left").join(raw_widths(leads), "record_id", "left")
@@ -117,6 +142,7 @@ def pacing_like(facts: DataFrame, groups: DataFrame, leads: DataFrame) -> DataFr
     return x.drop("wide_context", "overwide_context", "dominant_ms", "wide_ms", "raw_ms")
 
 
+@_of_finite
 def pacing_effects(facts: DataFrame) -> DataFrame:
     """facts (enabled, n_spikes, state, confirmed_context, group_paced, global_paced, capture_confirmed, n_floor and n_segmented: beats with a floor of QRS duration, beats segmented as paced) with measurement_effect, segmentation_effect and measurement_state."""
     floor, group = F.col("n_floor") > 0, _flag("group_paced")
@@ -129,6 +155,7 @@ def pacing_effects(facts: DataFrame) -> DataFrame:
     return x.withColumn("measurement_state", state)
 
 
+@_of_finite
 def rr_profile(peaks: DataFrame) -> DataFrame:
     """record_id, n, median_rr, robust_cv, max_deviation of R peaks (record_id, ms): the last three null with fewer than two positive gaps."""
     w = Window.partitionBy("record_id").orderBy("ms")
@@ -140,6 +167,7 @@ def rr_profile(peaks: DataFrame) -> DataFrame:
     return out.select("record_id", "n", "median_rr", (1.4826 * F.col("mad") / F.col("median_rr")).alias("robust_cv"), (F.col("most") / F.col("median_rr")).alias("max_deviation"))
 
 
+@_of_finite
 def despiking_rescue(raw: DataFrame, cleaned: DataFrame, spikes: DataFrame, facts: DataFrame) -> DataFrame:
     """record_id, applied and the evidence: whether taking spikes out of the signal removed regular beats that these captured. raw and cleaned are R peaks (record_id, ms) before and after, spikes (record_id, ms) the spikes, facts (record_id, paced, state) the detector's verdict."""
     at = lambda name: F.round(F.col("ms") * PER_MS).cast("long").alias(name)

@@ -155,8 +155,10 @@ def associate(atrial: DataFrame, qrs: DataFrame, t_waves: DataFrame | None = Non
     an offset), whichever is nearer, then conducted first, then the earlier
     beat; else blocked. qrs: record_id, beat_id, onset, offset.
     """
-    width = 600 * PER_MS  # no way reaches further from an onset
-    near = F.explode(F.array(*(_bucket(F.col("onset"), width) + k for k in (-1, 0, 1)))).alias("_bucket")
+    width = 600 * PER_MS
+    # every stretch of time from which an event can reach the complex, however wide it is
+    first, last = F.col("onset") - PR_CONDUCTED_MS[1] * PER_MS, F.greatest("onset", "offset") + RETROGRADE_MS[1] * PER_MS
+    near = F.explode(F.sequence(_bucket(first, width), _bucket(last, width))).alias("_bucket")
     q = qrs.select(F.col("record_id").alias("_record"), F.col("beat_id").alias("qrs_beat_id"), "onset", "offset", near)
     before, after = (F.col("onset") - F.col("us")) / F.lit(3e7), (F.col("us") - F.col("offset")) / F.lit(3e7)
     ways = F.array_compact(F.array(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsequilt.functions.expressions import listed, median, rounded
@@ -135,9 +136,38 @@ def detector_agreement_f1(spark, sf):
     return x.withColumns({c: rounded(F.col(c)) for c in ("precision", "recall", "f1")})
 
 
-@query("SELECT event_id AS key, '/' || k AS pointer, json_extract_string(props, '/' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+@query("""WITH RECURSIVE d AS (SELECT event_id AS key, CAST('{"a/b~' || event_type || '":[' || user_id || ',{"v":null}],"empty":{},"none":[],"props":' || props || '}' AS JSON) AS doc FROM events),
+w AS (SELECT key, '' AS pointer, doc AS v FROM d UNION ALL SELECT key, pointer || '/' || replace(replace(m.k, '~', '~0'), '/', '~1'), json_extract(v, m.path)
+FROM (SELECT *, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'k': k, 'path': '$."' || k || '"'}) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: {'k': CAST(i AS VARCHAR), 'path': '$[' || i || ']'}) ELSE [] END) AS m FROM w))
+SELECT key, pointer, CAST(v AS VARCHAR) AS value FROM w WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY') OR CAST(v AS VARCHAR) IN ('{}', '[]')""")
 def iter_leaves(spark, sf):
-    return L.leaves(table(spark, sf, "events").select(F.col("event_id").alias("key"), F.col("props").alias("doc")))
+    """Leaves of documents with nested, empty and escaped members."""
+    doc = F.concat(F.lit('{"a/b~'), "event_type", F.lit('":['), F.col("user_id").cast("string"), F.lit(',{"v":null}],"empty":{},"none":[],"props":'), "props", F.lit("}"))
+    return L.leaves(table(spark, sf, "events").select(F.col("event_id").alias("key"), doc.alias("doc")))
+
+
+@query("""WITH e AS (SELECT * FROM orders WHERE o_orderkey % 13 <> 0), o AS (SELECT * FROM orders WHERE o_orderkey % 11 <> 0),
+c AS (SELECT coalesce(e.o_orderkey, o.o_orderkey) AS key, e.o_orderkey IS NULL OR o.o_orderkey IS NULL AS missing, coalesce(e.o_orderkey, o.o_orderkey) % 17 = 0 AS other,
+  coalesce(e.o_orderkey, o.o_orderkey) % 5 > 2 AS hr, coalesce(e.o_orderkey, o.o_orderkey) % 7 = 0 AS st, coalesce(e.o_orderkey, o.o_orderkey) % 19 = 0 AS q FROM e FULL JOIN o ON e.o_orderkey = o.o_orderkey),
+n AS (SELECT *, CASE WHEN missing OR other THEN 0 ELSE hr::INT + st::INT END AS changed, CASE WHEN missing OR other OR NOT q THEN 0 ELSE 2 END AS removed, CASE WHEN missing OR other OR NOT q THEN 0 ELSE 1 END AS added FROM c)
+SELECT key, CASE WHEN missing THEN 'missing' WHEN other THEN 'integrity_error' WHEN changed + removed + added > 0 THEN 'diff' ELSE 'pass' END AS status, CASE WHEN NOT missing AND other THEN 'adapter,fs' ELSE '' END AS mismatches, CAST(changed AS BIGINT) AS changed, CAST(removed AS BIGINT) AS removed, CAST(added AS BIGINT) AS added FROM n""")
+def compare_case(spark, sf):
+    """Documents of orders in two runs: rates may differ by 2, some inputs, members and cases differ."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders")
+    hr = F.floor("o_totalprice").cast("long")
+
+    def case(rows: DataFrame, adapter: Column, fs: Column, rate: Column, status: Column, rest: Column) -> DataFrame:
+        doc = F.concat(F.lit('{"hr":'), rate.cast("string"), F.lit(',"status":"'), status, F.lit('",'), rest, F.lit("}"))
+        return rows.select(k.alias("key"), adapter.alias("adapter"), fs.alias("fs"), F.lit(None).cast("string").alias("window"), doc.alias("doc"))
+
+    expected = case(o.where("o_orderkey % 13 <> 0"), F.lit("a"), F.lit(500), hr, F.col("o_orderstatus"), F.lit('"q":[1,{"x/y":[]}]'))
+    rest = F.when(k % 19 == 0, '"q":[]').otherwise('"q":[1,{"x/y":[]}]')
+    other = k % 17 == 0
+    observed = case(o.where("o_orderkey % 11 <> 0"), F.when(other, "b").otherwise("a"), F.when(other, 250).otherwise(500), hr + k % 5, F.when(k % 7 == 0, "X").otherwise(F.col("o_orderstatus")), rest)
+    tolerances = spark.createDataFrame([("^/hr$", 2.0), ("^/h", 3.0)], "pattern string, at_most double")
+    x = L.compare_cases(expected, observed, tolerances, ("adapter", "fs", "window"))
+    return x.withColumn("mismatches", listed(F.col("mismatches")))
 
 
 @query(MARKS_SQL + ", p AS (SELECT record_id, beat_id, median(amp) + 60 AS seg FROM beats GROUP BY ALL) SELECT record_id, round(median(seg) FILTER (seg BETWEEN 0 AND 200), 4) AS pr_segment_ms, count(*) FILTER (seg BETWEEN 0 AND 200) AS n FROM p GROUP BY record_id")

@@ -1,9 +1,7 @@
-"""Signal queries: a generated recording for each supplier, and kernels on it."""
+"""Signal queries: the vectors of ``embeddings``, put end to end, are the leads of recordings."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,28 +12,25 @@ from pulsequilt.sources import signals as S
 from pulsequilt.sources.adapters import table, waveforms
 
 
+#: Vectors of 64 samples in a recording (half of them a lead, in turns), and its rate.
+RECORD_VECTORS, RATE = 80, 250.0
+
+
 def recordings(spark, sf) -> DataFrame:
-    """record_id, lead (I, II), fs, samples: a recording for each supplier, so their number grows with the tables."""
-    n = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("record_id"), (0.6 + F.col("s_suppkey") % 25 * 0.02).alias("rr_s"))
-    return S.generated(n.repartition("record_id"))
+    """record_id, lead (I, II), fs, samples: 40 vectors a lead in order of vec_id, ten seconds; recordings grow in number with the table. One shuffle by record and lead."""
+    v = F.col("vec_id")
+    e = table(spark, sf, "embeddings").select(F.floor(v / RECORD_VECTORS).cast("long").alias("record_id"), F.when(v % 2 == 0, "I").otherwise("II").alias("lead"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    joined = e.groupBy("record_id", "lead").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("parts"))
+    return joined.select("record_id", "lead", F.lit(RATE).alias("fs"), F.flatten(F.transform("parts", lambda p: p["x"])).alias("samples"))
 
 
 def limbs(spark, sf) -> DataFrame:
     return S.limb_leads(S.pairs_of(recordings(spark, sf)))
 
 
-def real(spark, sf) -> DataFrame:
-    """Limb leads of recordings with drift, hum, noise and flat stretches."""
-    return S.limb_leads(S.pairs_of(S.disturbed(recordings(spark, sf))))
-
-
-def _lead_sql(angle: float) -> str:
-    terms = [f"{amp * math.cos(math.radians(d - angle))!r} * exp(-0.5 * ((ph - {s} - ({o})) / {w}) ** 2)" for o, w, amp, d in S.WAVES for s in ("0", "rr")]
-    return " + ".join(terms)
-
-
-SIGNALS_SQL = f"""WITH n AS (SELECT CAST(s_suppkey AS BIGINT) AS record_id, 0.6 + s_suppkey % 25 * CAST(0.02 AS DOUBLE) AS rr FROM supplier), t AS (SELECT record_id, i, rr, (i / 250.0 - 0.5) - rr * floor((i / 250.0 - 0.5) / rr) AS ph FROM n, range(2500) r(i)),
-s AS (SELECT record_id, i, {_lead_sql(0.0)} AS one, {_lead_sql(60.0)} AS two FROM t),
+SIGNALS_SQL = f"""WITH e AS (SELECT vec_id // {RECORD_VECTORS} AS record_id, vec_id % 2 AS two, embedding, row_number() OVER (PARTITION BY vec_id // {RECORD_VECTORS}, vec_id % 2 ORDER BY vec_id) - 1 AS k FROM embeddings),
+t AS (SELECT record_id, two, k * 64 + j - 1 AS i, CAST(embedding[j] AS DOUBLE) AS x FROM e, range(1, 65) r(j)),
+s AS (SELECT record_id, i, max(x) FILTER (two = 0) AS one, max(x) FILTER (two = 1) AS two FROM t GROUP BY ALL),
 l AS (SELECT record_id, i, unnest(['I', 'II', 'III', 'aVR', 'aVL', 'aVF']) AS lead, unnest([one, two, two - one, -(one + two) / 2, one - two / 2, two - one / 2]) AS x FROM s)
 """
 
@@ -73,33 +68,33 @@ def validate_prepare(spark, sf):
     return S.checked(x).select("record_id", "lead", "error_code")
 
 
-@query(SIGNALS_SQL + ", q AS (SELECT record_id, floor(i / 250.0) AS second, max(one) - min(one) AS span FROM s GROUP BY ALL) SELECT record_id, round(avg(CASE WHEN span < 1.4 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS flatline_fraction FROM q GROUP BY record_id")
+@query(SIGNALS_SQL + ", q AS (SELECT record_id, floor(i / 250.0) AS second, max(one) - min(one) AS span FROM s GROUP BY ALL) SELECT record_id, round(avg(CASE WHEN span < 0.75 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS flatline_fraction FROM q GROUP BY record_id")
 def flatline_fraction(spark, sf):
     """The share of seconds of lead I whose range is small."""
     x = recordings(spark, sf).where("lead = 'I'").select("record_id", F.posexplode("samples")).groupBy("record_id", F.floor(F.col("pos") / 250.0).alias("second")).agg((F.max("col") - F.min("col")).alias("span"))
-    return x.groupBy("record_id").agg(rounded(F.avg(F.when(F.col("span") < 1.4, 1.0).otherwise(0.0))).alias("flatline_fraction"))
+    return x.groupBy("record_id").agg(rounded(F.avg(F.when(F.col("span") < 0.75, 1.0).otherwise(0.0))).alias("flatline_fraction"))
 
 
 @query()
 def filters(spark, sf):
     """Band-passed and notched leads: their range and energy."""
     s = F.col("samples")
-    return K.filtered(real(spark, sf)).select("record_id", "lead", rounded(F.array_max(s) - F.array_min(s), 4).alias("span"), rounded(total(s, lambda v: v * v), 4).alias("energy"))
+    return K.filtered(limbs(spark, sf)).select("record_id", "lead", rounded(F.array_max(s) - F.array_min(s), 4).alias("span"), rounded(total(s, lambda v: v * v), 4).alias("energy"))
 
 
 @query()
 def qrs_detect(spark, sf):
-    return K.detected(real(spark, sf))
+    return K.detected(limbs(spark, sf))
 
 
 @query()
 def delineation(spark, sf):
-    return K.delineated(real(spark, sf))
+    return K.delineated(limbs(spark, sf))
 
 
 @query()
 def quality_full(spark, sf):
-    return K.signal_quality(real(spark, sf)).withColumn("flags", F.array_join("flags", ","))
+    return K.signal_quality(limbs(spark, sf)).withColumn("flags", F.array_join("flags", ","))
 
 
 #: Beats of a record of clustering: records grow in number with the table, not in size.

@@ -45,12 +45,17 @@ def _sweep() -> None:
             store.delete_dir(local)
 
 
+def swept_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one that is deleted when Python ends."""
+    _stored.append(shared_folder(spark))
+    return _stored[-1]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df as a table in the shared folder: lineage ends there, and it is there when an executor is lost."""
-    spark = df.sparkSession
-    _stored.append(shared_folder(spark))
-    df.write.parquet(_stored[-1])
-    return spark.read.schema(df.schema).parquet(_stored[-1])
+    path = swept_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +78,15 @@ beats AS (SELECT *, row_number() OVER w - 1 AS beat_id, (us - lag(us) OVER w) /
 """
 
 
+#: Vectors whose labels make groups of their own.
+GROUP_RANGE = 1000
+
+
 def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """beat_id, group_id, samples (array of double): embeddings as beat windows of 64 samples."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("beat_id"), F.col("label").alias("group_id"), F.col("embedding").cast("array<double>").alias("samples"))
+    """beat_id, group_id, samples (array of double): embeddings as beat windows of 64 samples; groups are labels within ranges of vec_id, so they grow in number with the table, not in size."""
+    group = F.col("label") + 10 * F.floor(F.col("vec_id") / GROUP_RANGE)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("beat_id"), group.cast("long").alias("group_id"), F.col("embedding").cast("array<double>").alias("samples"))
 
 
-WAVES_SQL = """WITH waves AS (SELECT vec_id AS beat_id, label AS group_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS samples FROM embeddings)
+WAVES_SQL = f"""WITH waves AS (SELECT vec_id AS beat_id, CAST(label + 10 * (vec_id // {GROUP_RANGE}) AS BIGINT) AS group_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS samples FROM embeddings)
 """

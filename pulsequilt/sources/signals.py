@@ -31,6 +31,7 @@ def generated(records: DataFrame, fs: int = 250, seconds: int = 10) -> DataFrame
         return out
 
     n = fs * seconds
+    records = records.repartition(records.sparkSession.sparkContext.defaultParallelism, "record_id")  # rows are small and each is much work
     made = [records.select("record_id", F.lit(lead).alias("lead"), F.lit(float(fs)).alias("fs"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: value(i / F.lit(float(fs)), F.col("rr_s"), ANGLES[lead])).alias("samples")) for lead in ("I", "II")]  # noqa: B023
     return made[0].unionByName(made[1])
 
@@ -139,8 +140,12 @@ def decode_file(content: bytes, signals: list[dict], n_samples: int) -> np.ndarr
     return (x - column(lambda s: s["baseline"])) / column(lambda s: s["gain"]) * column(lambda s: UNITS[s["unit"]])
 
 
+#: Bytes of files that one partition reads, about.
+PARTITION_BYTES = 64 << 20
+
+
 class WaveformReader(DataSourceReader):
-    """Signals of the files that headers name; one partition a record."""
+    """Signals of the files that headers name; a partition is a number of records, by the bytes of the files that share their names."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -149,15 +154,32 @@ class WaveformReader(DataSourceReader):
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        return [InputPartition(x.path) for x in store.get_file_info(fs.FileSelector(base)) if x.path.endswith(".hea")]
+        files = [x for x in store.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.File]
+        sizes: dict[str, int] = {}
+        for x in files:
+            stem = x.path.rsplit(".", 1)[0]
+            sizes[stem] = sizes.get(stem, 0) + (x.size or 0)
+        groups, held = [], PARTITION_BYTES
+        for x in sorted(x.path for x in files if x.path.endswith(".hea")):
+            if held >= PARTITION_BYTES:
+                groups.append([])
+                held = 0
+            groups[-1].append(x)
+            held += sizes[x.removesuffix(".hea")]
+        return [InputPartition(g) for g in groups]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from pyarrow import fs
 
         store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
-        with store.open_input_file(partition.value) as f:
+        for path in partition.value:
+            yield from self.record(store, path)
+
+    def record(self, store, path: str) -> Iterator[tuple]:
+        """The signals of one header."""
+        with store.open_input_file(path) as f:
             head = parse_header(f.read().decode())
-        folder = partition.value.rsplit("/", 1)[0]
+        folder = path.rsplit("/", 1)[0]
         for name in dict.fromkeys(s["file"] for s in head["signals"]):
             own = [s for s in head["signals"] if s["file"] == name]
             with store.open_input_file(f"{folder}/{name}") as f:

@@ -53,7 +53,7 @@ def running_intervals(beats: DataFrame, late: str = "1 hour", idle_ms: int = 86_
             last = t
         state.update((last, n, mean, m2))
         state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"record_id": [key[0]], "n_rr": [n], "mean_rr_ms": [mean], "sd_rr_ms": [(m2 / (n - 1)) ** 0.5 if n > 1 else None]})
+        yield pd.DataFrame({"record_id": [key[0]], "n_rr": [n], "mean_rr_ms": [mean], "sd_rr_ms": [(m2 / (n - 1)) ** 0.5 if n > 1 else float("nan")]})
 
     timed = beats.withWatermark("ts", late)
     return timed.groupBy("record_id").applyInPandasWithState(step, "record_id long, n_rr long, mean_rr_ms double, sd_rr_ms double", "last long, n long, mean double, m2 double", "update", GroupStateTimeout.EventTimeTimeout)

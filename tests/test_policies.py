@@ -21,3 +21,8 @@ def test_soft_reasons_withhold_pr_only_with_support(spark):
     assert [got[k].pr_available for k in range(6)] == [True, False, False, True, False, True]
     assert [got[k].p_axis_available for k in range(6)] == [False, False, False, False, True, True]
     assert got[0].pr_soft_reasons == ["av_dissociation"] and got[1].pr_soft_reasons == [] and got[3].reasons == ["af_afl_indeterminate"]
+
+
+def test_numbers_that_are_not_finite_count_as_missing(spark):
+    rows = spark.createDataFrame([(float("nan"), 1.0, 1), (float("inf"), None, 2), (120.0, -float("inf"), 3)], "a double, b double, n int")
+    assert [tuple(r) for r in P.finite(rows).collect()] == [(None, 1.0, 1), (None, None, 2), (120.0, None, 3)]

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pulsequilt.functions.expressions import escape_token, unescape_token
+from pulsequilt.operators import leads
 from pulsequilt.operators import records as D
 from pulsequilt.operators import rhythm as R
 from pulsequilt.operators.leads import agreement
@@ -65,3 +66,31 @@ def test_peaks_match_one_to_one_in_order(spark):
     got = {row.record_id: row for row in agreement(spark.createDataFrame(sorted(xs), "record_id long, x double"), spark.createDataFrame(sorted(ys), "record_id long, y double"), 10.0).collect()}
     assert {k: row.matched for k, row in got.items()} == want and want[0] == 2
     assert (got[0].precision, got[0].recall, got[0].f1) == (1.0, 1.0, 1.0) and got[2].f1 == 0.0
+
+
+def test_leaves_at_any_depth_by_hand(spark):
+    deep = "[" * 400 + "1" + "]" * 400
+    rows = [(1, '{"a":{"b":1},"c":[1,{"d~/":null}],"e":{},"f":[],"":"é"}'), (2, "3.5"), (3, "{}"), (4, None), (5, "{no"), (6, deep), (7, '{"k":1,"k":2}')]
+    got = {}
+    for r in leads.leaves(spark.createDataFrame(rows, "key long, doc string")).collect():
+        got.setdefault(r.key, []).append((r.pointer, r.value))
+    assert got[1] == [("/a/b", "1"), ("/c/0", "1"), ("/c/1/d~0~1", "null"), ("/e", "{}"), ("/f", "[]"), ("/", '"é"')]
+    assert got[2] == [("", "3.5")] and got[3] == [("", "{}")] and got[7] == [("/k", "2")]
+    assert got[6] == [("/0" * 400, "1")] and 4 not in got and 5 not in got
+
+
+def test_cases_by_hand(spark):
+    side = lambda rows: spark.createDataFrame(rows, "key string, fs int, window string, doc string")
+    before = side([("same", 500, None, '{"a":1,"b":[1,2]}'), ("near", 500, None, '{"a":1.0}'), ("far", 500, None, '{"a":1.0,"t":"x","n":null}'), ("input", 500, None, '{"a":1}'), ("gone", 500, None, "{}"), ("moved", 500, "w", '{"b":[1,2]}')])
+    after = side([("same", 500, None, '{"b":[1,2],"a":1}'), ("near", 500, None, '{"a":1.5}'), ("far", 500, None, '{"a":2.0,"t":"y","n":1}'), ("input", 250, "w", '{"a":9}'), ("new", 500, None, "{}"), ("moved", 500, "w", '{"b":[1],"c":{}}')])
+    tolerances = spark.createDataFrame([("^/a$", 0.5), ("^/", 0.1)], "pattern string, at_most double")
+    # the least tolerance of those that match holds
+    got = {r.key: (r.status, r.mismatches, r.changed, r.removed, r.added) for r in leads.compare_cases(before, after, tolerances.where("at_most = 0.5"), ("fs", "window")).collect()}
+    assert got == {"same": ("pass", [], 0, 0, 0), "near": ("pass", [], 0, 0, 0), "far": ("diff", [], 3, 0, 0), "input": ("integrity_error", ["fs", "window"], 0, 0, 0), "gone": ("missing", [], 0, 0, 0), "new": ("missing", [], 0, 0, 0), "moved": ("diff", [], 0, 1, 1)}
+    assert {r.key: r.status for r in leads.compare_cases(before, after, tolerances, ("fs", "window")).collect()}["near"] == "diff"
+
+
+def test_null_peaks_match_nothing(spark):
+    a = spark.createDataFrame([(1, 5.0), (1, None), (2, None)], "record_id long, x double")
+    b = spark.createDataFrame([(1, None), (1, 6.0), (1, 4.0), (1, 4.0)], "record_id long, y double")
+    assert [tuple(r) for r in leads.one_to_one(a, b, 2.0).collect()] == [(1, 5.0, 4.0, 1.0)]
