@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsequilt.functions import dsp
+from pulsequilt.functions import dsp, quality
 
 
 def records(signals: DataFrame) -> DataFrame:
@@ -99,6 +99,17 @@ def signal_quality(signals: DataFrame, mains: float = 50.0) -> DataFrame:
     return per_record(records(signals), kernel, "record_id long, lead string, drift double, muscle double, mains double, psqi double, flags array<string>")
 
 
+def lead_scores(signals: DataFrame, mains: float = 50.0, full_scale_mv: float | None = None) -> DataFrame:
+    """record_id, lead and all quality scores of each lead; lead by lead, so nothing is shuffled."""
+    names = ("baseline_wander", "muscle_noise", "powerline", "clipping", "flat_std", "flat_fraction", "saturation_fraction", "p_sqi", "k_sqi", "b_sqi")
+    rows = signals.select("record_id", "fs", F.array("lead").alias("leads"), F.array(F.col("samples").cast("array<double>")).alias("samples")).where(F.size(F.element_at("samples", 1)) > 1)
+
+    def kernel(record_id, fs, leads, x):
+        return [{"record_id": record_id, "lead": leads[0], **quality.scores(x[0], fs, mains, full_scale_mv)}]
+
+    return per_record(rows, kernel, "record_id long, lead string, " + ", ".join(f"{n} double" for n in names))
+
+
 def clustered(waves: DataFrame) -> DataFrame:
     """beat_id, group: online clustering of each record's windows in beat order, groups by falling size; waves: record_id, beat_id, samples. Windows stream through a task, which holds a record's prototypes alone."""
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from pulsequilt.functions.expressions import centred, dot, median, reasons, total, unit
 
+#: Fixed values of leads: limits of scores, and the stricter ones of P and T waves.
+FLAT_FRACTION, FLAT_STD, SATURATION, DRIFT, MAINS, MUSCLE, CLIPPING = 0.10, 0.02, 0.005, 0.30, 0.15, 0.40, 0.05
+PSQI, KSQI, BSQI = (0.40, 0.90), 5.0, 0.85
+WAVE_MUSCLE, QRS_MAINS, T_DRIFT, T_MAINS = 0.30, 0.20, 0.25, 0.12
 # Fixed values of the record gate.
 LEAST_LEADS, ALL_LEADS, STOP_BSQI = 6, 10, 0.70
 
@@ -75,3 +79,40 @@ def duplicates(waves: DataFrame, by: str, least_r: float = 0.9995, coordinates:
     for k in range(coordinates):
         same &= F.col(f"c{k}") == F.col(f"_c{k}")
     return seek.join(home, same).withColumn("r", dot(F.col("u"), F.col("v"))).where(F.abs("r") >= least_r).select(by, "beat_id", "other_id", "r")
+
+
+def lead_grades(scores: DataFrame) -> DataFrame:
+    """scores with missing, flags, reliable, reliable_for_p, reliable_for_qrs, reliable_for_t, reliable_for_qt and grade (Q0 to Q3).
+
+    scores: baseline_wander, muscle_noise, powerline, clipping, flat_std, flat_fraction,
+    saturation_fraction (null where the full scale is unknown), p_sqi, k_sqi, b_sqi. A
+    score that is null or not finite breaks the limits that it is held against, but for saturation.
+    """
+    c = lambda n: F.when(F.abs(n) < float("inf"), F.col(n))
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    drift, muscle, mains, beats = c("baseline_wander"), c("muscle_noise"), c("powerline"), sure(c("b_sqi") >= STOP_BSQI)
+    missing = ~sure((c("flat_fraction") <= FLAT_FRACTION) | (c("flat_std") >= FLAT_STD))
+    saturated = sure(c("saturation_fraction") > SATURATION)
+    flags = [
+        (~sure(drift <= DRIFT), "baseline_wander"),
+        (~sure(muscle <= MUSCLE), "muscle_noise"),
+        (~sure(mains <= MAINS), "powerline_noise"),
+        (saturated, "saturation"),
+        (~saturated & ~sure(c("clipping") <= CLIPPING), "clipping"),
+        (missing, "missing_or_flat"),
+        (~sure(c("p_sqi").between(*PSQI)), "psqi_out_of_range"),
+        (~sure(c("k_sqi") >= KSQI), "low_kurtosis"),
+        (~sure(c("b_sqi") >= BSQI), "low_bsqi"),
+    ]
+    usable = ~missing & ~saturated & beats
+    x = scores.withColumns({
+        "missing": missing,
+        "flags": F.array_compact(F.array(*(F.when(bad, name) for bad, name in flags))),
+        "reliable": usable & sure(drift <= DRIFT) & sure(muscle <= MUSCLE),
+        "reliable_for_p": usable & sure(drift <= DRIFT) & sure(muscle < WAVE_MUSCLE) & sure(mains <= MAINS),
+        "reliable_for_qrs": usable & sure(muscle <= MUSCLE) & sure(mains <= QRS_MAINS),
+        "reliable_for_t": usable & sure(drift < T_DRIFT) & sure(muscle < WAVE_MUSCLE) & sure(mains < T_MAINS) & sure(c("flat_std") > FLAT_STD),
+    })
+    x = x.withColumn("reliable_for_qt", F.col("reliable_for_t") & F.col("reliable_for_qrs"))
+    grade = F.when(F.col("missing") | ~F.col("reliable_for_qrs"), "Q3").when(~F.col("reliable_for_p") | ~F.col("reliable_for_qt"), "Q2").when((F.size("flags") > 0) | ~F.col("reliable"), "Q1").otherwise("Q0")
+    return x.withColumn("grade", grade)

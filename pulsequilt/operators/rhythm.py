@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pulsequilt.functions.expressions import median, reasons
 
 # Fixed values of the rhythm rules.
+WIDE_QRS_MS = 120.0
 PAUSE_RATIO, MOBITZ_INCREMENT_MS, MOBITZ_SPREAD_MS = 1.4, 10.0, 20.0
 CAPTURE_MS, PR_CONDUCTED_MS, RETROGRADE_MS = 160.0, (60.0, 280.0), (0.0, 240.0)
 ORGANIZED_PR_MS, ORGANIZED_RADIUS_MS, ATRIAL_CONFIDENCE = (80.0, 320.0), 30.0, 0.30
@@ -234,3 +235,42 @@ def longest_runs(beats: DataFrame, by: str = "kind") -> DataFrame:
     same = Window.partitionBy("record_id", by).orderBy("beat_id")
     runs = beats.withColumn("_run", F.col("beat_id") - F.row_number().over(same)).groupBy("record_id", by, "_run").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy("record_id", by).agg(F.max("n").alias("longest_run"))
+
+
+def av_block(series: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pauses and second-degree block of records as one decision; series: record_id, idx (from 0, no gaps), rr, pr, atrial (atrial events in the interval); facts: record_id, qrs_ms.
+
+    A dropped P wave is an interval without PR, with several atrial events and over 1.4 median
+    intervals long, where other intervals have one event or none. The first drop that tells
+    Mobitz I or II decides; drops before it tell the general block, as does a long interval
+    with several events but with a PR. Intervals that are not positive are left out before
+    they are counted, so the k-th event count stands beside the k-th interval that is left.
+    """
+    w = by_record().orderBy("idx")
+    rr = series.where((F.col("rr") > 0) & (F.col("rr") < float("inf"))).select("record_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col("rr").alias("rr_at"))
+    base = rr.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_rr"), median("rr_at").alias("baseline_rr_ms"), F.max("rr_at").alias("longest")).withColumn("threshold_ms", F.col("baseline_rr_ms") * PAUSE_RATIO)
+    around = {f"{n}{k}": f("pr", k).over(w) for n, f in (("before", F.lag), ("after", F.lead)) for k in (1, 2)}
+    x = series.select("record_id", F.col("idx").cast("long").alias("idx"), F.when(F.abs("pr") < float("inf"), F.col("pr")).alias("pr"), F.coalesce("atrial", F.lit(0)).alias("atrial"))
+    x = second_degree_type(x.withColumns(around)).join(rr, ["record_id", "idx"], "left")
+    counts = x.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("atrial") > 1).alias("n_excess"), F.count_if(F.col("atrial") == 2).alias("n_two"), F.max("atrial").alias("atrial_max"))
+    facts = counts.join(base, "record_id", "left").join(facts.select("record_id", F.when(F.abs("qrs_ms") < float("inf"), F.col("qrs_ms")).alias("qrs_ms")), "record_id", "left")
+    local = (F.col("n_excess") > 0) & (F.col("n_excess") < F.col("n"))
+    long = x.join(facts.where(local).select("record_id", "threshold_ms"), "record_id").where((F.col("atrial") > 1) & (F.col("rr_at") > F.col("threshold_ms")))
+    first = long.groupBy("record_id").agg(
+        F.min(F.when(F.col("pr").isNull() & F.col("av_block").startswith("mobitz"), F.struct("idx", "av_block"))).alias("mobitz"),
+        F.array_sort(F.collect_list(F.when(F.col("pr").isNull(), F.col("idx")))).alias("drops"),
+        F.min("idx").alias("any_long"),
+    )
+    x = facts.join(first, "record_id", "left")
+    told = F.filter("drops", lambda i: F.col("mobitz").isNull() | (i <= F.col("mobitz.idx")))
+    dropped = F.when(F.size(told) > 0, told).when(F.col("any_long").isNotNull(), F.array("any_long")).otherwise(F.array().cast("array<long>"))
+    block = F.when(F.col("mobitz").isNotNull(), F.col("mobitz.av_block")).when(F.col("any_long").isNotNull(), "second_degree_av_block")
+    paused = F.coalesce((F.col("n_rr") >= 3) & (F.col("longest") > F.col("threshold_ms")), F.lit(False))
+    wide = F.coalesce(F.col("qrs_ms") >= WIDE_QRS_MS, F.lit(False))
+    two = (F.col("n") >= 3) & (F.col("n_two") == F.col("n"))
+    hint = (
+        F.when(block == "mobitz_ii", F.when(wide, "infranodal_suspected").otherwise("infranodal_probable"))
+        .when(block == "mobitz_i", F.when(F.col("qrs_ms") < WIDE_QRS_MS, "av_nodal_probable").otherwise("indeterminate"))
+        .when(two, F.when(wide, "infranodal_suspected").otherwise("indeterminate"))
+    )
+    return x.select("record_id", paused.alias("pauses_detected"), F.when(paused, F.round("longest", 1)).alias("pause_longest_ms"), "baseline_rr_ms", "threshold_ms", block.alias("second_degree_avb"), dropped.alias("dropped"), two.alias("two_to_one"), hint.alias("block_level_hint"), F.when(paused, F.when(wide, "ventricular").otherwise("supraventricular")).alias("escape_origin"), "atrial_max")

@@ -9,7 +9,7 @@ from pulsequilt.functions.expressions import listed, median, rounded
 from pulsequilt.operators import quality as Q
 from pulsequilt.plans.registry import query
 from pulsequilt.plans.rhythm import published
-from pulsequilt.sources.adapters import MARKS_SQL, WAVES_SQL, beats, marks, waveforms
+from pulsequilt.sources.adapters import MARKS_SQL, WAVES_SQL, beats, marks, table, waveforms
 
 STATS_SQL = WAVES_SQL + """, a AS (SELECT beat_id, group_id, samples, list_sum(samples) / 64 AS mean FROM waves),
 m AS (SELECT *, list_sum(list_transform(samples, lambda x: (x - mean) ** 2)) / 64 AS m2, list_sum(list_transform(samples, lambda x: (x - mean) ** 4)) / 64 AS m4, len(list_filter(list_zip(samples[2:], samples[:63]), lambda p: abs(p[1] - p[2]) <= 1e-8)) / 63 AS clipping FROM a)
@@ -90,3 +90,20 @@ def duplicate_channels(spark, sf):
 def saturation_flatness(spark, sf):
     """Share of samples at 95 % of full scale, and whether a lead's whole range is small."""
     return marks(spark, sf).groupBy("record_id", "kind").agg(rounded(F.avg(F.when(F.col("amp") >= 95.0, 1.0).otherwise(0.0))).alias("saturation"), rounded(F.max("amp") - F.min("amp"), 4).alias("span"), ((F.max("amp") - F.min("amp")) < 60).alias("flat"))
+
+
+_SCORES = ("baseline_wander", "muscle_noise", "powerline", "clipping", "flat_std", "flat_fraction", "saturation_fraction", "p_sqi", "k_sqi", "b_sqi")
+_PARTS = ("l_partkey % 41 / 100", "l_suppkey % 50 / 100", "l_orderkey % 23 / 100", "l_partkey % 11 / 100", "l_suppkey % 13 / 200", "l_orderkey % 14 / 100", "CASE WHEN l_suppkey % 3 > 0 THEN l_partkey % 7 / 1000 END", "0.3 + l_orderkey % 70 / 100", "3 + l_suppkey % 30", "0.6 + l_partkey % 40 / 100")
+
+
+@query(f"""WITH s AS (SELECT l_orderkey AS record_id, l_linenumber AS lead, {", ".join(f"CAST({p} AS DOUBLE) AS {n}" for n, p in zip(_SCORES, _PARTS))} FROM lineitem),
+m AS (SELECT *, flat_fraction > 0.10 AND flat_std < 0.02 AS missing, coalesce(saturation_fraction > 0.005, false) AS sat FROM s),
+r AS (SELECT *, concat_ws(',', CASE WHEN baseline_wander > 0.30 THEN 'baseline_wander' END, CASE WHEN muscle_noise > 0.40 THEN 'muscle_noise' END, CASE WHEN powerline > 0.15 THEN 'powerline_noise' END, CASE WHEN sat THEN 'saturation' WHEN clipping > 0.05 THEN 'clipping' END, CASE WHEN missing THEN 'missing_or_flat' END, CASE WHEN p_sqi < 0.40 OR p_sqi > 0.90 THEN 'psqi_out_of_range' END, CASE WHEN k_sqi < 5 THEN 'low_kurtosis' END, CASE WHEN b_sqi < 0.85 THEN 'low_bsqi' END) AS flags,
+  NOT missing AND NOT sat AND b_sqi >= 0.70 AND baseline_wander <= 0.30 AND muscle_noise <= 0.40 AS reliable, NOT missing AND NOT sat AND b_sqi >= 0.70 AND baseline_wander <= 0.30 AND muscle_noise < 0.30 AND powerline <= 0.15 AS p,
+  NOT missing AND NOT sat AND b_sqi >= 0.70 AND muscle_noise <= 0.40 AND powerline <= 0.20 AS qrs, NOT missing AND NOT sat AND b_sqi >= 0.70 AND baseline_wander < 0.25 AND muscle_noise < 0.30 AND powerline < 0.12 AND flat_std > 0.02 AS t FROM m)
+SELECT grade, flags, count(*) AS n, count(*) FILTER (p) AS for_p, count(*) FILTER (qrs) AS for_qrs, count(*) FILTER (t) AS for_t, count(*) FILTER (t AND qrs) AS for_qt FROM (SELECT *, CASE WHEN missing OR NOT qrs THEN 'Q3' WHEN NOT p OR NOT (t AND qrs) THEN 'Q2' WHEN flags <> '' OR NOT reliable THEN 'Q1' ELSE 'Q0' END AS grade FROM r) GROUP BY ALL""")
+def lead_grades(spark, sf):
+    """Leads by grade and flags, with what they are reliable for."""
+    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("lead"), *(F.expr(f"CAST({p} AS DOUBLE)").alias(n) for n, p in zip(_SCORES, _PARTS, strict=True)))
+    g = Q.lead_grades(s).withColumn("flags", listed(F.col("flags")))
+    return g.groupBy("grade", "flags").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(f"reliable_for_{w}").alias(f"for_{w}") for w in ("p", "qrs", "t", "qt")))

@@ -233,3 +233,26 @@ def preexcitation(spark, sf):
 def association_summary(spark, sf):
     """How a record's atrial events are associated."""
     return associated(spark, sf).groupBy("record_id", "association").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("conf")).alias("mean_confidence"))
+
+
+@query(MARKS_SQL + """, s AS (SELECT record_id, beat_id - 1 AS idx, rr_prev AS rr, mark % 3 AS atrial, CASE WHEN kind = 'error' THEN NULL WHEN record_id % 3 = 0 THEN 150 + 12 * (beat_id % 4) ELSE 160 + CAST(floor(amp) AS BIGINT) % (12 + 12 * (record_id % 2)) END AS pr FROM beats WHERE beat_id > 0),
+v AS (SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY idx) - 1 AS idx, rr FROM s WHERE rr > 0),
+b AS (SELECT record_id, count(*) AS n_rr, median(rr) AS base, max(rr) AS longest, median(rr) * 1.4 AS lim FROM v GROUP BY record_id),
+c AS (SELECT record_id, count(*) AS n, count(*) FILTER (atrial > 1) AS excess, count(*) FILTER (atrial = 2) AS two, max(atrial) AS atrial_max, 90 + record_id % 60 AS qrs FROM s GROUP BY record_id),
+x AS (SELECT s.*, v.rr AS rr_at, lag(pr, 2) OVER w AS b2, lag(pr) OVER w AS b1, lead(pr) OVER w AS a1, lead(pr, 2) OVER w AS a2 FROM s LEFT JOIN v USING (record_id, idx) WINDOW w AS (PARTITION BY s.record_id ORDER BY s.idx)),
+y AS (SELECT x.*, (b2 IS NOT NULL)::INT + (b1 IS NOT NULL)::INT AS nb, (a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT AS na, greatest(b2, b1, a1, a2) - least(b2, b1, a1, a2) AS spread FROM x JOIN b USING (record_id) JOIN c USING (record_id) WHERE atrial > 1 AND rr_at > lim AND excess > 0 AND excess < n),
+t AS (SELECT *, CASE WHEN nb = 2 AND b1 - b2 >= 10 THEN 'mobitz_i' WHEN nb + na >= 2 AND ((nb >= 1 AND na >= 1) OR nb >= 2) AND spread <= 20 THEN 'mobitz_ii' ELSE 'second_degree_av_block' END AS kind FROM y),
+m AS (SELECT record_id, min(idx) FILTER (pr IS NULL AND kind <> 'second_degree_av_block') AS mob, min(idx) AS any_long, count(*) FILTER (pr IS NULL) AS n_drops FROM t GROUP BY record_id),
+d AS (SELECT record_id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS dropped, any_value(kind) FILTER (idx = mob) AS kind FROM t JOIN m USING (record_id) WHERE CASE WHEN n_drops = 0 THEN idx = any_long ELSE pr IS NULL AND (mob IS NULL OR idx <= mob) END GROUP BY record_id),
+z AS (SELECT c.record_id, n_rr >= 3 AND longest > lim AS paused, longest, base, lim, CASE WHEN d.record_id IS NOT NULL THEN coalesce(kind, 'second_degree_av_block') END AS avb, coalesce(dropped, '') AS dropped, n >= 3 AND two = n AS two_to_one, qrs, atrial_max FROM c LEFT JOIN b USING (record_id) LEFT JOIN d USING (record_id))
+SELECT record_id, paused AS pauses_detected, round(CASE WHEN paused THEN longest END, 1) AS pause_longest_ms, round(base, 4) AS baseline_rr_ms, round(lim, 4) AS threshold_ms, avb AS second_degree_avb, dropped, two_to_one,
+  CASE avb WHEN 'mobitz_ii' THEN CASE WHEN qrs >= 120 THEN 'infranodal_suspected' ELSE 'infranodal_probable' END WHEN 'mobitz_i' THEN CASE WHEN qrs < 120 THEN 'av_nodal_probable' ELSE 'indeterminate' END ELSE CASE WHEN two_to_one THEN CASE WHEN qrs >= 120 THEN 'infranodal_suspected' ELSE 'indeterminate' END END END AS block_level_hint,
+  CASE WHEN paused THEN CASE WHEN qrs >= 120 THEN 'ventricular' ELSE 'supraventricular' END END AS escape_origin, atrial_max FROM z""")
+def av_block(spark, sf):
+    """Pauses, dropped beats and the type of block of each record as one decision."""
+    k = F.col("record_id")
+    pr = F.when(F.col("kind") == "error", None).when(k % 3 == 0, 150 + 12 * (F.col("beat_id") % 4)).otherwise(160 + F.floor("amp") % (12 + 12 * (k % 2)))
+    s = beats(spark, sf).where("beat_id > 0").select("record_id", (F.col("beat_id") - 1).alias("idx"), F.col("rr_prev").alias("rr"), pr.cast("double").alias("pr"), (F.col("mark") % 3).alias("atrial"))
+    facts = s.select("record_id").distinct().withColumn("qrs_ms", 90.0 + k % 60)
+    x = R.av_block(s, facts)
+    return x.withColumns({"dropped": F.array_join(F.col("dropped").cast("array<string>"), ",")} | {c: rounded(F.col(c), 4) for c in ("baseline_rr_ms", "threshold_ms")})

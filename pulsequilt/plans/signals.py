@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsequilt.functions.expressions import centred, dot, rounded, total
 from pulsequilt.operators import kernels as K
+from pulsequilt.operators import quality as Q
 from pulsequilt.plans.registry import query
 from pulsequilt.sources import signals as S
 from pulsequilt.sources.adapters import table, waveforms
@@ -110,3 +111,18 @@ def beat_clusters(spark, sf):
 def t_fusion(spark, sf):
     m = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), (F.col("l_quantity") + 200).cast("long").alias("value"), (1.0 - F.col("l_discount") * 5).alias("weight"))
     return K.fused_t_ends(m, 500.0)
+
+
+@query(SIGNALS_SQL + """, y AS (SELECT record_id, lead, i, x FROM l WHERE x IS NOT NULL), d AS (SELECT *, abs(x - lag(x) OVER w) <= 1e-8 AS still, max(x) OVER s - min(x) OVER s < 0.05 AS flat, x - avg(x) OVER (PARTITION BY record_id, lead) AS c FROM y
+WINDOW w AS (PARTITION BY record_id, lead ORDER BY i), s AS (PARTITION BY record_id, lead ORDER BY i ROWS BETWEEN 125 PRECEDING AND 124 FOLLOWING))
+SELECT record_id, lead, round(avg(CAST(still AS INTEGER)), 6) + 0.0 AS clipping, round(sqrt(avg(c * c)), 6) AS flat_std, round(avg(CAST(flat AS INTEGER)), 6) + 0.0 AS flat_fraction, round(avg(CASE WHEN abs(x) >= 0.95 * 0.4 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS saturation_fraction, round(avg(c * c * c * c) / (avg(c * c) * avg(c * c)), 5) AS k_sqi FROM d GROUP BY record_id, lead""")
+def lead_scores(spark, sf):
+    """Scores of limb leads that need no spectrum; the full scale is 0.4 mV."""
+    x = K.lead_scores(limbs(spark, sf), full_scale_mv=0.4)
+    return x.select("record_id", "lead", *(rounded(F.col(c), 5 if c == "k_sqi" else 6).alias(c) for c in ("clipping", "flat_std", "flat_fraction", "saturation_fraction", "k_sqi")))
+
+
+@query()
+def lead_quality(spark, sf):
+    """All scores of limb leads, with flags, reliability of each wave and grade."""
+    return Q.lead_grades(K.lead_scores(limbs(spark, sf))).withColumns({"flags": F.array_join("flags", ",")} | {c: rounded(F.col(c), 5) for c in ("baseline_wander", "muscle_noise", "powerline", "p_sqi", "k_sqi", "b_sqi", "flat_std", "flat_fraction", "clipping")}).drop("saturation_fraction")
