@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsequilt.functions import atrial as A
 from pulsequilt.functions import beats as B
 from pulsequilt.functions import dsp
 from pulsequilt.functions import series as X
@@ -256,6 +257,27 @@ def flutter_facts(spectra: DataFrame) -> DataFrame:
     return x.withColumn("flutter", F.col("n_supporting") >= AGREE_LEADS)
 
 
+def p_wave_assessments(signals: DataFrame) -> DataFrame:
+    """A row a beat: record_id, beat_id, state, reason, onset, peak, offset (samples), onset_sigma_ms, offset_sigma_ms, t_rank, support (leads that tell) and per_lead (array of lead, onset, peak, offset)."""
+
+    def kernel(record_id, fs, leads, x):
+        r_at, out = dsp.qrs_peaks(x, fs), []
+        for k, w in enumerate(A.p_waves(x, fs, r_at)):
+            per_lead = [{"lead": leads[i], "onset": a, "peak": p, "offset": b} for i, a, p, b in w.pop("leads")]
+            out.append({"record_id": record_id, "beat_id": k, **w, "support": len(per_lead), "per_lead": per_lead})
+        return out
+
+    return per_record(records(signals), kernel, "record_id long, beat_id long, state string, reason string, onset long, peak long, offset long, onset_sigma_ms double, offset_sigma_ms double, t_rank long, support long, per_lead array<struct<lead:string,onset:long,peak:long,offset:long>>")
+
+
+def p_wave_summary(assessments: DataFrame) -> DataFrame:
+    """record_id, n_beats, n_present, present_share, p_samples (median duration of accepted P waves) and rise_iqr (spread of the time from onset to peak, small where the waves have one shape)."""
+    ok = F.col("state") == "P_PRESENT"
+    rise = F.when(ok, F.col("peak") - F.col("onset"))
+    x = assessments.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_beats"), F.count_if(ok).alias("n_present"), median(F.when(ok, F.col("offset") - F.col("onset"))).alias("p_samples"), (F.percentile(rise, F.lit(0.75)) - F.percentile(rise, F.lit(0.25))).alias("rise_iqr"))
+    return x.withColumn("present_share", F.col("n_present") / F.col("n_beats"))
+
+
 # ---------------------------------------------------------------- families and representatives
 
 

@@ -153,3 +153,14 @@ def lead_delays(spark, sf):
     delays = E.lead_delays(x)
     after = E.without_delays(x, delays).select("record_id", "lead", rounded(F.array_max("samples") - F.array_min("samples"), 4).alias("span"))
     return delays.join(after, ["record_id", "lead"]).withColumns({c: rounded(F.col(c), 4) for c in ("delay", "spread_ms", "raw_corr", "corr")})
+
+
+@query()
+def p_wave_assessments(spark, sf):
+    """P waves of the limb leads' beats, beat by beat."""
+    return E.p_wave_assessments(limbs(spark, sf)).drop("per_lead").withColumns({c: rounded(F.col(c), 4) for c in ("onset_sigma_ms", "offset_sigma_ms")})
+
+
+@query()
+def p_wave_summary(spark, sf):
+    return E.p_wave_summary(E.p_wave_assessments(limbs(spark, sf))).withColumn("present_share", rounded(F.col("present_share"), 5))
