@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pulsequilt.functions import atrial as A
 from pulsequilt.functions import beats as B
 from pulsequilt.functions import dsp
+from pulsequilt.functions import segments as G
 from pulsequilt.functions import series as X
 from pulsequilt.functions.expressions import median
 from pulsequilt.operators.kernels import per_record, records
@@ -278,6 +279,48 @@ def p_wave_summary(assessments: DataFrame) -> DataFrame:
     return x.withColumn("present_share", F.col("n_present") / F.col("n_beats"))
 
 
+# ---------------------------------------------------------------- QRS, ST and U
+
+_DEFLECTIONS = ("q_mv", "r_mv", "s_mv", "r_prime_mv", "s_prime_mv", "q_ms", "r_ms", "s_ms", "r_prime_ms", "s_prime_ms", "area_mv_ms")
+_ST = ("j_mv", "st20_mv", "st40_mv", "st60_mv", "st80_mv", "st_mean_mv", "st_slope")
+
+
+def wave_measures(signals: DataFrame) -> DataFrame:
+    """A row a beat and lead: deflections of QRS, ST levels and slope, the U wave (or why there is none), and the noise before QRS; levels are against the median of 20 ms before QRS."""
+
+    def kernel(record_id, fs, leads, x):
+        r_at, out = dsp.qrs_peaks(x, fs), []
+        for lead, row in zip(leads, x, strict=True):
+            marks = dsp.delineate(row, fs, r_at)
+            for k, m in enumerate(marks):
+                on, off = m["qrs_on"], m["qrs_off"]
+                before = row[max(0, on - round(0.02 * fs)) : on + 1]
+                level = float(np.median(before))
+                cap = marks[k + 1]["qrs_on"] - round(0.12 * fs) if k + 1 < len(marks) else None
+                u = G.u_wave(row, m["t_off"], level, fs, cap) if m["t_off"] is not None else {"u_peak": None, "u_mv": None, "u_on": None, "u_off": None, "u_reject": "no_t_offset"}
+                out.append({"record_id": record_id, "beat_id": k, "lead": lead, **G.qrs_deflections(row, on, off, m["r_peak"], level, fs), **G.st_levels(row, off, level, fs), **u, "noise_mv": float(X.spread(np.diff(before))) if before.size > 2 else 0.0})
+        return out
+
+    numbers = ", ".join(f"{n} double" for n in (*_DEFLECTIONS, *_ST))
+    return per_record(records(signals), kernel, f"record_id long, beat_id long, lead string, {numbers}, n_turns long, n_notches long, u_peak long, u_mv double, u_on long, u_off long, u_reject string, noise_mv double")
+
+
+#: mV a ms that make a trend, mV of curvature and sigmas of noise that make a shape, mV of a high J point.
+TREND, CURVATURE_MV, CURVATURE_SIGMAS, HIGH_J = 0.0005, 0.020, 3.0, 0.10
+
+
+def st_patterns(rows: DataFrame) -> DataFrame:
+    """rows with st_trend, st_shape and st_pattern from st_slope, j_mv, st40_mv, st80_mv, noise_mv, notched and reliable (a missing one counts as true); numbers that are not finite count as missing."""
+    c = lambda n: F.when(F.abs(n) < float("inf"), F.col(n))
+    trend = F.when(c("st_slope").isNull(), "unknown").when(c("st_slope") > TREND, "upsloping").when(c("st_slope") < -TREND, "downsloping").otherwise("horizontal")
+    bend, limit = c("st80_mv") - 2.0 * c("st40_mv") + c("j_mv"), F.greatest(F.lit(CURVATURE_MV), CURVATURE_SIGMAS * F.coalesce(c("noise_mv"), F.lit(0.0)))
+    shape = F.when(bend.isNull(), "unknown").when(bend > limit, "concave-up").when(bend < -limit, "concave-down").otherwise("straight")
+    x = rows.withColumns({"st_trend": trend, "st_shape": shape})
+    early = F.coalesce(c("j_mv") >= HIGH_J, F.lit(False)) & (F.coalesce("notched", F.lit(False)) | (F.col("st_shape") == "concave-up"))
+    pattern = F.when(~F.coalesce("reliable", F.lit(True)) | (F.col("st_trend") == "unknown"), "unknown").when(F.col("st_trend") == "downsloping", "downsloping").when(early, "j_point_elevation").when(F.col("st_trend") == "upsloping", "slow_upsloping").otherwise("horizontal")
+    return x.withColumn("st_pattern", pattern)
+
+
 # ---------------------------------------------------------------- families and representatives
 
 

@@ -10,7 +10,7 @@ from pulsequilt.operators import engine as E
 from pulsequilt.operators import kernels as K
 from pulsequilt.plans.registry import query
 from pulsequilt.plans.signals import RATE, SIGNALS_SQL, limbs, recordings
-from pulsequilt.sources.adapters import MARKS_SQL, beats, marks, waveforms
+from pulsequilt.sources.adapters import MARKS_SQL, beats, marks, table, waveforms
 
 LIMIT, VARIANCE = 0.2, 1e-3
 _V, _DT = f"CAST({VARIANCE} AS DOUBLE)", f"(1 / CAST({RATE} AS DOUBLE))"
@@ -164,3 +164,25 @@ def p_wave_assessments(spark, sf):
 @query()
 def p_wave_summary(spark, sf):
     return E.p_wave_summary(E.p_wave_assessments(limbs(spark, sf))).withColumn("present_share", rounded(F.col("present_share"), 5))
+
+
+@query()
+def wave_measures(spark, sf):
+    """QRS deflections, ST levels and pattern, and U waves of the limb leads' beats."""
+    x = E.wave_measures(limbs(spark, sf)).withColumns({"notched": F.col("n_notches") > 1, "reliable": F.lit(True)})
+    x = E.st_patterns(x)
+    return x.select(*(rounded(F.col(n), 5).alias(n) if kind == "double" else F.col(n) for n, kind in x.dtypes))
+
+
+_ST_SQL = {"slope": "CASE WHEN l_suppkey % 11 > 0 THEN CAST(l_partkey % 41 - 20 AS DOUBLE) / 10000 END", "j": "CAST(l_suppkey % 50 - 10 AS DOUBLE) / 100", "s40": "CASE WHEN l_orderkey % 13 > 0 THEN CAST(l_orderkey % 50 - 10 AS DOUBLE) / 100 END", "s80": "CAST(l_partkey % 50 - 10 AS DOUBLE) / 100", "noise": "CAST(l_suppkey % 5 AS DOUBLE) / 100"}
+
+
+@query(f"""WITH s AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _ST_SQL.items())}, l_quantity > 30 AS notched, l_tax < 0.08 AS reliable FROM lineitem),
+t AS (SELECT *, CASE WHEN slope IS NULL THEN 'unknown' WHEN slope > 0.0005 THEN 'upsloping' WHEN slope < -0.0005 THEN 'downsloping' ELSE 'horizontal' END AS st_trend, s80 - 2 * s40 + j AS bend, greatest(0.02, 3 * noise) AS lim FROM s),
+u AS (SELECT *, CASE WHEN bend IS NULL THEN 'unknown' WHEN bend > lim THEN 'concave-up' WHEN bend < -lim THEN 'concave-down' ELSE 'straight' END AS st_shape FROM t)
+SELECT st_trend, st_shape, CASE WHEN NOT reliable OR st_trend = 'unknown' THEN 'unknown' WHEN st_trend = 'downsloping' THEN 'downsloping' WHEN j >= 0.1 AND (notched OR st_shape = 'concave-up') THEN 'j_point_elevation' WHEN st_trend = 'upsloping' THEN 'slow_upsloping' ELSE 'horizontal' END AS st_pattern, count(*) AS n FROM u GROUP BY ALL""")
+def st_patterns(spark, sf):
+    """ST segments by trend, shape and named pattern."""
+    names = {"slope": "st_slope", "j": "j_mv", "s40": "st40_mv", "s80": "st80_mv", "noise": "noise_mv"}
+    x = table(spark, sf, "lineitem").select(*(F.expr(e).alias(names[n]) for n, e in _ST_SQL.items()), (F.col("l_quantity") > 30).alias("notched"), (F.col("l_tax") < 0.08).alias("reliable"))
+    return E.st_patterns(x).groupBy("st_trend", "st_shape", "st_pattern").agg(F.count(F.lit(1)).alias("n"))
