@@ -179,6 +179,67 @@ def rr_context(rr: float | None, median: float | None) -> str:
     return "short_rr" if ratio < 0.75 else "long_rr" if ratio > 1.25 else "regular_rr"
 
 
+#: Fixed values of groups: share of R's energy that ends a complex, ms that make it wide, window around R in ms, points of a template a lead, budget of groups and of wide ones, limits of likeness, weight of what is kept.
+ENERGY_SHARE, WIDE_MS, WINDOW_MS, POINTS, MOST_GROUPS, MOST_WIDE, JOIN, OUTLIER, KEEP = 0.15, 120.0, (-80, 120), 32, 5, 2, 0.88, 0.65, 0.8
+
+
+def rough_width(magnitude: np.ndarray, r: int, fs: float) -> float:
+    """The ms around R that the magnitude's energy stays above a share of that at R."""
+    low = np.flatnonzero(magnitude**2 <= max(ENERGY_SHARE * magnitude[r] ** 2, 1e-8))
+    left = int(low[low < r].max()) if (low < r).any() else 0
+    right = int(low[low > r].min()) if (low > r).any() else magnitude.size - 1
+    return (right - left) * 1000 / fs
+
+
+def template(x: np.ndarray, r: int, fs: float) -> np.ndarray:
+    """The window around R of every lead, at 32 points, centred and of unit length each."""
+    seg = x[:, max(0, int(r + WINDOW_MS[0] * fs / 1000)) : int(r + WINDOW_MS[1] * fs / 1000)]
+    if not seg.shape[1]:
+        return np.zeros(len(x) * POINTS)
+    at = np.linspace(0, seg.shape[1] - 1, POINTS)
+    out = np.stack([np.interp(at, np.arange(seg.shape[1]), row) for row in seg])
+    out = out - out.mean(axis=1, keepdims=True)
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.where(size > 0, size, 1.0)).ravel()
+
+
+def online_groups(templates: list[np.ndarray], most: int, outliers: bool = False) -> list[int]:
+    """The group (from 0) that each template joins in turn: the likest if by 0.88 or if no more may begin, else a new one. ``outliers``: what is unlike all (under 0.65) begins one beyond the budget."""
+    means: list[np.ndarray] = []
+    out = []
+    for v in templates:
+        like = [float(v @ m) / size if (size := float(np.linalg.norm(v) * np.linalg.norm(m))) >= 1e-8 else 0.0 for m in means]
+        best = int(np.argmax(like)) if like else -1
+        lone = best < 0 or (outliers and len(means) >= most and like[best] < OUTLIER)
+        if not lone and (like[best] >= JOIN or len(means) >= most):
+            means[best] = KEEP * means[best] + (1 - KEEP) * v
+            out.append(best)
+        else:
+            means.append(v)
+            out.append(len(means) - 1)
+    return out
+
+
+#: Leads that are not derived from others.
+INDEPENDENT = ("I", "II", "V1", "V2", "V3", "V4", "V5", "V6")
+
+
+def group_beats(x: np.ndarray, leads: list[str], r_at: np.ndarray, fs: float, outliers: bool = False) -> list[tuple[float, bool, int]]:
+    """Rough width (by the magnitude of independent leads, or of all where none is named so), whether it is wide, and group within narrow or wide beats, of each beat: the two kinds have budgets of their own."""
+    own = [k for k, n in enumerate(leads) if n in INDEPENDENT] or list(range(len(x)))
+    y = (x[own] - x[own].mean(axis=1, keepdims=True)) / (x[own].std(axis=1, keepdims=True) + 1e-8)
+    magnitude = np.sqrt((y * y).mean(axis=0))
+    widths = [rough_width(magnitude, int(r), fs) for r in r_at]
+    wide = [w >= WIDE_MS for w in widths]
+    n_wide = min(MOST_WIDE, MOST_GROUPS - 1) if any(wide) else 0
+    out = [0] * len(widths)
+    for kind, most in ((False, max(1, MOST_GROUPS - n_wide)), (True, n_wide)):
+        mine = [k for k, w in enumerate(wide) if w == kind]
+        for k, g in zip(mine, online_groups([template(x, int(r_at[k]), fs) for k in mine], most, outliers), strict=True):
+            out[k] = g
+    return list(zip(widths, wide, out, strict=True))
+
+
 class Families:
     """Beats join the family (of their pacing and RR context) whose running mean they are most like, if by at least the threshold; else they found one."""
 

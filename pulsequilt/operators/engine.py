@@ -324,6 +324,27 @@ def st_patterns(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- families and representatives
 
 
+def beat_groups(signals: DataFrame, paced: DataFrame | None = None, outliers: bool = False) -> DataFrame:
+    """record_id, beat_id, r_sample, width_ms, wide, paced, group_id (from 1, by falling size): narrow and wide beats grouped by shape apart, paced ones (record_id, beat_id) in a group of their own.
+
+    Ties in size go to narrow before wide groups, and then to the one that began first; paced ones come last.
+    """
+
+    def kernel(record_id, fs, leads, x):
+        r_at = dsp.qrs_peaks(x, fs)
+        return [{"record_id": record_id, "beat_id": k, "r_sample": int(r), "width_ms": w, "wide": wide, "cluster": g} for k, (r, (w, wide, g)) in enumerate(zip(r_at.tolist(), B.group_beats(x, leads, r_at, fs, outliers), strict=True))]
+
+    rows = per_record(records(signals), kernel, "record_id long, beat_id long, r_sample long, width_ms double, wide boolean, cluster long")
+    if paced is None:
+        rows = rows.withColumn("paced", F.lit(False))
+    else:
+        rows = rows.join(paced.select("record_id", "beat_id", F.lit(True).alias("paced")).distinct(), ["record_id", "beat_id"], "left").fillna(False, ["paced"])
+    key = F.when(F.col("paced"), F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("k"))).otherwise(F.struct(F.col("wide").cast("int").alias("kind"), F.col("cluster").alias("k")))
+    sized = rows.withColumn("key", key).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("record_id", "key")))
+    group = F.dense_rank().over(Window.partitionBy("record_id").orderBy(F.desc("n"), "key"))
+    return sized.select("record_id", "beat_id", "r_sample", "width_ms", "wide", "paced", group.cast("long").alias("group_id"))
+
+
 def families(windows: DataFrame, reach: int = 5, threshold: float = 0.88) -> DataFrame:
     """record_id, beat_id, family (from 1), rr_context of windows (record_id, beat_id, samples, rr_prev, paced) that join families in beat order.
 

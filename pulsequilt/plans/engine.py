@@ -186,3 +186,11 @@ def st_patterns(spark, sf):
     names = {"slope": "st_slope", "j": "j_mv", "s40": "st40_mv", "s80": "st80_mv", "noise": "noise_mv"}
     x = table(spark, sf, "lineitem").select(*(F.expr(e).alias(names[n]) for n, e in _ST_SQL.items()), (F.col("l_quantity") > 30).alias("notched"), (F.col("l_tax") < 0.08).alias("reliable"))
     return E.st_patterns(x).groupBy("st_trend", "st_shape", "st_pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def beat_groups(spark, sf):
+    """Groups of the limb leads' beats: narrow and wide apart, every seventh beat taken as paced."""
+    x = limbs(spark, sf)
+    paced = K.detected(x).where("beat_id % 7 = 3").select("record_id", "beat_id")
+    return E.beat_groups(x, paced).withColumn("width_ms", rounded(F.col("width_ms"), 4))

@@ -377,3 +377,32 @@ def test_planted_lags_are_recovered_and_undone(spark):
     back = {r.lead: np.array(r.samples) for r in E.without_delays(signals, delays).collect()}
     assert np.abs(back["V4"] - x).max() < 0.1 < np.abs(np.array(rows[11][2]) - x).max() and np.array_equal(back["I"], x)
     assert B.lead_delay(x, x, np.array([300]), FS)["delay"] is None
+
+
+def test_groups_split_by_width_shape_and_pacing(spark):
+    narrow, r_at = beats_of(rr=0.9)
+    t = np.arange(narrow.size) / FS
+    x = narrow.copy()
+    for k in (2, 5, 8):  # wide beats of another shape in place of some
+        at = r_at[k] / FS
+        inside = np.abs(t - at) < 0.2
+        x[inside] = sum(gauss(t, at + d, 0.022, 2.0) for d in (-0.06, 0.0, 0.06))[inside]
+    rows = [(1, "I", x), (1, "II", 0.8 * x), (2, "I", narrow), (2, "II", narrow)]
+    paced = spark.createDataFrame([(2, 0), (2, 1), (2, 1)], "record_id long, beat_id long")
+    got = {}
+    for r in E.beat_groups(frame(spark, rows), paced).collect():
+        got.setdefault(r.record_id, {})[r.beat_id] = r
+    one, two = got[1], got[2]
+    assert {k for k, r in one.items() if r.wide} == {2, 5, 8} and {r.group_id for k, r in one.items() if r.wide} == {2}
+    assert {r.group_id for r in one.values() if not r.wide} == {1} and min(one[k].width_ms for k in (2, 5, 8)) >= 120
+    assert {k for k, r in two.items() if r.group_id == 2} == {0, 1} == {k for k, r in two.items() if r.paced}
+    assert len(E.beat_groups(frame(spark, rows)).select("record_id", "group_id").distinct().collect()) == 3
+
+
+def test_online_groups_keep_to_their_budget():
+    r = np.random.default_rng(12)
+    v = [row / np.linalg.norm(row) for row in r.normal(size=(12, 40))]
+    assert len(set(B.online_groups(v, 3))) == 3 and len(set(B.online_groups(v, 3, outliers=True))) == 12
+    assert B.online_groups([v[0], v[0] + 0.01, v[1]], 5) == [0, 0, 1] and B.online_groups([], 5) == []
+    m = np.array([0.0, 1, 3, 10, 3, 1, 0])
+    assert B.rough_width(m, 3, 1000.0) == 2.0
