@@ -13,8 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import median
-from pulsequilt.operators.intervals import clusters
+from pulsequilt.functions.expressions import let, median
 from pulsequilt.operators.rhythm import by_record
 
 #: Fixed values, in ms, mV and shares.
@@ -49,8 +48,8 @@ def prepared(leads: DataFrame, facts: DataFrame) -> DataFrame:
     return x.withColumns({"qt_value": F.coalesce("qt_consensus", "qt"), "raw": F.when(fits_width(F.col("qt")), F.col("qt"))})
 
 
-def reliable_leads(x: DataFrame) -> DataFrame:
-    """The rows of prepared() that QT may be taken from.
+def with_reliable(x: DataFrame) -> DataFrame:
+    """prepared() with ``good``: whether QT may be taken from a lead.
 
     Strict: reliable for QT, a visible T wave, small spread, enough confidence, a valid value; of three or
     more those within 80 ms of their median, if these are two at least. A record without any has its lead of
@@ -66,14 +65,19 @@ def reliable_leads(x: DataFrame) -> DataFrame:
     first = F.row_number().over(w.orderBy(F.when(F.col("weak"), 0).otherwise(1), "qt_sd", "lead_no"))
     x = x.withColumns({"n_near": F.count_if("near").over(w), "first": first})
     kept = F.when(F.col("n_strict") == 0, F.col("weak") & (F.col("first") == 1)).when((F.col("n_strict") >= 3) & (F.col("n_near") >= 2), F.col("near")).otherwise(F.col("strict"))
-    return x.where(kept).drop("strict", "weak", "n_strict", "center", "near", "first", "n_near")
+    return x.withColumn("good", kept).drop("strict", "weak", "n_strict", "center", "near", "first", "n_near")
+
+
+def reliable_leads(x: DataFrame) -> DataFrame:
+    """The rows of prepared() that QT may be taken from."""
+    return with_reliable(x).where("good").drop("good")
 
 
 @dataclass(frozen=True)
 class Cluster:
     """A rule: the densest stretch of raw values, width ms long, of enough leads, that lies late (or early, by a negative delta) against the consensus.
 
-    Denser stretches come first, then (as ``ties`` says) greater medians, smaller spans; at last the lower one.
+    Denser stretches come first, then greater medians (unless ``by_span``), then smaller spans; at last the lower one.
     """
 
     name: str
@@ -81,7 +85,7 @@ class Cluster:
     support: int
     delta: float | None
     share: float = 0.0
-    ties: tuple[str, ...] = ("mid", "tight")
+    by_span: bool = False
 
 
 LATE = Cluster("late_cluster", 35.0, 4, 20.0, 0.5)
@@ -90,78 +94,80 @@ LOW_SUPPORT = Cluster("low_support_late", 35.0, 4, 35.0)
 LATE_CORE = Cluster("late_core", 45.0, 3, 35.0)
 WIDE_LONG = Cluster("wide_long_core", 45.0, 4, -25.0)
 RELIABLE = Cluster("reliable_cluster", 25.0, 2, -10.0, 0.6)
-PACED = Cluster("paced_low_support", 90.0, 3, None, ties=("tight",))
-
-_OUT = ("record_id", "rule", "qt_ms", "n_leads", "leads")
-
-
-def best_cluster(rows: DataFrame, rule: Cluster, least: Column | None = None) -> DataFrame:
-    """record_id, rule, qt_ms (the cluster's median), n_leads, leads (in standard order), start: of rows with raw and consensus_ms. ``least``: leads that a record needs, where it is not the rule's own."""
-    least = F.lit(rule.support) if least is None else least
-    x = rows.where("raw is not null").withColumn("total", F.count(F.lit(1)).over(by_record()))
-    c = clusters(x.withColumn("x", F.col("raw")), "x", rule.width).withColumn("tight", -F.col("span"))
-    fits = (F.col("n") >= F.greatest(least, F.ceil(F.lit(rule.share) * F.col("total")))) & (F.col("total") >= least)
-    if rule.delta is not None:
-        away = F.col("mid") - F.col("consensus_ms")
-        fits = fits & (away >= rule.delta if rule.delta > 0 else -away >= -rule.delta)
-    best = c.where(fits).groupBy("record_id").agg(F.max(F.struct("n", *rule.ties, (-F.col("raw")).alias("low"))).alias("b"))
-    best = best.select("record_id", (-F.col("b.low")).alias("start"))
-    inside = x.join(best, "record_id").where(F.col("raw").between(F.col("start"), F.col("start") + rule.width))
-    named = F.transform(F.array_sort(F.collect_list(F.struct("lead_no", "lead"))), lambda s: s["lead"])
-    return inside.groupBy("record_id", "start").agg(median("raw").alias("qt_ms"), F.count(F.lit(1)).alias("n_leads"), named.alias("leads")).select("record_id", F.lit(rule.name).alias("rule"), "qt_ms", "n_leads", "leads", "start")
+PACED = Cluster("paced_low_support", 90.0, 3, None, by_span=True)
 
 
 def _narrow_regular() -> Column:
     return F.col("consensus_ms").isNotNull() & ~is_wide() & ~_sure(F.col("rr_cv") >= IRREGULAR_CV)
 
 
-def wide_raw(reliable: DataFrame) -> DataFrame:
-    """Wide QRS: the median of two or more raw values within 40 ms, 15 ms or more behind the consensus."""
-    named = F.transform(F.array_sort(F.collect_list(F.struct("lead_no", "lead"))), lambda s: s["lead"])
-    x = reliable.where(is_wide() & F.col("consensus_ms").isNotNull() & F.col("raw").isNotNull()).groupBy("record_id", "consensus_ms").agg(median("raw").alias("qt_ms"), F.count(F.lit(1)).alias("n_leads"), (F.max("raw") - F.min("raw")).alias("spread"), named.alias("leads"))
-    return x.where((F.col("n_leads") >= 2) & (F.col("spread") <= WIDE_RAW_SPREAD) & (F.col("qt_ms") - F.col("consensus_ms") >= WIDE_RAW_DELTA)).withColumn("rule", F.lit("wide_raw")).select(*_OUT)
-
-
-def reliable_cluster(reliable: DataFrame) -> DataFrame:
-    """Two (wide QRS) or three to six reliable leads whose consensus values agree within 6 ms while most raw values lie 10 ms or more before it."""
+def _rules() -> Column:
+    """The rules that a lead may speak for, each with its limits."""
+    visible, known, conf = _sure(F.col("t") >= VISIBLE_T), F.col("consensus_ms").isNotNull(), F.col("conf")
     least = F.when(is_wide(), 2).otherwise(3)
-    w = by_record()
-    x = reliable.withColumns({"n_all": F.count(F.lit(1)).over(w), "n_consensus": F.count("qt_consensus").over(w), "apart": F.max("qt_consensus").over(w) - F.min("qt_consensus").over(w)})
-    x = x.where(F.col("consensus_ms").isNotNull() & F.col("n_all").between(least, MOST_RELIABLE) & (F.col("n_consensus") >= least) & (F.col("apart") <= CONSENSUS_SPREAD))
-    return best_cluster(x, RELIABLE, least).select(*_OUT)
+    agreed = known & F.col("n_good").between(least, MOST_RELIABLE) & (F.col("n_consensus") >= least) & (F.col("apart") <= CONSENSUS_SPREAD)
+    speaks = [
+        (LATE, F.col("good") & _narrow_regular() & ~F.col("confused") & visible & (conf >= 0.45)),
+        (TAIL, _narrow_regular() & F.col("reliable_t") & _sure(F.col("t") >= 0.02) & (conf >= 0.25) & _sure(F.col("raw") - F.col("consensus_ms") >= 40.0)),
+        (LOW_SUPPORT, _narrow_regular() & F.col("reliable_global") & F.col("reliable_qt") & ~F.col("confused") & visible & (conf >= 0.10)),
+        (LATE_CORE, _narrow_regular() & F.col("reliable_global") & _sure(F.col("t") >= 0.015) & (conf >= 0.20)),
+        (WIDE_LONG, known & is_wide() & (F.col("consensus_ms") >= 500.0) & F.col("reliable_qt") & ~F.col("confused") & _sure(F.col("t") >= 0.03) & (conf >= 0.25)),
+        (RELIABLE, F.col("good") & _sure(agreed)),
+        (PACED, is_wide() & F.col("reliable_qt") & F.col("reliable_global") & _sure(F.col("t") >= 0.03) & (conf >= 0.0)),
+    ]
+    limits = lambda r: F.struct(F.lit(r.name).alias("rule"), F.lit(r.width).alias("width"), (least if r is RELIABLE else F.lit(r.support)).alias("least"), F.lit(r.share).alias("share"), F.lit(r.delta).cast("double").alias("delta"), F.lit(r.by_span).alias("by_span"))
+    wide = F.struct(F.lit("wide_raw").alias("rule"), F.lit(0.0).alias("width"), F.lit(2).alias("least"), F.lit(0.0).alias("share"), F.lit(None).cast("double").alias("delta"), F.lit(False).alias("by_span"))
+    return F.array_compact(F.array(*(F.when(F.col("raw").isNotNull() & when, limits(r)) for r, when in speaks), F.when(F.col("raw").isNotNull() & F.col("good") & known & is_wide(), wide)))
 
 
-def tail_confirmed(x: DataFrame) -> DataFrame:
-    """Leads reliable for T whose raw values lie 40 ms or more late; small clusters must not be too late, and weak precordial ones not too small."""
-    rows = x.where(_narrow_regular() & F.col("reliable_t") & _sure(F.col("t") >= 0.02) & (F.col("conf") >= 0.25) & _sure(F.col("raw") - F.col("consensus_ms") >= 40.0))
-    best = best_cluster(rows, TAIL)
-    inside = rows.join(best.select("record_id", "start"), "record_id").where(F.col("raw").between(F.col("start"), F.col("start") + TAIL.width))
-    shape = inside.groupBy("record_id").agg(F.max(F.col("raw") - F.col("consensus_ms")).alias("latest"), F.min("t").alias("least_t"), F.bool_and(F.col("lead").startswith("V")).alias("precordial"))
-    small, mid = F.col("n_leads") < 4, F.col("qt_ms")
-    weak = small & (mid >= TAIL_PRECORDIAL_MS) & F.col("precordial") & (F.col("least_t") < TAIL_PRECORDIAL_MV)
-    wrong = (F.col("latest") < TAIL_DELTA) | small & (mid > TAIL_SMALL_MS) | (F.col("n_leads") == TAIL.support) & (mid > TAIL_PAIR_MS) | weak
-    return best.join(shape, "record_id").where(~wrong).select(*_OUT)
+def _middle(values: Column) -> Column:
+    """The median of a sorted array of leads' raw values."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int"))["raw"] + F.get(values, F.floor(n / 2).cast("int"))["raw"]) / 2
 
 
 def qt_rescues(leads: DataFrame, facts: DataFrame) -> DataFrame:
-    """record_id, rule, qt_ms, n_leads, leads: what each rule would put in the consensus's place. One shuffle by record serves leads, windows and sums."""
-    x = prepared(leads, facts)
-    good = reliable_leads(x)
-    visible, known = _sure(F.col("t") >= VISIBLE_T), F.col("consensus_ms").isNotNull()
-    parts = [
-        wide_raw(good),
-        reliable_cluster(good),
-        best_cluster(good.where(_narrow_regular() & ~F.col("confused") & visible & (F.col("conf") >= 0.45)), LATE),
-        tail_confirmed(x),
-        best_cluster(x.where(_narrow_regular() & F.col("reliable_global") & F.col("reliable_qt") & ~F.col("confused") & visible & (F.col("conf") >= 0.10)), LOW_SUPPORT),
-        best_cluster(x.where(_narrow_regular() & F.col("reliable_global") & _sure(F.col("t") >= 0.015) & (F.col("conf") >= 0.20)), LATE_CORE),
-        best_cluster(x.where(known & is_wide() & (F.col("consensus_ms") >= 500.0) & F.col("reliable_qt") & ~F.col("confused") & _sure(F.col("t") >= 0.03) & (F.col("conf") >= 0.25)), WIDE_LONG),
-        best_cluster(x.where(is_wide() & F.col("reliable_qt") & F.col("reliable_global") & _sure(F.col("t") >= 0.03) & (F.col("conf") >= 0.0)), PACED),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*_OUT))
-    return out
+    """record_id, rule, qt_ms, n_leads, leads (in standard order): what each rule would put in the consensus's place.
+
+    Leads are dealt by record once: windows tell the reliable ones, then each lead goes to the
+    rules that it may speak for, and the (at most some sixteen) leads of a record and rule are
+    held together to find the stretch. Two rules have more to say: wide_raw takes all its leads if
+    they lie within 40 ms and 15 ms late; tail_confirmed must not be too late where it has few
+    leads, nor too small in the chest.
+    """
+    w = by_record()
+    x = with_reliable(prepared(leads, facts))
+    good = F.col("good")
+    x = x.withColumns({"n_good": F.count_if(good).over(w), "n_consensus": F.count(F.when(good, F.col("qt_consensus"))).over(w), "apart": F.max(F.when(good, F.col("qt_consensus"))).over(w) - F.min(F.when(good, F.col("qt_consensus"))).over(w)})
+    told = x.select("record_id", "consensus_ms", "lead", "lead_no", "raw", "t", F.explode(_rules()).alias("r"))
+    g = told.groupBy("record_id", "r.rule").agg(F.first("r").alias("r"), F.first("consensus_ms").alias("consensus_ms"), F.array_sort(F.collect_list(F.struct("raw", "lead_no", "lead", "t"))).alias("all"))
+    within = lambda start: F.filter("all", lambda v: v["raw"].between(start, start + F.col("r.width")))
+    total = F.size("all")
+    enough = F.greatest(F.col("r.least").cast("double"), F.ceil(F.col("r.share") * total).cast("double"))
+
+    def measured(v: Column) -> Column:
+        def of(m: Column) -> Column:
+            mid, n = _middle(m), F.size(m)
+            away = mid - F.col("consensus_ms")
+            far = F.when(F.col("r.delta").isNull(), True).when(F.col("r.delta") > 0, away >= F.col("r.delta")).otherwise(-away >= -F.col("r.delta"))
+            span = F.element_at(m, -1)["raw"] - v["raw"]
+            return F.when((n >= enough) & far, F.struct(n.alias("n"), F.when(F.col("r.by_span"), 0.0).otherwise(mid).alias("mid"), (-span).alias("tight"), (-v["raw"]).alias("low")))
+
+        return let(within(v["raw"]), of)
+
+    best = F.array_max(F.array_compact(F.transform("all", measured)))
+    spread = F.element_at("all", -1)["raw"] - F.element_at("all", 1)["raw"]
+    late = _middle(F.col("all")) - F.col("consensus_ms")
+    everyone = (total >= 2) & (spread <= WIDE_RAW_SPREAD) & (late >= WIDE_RAW_DELTA)
+    best = F.when(total >= F.col("r.least"), best)
+    x = g.withColumn("members", F.when(F.col("rule") == "wide_raw", F.when(everyone, F.col("all"))).otherwise(let(best, lambda b: F.when(b.isNotNull(), within(-b["low"])))))
+    x = x.where("members is not null").withColumns({"qt_ms": _middle(F.col("members")), "n_leads": F.size("members").cast("long")})
+    small, mid = F.col("n_leads") < 4, F.col("qt_ms")
+    weak = small & (mid >= TAIL_PRECORDIAL_MS) & F.forall("members", lambda v: v["lead"].startswith("V")) & F.exists("members", lambda v: F.coalesce(v["t"] < TAIL_PRECORDIAL_MV, F.lit(True)))
+    early = F.element_at("members", -1)["raw"] - F.col("consensus_ms") < TAIL_DELTA
+    wrong = (F.col("rule") == TAIL.name) & (early | small & (mid > TAIL_SMALL_MS) | (F.col("n_leads") == TAIL.support) & (mid > TAIL_PAIR_MS) | weak)
+    named = F.transform(F.array_sort(F.transform("members", lambda v: F.struct(v["lead_no"], v["lead"]))), lambda v: v["lead"])
+    return x.where(~wrong).select("record_id", "rule", "qt_ms", "n_leads", named.alias("leads"))
 
 
 def irregular_raw_core(beat_qt: DataFrame, facts: DataFrame) -> DataFrame:
