@@ -6,7 +6,7 @@ import importlib
 
 from pulsequilt.plans import registry
 
-for _name in ("rhythm", "intervals", "fusion", "quality", "waves", "records", "documents", "leads", "policies", "signals", "engine", "rescues", "consensus", "taxis", "streams"):
+for _name in ("rhythm", "intervals", "fusion", "quality", "waves", "records", "documents", "leads", "policies", "signals", "engine", "rescues", "consensus", "taxis", "merging", "streams"):
     importlib.import_module(f"pulsequilt.plans.{_name}")
 
 

@@ -110,6 +110,19 @@ def lead_scores(signals: DataFrame, mains: float = 50.0, full_scale_mv: float |
     return per_record(rows, kernel, "record_id long, lead string, " + ", ".join(f"{n} double" for n in names))
 
 
+def mains_frequency(signals: DataFrame) -> DataFrame:
+    """record_id, mains_hz: 50 or 60, whichever has more power (the median over leads of what lies within 1 Hz); 50 where the rate can't tell (122 Hz or less) or both are alike."""
+
+    def kernel(record_id, fs, leads, x):
+        if fs <= 122:
+            return [{"record_id": record_id, "mains_hz": 50}]
+        f, p = np.fft.rfftfreq(x.shape[1], 1 / fs), np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)) ** 2
+        near = {hz: float(np.median(p[:, np.abs(f - hz) <= 1.0].sum(axis=1))) for hz in (50, 60)}
+        return [{"record_id": record_id, "mains_hz": max(near, key=near.get)}]
+
+    return per_record(records(signals), kernel, "record_id long, mains_hz int")
+
+
 def clustered(waves: DataFrame) -> DataFrame:
     """beat_id, group: online clustering of each record's windows in beat order, groups by falling size; waves: record_id, beat_id, samples. Windows stream through a task, which holds a record's prototypes alone."""
 
