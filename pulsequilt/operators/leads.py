@@ -70,6 +70,30 @@ def signed_area(area: Column, signed: Column, amp: Column, usable: Column, least
     return F.when(usable & (F.abs(amp) >= least_amp), F.coalesce(signed, area * F.signum(amp)))
 
 
+#: Fixed values of the core of beats' PR: range in ms, confidence, beats for percentiles, gap in ms and in typical gaps, beats on its sides, percentiles of all and of the lower side.
+PR_RANGE, PR_CONF, PR_BEATS, PR_GAP, PR_GAP_RATIO, PR_SIDES, PR_ALL, PR_LOWER = (120.0, 220.0), 0.5, 5, 18.0, 2.0, (3, 2), 0.78, 0.75
+
+
+def pr_beat_core(values: DataFrame) -> DataFrame:
+    """record_id, n_beats, split, pr_ms of leads' PR intervals (record_id, beat_id, pr, conf, unreliable): beats' medians of sure and plausible ones.
+
+    Of two to four beats the median, of five or more the 78th percentile, but where the (first) widest
+    gap parts three or more from two or more beats, 18 ms and two typical gaps wide, the 75th of the lower
+    side. A single beat tells nothing. Missing confidences are 0, missing flags false.
+    """
+    sure = F.col("pr").between(*PR_RANGE) & (F.coalesce("conf", F.lit(0.0)) >= PR_CONF) & ~F.isnan(F.coalesce("conf", F.lit(0.0))) & ~F.coalesce("unreliable", F.lit(False))
+    b = values.where(sure).groupBy("record_id", "beat_id").agg(median("pr").alias("pr"))
+    w = by_record().orderBy("pr", "beat_id")
+    b = b.withColumns({"k": F.row_number().over(w), "gap": F.col("pr") - F.lag("pr").over(w)})
+    g = b.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_beats"), F.max(F.struct("gap", (-F.col("k")).alias("first"))).alias("widest"), median("gap").alias("usual"))
+    lower = -F.col("widest.first") - 1
+    split = (F.col("n_beats") >= PR_BEATS) & (F.col("widest.gap") >= F.greatest(F.lit(PR_GAP), PR_GAP_RATIO * F.col("usual"))) & (lower >= PR_SIDES[0]) & (F.col("n_beats") - lower >= PR_SIDES[1])
+    x = b.join(g.withColumns({"split": split, "n_lower": lower}), "record_id").where("n_beats >= 2")
+    below = F.when(F.col("k") <= F.col("n_lower"), F.col("pr"))
+    out = x.groupBy("record_id", "n_beats", "split").agg(F.percentile(below, F.lit(PR_LOWER)).alias("low"), F.percentile("pr", F.lit(PR_ALL)).alias("high"), median("pr").alias("mid"))
+    return out.select("record_id", "n_beats", "split", F.when(F.col("n_beats") < PR_BEATS, F.col("mid")).when(F.col("split"), F.col("low")).otherwise(F.col("high")).alias("pr_ms"))
+
+
 def descents(values: DataFrame, slack: float = 0.0) -> DataFrame:
     """How often a value falls by more than ``slack`` from one chest lead to the next up to the record's highest, and where that is. values: record_id, idx, value."""
     top = values.groupBy("record_id").agg(F.max(F.struct("value", (-F.col("idx")).alias("first"))).alias("b"))

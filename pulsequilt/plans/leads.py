@@ -176,3 +176,17 @@ def pr_segment(spark, sf):
     x = beats(spark, sf).withColumn("seg", F.col("amp") + 60.0)
     inside = F.when(F.col("seg").between(0, 200), F.col("seg"))
     return x.groupBy("record_id").agg(rounded(median(inside), 4).alias("pr_segment_ms"), F.count(inside).alias("n"))
+
+
+@query(MARKS_SQL + """, v AS (SELECT record_id, beat_id // 3 AS beat, CASE WHEN record_id % 2 = 0 THEN 130 + amp % 20 + CASE WHEN (beat_id // 3) % 3 = 0 THEN 50 ELSE 0 END ELSE 110 + amp % 130 END AS pr, conf, kind = 'error' AS bad FROM beats),
+b AS (SELECT record_id, beat, median(pr) AS pr FROM v WHERE pr BETWEEN 120 AND 220 AND conf >= 0.5 AND NOT bad GROUP BY ALL),
+s AS (SELECT *, row_number() OVER w AS k, pr - lag(pr) OVER w AS gap FROM b WINDOW w AS (PARTITION BY record_id ORDER BY pr, beat)),
+g AS (SELECT record_id, count(*) AS n, max(gap) AS widest, median(gap) AS usual FROM s GROUP BY record_id), c AS (SELECT record_id, min(k) - 1 AS lower FROM s JOIN g USING (record_id) WHERE gap = widest GROUP BY record_id),
+d AS (SELECT g.record_id, n, lower, coalesce(n >= 5 AND widest >= 18 AND widest >= 2 * usual AND lower >= 3 AND n - lower >= 2, false) AS split FROM g LEFT JOIN c USING (record_id) WHERE n >= 2)
+SELECT record_id, any_value(n) AS n_beats, any_value(split) AS split, round(CASE WHEN any_value(n) < 5 THEN median(pr) WHEN any_value(split) THEN quantile_cont(pr, 0.75) FILTER (k <= lower) ELSE quantile_cont(pr, 0.78) END, 6) AS pr_ms FROM s JOIN d USING (record_id) GROUP BY record_id""")
+def pr_beat_core(spark, sf):
+    """The core of a record's PR intervals by its beats."""
+    beat = F.floor(F.col("beat_id") / 3).cast("long")
+    two = 130 + F.col("amp") % 20 + F.when(beat % 3 == 0, 50).otherwise(0)
+    v = beats(spark, sf).select("record_id", beat.alias("beat_id"), F.when(F.col("record_id") % 2 == 0, two).otherwise(110 + F.col("amp") % 130).alias("pr"), "conf", (F.col("kind") == "error").alias("unreliable"))
+    return L.pr_beat_core(v).withColumn("pr_ms", rounded(F.col("pr_ms"), 6))

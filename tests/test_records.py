@@ -94,3 +94,15 @@ def test_null_peaks_match_nothing(spark):
     a = spark.createDataFrame([(1, 5.0), (1, None), (2, None)], "record_id long, x double")
     b = spark.createDataFrame([(1, None), (1, 6.0), (1, 4.0), (1, 4.0)], "record_id long, y double")
     assert [tuple(r) for r in leads.one_to_one(a, b, 2.0).collect()] == [(1, 5.0, 4.0, 1.0)]
+
+
+def test_pr_cores_by_hand(spark):
+    rows = [(1, k, pr, 0.9, False) for k, pr in enumerate([150.0, 152.0, 154.0, 190.0, 192.0])]
+    rows += [(2, k, pr, 0.9, None) for k, pr in enumerate([150.0, 160.0, 170.0, 180.0, 190.0])]
+    rows += [(3, 0, 150.0, 0.9, False), (3, 0, 160.0, 0.5, False), (3, 0, 100.0, 0.9, False), (3, 1, 170.0, 0.9, False), (3, 2, 180.0, 0.4, False), (3, 3, 200.0, 0.9, True), (3, 4, 200.0, None, False)]
+    rows += [(4, 0, 150.0, 0.9, False), (5, 0, 150.0, float("nan"), False)]
+    rows += [(6, k, pr, 0.9, False) for k, pr in enumerate([130.0, 150.0, 170.0, 190.0, 210.0])]  # equal gaps: none stands out
+    got = {r.record_id: (r.n_beats, r.split, r.pr_ms) for r in leads.pr_beat_core(spark.createDataFrame(rows, "record_id long, beat_id long, pr double, conf double, unreliable boolean")).collect()}
+    assert got[1] == (5, True, 153.0) and got[3] == (2, False, 162.5)
+    assert got[2][:2] == (5, False) and abs(got[2][2] - 181.2) < 1e-9
+    assert got[6][1] is False and set(got) == {1, 2, 3, 6}
