@@ -142,6 +142,11 @@ def kind_of(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
+def is_object(v: Column) -> Column:
+    """Whether there is a JSON object; its members aren't looked into, as a schema would have to."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 _WHOLE, _NUMBER = ("BIGINT",), ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 _KINDS = {"integer": _WHOLE, "number": _NUMBER, "boolean": ("BOOLEAN",), "string": ("STRING",)}
 
@@ -166,7 +171,7 @@ def _document_rules() -> Column:
     good_name = lambda x, path: (kind_of(F.try_variant_get(x, path, "variant")) == "STRING") & (F.try_variant_get(x, path, "string") != "") & ~F.try_variant_get(x, path, "string").contains("|")
     in_record = lambda x: F.coalesce(kind_of(F.try_variant_get(x, "$.r_sample", "variant")), F.lit("VOID")).isin("VOID") | (kind_of(F.try_variant_get(x, "$.r_sample", "variant")) == "BIGINT") & F.try_variant_get(x, "$.r_sample", "bigint").between(0, count - 1)
     every = lambda xs, test: F.forall(xs, lambda x: F.coalesce(test(x), F.lit(False)))
-    missing = F.array_compact(F.array(*(F.when(kind(f"$.{m}").isNull(), F.lit(m)) for m in MEMBERS)))
+    missing = F.array_compact(F.array(*(F.when(_at("v", f"$.{m}").isNull(), F.lit(m)) for m in MEMBERS)))
     record_id = text("$.record_id")
     whole = _broken(
         (F.size(missing) == 0, "record is missing required members", "", "missing_record_members"),
@@ -174,7 +179,7 @@ def _document_rules() -> Column:
         ((kind("$.schema_version") == "STRING") & F.regexp_like(text("$.schema_version"), F.lit(r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)$")), "schema_version must use SemVer", "/schema_version", "invalid_schema_version"),
         (F.substring_index(text("$.schema_version"), ".", 1) == "1", "unsupported schema major", "/schema_version"),
         (text("$.profile").isin(*PROFILES), "unsupported record profile", "/profile", "invalid_profile"),
-        *((kind(f"$.acquisition.{m}").isNotNull(), "incomplete acquisition", f"/acquisition/{m}") for m in ACQUISITION),
+        *((_at("v", f"$.acquisition.{m}").isNotNull(), "incomplete acquisition", f"/acquisition/{m}") for m in ACQUISITION),
         (kind("$.acquisition.sample_rate_hz").isin(*_NUMBER) & (_at("v", "$.acquisition.sample_rate_hz", "double") > 0), "invalid sample_rate_hz", "/acquisition/sample_rate_hz"),
         ((kind("$.acquisition.sample_count") == "BIGINT") & (count > 0), "invalid sample_count", "/acquisition/sample_count"),
         (text("$.acquisition.amplitude_unit").isin("mV", "uV"), "invalid acquisition amplitude unit", "/acquisition/amplitude_unit"),
@@ -191,9 +196,8 @@ def _document_rules() -> Column:
         (~limited | F.size(leads).between(1, 8), "limited requires 1 to 8 leads", "/axes/leads"),
         (F.coalesce(text("$.provenance.schema_version"), text("$.schema_version")) == text("$.schema_version"), "provenance schema version disagrees", "/provenance/schema_version"),
     )
-    is_object = kind("$") == "OBJECT"
     # members that are missing are told once, not again by each rule that reads them
-    return F.when(F.col("v").isNull(), _broken((F.lit(False), "invalid record JSON", "", "invalid_record_json"))).when(~is_object, _broken((F.lit(False), "record must be a JSON object", "", "record_not_object"))).when(F.size(missing) > 0, F.filter(whole, lambda x: x["code"] == "missing_record_members")).otherwise(whole)
+    return F.when(F.col("v").isNull(), _broken((F.lit(False), "invalid record JSON", "", "invalid_record_json"))).when(~is_object(F.col("v")), _broken((F.lit(False), "record must be a JSON object", "", "record_not_object"))).when(F.size(missing) > 0, F.filter(whole, lambda x: x["code"] == "missing_record_members")).otherwise(whole)
 
 
 def _axis_rules(pointer: Column) -> Column:
@@ -204,9 +208,9 @@ def _axis_rules(pointer: Column) -> Column:
     expected = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))[group]
     formal = F.create_map(*(F.lit(x) for kv in GLOBAL_UNITS.items() for x in kv))[name]
     rank = F.create_map(*(F.lit(x) for kv in STATUS_RANK.items() for x in kv))
-    backed = kind("$.sidecar").isNotNull()
+    backed = _at(v, "$.sidecar").isNotNull()
     length = F.size(_at(v, "$.values", "array<variant>"))
-    has = [(kind(f"$.{m}").isNotNull() | (backed if m == "values" else F.lit(False)), f"incomplete field wrapper: {m}", pointer) for m in FIELD]
+    has = [(_at(v, f"$.{m}").isNotNull() | (backed if m == "values" else F.lit(False)), f"incomplete field wrapper: {m}", pointer) for m in FIELD]
     status, evidence = text("$.validation.status"), _at(v, "$.validation.evidence")
     path = F.concat(F.lit("$"), F.array_join(F.transform(F.slice(F.split(text("$.provenance_ref"), "/"), 3, 99), lambda t: F.concat(F.lit("['"), unescape_token(t), F.lit("']"))), ""))
     rules = _broken(
@@ -231,7 +235,7 @@ def _axis_rules(pointer: Column) -> Column:
         (backed | (axes != '["beat","lead"]') | F.forall(_at(v, "$.values", "array<variant>"), lambda r: F.coalesce(F.size(F.try_variant_get(r, "$", "array<variant>")) == F.size("leads"), F.lit(False))), "lead dimension mismatch", pointer),
         (~axes.isin('["beat"]', '["lead"]') | (length == F.when(axes == '["beat"]', F.size("beat_ids")).otherwise(F.size("leads"))), "dimension mismatch", pointer),
     )
-    return F.when(kind("$") == "OBJECT", rules).otherwise(_broken((F.lit(False), "field must be an object", pointer)))
+    return F.when(is_object(v), rules).otherwise(_broken((F.lit(False), "field must be an object", pointer)))
 
 
 def _cells() -> Column:
@@ -358,14 +362,14 @@ def violations(docs: DataFrame, registry: DataFrame | None = None, key: str = "r
     place = lambda g: F.when(g == "fiducials", "/delineation/fiducials").otherwise(F.concat(F.lit("/measurements/"), escape_token(g)))
     group_rules = lambda g: _broken(
         (g["grp"].isin("fiducials", "intervals", "amplitudes", "areas", "flags", "global"), "unknown measurement group; use extensions", place(g["grp"])),
-        (g["fields"].isNull() & (g["grp"] == "fiducials") | (kind_of(g["fields"]) == "OBJECT"), "group must be an object", place(g["grp"])),
+        (g["fields"].isNull() & (g["grp"] == "fiducials") | is_object(g["fields"]), "group must be an object", place(g["grp"])),
     )
     members = lambda g: F.transform(F.map_entries(F.coalesce(F.try_variant_get(g["fields"], "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), lambda e: F.struct(g["grp"].alias("grp"), e["key"].alias("name"), e["value"].alias("field")))
-    is_object = kind_of(F.col("v")) == "OBJECT"
+    readable = is_object(F.col("v"))
     parts = F.concat(_fiducial_order(), _artifact_rules(), F.flatten(F.transform(groups, group_rules)))
     none_found = F.array().cast(_VIOLATIONS)
-    told = F.concat(_document_rules(), F.when(is_object, F.coalesce(parts, none_found)).otherwise(none_found))
-    fields = whole.select("_key", "provenance", "leads", "beat_ids", "sample_count", "limited", told.alias("told"), F.posexplode_outer(F.when(is_object, F.flatten(F.transform(groups, members)))).alias("pos", "f"))
+    told = F.concat(_document_rules(), F.when(readable, F.coalesce(parts, none_found)).otherwise(none_found))
+    fields = whole.select("_key", "provenance", "leads", "beat_ids", "sample_count", "limited", told.alias("told"), F.posexplode_outer(F.when(readable, F.flatten(F.transform(groups, members)))).alias("pos", "f"))
     fields = fields.select("*", "f.grp", "f.name", "f.field", F.concat(place(F.col("f.grp")), F.lit("/"), escape_token(F.col("f.name"))).alias("pointer")).drop("f").withColumn("absence", _at("field", "$.absence"))
     if registry is None:
         fields = fields.withColumn("ceiling", F.lit(None).cast("string"))

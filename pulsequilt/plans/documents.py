@@ -51,9 +51,15 @@ def published(spark, sf) -> DataFrame:
     return kept.withColumns({f"{f}_why": F.coalesce(why(s), F.col(f"{f}_why")) for f, s in SHORT.items()}).drop("withheld")
 
 
+def spread_out(docs: DataFrame) -> DataFrame:
+    """docs in as many tasks as there are cores or shuffle partitions: they are few bytes and much work, and adaptive execution goes by bytes."""
+    spark = docs.sparkSession
+    return docs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "record_id")
+
+
 def clean_documents(spark, sf) -> DataFrame:
     """Published documents as a table, as users of documents have them."""
-    return stored(R.documents(published(spark, sf), acquisition(spark, sf, clean=True), GROUPS))
+    return stored(spread_out(R.documents(published(spark, sf), acquisition(spark, sf, clean=True), GROUPS)))
 
 
 _ON = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LEADS[:7], 1))
@@ -120,7 +126,7 @@ _PLACE = lambda g, f: f"'/{'delineation' if g == 'fiducials' else 'measurements'
 ]))
 def document_errors(spark, sf):
     """Every rule that documents of unpublished lines break."""
-    return R.violations(stored(R.as_json(R.documents(lines(spark, sf), acquisition(spark, sf, clean=False), GROUPS))))
+    return R.violations(spread_out(stored(spread_out(R.as_json(R.documents(lines(spark, sf), acquisition(spark, sf, clean=False), GROUPS))))))
 
 
 _HEX = "lpad(to_hex(coalesce(value, 0) & 4294967295), 8, '0')"
