@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, by_batch, dealt_join, hot_values, stored, texts
+from .common import among, by_batch, dealt_join, hot_values, shuffled, stored, texts
 from .graph import components
 
 #: Offset and width of the segments.
@@ -191,7 +191,7 @@ def link_components(nodes: DataFrame) -> DataFrame:
     homes = _keyed(nodes, "home")
     pivots = homes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.min(F.struct(F.xxhash64(F.col("fp"), F.lit(k)).alias("h"), F.col("fp").alias("fp"))).alias(f"p{k}") for k in range(PIVOTS))).where("n > 1").select("key", F.array_distinct(F.array(*(F.col(f"p{k}.fp") for k in range(PIVOTS)))).alias("pivots"))
     close = F.filter("pivots", lambda p: (p != F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(p)) <= MAX_ERRORS))
-    stars = homes.join(pivots, "key").select("fp", F.explode(close).alias("pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    stars = homes.join(shuffled(pivots), "key").select("fp", F.explode(close).alias("pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     first = stored(components(stars))
     own = stored(nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
@@ -199,11 +199,11 @@ def link_components(nodes: DataFrame) -> DataFrame:
     # bits that all of a key's fingerprints share bound the distance to each of them from below: a key met by chance mostly goes by that
     ends = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"))
     differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("all")).bitwiseAND(F.bitwise_not(F.col("all").bitwiseXOR(F.col("any")))))
-    seek = _keyed(own, "near").join(ends, "key").where(((F.col("low") != F.col("high")) | (F.col("low") != F.col("root"))) & (differ <= MAX_ERRORS)).select("key", "fp", "root")
+    seek = shuffled(_keyed(own, "near")).join(shuffled(ends), "key").where(((F.col("low") != F.col("high")) | (F.col("low") != F.col("root"))) & (differ <= MAX_ERRORS)).select("key", "fp", "root")
     other = held.select("key", F.col("fp").alias("other"), F.col("root").alias("other_root"))
     apart = (F.col("root") != F.col("other_root")) & (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_ERRORS)
     seek, other = seek.alias("s"), other.alias("o")
-    links = seek.join(other, (F.col("s.key") == F.col("o.key")) & apart & (_first_way() == F.shiftright(F.col("s.key"), KIND))).select(F.col("root").alias("a"), F.col("other_root").alias("b"))
+    links = seek.join(shuffled(other), (F.col("s.key") == F.col("o.key")) & apart & (_first_way() == F.shiftright(F.col("s.key"), KIND))).select(F.col("root").alias("a"), F.col("other_root").alias("b"))
     second = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
     hot = hot_values(own.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
     return dealt_join(own, second, ["root"], among("root", hot), F.xxhash64("fp"), "left").select("fp", F.coalesce("top", "root").alias("root"))

@@ -122,3 +122,37 @@ def test_components_of_a_path_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 140)} | {201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def sent_whole(plan):
+    """Lines below a broadcast that make more rows of what they read."""
+    depth, found = None, []
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at <= depth:
+            depth = None
+        if depth is not None and ("MapInArrow" in line or "Generate" in line):
+            found.append(line.strip())
+        if depth is None and "BroadcastExchange" in line:
+            depth = at
+    return found
+
+
+def test_keys_and_dealt_rows_are_not_sent_through_the_driver(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pulsequilt.llm import common, graph
+
+    plans = []
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.stored(df)
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    monkeypatch.setattr(graph, "stored", stored)
+    # keys of 2000 fingerprints, some of them near, stand below Spark's limit for broadcasts by the size of the fingerprints alone
+    nodes = stored(spark.range(2000).select(F.expr("CASE WHEN id % 4 > 0 THEN xxhash64(id) ELSE shiftleft(1L, CAST(id % 60 AS INT)) END").alias("fp")).distinct())
+    plans.append(simhash.link_components(nodes)._jdf.queryExecution().executedPlan().toString())
+    assert any("MapInArrow" in p for p in plans)
+    assert [x for p in plans for x in sent_whole(p)] == []
