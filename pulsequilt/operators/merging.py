@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 def weighted_middle(values: list[float], weights: list[float]) -> float:
     """The first of sorted values at which the running weight is half the total."""
-    half, run = sum(weights) / 2, 0.0
+    # running weights in plain doubles: sum() would make up for their rounding, and the last of them could miss half of it
+    half, run = list(accumulate(weights))[-1] / 2, 0.0
     for v, w in zip(values, weights, strict=True):
         run += w
         if run >= half:

@@ -64,3 +64,9 @@ def test_mains_are_told(spark):
     hum = lambda hz: 0.2 * np.sin(2 * np.pi * hz * t) + r.normal(0, 0.01, t.size)
     rows = [(1, "I", hum(50)), (1, "II", hum(50.4)), (2, "I", hum(60)), (2, "II", hum(59.6)), (3, "I", 0 * t)]
     assert {x.record_id: x.mains_hz for x in K.mains_frequency(frame(spark, rows)).collect()} == {1: 50, 2: 60, 3: 50}
+
+
+def test_weighted_middle_adds_up_in_plain_doubles():
+    """Weights whose running sum meets half of their plain sum at the second; half of a sum that makes up for rounding is greater."""
+    w = [k / 100 + 0.01 for k in (83, 70, 18, 66, 59, 8)]
+    assert M.weighted_middle([1.0, 2.0, 3.0, 4.0, 5.0, 6.0], w) == 2.0
