@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import centred, dot, median, reasons, total, unit
+from pulsequilt.functions.expressions import centred, dot, median, ratio, reasons, total, unit
 
 #: Fixed values of leads: limits of scores, and the stricter ones of P and T waves.
 FLAT_FRACTION, FLAT_STD, SATURATION, DRIFT, MAINS, MUSCLE, CLIPPING = 0.10, 0.02, 0.005, 0.30, 0.15, 0.40, 0.05
@@ -53,10 +53,9 @@ def diagnostic_gate(x: DataFrame) -> DataFrame:
 
 
 def outliers_in_family(leads: DataFrame, value: str, low: float, high: float) -> DataFrame:
-    """Leads whose value is out of low to high times the median of their record's lead family: record_id, family, lead."""
+    """Leads whose value is out of low to high times the median of their record's lead family: record_id, family, lead. Where the median is zero, all of the family are."""
     m = leads.groupBy("record_id", "family").agg(median(value).alias("middle"))
-    ratio = F.col(value) / F.col("middle")
-    return leads.join(m, ["record_id", "family"]).withColumn("ratio", ratio).withColumn("outlier", F.coalesce((F.col("ratio") > high) | (F.col("ratio") < low), F.lit(False)))
+    return leads.join(m, ["record_id", "family"]).withColumn("ratio", ratio(F.col(value), F.col("middle"))).withColumn("outlier", F.coalesce((F.col("ratio") > high) | (F.col("ratio") < low), F.lit(False)))
 
 
 def duplicates(waves: DataFrame, by: str, least_r: float = 0.9995, coordinates: int = 4) -> DataFrame:
