@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import circular_delta, median, rounded
+from pulsequilt.functions.expressions import circular_delta, median, rounded, with_means
 from pulsequilt.operators import intervals as I
 from pulsequilt.operators import rhythm as R
 from pulsequilt.plans.registry import query
@@ -85,10 +85,11 @@ GRADE_SQL = "CASE WHEN avg(conf) < 0.45 THEN 'Q3' WHEN avg(conf) < 0.5 THEN 'Q2'
 y AS (SELECT *, rel IN ('fallback', 'low_confidence') AND grade IN ('Q2', 'Q3') AS rejected FROM x)
 SELECT record_id, grade, rel AS qt_reliability, rejected, CASE WHEN NOT rejected THEN round(qt, 4) END AS qt_ms, CASE WHEN NOT rejected THEN round(qt / sqrt(rr / 1000), 4) END AS qtc_bazett_ms FROM y""")
 def qt_reject_gate(spark, sf):
-    c = F.avg("conf")
+    b, mean = with_means(beats(spark, sf), {"record_id": F.col("record_id")}, ["us", "mark"], conf="conf")
+    c = mean["conf"]
     grade = F.when(c < 0.45, "Q3").when(c < 0.5, "Q2").when(c < 0.52, "Q1").otherwise("Q0")
     sure = F.count_if(F.col("conf") >= 0.9)
-    x = beats(spark, sf).groupBy("record_id").agg(median(240.0 + F.col("amp")).alias("qt_ms"), median("rr_prev").alias("rr"), grade.alias("grade"), F.when(sure < 5, "fallback").when(sure < 8, "low_confidence").otherwise("reliable").alias("qt_reliability"))
+    x = b.groupBy("record_id").agg(median(240.0 + F.col("amp")).alias("qt_ms"), median("rr_prev").alias("rr"), grade.alias("grade"), F.when(sure < 5, "fallback").when(sure < 8, "low_confidence").otherwise("reliable").alias("qt_reliability"))
     x = x.withColumn("qtc_bazett_ms", I.rate_corrected(F.col("qt_ms"), F.col("rr"))["qtc_bazett_ms"])
     return published(I.reject_gate(x), "record_id", "grade", "qt_reliability", "rejected", qt_ms="qt_ms", qtc_bazett_ms="qtc_bazett_ms")
 
@@ -133,7 +134,8 @@ def qt_paths(spark, sf):
 def lead_values(spark, sf) -> DataFrame:
     """record_id, lead, value, conf: medians by record of what stands for limb leads."""
     lead = F.create_map(*(F.lit(v) for kv in LEAD_OF.items() for v in kv))[F.col("kind")]
-    return marks(spark, sf).groupBy("record_id", lead.alias("lead")).agg((median("amp") - 30.0).alias("value"), F.avg("conf").alias("conf"))
+    m, mean = with_means(marks(spark, sf), {"record_id": F.col("record_id"), "lead": lead}, ["mark"], conf="conf")
+    return m.groupBy("record_id", "lead").agg((median("amp") - 30.0).alias("value"), mean["conf"].alias("conf"))
 
 
 AXIS_SQL = MARKS_SQL + f""", v AS (SELECT record_id, {LEAD_SQL} AS lead, median(amp) - 30 AS value, avg(conf) AS conf FROM marks GROUP BY ALL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import listed, median, rounded
+from pulsequilt.functions.expressions import listed, median, rounded, with_means
 from pulsequilt.operators import leads as L
 from pulsequilt.plans.intervals import ANGLE_SQL, AXIS_SQL, lead_values
 from pulsequilt.plans.registry import query
@@ -23,7 +23,8 @@ PR_LEADS_SQL = MARKS_SQL + ", l AS (SELECT record_id, mark % 12 AS lead, mark %
 
 
 def chest_and_limb(spark, sf):
-    return marks(spark, sf).groupBy("record_id", (F.col("mark") % 12).alias("lead")).agg((F.avg("conf") >= 0.5).alias("reliable"), (median("amp") + 100.0).alias("v")).withColumn("limb", F.col("lead") < 6)
+    m, mean = with_means(marks(spark, sf), {"record_id": F.col("record_id"), "lead": F.col("mark") % 12}, ["mark"], conf="conf")
+    return m.groupBy("record_id", "lead").agg((mean["conf"] >= 0.5).alias("reliable"), (median("amp") + 100.0).alias("v")).withColumn("limb", F.col("lead") < 6)
 
 
 @query(PR_LEADS_SQL + """, g AS (SELECT record_id, count(v) FILTER (limb AND reliable) AS nl, median(v) FILTER (limb AND reliable) AS ml, count(v) AS na, median(v) AS ma FROM l GROUP BY record_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import listed, median, rounded
+from pulsequilt.functions.expressions import listed, rounded, with_means
 from pulsequilt.operators import quality as Q
 from pulsequilt.plans.registry import query
 from pulsequilt.plans.rhythm import published
@@ -32,7 +32,8 @@ LEADS_OF = ["I", "II", "III", "aVR", "aVL", "aVF", "V1", "V2", "V3", "V4", "V5",
 def lead_quality(spark, sf) -> DataFrame:
     """record_id, lead, for_qrs, for_p, for_qt, b_sqi, codes, expected: twelve leads of a record by mark number."""
     lead = F.element_at(F.array(*(F.lit(x) for x in LEADS_OF)), (F.col("mark") % 12 + 1).cast("int"))
-    x = marks(spark, sf).groupBy("record_id", lead.alias("lead")).agg(F.avg("conf").alias("c"), F.max("conf").alias("b_sqi"), F.avg("amp").alias("a"), F.max("amp").alias("top"))
+    m, mean = with_means(marks(spark, sf), {"record_id": F.col("record_id"), "lead": lead}, ["mark"], conf="conf", amp="amp")
+    x = m.groupBy("record_id", "lead").agg(mean["conf"].alias("c"), F.max("conf").alias("b_sqi"), mean["amp"].alias("a"), F.max("amp").alias("top"))
     codes = F.array_compact(F.array(F.when(F.col("c") < 0.4, "low_bsqi"), F.when(F.col("a") < 30, "low_kurtosis"), F.when(F.col("a") > 55, "psqi_out_of_range"), F.when(F.col("top") > 200, "saturation")))
     return x.select("record_id", "lead", (F.col("c") >= 0.35).alias("for_qrs"), (F.col("c") >= 0.5).alias("for_p"), (F.col("c") >= 0.55).alias("for_qt"), "b_sqi", codes.alias("codes"), F.lit(12).alias("expected"))
 
@@ -59,9 +60,9 @@ z AS (SELECT record_id, grade, dur, n_beats, share, classes, agreement + 0.35 AS
 v AS (SELECT *, concat_ws(',', CASE WHEN grade = 'Q3' THEN 'record_quality_rejected' END, CASE WHEN dur < 8 THEN 'recording_too_short' END, CASE WHEN n_beats < 3 THEN 'too_few_beats' END) AS s, concat_ws(',', CASE WHEN normalized THEN 'amplitudes_normalized' END, CASE WHEN agr < 0.85 THEN 'detector_disagreement' END, CASE WHEN share < 0.3 THEN 'no_dominant_morphology' END, CASE WHEN grade = 'Q2' THEN 'partial_lead_quality' END, CASE WHEN dur >= 8 AND dur < 10 THEN 'short_for_diagnosis' END, CASE WHEN classes > 5 THEN 'too_many_morphologies' END) AS p FROM z)
 SELECT record_id, s AS stop_reasons, p AS partial_reasons, CASE WHEN s <> '' THEN 'stop' WHEN p <> '' THEN 'partial' ELSE 'pass' END AS gate FROM v""")
 def diagnostic_gate(spark, sf):
-    b = beats(spark, sf)
+    b, mean = with_means(beats(spark, sf), {"record_id": F.col("record_id")}, ["us", "mark"], conf="conf")
     kinds = b.groupBy("record_id", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("record_id").agg((F.max("n") / F.sum("n")).alias("dominant_share"), F.count_if(F.col("n") > 10).alias("n_classes"))
-    whole = b.groupBy("record_id").agg(((F.max("us") - F.min("us")) / F.lit(3e10)).alias("duration_s"), F.count(F.lit(1)).alias("n_beats"), (F.avg("conf") + 0.35).alias("agreement"), ((F.max("amp") - F.min("amp")) < 150).alias("normalized"))
+    whole = b.groupBy("record_id").agg(((F.max("us") - F.min("us")) / F.lit(3e10)).alias("duration_s"), F.count(F.lit(1)).alias("n_beats"), (mean["conf"] + 0.35).alias("agreement"), ((F.max("amp") - F.min("amp")) < 150).alias("normalized"))
     x = Q.record_quality(lead_quality(spark, sf)).select("record_id", "grade").join(kinds, "record_id").join(whole, "record_id").withColumns({"reversal": F.lit(False), "inconsistent": F.lit(False)})
     return Q.diagnostic_gate(x).select("record_id", listed(F.col("stop_reasons")).alias("stop_reasons"), listed(F.col("partial_reasons")).alias("partial_reasons"), "gate")
 
