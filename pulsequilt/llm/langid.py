@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, among, dealt_join, hot_values, small_batches, stored
+from .common import HOT, among, dealt_join, hot_values, released, small_batches, stored
 
 #: Labelled documents that the text model is fitted on, at most.
 SAMPLE = 4000
@@ -97,7 +97,7 @@ def fit_text_model(labelled: DataFrame, label: str = "lang", sample: int = SAMPL
     names = sorted(r[0] for r in chosen.select("label").distinct().collect())  # at most sample
     place = {x: k for k, x in enumerate(names)}
     counts = np.zeros((BUCKETS, len(names)))
-    for label, bucket, n in chosen.select("text", "label").mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n")).collect():
+    for label, bucket, n in chosen.select("text", "label").mapInArrow(released(run), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n")).collect():
         counts[bucket, place[label]] = n
     p = counts / DAMPED_UNIT + 0.1
     return TextModel(tuple(names), np.log(p / p.sum(axis=0)))
@@ -115,7 +115,7 @@ def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
             posts = [(e := np.exp(log)) / e.sum() for log in logs]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([n for n, _, _ in found], pa.int64()), pa.array([g for _, g, _ in found], pa.float64()), pa.array([x.tolist() for x in logs], pa.list_(pa.float64())), pa.array([x.tolist() for x in posts], pa.list_(pa.float64()))], names=["key", "host", "domain", "suffix", "declared", "n_grams", "gain", "log_text", "text_post"])
 
-    return stored(rows.select("key", *(F.coalesce(c, F.lit("")).alias(c) for c in ("host", "domain", "suffix", "declared")), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema))
+    return stored(rows.select("key", *(F.coalesce(c, F.lit("")).alias(c) for c in ("host", "domain", "suffix", "declared")), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(released(run), schema))
 
 
 def _sums(n: int, of: str = "text_post") -> Column:

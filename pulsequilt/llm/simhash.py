@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, by_batch, dealt_join, hot_values, shuffled, stored, texts
+from .common import among, by_batch, dealt_join, hot_values, released, shuffled, stored, texts
 from .graph import components
 
 #: Offset and width of the segments.
@@ -155,7 +155,7 @@ def _keyed(nodes: DataFrame, kind: str) -> DataFrame:
                 keys, rows = near_keys(fp) if kind == "near" else home_keys(fp, kind == "exact")
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c.to_numpy(zero_copy_only=False)[rows], pa.int64()) for c in part.columns)], names=["key", *names])
 
-    return nodes.mapInArrow(run, ", ".join(f"{n} long" for n in ["key", *names]))
+    return nodes.mapInArrow(released(run), ", ".join(f"{n} long" for n in ["key", *names]))
 
 
 # ---------------------------------------------------------------- links and components
