@@ -156,3 +156,10 @@ def test_keys_and_dealt_rows_are_not_sent_through_the_driver(spark, monkeypatch)
     plans.append(simhash.link_components(nodes)._jdf.queryExecution().executedPlan().toString())
     assert any("MapInArrow" in p for p in plans)
     assert [x for p in plans for x in sent_whole(p)] == []
+
+
+def test_released_gives_the_same_batches():
+    """What a task gives stays as it is; memory goes back when it ends."""
+    from pulsequilt.llm.common import released
+
+    assert list(released(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6]
