@@ -11,6 +11,9 @@ null where the field names a sidecar.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,9 @@ MEDIA_TYPE = "application/x-int32-cells"
 CONTRACT, SIDECAR = "invalid_record_contract", "invalid_sidecar"
 
 _VIOLATIONS = "array<struct<code:string,pointer:string,message:string>>"
+_MAP = "map<string,variant>"
+#: Types of values that are rows of whole numbers and nulls alone.
+_DENSE_WHOLE = ("ARRAY<ARRAY<BIGINT>>", "ARRAY<ARRAY<VOID>>")
 
 
 # ---------------------------------------------------------------- building
@@ -96,9 +102,9 @@ def documents(facts: DataFrame, acquisition: DataFrame, groups: dict[str, list[s
 
     def field(group: str, name: str) -> Column:
         flat = F.transform("cells", lambda x: x[name].cast("long"))
-        rows = F.transform(F.sequence(F.lit(0), F.size("beats") - 1), lambda i: F.slice(flat, i * F.size("leads") + 1, F.size("leads")))
+        rows = let(flat, lambda v: F.transform(F.sequence(F.lit(0), F.size("beats") - 1), lambda i: F.slice(v, i * F.size("leads") + 1, F.size("leads"))))
         return F.struct(
-            absence_of(flat, F.transform("cells", lambda x: x[f"{name}_why"]), F.col("coordinates")).alias("absence"),
+            let(flat, lambda v: absence_of(v, F.transform("cells", lambda x: x[f"{name}_why"]), F.col("coordinates"))).alias("absence"),
             F.array(F.lit("beat"), F.lit("lead")).alias("axes"),
             F.lit(True).alias("nullable"),
             F.lit("/provenance/fields/kernels").alias("provenance_ref"),
@@ -147,6 +153,11 @@ def is_object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
+def _whole_rows(values: Column, kind: Column) -> Column:
+    """The rows of a variant of that type if they hold whole numbers and nulls alone, else null. By way of text, since a cell taken out of a variant costs much more."""
+    return F.when(kind.isin(*_DENSE_WHOLE), F.from_json(F.to_json(values), "array<array<bigint>>"))
+
+
 _WHOLE, _NUMBER = ("BIGINT",), ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 _KINDS = {"integer": _WHOLE, "number": _NUMBER, "boolean": ("BOOLEAN",), "string": ("STRING",)}
 
@@ -162,16 +173,18 @@ def _broken(*rules: tuple[Column, str, Column | str] | tuple[Column, str, Column
 
 def _document_rules() -> Column:
     """What holds for the document as a whole, its acquisition and its axes."""
-    text = lambda p: _at("v", p, "string")
-    kind = lambda p: kind_of(_at("v", p))
-    leads, beats = _at("v", "$.axes.leads", "array<variant>"), _at("v", "$.axes.beats", "array<variant>")
-    count = _at("v", "$.acquisition.sample_count", "bigint")
+    # each member is a column of its own, so that no rule takes the whole document apart
+    at = lambda p, kind="variant": _at(f"_{p.split('.')[1]}", ".".join(["$", *p.split(".")[2:]]), kind)
+    text = lambda p: at(p, "string")
+    kind = lambda p: kind_of(at(p))
+    leads, beats = at("$.axes.leads", "array<variant>"), at("$.axes.beats", "array<variant>")
+    count = F.col("sample_count")
     limited = text("$.acquisition.input_mode") == "limited"
     lead_names, beat_ids = F.transform(leads, lambda x: F.try_variant_get(x, "$", "string")), F.transform(beats, lambda x: F.try_variant_get(x, "$.id", "string"))
     good_name = lambda x, path: (kind_of(F.try_variant_get(x, path, "variant")) == "STRING") & (F.try_variant_get(x, path, "string") != "") & ~F.try_variant_get(x, path, "string").contains("|")
     in_record = lambda x: F.coalesce(kind_of(F.try_variant_get(x, "$.r_sample", "variant")), F.lit("VOID")).isin("VOID") | (kind_of(F.try_variant_get(x, "$.r_sample", "variant")) == "BIGINT") & F.try_variant_get(x, "$.r_sample", "bigint").between(0, count - 1)
     every = lambda xs, test: F.forall(xs, lambda x: F.coalesce(test(x), F.lit(False)))
-    missing = F.array_compact(F.array(*(F.when(_at("v", f"$.{m}").isNull(), F.lit(m)) for m in MEMBERS)))
+    missing = F.array_compact(F.array(*(F.when(F.col("members")[m].isNull(), F.lit(m)) for m in MEMBERS)))
     record_id = text("$.record_id")
     whole = _broken(
         (F.size(missing) == 0, "record is missing required members", "", "missing_record_members"),
@@ -179,8 +192,8 @@ def _document_rules() -> Column:
         ((kind("$.schema_version") == "STRING") & F.regexp_like(text("$.schema_version"), F.lit(r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)$")), "schema_version must use SemVer", "/schema_version", "invalid_schema_version"),
         (F.substring_index(text("$.schema_version"), ".", 1) == "1", "unsupported schema major", "/schema_version"),
         (text("$.profile").isin(*PROFILES), "unsupported record profile", "/profile", "invalid_profile"),
-        *((_at("v", f"$.acquisition.{m}").isNotNull(), "incomplete acquisition", f"/acquisition/{m}") for m in ACQUISITION),
-        (kind("$.acquisition.sample_rate_hz").isin(*_NUMBER) & (_at("v", "$.acquisition.sample_rate_hz", "double") > 0), "invalid sample_rate_hz", "/acquisition/sample_rate_hz"),
+        *((at(f"$.acquisition.{m}").isNotNull(), "incomplete acquisition", f"/acquisition/{m}") for m in ACQUISITION),
+        (kind("$.acquisition.sample_rate_hz").isin(*_NUMBER) & (at("$.acquisition.sample_rate_hz", "double") > 0), "invalid sample_rate_hz", "/acquisition/sample_rate_hz"),
         ((kind("$.acquisition.sample_count") == "BIGINT") & (count > 0), "invalid sample_count", "/acquisition/sample_count"),
         (text("$.acquisition.amplitude_unit").isin("mV", "uV"), "invalid acquisition amplitude unit", "/acquisition/amplitude_unit"),
         (text("$.acquisition.input_mode").isin("standard_12", "limited"), "invalid acquisition input mode", "/acquisition/input_mode"),
@@ -191,26 +204,25 @@ def _document_rules() -> Column:
         (every(beats, lambda x: good_name(x, "$.id")), "invalid beat identity", "/axes/beats"),
         (every(beats, in_record), "beat sample outside acquisition", "/axes/beats"),
         (F.size(F.array_distinct(beat_ids)) == F.size(beat_ids), "duplicate beat identity", "/axes/beats"),
-        (F.to_json(_at("v", "$.acquisition.leads")) == F.to_json(_at("v", "$.axes.leads")), "acquisition and lead axis disagree", "/acquisition/leads"),
+        (F.to_json(at("$.acquisition.leads")) == F.to_json(at("$.axes.leads")), "acquisition and lead axis disagree", "/acquisition/leads"),
         (limited | (F.array_sort(lead_names) == F.array_sort(F.array(*map(F.lit, LEADS)))), "standard_12 requires all canonical leads", "/axes/leads"),
         (~limited | F.size(leads).between(1, 8), "limited requires 1 to 8 leads", "/axes/leads"),
         (F.coalesce(text("$.provenance.schema_version"), text("$.schema_version")) == text("$.schema_version"), "provenance schema version disagrees", "/provenance/schema_version"),
     )
     # members that are missing are told once, not again by each rule that reads them
-    return F.when(F.col("v").isNull(), _broken((F.lit(False), "invalid record JSON", "", "invalid_record_json"))).when(~is_object(F.col("v")), _broken((F.lit(False), "record must be a JSON object", "", "record_not_object"))).when(F.size(missing) > 0, F.filter(whole, lambda x: x["code"] == "missing_record_members")).otherwise(whole)
+    return F.when(F.col("v").isNull(), _broken((F.lit(False), "invalid record JSON", "", "invalid_record_json"))).when(F.col("members").isNull(), _broken((F.lit(False), "record must be a JSON object", "", "record_not_object"))).when(F.size(missing) > 0, F.filter(whole, lambda x: x["code"] == "missing_record_members")).otherwise(whole)
 
 
 def _axis_rules(pointer: Column) -> Column:
     """What holds for a field's wrapper: type, unit, axes, claims and the length of its values."""
-    v, axes, group, name = F.col("field"), F.to_json(_at("field", "$.axes")), F.col("grp"), F.col("name")
+    v, axes, group, name = F.col("field"), F.col("axes"), F.col("grp"), F.col("name")
     text = lambda p: _at(v, p, "string")
     kind = lambda p: kind_of(_at(v, p))
     expected = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))[group]
     formal = F.create_map(*(F.lit(x) for kv in GLOBAL_UNITS.items() for x in kv))[name]
     rank = F.create_map(*(F.lit(x) for kv in STATUS_RANK.items() for x in kv))
-    backed = _at(v, "$.sidecar").isNotNull()
-    length = F.size(_at(v, "$.values", "array<variant>"))
-    has = [(_at(v, f"$.{m}").isNotNull() | (backed if m == "values" else F.lit(False)), f"incomplete field wrapper: {m}", pointer) for m in FIELD]
+    backed, length = F.col("backed"), F.size("row_sizes")
+    has = [(F.col("wrapper")[m].isNotNull() | (backed if m == "values" else F.lit(False)), f"incomplete field wrapper: {m}", pointer) for m in FIELD]
     status, evidence = text("$.validation.status"), _at(v, "$.validation.evidence")
     path = F.concat(F.lit("$"), F.array_join(F.transform(F.slice(F.split(text("$.provenance_ref"), "/"), 3, 99), lambda t: F.concat(F.lit("['"), unescape_token(t), F.lit("']"))), ""))
     rules = _broken(
@@ -230,52 +242,63 @@ def _axis_rules(pointer: Column) -> Column:
         (F.col("ceiling").isNull() | (rank[status] <= rank[F.col("ceiling")]), "validation status exceeds the registry", pointer, "validation_above_registry"),
         (text("$.provenance_ref").startswith("/provenance/"), "invalid provenance pointer", pointer),
         (~text("$.provenance_ref").startswith("/provenance/") | F.call_function("get_json_object", F.col("provenance"), path).isNotNull(), "unresolved provenance pointer", pointer),
-        (~backed | (axes == '["beat","lead"]') & F.coalesce(kind("$.values"), F.lit("VOID")).isin("VOID"), "only null dense values may be sidecar-backed", pointer),
+        (~backed | (axes == '["beat","lead"]') & F.coalesce(F.col("shape"), F.lit("VOID")).isin("VOID"), "only null dense values may be sidecar-backed", pointer),
         (backed | (axes != '["beat","lead"]') | (length == F.size("beat_ids")), "beat dimension mismatch", pointer),
-        (backed | (axes != '["beat","lead"]') | F.forall(_at(v, "$.values", "array<variant>"), lambda r: F.coalesce(F.size(F.try_variant_get(r, "$", "array<variant>")) == F.size("leads"), F.lit(False))), "lead dimension mismatch", pointer),
+        (backed | (axes != '["beat","lead"]') | F.forall("row_sizes", lambda n: F.coalesce(n == F.size("leads"), F.lit(False))), "lead dimension mismatch", pointer),
         (~axes.isin('["beat"]', '["lead"]') | (length == F.when(axes == '["beat"]', F.size("beat_ids")).otherwise(F.size("leads"))), "dimension mismatch", pointer),
     )
-    return F.when(is_object(v), rules).otherwise(_broken((F.lit(False), "field must be an object", pointer)))
+    return F.when(F.col("wrapper").isNotNull(), rules).otherwise(_broken((F.lit(False), "field must be an object", pointer)))
 
 
-def _cells() -> Column:
-    """The cells of a field: coordinate (empty for a scalar), at (its place in values), value (a variant). A field whose shape is wrong was told by its wrapper's rules and has none."""
-    axes = F.to_json(_at("field", "$.axes"))
-    backed = _at("field", "$.sidecar").isNotNull()
+def _cells(bad: Callable[[Column], Column], plain: Column) -> Column:
+    """The cells of a field: coordinate (empty for a scalar), at (its place in values), value (a variant). Of a dense field of whole numbers where ``plain`` holds, only those that are ``bad``. A field whose shape is wrong was told by its wrapper's rules and has none."""
+    axes, backed = F.col("axes"), F.col("backed")
     nothing = F.lit(None).cast("variant")
     one = lambda c, at, x: F.struct(c.alias("coordinate"), at.alias("at"), x.alias("value"))
-    rows, line = _at("field", "$.values", "array<array<variant>>"), _at("field", "$.values", "array<variant>")
+    line = _at("values", "$", "array<variant>")
     beat_no, lead_no = F.sequence(F.lit(0), F.size("beat_ids") - 1), F.sequence(F.lit(0), F.size("leads") - 1)
     named = lambda i, j: F.concat(F.get("beat_ids", i), F.lit("|"), F.get("leads", j))
-    along_leads = lambda r, i: F.transform(lead_no, lambda j: one(named(i, j), F.concat(F.lit("/"), i, F.lit("/"), j), F.get(r, j)))
-    inline = F.flatten(F.transform(rows, along_leads))
-    beside = F.flatten(F.transform(beat_no, lambda i: F.transform(lead_no, lambda j: one(named(i, j), F.concat(F.lit("/"), i, F.lit("/"), j), nothing))))
-    along = lambda labels, at: F.transform(at, lambda i: one(F.get(labels, i), F.concat(F.lit("/"), i), F.get(line, i)))
-    square = (F.size(rows) == F.size("beat_ids")) & F.forall(rows, lambda r: F.size(r) == F.size("leads"))
+    place = lambda i, j: F.concat(F.lit("/"), i, F.lit("/"), j)
+    along_leads = lambda r, i: F.transform(r, lambda x, j: one(named(i, j), place(i, j), x))
+    inline = F.flatten(F.transform(_at("values", "$", "array<array<variant>>"), along_leads))
+    outside = lambda r, i: F.transform(F.filter(F.transform(r, lambda x, j: F.struct(x.alias("x"), j.alias("j"))), lambda c: bad(c["x"])), lambda c: one(named(i, c["j"]), place(i, c["j"]), c["x"].cast("variant")))
+    few = F.flatten(F.transform("whole", outside))
+    beside = F.flatten(F.transform(beat_no, lambda i: F.transform(lead_no, lambda j: one(named(i, j), place(i, j), nothing))))
+    along = lambda labels: let(line, lambda xs: F.transform(labels, lambda label, i: one(label, F.concat(F.lit("/"), i), F.get(xs, i))))
+    square = (F.size("row_sizes") == F.size("beat_ids")) & F.forall("row_sizes", lambda n: n == F.size("leads"))
     return (
         F.when((axes == '["beat","lead"]') & backed & (F.size("beat_ids") > 0), beside)
+        .when((axes == '["beat","lead"]') & ~backed & square & plain, few)
         .when((axes == '["beat","lead"]') & ~backed & square, inline)
-        .when((axes == '["beat"]') & (F.size(line) == F.size("beat_ids")) & (F.size("beat_ids") > 0), along("beat_ids", beat_no))
-        .when((axes == '["lead"]') & (F.size(line) == F.size("leads")), along("leads", lead_no))
-        .when(axes == "[]", F.array(one(F.lit(""), F.lit(""), _at("field", "$.values"))))
+        .when((axes == '["beat"]') & (F.size("row_sizes") == F.size("beat_ids")) & (F.size("beat_ids") > 0), along("beat_ids"))
+        .when((axes == '["lead"]') & (F.size("row_sizes") == F.size("leads")), along("leads"))
+        .when(axes == "[]", F.array(one(F.lit(""), F.lit(""), F.col("values"))))
     )
 
 
 def _cell_rules() -> Column:
     """What holds for each cell of a field: its type, its range, and a reason if it is null."""
     text = lambda p: _at("field", p, "string")
-    backed, whole_kind = _at("field", "$.sidecar").isNotNull(), F.try_variant_get("absence", "$.kind", "string")
+    backed, whole_kind = F.col("backed"), F.try_variant_get("absence", "$.kind", "string")
     default = F.try_variant_get("absence", "$.default", "variant").isNotNull()
     kinds = F.create_map(*(x for k, v in _KINDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))[text("$.type")]
     may_be_null = backed | (_at("field", "$.nullable", "boolean") == F.lit(True)) | whole_kind.isNotNull() | default
     formal = F.col("limited") & (F.col("grp") == "global") & F.col("name").isin("frontal_qrs_axis_deg", "qtc_bazett_ms")
     sample, interval = text("$.unit") == "sample", F.col("grp") == "intervals"
     listed = F.concat(*(F.coalesce(F.map_keys(F.try_variant_get("absence", f"$.{k}", "map<string,variant>")), F.array().cast("array<string>")) for k in ABSENT))
-    facts = F.struct(may_be_null.alias("null_ok"), formal.alias("formal"), sample.alias("sample"), interval.alias("interval"), kinds.alias("kinds"), whole_kind.alias("whole"), listed.alias("listed"))
+    # whole numbers whose type and nulls are right can only be out of range
+    plain = F.coalesce(F.col("whole").isNotNull() & may_be_null & whole_kind.isNull() & F.array_contains(kinds, _WHOLE[0]), F.lit(False)) & ~F.coalesce(formal, F.lit(False))
+    facts = F.struct(plain.alias("plain"), may_be_null.alias("null_ok"), formal.alias("formal"), sample.alias("sample"), interval.alias("interval"), kinds.alias("kinds"), whole_kind.alias("whole"), listed.alias("listed"))
 
     def each(f: Column) -> Column:
+        in_record = lambda n: ~F.coalesce(f["sample"], F.lit(False)) | F.coalesce(n.between(0, F.col("sample_count") - 1), F.lit(True))
+        forward = lambda n: ~F.coalesce(f["interval"], F.lit(False)) | F.coalesce(n >= 0, F.lit(True))
+
         def rules(x: Column) -> Column:
-            kind, number = kind_of(x["value"]), F.try_variant_get(x["value"], "$", "double")
+            return let(kind_of(x["value"]), lambda kind: told(x, kind))
+
+        def told(x: Column, kind: Column) -> Column:
+            number = F.try_variant_get(x["value"], "$", "double")
             kept = F.coalesce(kind != "VOID", F.lit(False))
             at = F.concat("pointer", F.lit("/values"), x["at"])
             return _broken(
@@ -283,11 +306,11 @@ def _cell_rules() -> Column:
                 (~F.coalesce(f["formal"], F.lit(False)) | ~kept & (f["whole"] == "not_applicable"), "formal report is not applicable to limited input", at),
                 (kept | F.coalesce(f["null_ok"], F.lit(False)) | F.array_contains(f["listed"], x["coordinate"]), "plain null forbidden", at),
                 (~kept | F.array_contains(f["kinds"], kind), "cell type mismatch", at),
-                (~kept | ~F.coalesce(f["sample"], F.lit(False)) | F.coalesce(number.between(0, F.col("sample_count") - 1), F.lit(True)), "sample outside acquisition", at),
-                (~kept | ~F.coalesce(f["interval"], F.lit(False)) | F.coalesce(number >= 0, F.lit(True)), "negative interval", at),
+                (~kept | in_record(number), "sample outside acquisition", at),
+                (~kept | forward(number), "negative interval", at),
             )
 
-        return F.flatten(F.transform(_cells(), rules))
+        return F.flatten(F.transform(_cells(lambda n: ~(in_record(n) & forward(n)), f["plain"]), rules))
 
     return let(facts, each)
 
@@ -295,37 +318,36 @@ def _cell_rules() -> Column:
 def _absence_rules(pointer: Column) -> Column:
     """What holds for a field's statement of absence as a whole."""
     a = F.col("absence")
-    names = F.map_keys(F.try_variant_get(a, "$", "map<string,variant>"))
-    default = F.try_variant_get(a, "$.default", "variant")
+    names, default = F.map_keys("states"), F.col("states")["default"]
     said = lambda v, p: F.try_variant_get(v, p, "string")
     good = lambda v: said(v, "$.kind").isin(*ABSENT) & (kind_of(F.try_variant_get(v, "$.reason", "variant")) == "STRING") & (said(v, "$.reason") != "")
     whole = F.array_contains(names, "kind")
-    maps = F.forall(F.filter(names, lambda n: n.isin(*ABSENT)), lambda n: F.coalesce(kind_of(F.when(n == ABSENT[0], F.try_variant_get(a, f"$.{ABSENT[0]}", "variant")).otherwise(F.try_variant_get(a, f"$.{ABSENT[1]}", "variant"))) == "OBJECT", F.lit(False)))
+    maps = F.forall(F.filter(names, lambda n: n.isin(*ABSENT)), lambda n: F.when(n == ABSENT[0], F.col(ABSENT[0]).isNotNull()).otherwise(F.col(ABSENT[1]).isNotNull()))
     told = _broken(
         (~whole | good(a), "invalid field absence", pointer),
         (whole | F.forall(names, lambda n: n.isin(*ABSENT, "default")), "unknown absence kind", pointer),
         (whole | default.isNull() | (F.array_sort(F.map_keys(F.try_variant_get(default, "$", "map<string,variant>"))) == F.array(F.lit("kind"), F.lit("reason"))) & good(default), "invalid default absence", pointer),
-        (whole | default.isNull() | (F.to_json(_at("field", "$.axes")) != "[]"), "default absence needs axes", pointer),
+        (whole | default.isNull() | (F.col("axes") != "[]"), "default absence needs axes", pointer),
         (whole | maps, "absence map must be an object", pointer),
     )
-    return F.when(a.isNull(), F.array().cast(_VIOLATIONS)).when(kind_of(a) == "OBJECT", told).otherwise(_broken((F.lit(False), "invalid absence", pointer)))
+    return F.when(a.isNull(), F.array().cast(_VIOLATIONS)).when(F.col("states").isNotNull(), told).otherwise(_broken((F.lit(False), "invalid absence", pointer)))
 
 
 def _named_rules() -> Column:
     """What holds for each cell that a field's absence names: it is there, null, and named once."""
-    entries = lambda k: F.transform(F.map_entries(F.coalesce(F.try_variant_get("absence", f"$.{k}", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), lambda e: F.struct(F.lit(k).alias("state"), e["key"].alias("coordinate"), e["value"].alias("reason")))
-    backed, axes = _at("field", "$.sidecar").isNotNull(), F.to_json(_at("field", "$.axes"))
-    rows, line = _at("field", "$.values", "array<array<variant>>"), _at("field", "$.values", "array<variant>")
-    second = F.coalesce(F.map_keys(F.try_variant_get("absence", f"$.{ABSENT[1]}", "map<string,variant>")), F.array().cast("array<string>"))
+    entries = lambda k: F.transform(F.map_entries(F.coalesce(F.col(k), F.create_map().cast("map<string,variant>"))), lambda e: F.struct(F.lit(k).alias("state"), e["key"].alias("coordinate"), e["value"].alias("reason")))
+    backed, axes, plain = F.col("backed"), F.col("axes"), F.col("whole").isNotNull()
+    # as text each is null where JSON is; those of whole numbers are there as such
+    texts = F.when(~plain, F.struct(_at("values", "$", "array<array<string>>").alias("rows"), _at("values", "$", "array<string>").alias("line")))
+    second = F.coalesce(F.map_keys(F.col(ABSENT[1])), F.array().cast("array<string>"))
     place_of = lambda labels, x: (F.array_position(labels, x) - 1).cast("int")
 
-    def rules(x: Column) -> Column:
+    def rules(x: Column, text: Column) -> Column:
         parts = F.split(x["coordinate"], r"\|")
         i, j = place_of("beat_ids", F.get(parts, F.lit(0))), place_of("leads", F.get(parts, F.lit(1)))
         label = F.when(axes == '["beat"]', place_of("beat_ids", x["coordinate"])).otherwise(place_of("leads", x["coordinate"]))
         there = F.when(axes == '["beat","lead"]', (i >= 0) & (j >= 0) & (F.size(parts) == 2)).when(axes == "[]", x["coordinate"] == "").otherwise(label >= 0)
-        value = F.when(axes == '["beat","lead"]', F.get(F.get(rows, i), j)).when(axes == "[]", _at("field", "$.values")).otherwise(F.get(line, label))
-        empty = backed | value.isNull() | (kind_of(value) == "VOID")
+        empty = backed | F.when(axes == '["beat","lead"]', F.when(plain, F.get(F.get("whole", i), j).isNull()).otherwise(F.get(F.get(text["rows"], i), j).isNull())).when(axes == "[]", F.coalesce(F.col("shape"), F.lit("VOID")) == "VOID").otherwise(F.when(plain, F.get("whole", label).isNull()).otherwise(F.get(text["line"], label).isNull()))
         where = F.concat("pointer", F.lit("/absence/"), x["state"], F.lit("/"), escape_token(x["coordinate"]))
         return _broken(
             (there & empty, "absence coordinate has no null cell", where),
@@ -333,7 +355,7 @@ def _named_rules() -> Column:
             (~(F.array_contains(second, x["coordinate"]) & (x["state"] == ABSENT[0])), "cell has two absence states", where),
         )
 
-    named = F.flatten(F.transform(F.concat(*map(entries, ABSENT)), rules))
+    named = let(texts, lambda text: F.flatten(F.transform(F.concat(*map(entries, ABSENT)), lambda x: rules(x, text))))
     return F.when(F.try_variant_get("absence", "$.kind", "variant").isNull(), named)
 
 
@@ -344,33 +366,45 @@ def violations(docs: DataFrame, registry: DataFrame | None = None, key: str = "r
     claim. It has a row a field of the contract, whatever the input. All violations
     are told, not the first alone. Nothing is shuffled: a document's rules read that document.
     """
-    v = F.try_parse_json("doc")
+    # a variant taken out of another is a copy of all below it, so each level is taken apart once, into columns
+    parsed = docs.select(F.col(key).alias("_key"), F.try_parse_json("doc").alias("v"))
     leads, beats = _at("v", "$.axes.leads", "array<string>"), F.transform(_at("v", "$.axes.beats", "array<variant>"), lambda b: F.try_variant_get(b, "$.id", "string"))
     none = F.array().cast("array<string>")
-    whole = docs.select(F.col(key).alias("_key"), v.alias("v")).select(
+    empty = F.create_map().cast("map<string,variant>")
+    whole = parsed.select(
         "_key",
         "v",
-        F.to_json(_at("v", "$.provenance")).alias("provenance"),
+        F.try_variant_get("v", "$", _MAP).alias("members"),
         F.coalesce(leads, none).alias("leads"),
         F.coalesce(beats, none).alias("beat_ids"),
         _at("v", "$.acquisition.sample_count", "bigint").alias("sample_count"),
         (_at("v", "$.acquisition.input_mode", "string") == "limited").alias("limited"),
     )
     # a row for each field, in one pass; what holds for the whole document is told with the first, or alone
-    measured = F.transform(F.map_entries(F.coalesce(_at("v", "$.measurements", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), lambda e: F.struct(e["key"].alias("grp"), e["value"].alias("fields")))
-    groups = F.concat(F.array(F.struct(F.lit("fiducials").alias("grp"), _at("v", "$.delineation.fiducials").alias("fields"))), measured)
+    group = lambda name, fields: F.struct(name.alias("grp"), fields.isNotNull().alias("there"), F.try_variant_get(fields, "$", _MAP).alias("fields"))
+    measured = F.transform(F.map_entries(F.coalesce(F.try_variant_get(F.col("members")["measurements"], "$", _MAP), empty)), lambda e: group(e["key"], e["value"]))
+    first = let(F.try_variant_get(F.col("members")["delineation"], "$", _MAP), lambda d: group(F.lit("fiducials"), d["fiducials"]))
+    whole = whole.withColumns({"provenance": F.to_json(F.col("members")["provenance"]), "groups": F.concat(F.array(first), measured)} | {f"_{m}": F.col("members")[m] for m in MEMBERS if m not in ("delineation", "measurements")})
+    whole = whole.withColumn("fiducials", F.get("groups", F.lit(0))["fields"])
+    whole = whole.withColumns({f"values_{n}": _at(F.col("fiducials")[n], "$.values") for c in CHAINS for n in c} | {f"dense_{n}": F.to_json(_at(F.col("fiducials")[n], "$.axes")) == '["beat","lead"]' for c in CHAINS for n in c})
+    whole = whole.withColumns({f"rows_{n}": F.coalesce(_whole_rows(F.col(f"values_{n}"), F.schema_of_variant(f"values_{n}")), _at(f"values_{n}", "$", "array<array<bigint>>")) for c in CHAINS for n in c})
     place = lambda g: F.when(g == "fiducials", "/delineation/fiducials").otherwise(F.concat(F.lit("/measurements/"), escape_token(g)))
     group_rules = lambda g: _broken(
         (g["grp"].isin("fiducials", "intervals", "amplitudes", "areas", "flags", "global"), "unknown measurement group; use extensions", place(g["grp"])),
-        (g["fields"].isNull() & (g["grp"] == "fiducials") | is_object(g["fields"]), "group must be an object", place(g["grp"])),
+        (~g["there"] & (g["grp"] == "fiducials") | g["fields"].isNotNull(), "group must be an object", place(g["grp"])),
     )
-    members = lambda g: F.transform(F.map_entries(F.coalesce(F.try_variant_get(g["fields"], "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), lambda e: F.struct(g["grp"].alias("grp"), e["key"].alias("name"), e["value"].alias("field")))
-    readable = is_object(F.col("v"))
-    parts = F.concat(_fiducial_order(), _artifact_rules(), F.flatten(F.transform(groups, group_rules)))
+    members = lambda g: F.transform(F.map_entries(F.coalesce(g["fields"], empty)), lambda e: F.struct(g["grp"].alias("grp"), e["key"].alias("name"), e["value"].alias("field")))
+    readable = F.col("members").isNotNull()
+    parts = F.concat(_fiducial_order(), _artifact_rules(), F.flatten(F.transform("groups", group_rules)))
     none_found = F.array().cast(_VIOLATIONS)
     told = F.concat(_document_rules(), F.when(readable, F.coalesce(parts, none_found)).otherwise(none_found))
-    fields = whole.select("_key", "provenance", "leads", "beat_ids", "sample_count", "limited", told.alias("told"), F.posexplode_outer(F.when(readable, F.flatten(F.transform(groups, members)))).alias("pos", "f"))
-    fields = fields.select("*", "f.grp", "f.name", "f.field", F.concat(place(F.col("f.grp")), F.lit("/"), escape_token(F.col("f.name"))).alias("pointer")).drop("f").withColumn("absence", _at("field", "$.absence"))
+    fields = whole.select("_key", "provenance", "leads", "beat_ids", "sample_count", "limited", told.alias("told"), F.posexplode_outer(F.when(readable, F.flatten(F.transform("groups", members)))).alias("pos", "f"))
+    fields = fields.select("*", "f.grp", "f.name", "f.field", F.concat(place(F.col("f.grp")), F.lit("/"), escape_token(F.col("f.name"))).alias("pointer"), F.try_variant_get("f.field", "$", _MAP).alias("wrapper")).drop("f")
+    fields = fields.withColumns({"values": F.col("wrapper")["values"], "absence": F.col("wrapper")["absence"], "axes": F.to_json(F.col("wrapper")["axes"]), "backed": F.col("wrapper")["sidecar"].isNotNull()})
+    fields = fields.withColumns({"type_of_values": F.schema_of_variant("values"), "states": F.try_variant_get("absence", "$", _MAP)})
+    fields = fields.withColumns({"shape": F.regexp_extract("type_of_values", "^[A-Z]+", 0), "whole": _whole_rows(F.col("values"), F.col("type_of_values"))} | {k: F.try_variant_get(F.col("states")[k], "$", _MAP) for k in ABSENT})
+    sizes = F.transform(_at("values", "$", "array<variant>"), lambda r: F.size(F.try_variant_get(r, "$", "array<variant>")))
+    fields = fields.withColumn("row_sizes", F.when(F.col("whole").isNotNull(), F.transform("whole", lambda r: F.size(r))).otherwise(sizes))
     if registry is None:
         fields = fields.withColumn("ceiling", F.lit(None).cast("string"))
     else:
@@ -382,21 +416,23 @@ def violations(docs: DataFrame, registry: DataFrame | None = None, key: str = "r
 
 def _out_of_order(chain: tuple[str, ...]) -> Column:
     """The cells of a chain of bounds that don't stand in order."""
-    rows = [_at("v", f"$.delineation.fiducials.{n}.values", "array<array<bigint>>") for n in chain]
+    rows = [F.col(f"rows_{n}") for n in chain]
     places = [f"c{k}" for k in range(len(chain))]
 
     def bad_leads(x: Column, i: Column) -> Column:
         def broken(c: Column, j: Column) -> Column:
-            present = F.array_compact(F.array(*(c[p] for p in places)))
-            return F.when(present != F.array_sort(present), F.struct(F.lit(CONTRACT).alias("code"), F.concat(F.lit(f"/delineation/fiducials/{chain[0]}/values/"), i, F.lit("/"), j).alias("pointer"), F.lit("/".join(chain) + ": fiducial order violated").alias("message")))
+            # some bound lies behind a later one; nulls between them say nothing
+            apart = [F.coalesce(c[p] > c[q], F.lit(False)) for k, p in enumerate(places) for q in places[k + 1 :]]
+            return F.when(reduce(lambda a, b: a | b, apart), F.struct(F.lit(CONTRACT).alias("code"), F.concat(F.lit(f"/delineation/fiducials/{chain[0]}/values/"), i, F.lit("/"), j).alias("pointer"), F.lit("/".join(chain) + ": fiducial order violated").alias("message")))
 
         return F.array_compact(F.transform(F.arrays_zip(*(x[p].alias(p) for p in places)), broken))
 
     usable = F.lit(True)
-    for n, r in zip(chain, rows, strict=True):
-        usable = usable & r.isNotNull() & (F.to_json(_at("v", f"$.delineation.fiducials.{n}.axes")) == '["beat","lead"]')
+    for n in chain:
+        usable = usable & F.col(f"dense_{n}")
     none = F.array().cast(_VIOLATIONS)
-    return F.when(usable, F.coalesce(F.flatten(F.transform(F.arrays_zip(*(r.alias(p) for p, r in zip(places, rows, strict=True))), bad_leads)), none)).otherwise(none)
+    # a chain with a field that is no matrix is null, and has none
+    return F.when(usable, F.coalesce(F.flatten(F.transform(F.arrays_zip(*(r.alias(p) for p, r in zip(places, rows, strict=True))), bad_leads)).cast(_VIOLATIONS), none)).otherwise(none)
 
 
 def _fiducial_order() -> Column:
@@ -406,31 +442,27 @@ def _fiducial_order() -> Column:
 
 def _artifact_rules() -> Column:
     """What holds for artifacts: a locator, a media type and a digest each; the dense one names its record, shape and fields."""
-    made = F.coalesce(F.filter(F.map_entries(_at("v", "$.artifacts", "map<string,variant>")), lambda e: kind_of(e["value"]) != "VOID"), F.array())
+    made = F.coalesce(F.filter(F.map_entries(_at("_artifacts", "$", _MAP)), lambda e: kind_of(e["value"]) != "VOID"), F.array())
     said = lambda e, p: F.try_variant_get(e["value"], p, "string")
     bad = F.transform(made, lambda e: _broken(
         (kind_of(e["value"]) == "OBJECT", "artifact must be an object or null", F.concat(F.lit("/artifacts/"), escape_token(e["key"]))),
         (said(e, "$.uri").isNotNull() & said(e, "$.media_type").isNotNull(), "artifact requires uri and media_type", F.concat(F.lit("/artifacts/"), escape_token(e["key"]))),
         (F.regexp_like(said(e, "$.sha256"), F.lit("^sha256:[0-9a-f]{64}$")), "artifact requires SHA-256 digest", F.concat(F.lit("/artifacts/"), escape_token(e["key"]))),
     ))
-    d, where = "$.artifacts.dense_measurements", "/artifacts/dense_measurements"
-    parts = [("/delineation/fiducials", "$.delineation.fiducials"), *((f"/measurements/{g}", f"$.measurements.{g}") for g in ("intervals", "amplitudes", "areas"))]
+    d, where = "$.dense_measurements", "/artifacts/dense_measurements"
     has_sidecar = lambda _, f: F.try_variant_get(f, "$.sidecar", "variant").isNotNull()
-
-    def pointers(where: str, path: str) -> Column:
-        fields = F.coalesce(_at("v", path, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-        return F.transform(F.map_entries(F.map_filter(fields, has_sidecar)), lambda e: F.concat(F.lit(where + "/"), escape_token(e["key"])))
-
-    backed = F.concat(*(pointers(where, path) for where, path in parts))
-    has = kind_of(_at("v", d)) == "OBJECT"
+    pointers = lambda g, where: F.transform(F.map_keys(F.map_filter(F.coalesce(g["fields"], F.create_map().cast(_MAP)), has_sidecar)), lambda n: F.concat(where, F.lit("/"), escape_token(n)))
+    dense_groups = F.filter(F.slice("groups", 2, 1 << 30), lambda g: g["grp"].isin("intervals", "amplitudes", "areas"))
+    backed = F.concat(pointers(F.get("groups", F.lit(0)), F.lit("/delineation/fiducials")), F.flatten(F.transform(dense_groups, lambda g: pointers(g, F.concat(F.lit("/measurements/"), g["grp"])))))
+    has = kind_of(_at("_artifacts", d)) == "OBJECT"
     size = F.concat(F.lit("["), F.size("beat_ids").cast("string"), F.lit(","), F.size("leads").cast("string"), F.lit("]"))
     dense = _broken(
-        (_at("v", f"{d}.media_type", "string") == MEDIA_TYPE, "dense_measurements has another media type", where, SIDECAR),
-        (F.regexp_like(_at("v", f"{d}.uri", "string"), F.lit(r"^[A-Za-z0-9][A-Za-z0-9._-]*\.cells$")), "sidecar uri must be a plain relative name", where, "invalid_sidecar_uri"),
-        (_at("v", f"{d}.record_id", "string") == _at("v", "$.record_id", "string"), "sidecar descriptor names another record", where, "sidecar_identity"),
-        (_at("v", f"{d}.schema_version", "string") == _at("v", "$.schema_version", "string"), "sidecar schema version disagrees", where, "sidecar_identity"),
-        ((F.to_json(_at("v", f"{d}.shape")) == size) & (F.to_json(_at("v", f"{d}.axes")) == '["beat","lead"]'), "sidecar shape disagrees with record axes", where, SIDECAR),
-        (F.array_sort(F.array_distinct(_at("v", f"{d}.fields", "array<string>"))) == F.array_sort(backed), "sidecar field list disagrees with sidecar-backed fields", where, SIDECAR),
+        (_at("_artifacts", f"{d}.media_type", "string") == MEDIA_TYPE, "dense_measurements has another media type", where, SIDECAR),
+        (F.regexp_like(_at("_artifacts", f"{d}.uri", "string"), F.lit(r"^[A-Za-z0-9][A-Za-z0-9._-]*\.cells$")), "sidecar uri must be a plain relative name", where, "invalid_sidecar_uri"),
+        (_at("_artifacts", f"{d}.record_id", "string") == _at("_record_id", "$", "string"), "sidecar descriptor names another record", where, "sidecar_identity"),
+        (_at("_artifacts", f"{d}.schema_version", "string") == _at("_schema_version", "$", "string"), "sidecar schema version disagrees", where, "sidecar_identity"),
+        ((F.to_json(_at("_artifacts", f"{d}.shape")) == size) & (F.to_json(_at("_artifacts", f"{d}.axes")) == '["beat","lead"]'), "sidecar shape disagrees with record axes", where, SIDECAR),
+        (F.array_sort(F.array_distinct(_at("_artifacts", f"{d}.fields", "array<string>"))) == F.array_sort(backed), "sidecar field list disagrees with sidecar-backed fields", where, SIDECAR),
     )
     alone = _broken((F.size(backed) == 0, "sidecar-backed fields require a dense artifact", where, SIDECAR))
     return F.concat(F.flatten(bad).cast(_VIOLATIONS), F.when(has, dense).otherwise(alone))

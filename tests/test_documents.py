@@ -194,3 +194,18 @@ def test_cells_beyond_32_bits_are_an_error(spark):
         df.select(R.int32_bytes(F.col("v"))).collect()
     both = spark.createDataFrame([([0, 1, -1, 2**31 - 1, -(2**31), 258],), ([],)], "v array<bigint>").select("v", R.int32_values(R.int32_bytes(F.col("v"))).alias("w")).collect()
     assert all(r.v == r.w for r in both)
+
+
+def test_each_level_of_a_document_is_taken_apart_once(spark):
+    """A variant taken out of another is a copy of all below it: rules must not take the whole document apart one by one."""
+    found = R.violations(spark.createDataFrame([("r1", json.dumps(base()))], "record_id string, doc string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get(v#") <= 8
+
+
+@pytest.mark.parametrize("values, told", [([[100, -1], [None, 1000]], {"/0/1", "/1/1"}), ([[100, 1.5], [None, 1000]], {"/0/1", "/1/1"}), ([[None, None], [None, None]], set())])
+def test_whole_numbers_out_of_range_are_told_among_nulls(spark, values, told):
+    d = base()
+    d["delineation"]["fiducials"] = {"r_peak": field(values=values)}
+    found = R.violations(spark.createDataFrame([("r1", json.dumps(d))], "record_id string, doc string")).collect()
+    assert {r["pointer"] for r in found} == {"/delineation/fiducials/r_peak/values" + t for t in told}
