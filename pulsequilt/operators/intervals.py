@@ -6,10 +6,12 @@ windows run inside a record.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import ANGLES, median
+from pulsequilt.functions.expressions import ANGLES, median, total
 from pulsequilt.operators.rhythm import by_record
 
 # Fixed values of the interval rules.
@@ -105,13 +107,20 @@ def reject_gate(x: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- axes
 
 
-def frontal_axis(values: DataFrame, least: float = 1e-6) -> DataFrame:
-    """Direction in degrees of limb-lead values (record_id, lead, value, conf), each weighted by its confidence (0.1 at least); null where they cancel."""
+def limb_place(lead: str = "lead") -> Column:
+    """The place of a limb lead in the standard order, from 1."""
+    return F.array_position(F.array(*map(F.lit, ANGLES)), F.col(lead))
+
+
+def frontal_axis(values: DataFrame, least: float = 1e-6, atan2: Callable[..., Column] = F.atan2) -> DataFrame:
+    """Direction in degrees of limb-lead values (record_id, lead, value, conf), each weighted by its confidence (0.1 at least); null where they cancel. Leads are added up in their order, so that an axis at a limit doesn't depend on how rows are dealt."""
     angles = F.create_map(*(F.lit(v) for kv in ANGLES.items() for v in kv))
     x = values.withColumns({"theta": F.radians(angles[F.col("lead")]), "c": F.greatest(F.lit(0.1), F.col("conf"))}).where("theta is not null and value is not null")
     part = F.col("value") * F.col("c")
-    s = x.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_leads"), F.sum(part * F.cos("theta")).alias("x"), F.sum(part * F.sin("theta")).alias("y"), F.sum(F.abs("value") * F.col("c")).alias("size"))
-    return s.select("record_id", "n_leads", F.when(F.col("size") >= least, F.degrees(F.atan2("y", "x"))).alias("axis_deg"))
+    term = F.struct(limb_place().alias("place"), (part * F.cos("theta")).alias("x"), (part * F.sin("theta")).alias("y"), (F.abs("value") * F.col("c")).alias("size"))
+    s = x.groupBy("record_id").agg(F.array_sort(F.collect_list(term)).alias("terms"))
+    s = s.select("record_id", F.size("terms").cast("long").alias("n_leads"), *(total(F.col(f"terms.{k}")).alias(k) for k in ("x", "y", "size")))
+    return s.select("record_id", "n_leads", F.when(F.col("size") >= least, F.degrees(atan2("y", "x"))).alias("axis_deg"))
 
 
 def t_axis(leads: DataFrame, least_leads: int = 2) -> DataFrame:

@@ -8,13 +8,16 @@ missing rr_cv as regular; numbers that are not finite as missing.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pulsequilt.functions.expressions import ANGLES, circular_delta
-from pulsequilt.operators.intervals import frontal_axis
+from pulsequilt.operators.intervals import frontal_axis, limb_place
 from pulsequilt.operators.leads import signed_area
 from pulsequilt.operators.policies import finite
 from pulsequilt.operators.rhythm import by_record
@@ -84,7 +87,8 @@ def without_seed_conflicts(x: DataFrame) -> DataFrame:
     w = by_record()
     weight = F.when(seed, F.col("value") * F.greatest(F.lit(0.1), F.col("conf")))
     theta = F.radians(F.create_map(*(F.lit(v) for kv in ANGLES.items() for v in kv))[F.col("lead")])
-    x = x.withColumns({"_n": F.count_if(seed).over(w), "_up": F.count_if(seed & (F.col("value") >= 0)).over(w), "_x": F.sum(weight * F.cos(theta)).over(w), "_y": F.sum(weight * F.sin(theta)).over(w)})
+    ordered = w.orderBy(limb_place()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = x.withColumns({"_n": F.count_if(seed).over(ordered), "_up": F.count_if(seed & (F.col("value") >= 0)).over(ordered), "_x": F.sum(weight * F.cos(theta)).over(ordered), "_y": F.sum(weight * F.sin(theta)).over(ordered)})
     projection = F.cos(F.atan2("_y", "_x") - theta)
     agreed = (F.col("_n") == len(SEEDS)) & F.col("_up").isin(0, len(SEEDS))
     against = (F.abs(projection) >= SEED_NEUTRAL) & (F.signum("value") != F.signum(projection)) & (F.abs("amp") >= SEED_MV) & ((F.col("lead") == "aVR") | (F.coalesce("conf", F.lit(0.0)) < SURE_CONF))
@@ -92,6 +96,12 @@ def without_seed_conflicts(x: DataFrame) -> DataFrame:
     return x.withColumn("value", F.when(~gone, F.col("value"))).drop("_n", "_up", "_x", "_y")
 
 
+@F.arrow_udf(DoubleType())
+def libm_atan2(y: pa.Array, x: pa.Array) -> pa.Array:
+    """The angle of a direction as the C library has it. Spark's own differs in its last bit for one direction in six, which tells at a limit."""
+    return pa.array([None if a is None or b is None else math.atan2(a, b) for a, b in zip(y.to_pylist(), x.to_pylist(), strict=True)], pa.float64())
+
+
 def coverage(leads: DataFrame, facts: DataFrame, rule: Coverage) -> DataFrame:
     """record_id, rule, n_leads, axis_deg, leads of the records that a rule gives an axis: narrow, regular ones whose P waves are valid."""
     calm = finite(facts).where(~_sure("atrial_invalid") & (F.col("qrs_ms") <= MOST_QRS) & F.coalesce(F.col("rr_cv") <= MOST_CV, F.lit(True))).select("record_id")
@@ -104,7 +114,7 @@ def coverage(leads: DataFrame, facts: DataFrame, rule: Coverage) -> DataFrame:
     if rule.seeds:
         x = without_seed_conflicts(x)
     x = x.where("value is not null")
-    axis = frontal_axis(x.select("record_id", "lead", "value", "conf"))
+    axis = frontal_axis(x.select("record_id", "lead", "value", "conf"), atan2=libm_atan2)
     named = x.groupBy("record_id").agg(F.array_sort(F.collect_list("lead")).alias("leads"))
     told = axis.where((F.col("n_leads") >= rule.leads) & (F.abs("axis_deg") <= rule.most_deg)).join(named, "record_id")
     return told.select("record_id", F.lit(rule.name).alias("rule"), "n_leads", "axis_deg", "leads")

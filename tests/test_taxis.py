@@ -6,6 +6,7 @@ import pytest
 
 from pulsequilt.functions.expressions import ANGLES
 from pulsequilt.operators import taxis as T
+from pulsequilt.operators.intervals import frontal_axis
 
 LEAD = "record_id long, lead string, amp double, amp_sd double, conf double, area double, signed_area double, reliable_for_t boolean, confused boolean, st_conf double, st_mid double, special_uv double, t_prime_area double"
 FACT = "record_id long, qrs_ms double, rr_cv double, atrial_invalid boolean"
@@ -77,3 +78,18 @@ def test_suppression_by_hand(spark):
     got = {r.record_id: (r.suppressed, r.reason) for r in T.suppressed(leads, facts).collect()}
     assert 13 not in got
     assert got == {k: (want is not None, want) for k, (_, _, want) in cases.items() if k != 13}
+
+
+def test_an_axis_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(k, lead, ((k * 37 + j * 53) % 97 - 40) / 7, ((k * 11 + j * 29) % 90) / 100) for k in range(300) for j, lead in enumerate(("I", "II", "III", "aVR", "aVL", "aVF"))]
+    one, other = ({r["record_id"]: (r["n_leads"], r["axis_deg"]) for r in frontal_axis(spark.createDataFrame(x, "record_id long, lead string, value double, conf double").coalesce(1)).collect()} for x in (rows, rows[::-1]))
+    assert one == other
+
+
+def test_an_axis_at_its_limit_is_told(spark):
+    """120 degrees in whole numbers, whose angle Spark's own atan2 puts behind the limit."""
+    row = {"amp_sd": None, "signed_area": None, "reliable_for_t": True, "confused": False, "st_conf": 0.9, "st_mid": 0.0, "special_uv": None, "t_prime_area": None}
+    leads = [{"record_id": 1, "lead": n, "amp": 0.4, "conf": c, "area": a, **row} for n, c, a in (("III", 0.5, 1.2), ("aVR", 0.98, 1.2), ("aVF", 0.96, 2.45))]
+    kinds = "record_id long, lead string, amp double, conf double, area double, amp_sd double, signed_area double, reliable_for_t boolean, confused boolean, st_conf double, st_mid double, special_uv double, t_prime_area double"
+    facts = spark.createDataFrame([(1, 90.0, 0.05, False)], "record_id long, qrs_ms double, rr_cv double, atrial_invalid boolean")
+    assert [r["leads"] for r in T.coverage(spark.createDataFrame(leads, kinds), facts, T.COVERAGES[1]).collect()] == [["III", "aVF", "aVR"]]
