@@ -525,8 +525,10 @@ def int32_bytes(values: Column) -> Column:
 
 def int32_values(data: Column) -> Column:
     signed = lambda u: F.when(u >= 2**31, u - 2**32).otherwise(u)
-    at = lambda h: F.transform(F.sequence(F.lit(0), F.floor(F.length(h) / 8).cast("int") - 1), lambda k: signed(F.conv(_swapped(F.substr(h, (k * 8 + 1).cast("int"), F.lit(8))), 16, 10).cast("long")))
-    return F.when(F.length(data) > 0, let(F.hex(data), at)).otherwise(F.array().cast("array<bigint>"))
+    # bytes are cut out of the binary itself: a place in a text is found by counting from its start
+    one = lambda b, k: let(F.hex(F.substr(b, k * 4 + 1, F.lit(4))), lambda h: let(F.conv(_swapped(h), 16, 10).cast("long"), signed))
+    at = lambda b: F.transform(F.sequence(F.lit(0), F.floor(F.length(b) / 4).cast("int") - 1), lambda k: one(b, k))
+    return F.when(F.length(data) > 0, let(data, at)).otherwise(F.array().cast("array<bigint>"))
 
 
 def state_bytes(states: Column) -> Column:
@@ -584,7 +586,7 @@ def join_dense(docs: DataFrame, cells: DataFrame) -> DataFrame:
     d = _of("artifacts.dense_measurements")
     x = docs.withColumn("coordinates", _coordinates()).withColumn("sha256", d["sha256"]).join(kept, ["record_id", "sha256"], "left")
     part = lambda p: F.get(F.filter("parts", lambda y: y["pointer"] == p), F.lit(0))
-    values = lambda p: let(int32_values(part(p)["data"]), lambda v: let(part(p)["states"], lambda s: F.transform(v, lambda a, k: F.when(F.substr(F.hex(s), (k * 2 + 1).cast("int"), F.lit(2)) == "00", a))))
+    values = lambda p: let(int32_values(part(p)["data"]), lambda v: let(part(p)["states"], lambda s: F.transform(v, lambda a, k: F.when(F.substr(s, k + 1, F.lit(1)) == F.lit(b"\0"), a))))
     for k, (p, _, _) in enumerate(fields):
         x = x.withColumn(f"v{k}", values(p))
     n = F.size("coordinates")
@@ -605,6 +607,11 @@ def join_dense(docs: DataFrame, cells: DataFrame) -> DataFrame:
     return x.withColumn("code", code).select("record_id", F.when(F.col("code").isNull(), doc).alias("doc"), "code")
 
 
+def fingerprint() -> Column:
+    """SHA-256 of the JSON text of ``doc``: what is compared across a shuffle in its place; null for none."""
+    return F.sha2(F.to_json("doc").cast("binary"), 256)
+
+
 def _rowed(flat: str) -> Column:
     leads = F.size("doc.axes.leads")
     return F.transform(F.sequence(F.lit(0), F.size("doc.axes.beats") - 1), lambda i: F.slice(flat, i * leads + 1, leads))
