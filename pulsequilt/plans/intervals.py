@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import circular_delta, median, rounded, with_means
+from pulsequilt.functions.expressions import circular_delta, median, quantile, rounded, with_means
 from pulsequilt.operators import intervals as I
 from pulsequilt.operators import rhythm as R
 from pulsequilt.plans.registry import query
@@ -32,7 +32,8 @@ cons AS (SELECT record_id, quantile_cont(qt, 0.9) AS consensus_qt, quantile_cont
 
 def consensus(spark, sf, which: float):
     cv = beats(spark, sf).groupBy("record_id").agg((F.stddev_pop("rr_prev") / F.avg("rr_prev") / 8).alias("rr_cv"))
-    return qt_values(spark, sf).groupBy("record_id").agg(F.percentile("qt", F.lit(which)).alias("consensus_qt")).join(cv, "record_id")
+    q = qt_values(spark, sf).groupBy("record_id").agg(F.array_sort(F.collect_list("qt")).alias("qt"))
+    return q.select("record_id", quantile(F.col("qt"), which).alias("consensus_qt")).join(cv, "record_id")
 
 
 @query(MARKS_SQL + """, x AS (SELECT record_id, median(240 + amp) AS qt, median(rr_prev) AS rr FROM beats GROUP BY record_id)
