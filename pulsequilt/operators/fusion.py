@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import median
+from pulsequilt.functions.expressions import let, median, spread
 
 
 def supported_percentile(x: str, p: float) -> Column:
@@ -44,15 +44,36 @@ def peak_anchor(candidates: DataFrame, radius: float, power: float = 1.0, alone:
     Every candidate is tried as a centre; a cluster has each lead's heaviest
     candidate within the radius; its score is the summed weight times the
     number of leads to ``power`` (times ``alone`` for one lead); the first best
-    centre wins. candidates: record_id, beat_id, lead, peak, weight.
+    centre wins. candidates: record_id, beat_id, lead, peak, weight. A beat's
+    candidates (of equal leads and peaks the heaviest) are held together; one
+    shuffle by record.
     """
-    c = candidates.select("record_id", "beat_id", F.col("peak").alias("centre")).distinct()
-    near = c.join(candidates, ["record_id", "beat_id"]).where(F.abs(F.col("peak") - F.col("centre")) <= radius)
-    best = near.groupBy("record_id", "beat_id", "centre", "lead").agg(F.max(F.struct("weight", (-F.col("peak")).alias("first"))).alias("b"))
-    g = best.groupBy("record_id", "beat_id", "centre").agg(F.sum("b.weight").alias("w"), F.sum(F.col("b.weight") * -F.col("b.first")).alias("wp"), F.count(F.lit(1)).alias("n_leads"))
-    score = F.round(F.col("w") * F.when(F.col("n_leads") > 1, F.pow(F.col("n_leads").cast("double"), F.lit(power))).otherwise(F.lit(alone)), 9)
-    top = g.withColumn("score", score).groupBy("record_id", "beat_id").agg(F.max(F.struct("score", (-F.col("centre")).alias("first"), "w", "wp", "n_leads")).alias("b"))
-    return top.select("record_id", "beat_id", (F.col("b.wp") / F.col("b.w")).alias("anchor"), F.col("b.n_leads").alias("n_leads"))
+    keys, lead_type = ["record_id", "beat_id"], dict(candidates.dtypes)["lead"]
+    known = candidates.where(" AND ".join(f"{c} IS NOT NULL" for c in (*keys, "peak")))
+    heaviest = spread(known, "record_id").groupBy(*keys, "lead", "peak").agg(F.max("weight").alias("weight"))
+    # heaviest first, then the lowest peak; no weight comes last
+    item = F.struct(F.col("weight").isNull().alias("no"), (-F.col("weight")).alias("light"), "peak", F.struct("lead").alias("lead"), "weight")
+    beats = heaviest.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
+
+    def joined(s: Column, v: Column) -> Column:
+        add = lambda total, x: F.when(x.isNull(), total).otherwise(F.coalesce(total, F.lit(0.0)) + x)
+        more = F.struct(F.concat(s["leads"], F.array(v["lead"])).alias("leads"), add(s["w"], v["weight"].cast("double")).alias("w"), add(s["wp"], (v["weight"] * v["peak"]).cast("double")).alias("wp"))
+        return F.when(F.array_contains(s["leads"], v["lead"]), s).otherwise(more)
+
+    none = F.struct(F.array().cast(f"array<struct<lead:{lead_type}>>").alias("leads"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("wp"))
+
+    def told(s: Column, centre: Column) -> Column:
+        n = F.size(s["leads"]).cast("long")
+        score = F.round(s["w"] * F.when(n > 1, F.pow(n.cast("double"), F.lit(power))).otherwise(F.lit(alone)), 9)
+        return F.struct(score.alias("score"), (-centre).alias("first"), s["w"].alias("w"), s["wp"].alias("wp"), n.alias("n_leads"))
+
+    def tried(centre: Column) -> Column:
+        near = F.filter("all", lambda v: F.abs(v["peak"] - centre) <= radius)
+        return let(F.aggregate(near, none, joined), lambda s: told(s, centre))
+
+    centres = F.array_distinct(F.transform("all", lambda v: v["peak"]))
+    top = beats.select(*keys, F.array_max(F.transform(centres, tried)).alias("b"))
+    return top.select(*keys, (F.col("b.wp") / F.col("b.w")).alias("anchor"), F.col("b.n_leads").alias("n_leads"))
 
 
 def cap_to_raw(leads: DataFrame, slack: float = 12.0) -> DataFrame:

@@ -50,7 +50,7 @@ b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY record_id, centre,
 g AS (SELECT record_id, centre, sum(weight) AS w, sum(weight * peak) AS wp, count(*) AS n_leads FROM b GROUP BY ALL)
 SELECT record_id, round(wp / w, 4) AS anchor, n_leads FROM g QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY round(w * CASE WHEN n_leads > 1 THEN n_leads ELSE 0.5 END, 9) DESC, centre) = 1""")
 def peak_anchor(spark, sf):
-    x = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("record_id"), F.lit(0).alias("beat_id"), F.col("l_linenumber").alias("lead"), F.col("l_quantity").alias("peak")).agg(F.max("l_extendedprice").alias("weight"))
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.lit(0).alias("beat_id"), F.col("l_linenumber").alias("lead"), F.col("l_quantity").alias("peak"), F.col("l_extendedprice").alias("weight"))
     return X.peak_anchor(x, 6.0).select("record_id", rounded(F.col("anchor"), 4).alias("anchor"), "n_leads")
 
 
