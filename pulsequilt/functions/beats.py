@@ -240,26 +240,81 @@ def group_beats(x: np.ndarray, leads: list[str], r_at: np.ndarray, fs: float, ou
     return list(zip(widths, wide, out, strict=True))
 
 
+class _Kin:
+    """Families of one pacing and RR context side by side, so that a window is held against all at once."""
+
+    def __init__(self, reach: int):
+        self.reach, self.ids, self.slots, self.rows, self.sizes = reach, [], {}, [], []
+
+    def put(self, k: int, mean: np.ndarray) -> None:
+        """Family k has this mean now."""
+        slot = self.slots.setdefault(k, len(self.ids))
+        if slot == len(self.ids):
+            if slot == len(self.rows):
+                more = np.zeros((max(8, slot), 2, mean.size))
+                self.rows = np.concatenate([self.rows, more]) if slot else more
+            self.ids.append(k)
+            self.sizes.append(0.0)
+        vm = np.sqrt((np.atleast_2d(mean) ** 2).sum(axis=0))
+        self.rows[slot, 0] = mean.ravel() - mean.mean()
+        self.rows[slot, 1, : vm.size] = vm - vm.mean()
+        self.sizes[slot] = float(np.linalg.norm(self.rows[slot, 0]))
+
+    def near(self, window: np.ndarray) -> list[int]:
+        """The families that may be most like the window, in order: all that come within rounding of the greatest likeness, or whose lag rounding might decide."""
+        f, n = len(self.ids), window.shape[-1]
+        reach = min(self.reach, n - 1)
+        lags = range(-reach, reach + 1)
+        shifted = np.zeros((len(lags), *window.shape))
+        for i, k in enumerate(lags):
+            shifted[i, ..., max(0, -k) : n - max(0, k)] = window[..., max(0, k) : n + min(0, k)]
+        flat = shifted.reshape(len(lags), -1)
+        flat = flat - flat.mean(axis=1, keepdims=True)
+        like, sizes = np.einsum("ij,kj->ik", flat, self.rows[:f, 0]), np.linalg.norm(flat, axis=1)  # not BLAS, whose threads crowd a task's core
+        lag, unsure, at = np.full(f, reach), np.zeros(f, bool), np.arange(f)
+        if reach:
+            vm = np.sqrt((np.atleast_2d(window) ** 2).sum(axis=0))
+            vm -= vm.mean()
+            a = np.zeros((len(lags), n))
+            for i, k in enumerate(lags):
+                a[i, max(0, -k) : n - max(0, k)] = vm[max(0, k) : n + min(0, k)]
+            b = self.rows[:f, 1, :n]
+            fits = np.einsum("ij,kj->ik", a, b)
+            lag = fits.argmax(axis=0)
+            top = np.partition(fits, -2, axis=0)[-2:]
+            unsure = ~(top[1] - top[0] > 1e-9 * np.linalg.norm(vm) * np.linalg.norm(b, axis=1))
+        size = sizes[lag] * np.array(self.sizes)
+        c = np.where(size >= 2e-8, like[lag, at] / np.maximum(size, 1e-300), 0.0)
+        unsure |= (size < 2e-8) | ~np.isfinite(c)
+        unsure &= ~(sizes.max() * np.array(self.sizes) < 5e-9)  # a flat one is like none, whatever the lag
+        most = c[~unsure].max(initial=-np.inf)
+        return [self.ids[j] for j in np.flatnonzero(unsure | (c >= most - 1e-7))]
+
+
 class Families:
     """Beats join the family (of their pacing and RR context) whose running mean they are most like, if by at least the threshold; else they found one."""
 
     def __init__(self, threshold: float = 0.88, reach: int = 0):
         self.threshold, self.reach = threshold, reach
         self.means: list[tuple[tuple, np.ndarray, int]] = []
+        self.kin: dict[tuple, _Kin] = {}
 
     def join(self, window: np.ndarray, paced: bool, context: str) -> int:
         best, most, moved = -1, -1.0, window
-        for k, (key, mean, _) in enumerate(self.means):
-            if key == (paced, context):
-                w = aligned(window, mean, self.reach) if self.reach else window
-                c = likeness(w, mean)
-                if c > most:
-                    best, most, moved = k, c, w
+        kin = self.kin.setdefault((paced, context), _Kin(self.reach))
+        for k in kin.near(window) if kin.ids else ():
+            mean = self.means[k][1]
+            w = aligned(window, mean, self.reach) if self.reach else window
+            c = likeness(w, mean)
+            if c > most:
+                best, most, moved = k, c, w
         if best < 0 or most < self.threshold:
+            best = len(self.means)
             self.means.append(((paced, context), np.array(window, float), 1))
-            return len(self.means)
-        key, mean, n = self.means[best]
-        self.means[best] = key, mean + (moved - mean) / (n + 1), n + 1
+        else:
+            key, mean, n = self.means[best]
+            self.means[best] = key, mean + (moved - mean) / (n + 1), n + 1
+        kin.put(best, self.means[best][1])
         return best + 1
 
 

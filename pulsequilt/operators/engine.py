@@ -365,7 +365,7 @@ def families(windows: DataFrame, reach: int = 5, threshold: float = 0.88) -> Dat
                 ids.append(held.join(np.array([w], float), paced, contexts[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(contexts, pa.string())], names=["record_id", "beat_id", "family", "rr_context"])
 
-    return rows.repartition("record_id").sortWithinPartitions("record_id", "beat_id").mapInArrow(run, "record_id long, beat_id long, family long, rr_context string")
+    return spread(rows, "record_id").sortWithinPartitions("record_id", "beat_id").mapInArrow(run, "record_id long, beat_id long, family long, rr_context string")
 
 
 def representatives(windows: DataFrame, reach: int = 8, least: float = 0.70) -> DataFrame:

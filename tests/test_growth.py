@@ -5,8 +5,10 @@ import io
 import random
 import statistics
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from pulsequilt.functions import beats
 from pulsequilt.operators import engine, fusion
 
 
@@ -75,3 +77,29 @@ def test_spikes_are_dealt_once(spark):
     plan = plan_of(engine.pacing_rhythm(engine.spike_clusters(c)))
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     assert "Join" not in plan
+
+
+def test_families_hold_a_window_against_all_at_once(monkeypatch):
+    """The families of a loop over all means; only those that may be the best are aligned and compared one by one."""
+    gen = np.random.default_rng(6)
+    shapes = gen.normal(size=(40, 2, 24))
+    windows = [np.roll(shapes[k % 40], k % 3, axis=1) + gen.normal(0, 0.3, (2, 24)) for k in range(400)]
+    windows[50:60] = [np.ones((2, 24))] * 10
+    calls, aligned = [], beats.aligned
+    monkeypatch.setattr(beats, "aligned", lambda *a: calls.append(1) or aligned(*a))
+    held, means, want = beats.Families(0.5, 3), [], []
+    got = [held.join(w, k % 9 == 0, "x") for k, w in enumerate(windows)]
+    for k, w in enumerate(windows):
+        best, most = None, -1.0
+        for i, (paced, mean, _) in enumerate(means):
+            if paced == (k % 9 == 0) and (c := beats.likeness(aligned(w, mean, 3), mean)) > most:
+                best, most = i, c
+        if best is None or most < 0.5:
+            means.append((k % 9 == 0, w, 1))
+            want.append(len(means))
+        else:
+            paced, mean, n = means[best]
+            means[best] = paced, mean + (aligned(w, mean, 3) - mean) / (n + 1), n + 1
+            want.append(best + 1)
+    assert got == want and len(means) > 30
+    assert len(calls) < 3 * len(windows)  # before: one a family
