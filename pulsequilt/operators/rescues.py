@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import let, median
+from pulsequilt.functions.expressions import let, median, spread
 from pulsequilt.operators.rhythm import by_record
 
 #: Fixed values, in ms, mV and shares.
@@ -42,9 +42,9 @@ def fits_width(qt: Column) -> Column:
     return qt.isNotNull() & (~is_wide() | _sure((qt - F.col("qrs_ms")).between(*WIDE_JT)))
 
 
-def prepared(leads: DataFrame, facts: DataFrame) -> DataFrame:
-    """leads beside their record's facts, with raw (QT that fits), qt_value (consensus, else raw), and plain flags."""
-    x = leads.join(facts, "record_id", "left").withColumns({"qt": _valid("qt"), "qt_consensus": _valid("qt_consensus"), "conf": F.coalesce("conf", F.lit(0.0)), "t": F.abs("t_amp")} | {f: _sure(f) for f in ("reliable_qt", "reliable_global", "reliable_t", "confused")})
+def prepared(leads: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """leads beside their record's facts (without these, leads hold them), with raw (QT that fits), qt_value (consensus, else raw), and plain flags."""
+    x = (leads if facts is None else leads.join(facts, "record_id", "left")).withColumns({"qt": _valid("qt"), "qt_consensus": _valid("qt_consensus"), "conf": F.coalesce("conf", F.lit(0.0)), "t": F.abs("t_amp")} | {f: _sure(f) for f in ("reliable_qt", "reliable_global", "reliable_t", "confused")})
     return x.withColumns({"qt_value": F.coalesce("qt_consensus", "qt"), "raw": F.when(fits_width(F.col("qt")), F.col("qt"))})
 
 
@@ -59,11 +59,12 @@ def with_reliable(x: DataFrame) -> DataFrame:
     strict = seen & F.col("reliable_qt") & _sure(F.col("qt_sd") <= QT_SD) & (F.col("conf") >= QT_CONF)
     weak = seen & _sure(F.col("qt_sd") <= RESCUE_SD) & (F.col("conf") >= RESCUE_CONF)
     w = by_record()
-    x = x.withColumns({"strict": strict, "weak": weak})
+    x = spread(x.withColumns({"strict": strict, "weak": weak}), "record_id")
+    # the window with an order comes first: its sort serves the others
+    x = x.withColumn("first", F.row_number().over(w.orderBy(F.when(F.col("weak"), 0).otherwise(1), "qt_sd", "lead_no")))
     x = x.withColumns({"n_strict": F.count_if("strict").over(w), "center": F.percentile(F.when(F.col("strict"), F.col("qt_value")), F.lit(0.5)).over(w)})
     x = x.withColumn("near", F.col("strict") & (F.abs(F.col("qt_value") - F.col("center")) <= OUTLIER_MS))
-    first = F.row_number().over(w.orderBy(F.when(F.col("weak"), 0).otherwise(1), "qt_sd", "lead_no"))
-    x = x.withColumns({"n_near": F.count_if("near").over(w), "first": first})
+    x = x.withColumn("n_near", F.count_if("near").over(w))
     kept = F.when(F.col("n_strict") == 0, F.col("weak") & (F.col("first") == 1)).when((F.col("n_strict") >= 3) & (F.col("n_near") >= 2), F.col("near")).otherwise(F.col("strict"))
     return x.withColumn("good", kept).drop("strict", "weak", "n_strict", "center", "near", "first", "n_near")
 
@@ -126,7 +127,7 @@ def _middle(values: Column) -> Column:
     return (F.get(values, F.floor((n - 1) / 2).cast("int"))["raw"] + F.get(values, F.floor(n / 2).cast("int"))["raw"]) / 2
 
 
-def qt_rescues(leads: DataFrame, facts: DataFrame) -> DataFrame:
+def qt_rescues(leads: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """record_id, rule, qt_ms, n_leads, leads (in standard order): what each rule would put in the consensus's place.
 
     Leads are dealt by record once: windows tell the reliable ones, then each lead goes to the
