@@ -11,11 +11,15 @@ null where the field names a sidecar.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pulsequilt.functions.expressions import LEADS, escape_token, let, unescape_token
 
@@ -489,7 +493,11 @@ def _states(field: Column, values: Column, coordinates: Column) -> Column:
     code = lambda kind: F.when(kind == "not_applicable", STATES["not_applicable"]).otherwise(STATES["unmeasurable"])
     holds = lambda m, c: F.coalesce(F.map_contains_key(m, c), F.lit(False))
     null = lambda c: F.when(a["kind"].isNotNull(), code(a["kind"])).when(holds(a["unmeasurable"], c), STATES["unmeasurable"]).when(holds(a["not_applicable"], c), STATES["not_applicable"]).when(a["default"].isNotNull(), code(a["default"]["kind"])).otherwise(STATES["null"])
-    return F.zip_with(values, coordinates, lambda v, c: F.when(v.isNotNull(), STATES["measured"]).otherwise(null(c)))
+    of_null = lambda other: F.transform(values, lambda v: F.when(v.isNotNull(), STATES["measured"]).otherwise(other))
+    # cells are looked up by name only where those named may have another state than the rest
+    rest = F.coalesce(a["kind"], F.when(F.coalesce(F.size(a["not_applicable"]), F.lit(0)) <= 0, a["default"]["kind"]))
+    alike = (rest == "unmeasurable") | a["kind"].isNotNull()
+    return F.when(alike, let(code(rest), of_null)).otherwise(F.zip_with(values, coordinates, lambda v, c: F.when(v.isNotNull(), STATES["measured"]).otherwise(null(c))))
 
 
 def _rebuilt(docs: DataFrame, fields: dict[str, Column], artifacts: Column) -> Column:
@@ -535,6 +543,34 @@ def state_bytes(states: Column) -> Column:
     return F.unhex(F.array_join(F.transform(states, lambda s: F.lpad(F.hex(s), 2, "0")), ""))
 
 
+def _packed(rows: pa.Array, kind: str) -> pa.Array:
+    """Each row's whole numbers as bytes of that type, nulls as zero; null where the row is. One that needs more bits is an error."""
+    flat, sizes = pc.fill_null(rows.flatten(), 0).to_numpy(zero_copy_only=False), pc.fill_null(rows.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    packed = flat.astype(kind)
+    if (packed != flat).any():
+        raise ValueError(f"a dense cell needs more than {8 * packed.itemsize} bits")
+    raw, ends = packed.tobytes(), np.concatenate([[0], np.cumsum(sizes)]) * packed.itemsize
+    there = rows.is_valid().to_pylist()
+    return pa.array([raw[i:j] if ok else None for i, j, ok in zip(ends.tolist(), ends[1:].tolist(), there)], pa.binary())
+
+
+def with_parts(docs: DataFrame, *kept: str) -> DataFrame:
+    """The kept columns, parts (structs of pointer, data, states; one a dense field) and sha256. The bytes are written in Arrow batches: text made of each cell is what took the time."""
+    fields = _dense(docs)
+    flat = [F.flatten(_of(f"{path}.values")) for _, path, _ in fields]
+    arrays = docs.withColumn("coordinates", _coordinates()).select(*kept, *(v.alias(f"data{k}") for k, v in enumerate(flat)), *(_states(_of(path), flat[k], F.col("coordinates")).alias(f"states{k}") for k, (_, path, _) in enumerate(fields)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dense = [_packed(batch.column(f"{c}{k}"), kind) for c, kind in (("data", "<i4"), ("states", "u1")) for k in range(len(fields))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *dense], names=batch.schema.names)
+
+    kinds = StructType([StructField(f.name, BinaryType() if k >= len(kept) else f.dataType) for k, f in enumerate(arrays.schema)])
+    parts = F.array(*(F.struct(F.lit(p).alias("pointer"), F.col(f"data{k}").alias("data"), F.col(f"states{k}").alias("states")) for k, (p, _, _) in enumerate(fields)))
+    made = arrays.mapInArrow(run, kinds).select(*kept, parts.alias("parts"))
+    return made.withColumn("sha256", _digest(F.col("record_id"), F.col("parts")))
+
+
 def _digest(record_id: Column, parts: Column) -> Column:
     """SHA-256 of the record's identity and its arrays (structs of pointer, data, states) in order of their pointers."""
     said = F.transform(F.array_sort(parts), lambda p: F.concat_ws("\n", p["pointer"], F.hex(p["data"]), F.hex(p["states"])))
@@ -549,11 +585,9 @@ def split_dense(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     axes and reasons. Nothing is shuffled.
     """
     fields = _dense(docs)
-    flat = lambda path: F.flatten(_of(f"{path}.values"))
-    with_names = docs.withColumn("coordinates", _coordinates())
-    parts = F.array(*(F.struct(F.lit(p).alias("pointer"), int32_bytes(F.transform(flat(path), lambda v: F.coalesce(v, F.lit(0).cast("long")))).alias("data"), state_bytes(_states(_of(path), flat(path), F.col("coordinates"))).alias("states")) for p, path, _ in fields))
-    made = with_names.withColumn("parts", parts).withColumn("sha256", _digest(F.col("record_id"), F.col("parts")))
-    cells = made.select("record_id", "sha256", F.explode("parts").alias("x")).select("record_id", "sha256", "x.pointer", "x.data", "x.states")
+    # each takes what it needs alone: a document that goes along with its cells is work
+    cells = with_parts(docs, "record_id").select("record_id", "sha256", F.explode("parts").alias("x")).select("record_id", "sha256", "x.pointer", "x.data", "x.states")
+    made = with_parts(docs, "record_id", "doc")
     beside = {}
     for p, path, _ in fields:
         key = p.strip("/").replace("/", ".")

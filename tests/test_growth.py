@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pulsequilt.functions import beats
-from pulsequilt.operators import engine, fusion, rescues
+from pulsequilt.operators import documents, engine, fusion, rescues
 
 
 def plan_of(df) -> str:
@@ -118,3 +118,26 @@ def test_reliable_leads_are_sorted_once(spark):
     assert told(one) == told(beside) != []
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     assert plan.count("Sort [") == 1 and "Join" not in plan
+
+
+FACTS = "record_id string, beat int, beat_id string, r_sample int, lead_no int, lead string, t_amplitude_uv long, t_amplitude_uv_why string"
+ACQUIRED = "record_id string, sample_rate_hz double, sample_count int, input_mode string, amplitude_unit string"
+
+
+def test_dense_bytes_are_written_in_batches(spark):
+    """The bytes and states of Arrow batches are those made cell by cell, whatever absence says; text of each cell is made no more."""
+    rows = [("r1", b, f"b{b}", 0, x, f"L{x}", None if (b + x) % 3 else -b, "low" if b else "flat") for b in range(4) for x in range(3)]
+    docs = documents.documents(spark.createDataFrame(rows, FACTS), spark.createDataFrame([], ACQUIRED), {"fiducials": ["t_amplitude_uv"], "amplitudes": ["t_amplitude_uv"]})
+    path, absence = "measurements.amplitudes.t_amplitude_uv.absence", F.col("doc.measurements.amplitudes.t_amplitude_uv.absence")
+    texts = lambda m: F.lit(None).cast("map<string,string>") if m is None else F.create_map(*(F.lit(v) for kv in m.items() for v in kv))
+    default = lambda kind: F.when(F.lit(kind is not None), F.struct(F.lit(kind).alias("kind"), F.lit("low").alias("reason"))).cast("struct<kind:string,reason:string>")
+    kinds = [(None, "unmeasurable", {"b0|L1": "x"}, None), (None, "not_applicable", {"b0|L1": "x"}, None), (None, None, {"b0|L1": "x"}, {"b1|L1": "y"}), (None, "unmeasurable", None, {"b1|L1": "y"}), (None, None, None, None), ("not_applicable", None, None, None)]
+    said = [F.struct(default(d).alias("default"), F.lit(k).cast("string").alias("kind"), texts(n).alias("not_applicable"), F.lit("z").alias("reason"), texts(u).alias("unmeasurable")) for k, d, u, n in kinds]
+    docs = docs.join(spark.range(len(kinds)), how="cross").withColumn("record_id", F.concat("record_id", F.lit("."), "id")).withColumn("doc", F.col("doc").withField(path, F.get(F.array(*said), F.col("id").cast("int")).cast(docs.select(absence.alias("a")).schema["a"].dataType))).drop("id")
+    cells = documents.split_dense(docs)[1].where("pointer like '/measurements%'")
+    got = {c.record_id: (bytes(c.data), list(c.states)) for c in cells.collect()}
+    for i, (k, d, u, n) in enumerate(kinds):
+        code = {"unmeasurable": 2, "not_applicable": 3, None: 1}
+        state = lambda c: code[k] if k else 2 if c in (u or {}) else 3 if c in (n or {}) else code[d]  # noqa: B023, E731
+        assert got[f"r1.{i}"] == (b"".join((x[6] or 0).to_bytes(4, "little", signed=True) for x in rows), [state(f"{x[2]}|{x[5]}") if x[6] is None else 0 for x in rows])
+    assert "MapInArrow" in plan_of(cells)
