@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from pulsequilt.functions.expressions import LEADS, escape_token, let, unescape_token
+from pulsequilt.functions.expressions import LEADS, escape_token, let, spread, unescape_token
 
 #: Fixed values of the document's contract.
 VERSION = "1.0.0"
@@ -54,33 +54,42 @@ def _no_map() -> Column:
     return F.lit(None).cast("map<string,string>")
 
 
-def one_a_cell(facts: DataFrame) -> DataFrame:
-    """Of the rows of one record, beat and lead the least stays."""
-    keys = ["record_id", "beat", "lead_no"]
-    rest = [c for c in facts.columns if c not in keys]
-    return facts.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x")).select(*keys, "x.*")
+def one_a_cell(rows: Column) -> Column:
+    """Of a record's sorted cells those that are the least of their beat and lead."""
+    return let(rows, lambda xs: F.filter(xs, lambda x, i: (i == 0) | ~(x["beat"].eqNullSafe(F.get(xs, i - 1)["beat"]) & x["lead_no"].eqNullSafe(F.get(xs, i - 1)["lead_no"]))))
+
+
+def filled(cells: Column, beats: Column, leads: Column) -> Column:
+    """A cell for each beat and lead in their order, null where there is none: sorted cells with as many nulls before each as places are free."""
+    n = F.size(leads)
+    starts, numbers = F.transform(beats, lambda b: b["beat"]), F.transform(leads, lambda x: x["lead_no"])
+    place = let(starts, lambda bs: let(numbers, lambda ns: F.transform(cells, lambda c: ((F.array_position(bs, c["beat"]) - 1) * n + F.array_position(ns, c["lead_no"]) - 1).cast("int"))))
+    free = lambda k: F.array_repeat(F.lit(None), k.cast("int"))
+    apart = lambda at: F.transform(cells, lambda c, i: F.concat(free(F.get(at, i) - F.coalesce(F.get(at, i - 1), F.lit(-1)) - 1), F.array(c)))
+    return let(place, lambda at: F.concat(F.flatten(apart(at)), free(F.size(beats) * n - 1 - F.element_at(at, -1))))
 
 
 def absence_of(values: Column, whys: Column, names: Column) -> Column:
     """How a dense field says why cells are null: one reason for all of them, or the most frequent reason (ties by name) and the cells that have another; null if no cell is."""
-    cells = F.filter(F.arrays_zip(values.alias("v"), F.transform(whys, lambda w: F.coalesce(w, F.lit(NO_REASON))).alias("w"), names.alias("c")), lambda x: x["v"].isNull())
+    zipped = F.filter(F.arrays_zip(values.alias("v"), whys.alias("w"), names.alias("c")), lambda x: x["v"].isNull())
 
-    def told(missing: Column) -> Column:
-        reasons = F.array_distinct(F.transform(missing, lambda x: x["w"]))
-        most = F.array_min(F.transform(reasons, lambda r: F.struct((-F.size(F.filter(missing, lambda x: x["w"] == r))).alias("k"), r.alias("r"))))
+    def told(missing: Column, said: Column, reasons: Column) -> Column:
+        # whatever is said of a cell is counted in whole arrays; cells are gone through only where reasons differ
+        most = F.array_min(F.transform(reasons, lambda r: F.struct((F.size(F.array_remove(said, r)) - F.size(said)).alias("k"), r.alias("r"))))
         no_default = F.lit(None).cast("struct<kind:string,reason:string>")
         whole = (F.size(missing) == F.size(values)) & (F.size(reasons) == 1)
 
         def listed(default: Column) -> Column:
-            other = F.filter(missing, lambda x: x["w"] != default["r"])
-            cells = F.when(F.size(other) > 0, F.map_from_entries(F.transform(other, lambda x: F.struct(x["c"], x["w"]))))
+            other = F.filter(F.arrays_zip(missing.getField("c").alias("c"), said.alias("w")), lambda x: x["w"] != default["r"])
+            cells = F.when(F.size(reasons) > 1, F.map_from_entries(other))
             split = F.struct(F.struct(F.lit(ABSENT[0]).alias("kind"), default["r"].alias("reason")).alias("default"), F.lit(None).cast("string").alias("kind"), _no_map().alias("not_applicable"), F.lit(None).cast("string").alias("reason"), cells.alias("unmeasurable"))
             one = F.struct(no_default.alias("default"), F.lit(ABSENT[0]).alias("kind"), _no_map().alias("not_applicable"), default["r"].alias("reason"), _no_map().alias("unmeasurable"))
             return F.when(whole, one).otherwise(split)
 
         return F.when(F.size(missing) > 0, let(most, listed))
 
-    return let(cells, told)
+    reason = lambda missing: F.transform(missing.getField("w"), lambda w: F.coalesce(w, F.lit(NO_REASON)))
+    return let(zipped, lambda m: let(reason(m), lambda s: let(F.array_distinct(s), lambda r: told(m, s, r))))
 
 
 def documents(facts: DataFrame, acquisition: DataFrame, groups: dict[str, list[str]], profile: str = "all") -> DataFrame:
@@ -89,26 +98,30 @@ def documents(facts: DataFrame, acquisition: DataFrame, groups: dict[str, list[s
     Cells without a row of facts are null for want of a measurement; of equal cells
     one counts; a record without an acquisition has none of its members.
     """
-    names = [n for fields in groups.values() for n in fields]
-    fact = one_a_cell(facts.repartition("record_id"))
-    cell = F.struct("beat", "lead_no", *names, *(f"{n}_why" for n in names))
-    one = fact.groupBy("record_id").agg(
-        F.array_sort(F.collect_list(cell)).alias("cells"),
-        F.array_sort(F.collect_set(F.struct("beat", F.col("beat_id").alias("id"), F.col("r_sample")))).alias("beats"),
-        F.array_sort(F.collect_set(F.struct("lead_no", "lead"))).alias("leads"),
-    )
+    rest = [c for c in facts.columns if c not in ("record_id", "beat", "lead_no")]
+    # dealt by number, not by bytes: a record's cells pack well and take many times that when held
+    one = spread(facts, "record_id").groupBy("record_id").agg(F.collect_list(F.struct("beat", "lead_no", *rest)).alias("rows"))
+    one = one.select("record_id", one_a_cell(F.sort_array("rows")).alias("cells"))
+    beat_of = lambda x: F.struct(x["beat"].alias("beat"), x["beat_id"].alias("id"), x["r_sample"].alias("r_sample"))
+    # of neighbours with one beat the first is enough
+    heads = let(F.transform("cells", beat_of), lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1))))
+    lead_of = lambda x: F.struct(x["lead_no"].alias("lead_no"), x["lead"].alias("lead"))
+    one = one.withColumns({"beats": F.sort_array(F.array_distinct(heads)), "leads": F.sort_array(F.array_distinct(F.transform("cells", lead_of)))})
     key = lambda x: F.struct(x["beat"].alias("beat"), x["lead_no"].alias("lead_no"))
-    # the cells in order of beats and leads; only records with gaps look each cell up
+    # the cells in order of beats and leads; only records with two ids of a beat (or names of a lead) look each cell up
     gaps = let(F.map_from_entries(F.transform("cells", lambda x: F.struct(key(x), x))), lambda m: F.flatten(F.transform("beats", lambda b: F.transform("leads", lambda x: F.element_at(m, F.struct(b["beat"].alias("beat"), x["lead_no"].alias("lead_no")))))))
-    one = one.withColumn("cells", F.when(F.size("cells") == F.size("beats") * F.size("leads"), F.col("cells")).otherwise(gaps))
+    single = lambda xs, k: (F.size(F.array_distinct(F.transform(xs, lambda x: x[k]))) == F.size(xs)) & ~F.exists(xs, lambda x: x[k].isNull())
+    placed = F.when(single("beats", "beat") & single("leads", "lead_no"), filled(F.col("cells"), F.col("beats"), F.col("leads"))).otherwise(gaps)
+    one = one.withColumn("cells", F.when(F.size("cells") == F.size("beats") * F.size("leads"), F.col("cells")).otherwise(placed))
     names_of = F.flatten(F.transform("beats", lambda b: F.transform("leads", lambda x: F.concat(b["id"], F.lit("|"), x["lead"]))))
-    one = one.withColumn("coordinates", names_of).join(acquisition, "record_id", "left")
+    # a merge join would sort whole documents
+    one = one.withColumn("coordinates", names_of).join(acquisition.hint("shuffle_hash"), "record_id", "left")
 
     def field(group: str, name: str) -> Column:
-        flat = F.transform("cells", lambda x: x[name].cast("long"))
+        flat = F.col("cells").getField(name).cast("array<bigint>")
         rows = let(flat, lambda v: F.transform(F.sequence(F.lit(0), F.size("beats") - 1), lambda i: F.slice(v, i * F.size("leads") + 1, F.size("leads"))))
         return F.struct(
-            let(flat, lambda v: absence_of(v, F.transform("cells", lambda x: x[f"{name}_why"]), F.col("coordinates"))).alias("absence"),
+            let(flat, lambda v: absence_of(v, F.col("cells").getField(f"{name}_why"), F.col("coordinates"))).alias("absence"),
             F.array(F.lit("beat"), F.lit("lead")).alias("axes"),
             F.lit(True).alias("nullable"),
             F.lit("/provenance/fields/kernels").alias("provenance_ref"),

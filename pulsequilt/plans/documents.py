@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import LEADS
+from pulsequilt.functions.expressions import LEADS, spread
 from pulsequilt.operators import documents as R
 from pulsequilt.operators import records as D
 from pulsequilt.plans.registry import query
@@ -24,7 +24,8 @@ def lines(spark, sf) -> DataFrame:
     least = Window.partitionBy("record_id", "l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("record_id"))
     x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice").join(o, "l_orderkey")
-    x = x.withColumn("beat", F.dense_rank().over(ordered) - 1).withColumn("k", F.row_number().over(least)).where("k = 1")
+    # in this order one sort serves both windows, and the documents are built where the rows lie
+    x = spread(x, "record_id").withColumn("k", F.row_number().over(least)).where("k = 1").withColumn("beat", F.dense_rank().over(ordered) - 1)
     base, seen = F.col("beat").cast("long") * 400, F.col("l_discount") >= 0.02
     p_on, p_off = (F.when(seen, v) for v in (base + F.col("l_partkey") % 60, base + 30 + F.col("l_suppkey") % 60))
     qrs_on, r, qrs_off = base + 100 + F.col("l_quantity").cast("long") % 50, base + 130 + F.col("l_partkey") % 23, base + 135 + F.col("l_suppkey") % 40
@@ -53,8 +54,7 @@ def published(spark, sf) -> DataFrame:
 
 def spread_out(docs: DataFrame) -> DataFrame:
     """docs in as many tasks as there are cores or shuffle partitions: they are few bytes and much work, and adaptive execution goes by bytes."""
-    spark = docs.sparkSession
-    return docs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "record_id")
+    return spread(docs, "record_id")
 
 
 def clean_documents(spark, sf) -> DataFrame:

@@ -124,6 +124,45 @@ FACTS = "record_id string, beat int, beat_id string, r_sample int, lead_no int,
 ACQUIRED = "record_id string, sample_rate_hz double, sample_count int, input_mode string, amplitude_unit string"
 
 
+def test_documents_fill_gaps_by_place(spark):
+    """Records of any gaps, repeated cells, two ids of a beat: as by looking each cell up."""
+    r = random.Random(5)
+    rows = [(f"r{k}", b, f"b{b}", b * 100, x, f"L{x}", r.choice([None, r.randrange(-9, 9)]), r.choice([None, "low", "flat"])) for k in range(30) for b in range(0, 12, 2) for x in range(1, 5) for _ in range(r.choice([0, 1, 1, 2]))]
+    rows += [("twice", 0, i, 0, 1, "L1", v, None) for i, v in (("a", 1), ("b", 2))] + [("twice", 0, "b", 0, 2, "L2", 7, None), ("twice", 3, "c", 0, 2, "L2", 8, None)]
+    least, lows = {}, lambda v: (v is not None, v if v is not None else 0)
+    for x in rows:
+        key = (x[0], x[1], x[4])
+        order = [lows(v) for v in (x[2], x[3], x[5], x[6], x[7])]
+        if key not in least or order < least[key][0]:
+            least[key] = order, x
+    docs = {d.record_id: d.doc for d in documents.documents(spark.createDataFrame(rows, FACTS), spark.createDataFrame([("r1", 500.0, 9, "limited", "mV")], ACQUIRED), {"fiducials": ["t_amplitude_uv"], "amplitudes": ["t_amplitude_uv"]}).collect()}
+    assert set(docs) == {x[0] for x in rows}
+    for k, doc in docs.items():
+        own = {c[1:]: x for c, (_, x) in least.items() if c[0] == k}
+        beats, leads = sorted({(x[1], x[2], x[3]) for x in own.values()}), sorted({(x[4], x[5]) for x in own.values()})
+        f = doc.measurements.amplitudes.t_amplitude_uv
+        assert f["values"] == [[own[b, n][6] if (b, n) in own else None for n, _ in leads] for b, _, _ in beats]
+        said = {f"{i}|{x}": own[b, n][7] or "measurement_unavailable" if (b, n) in own else "measurement_unavailable" for b, i, _ in beats for n, x in leads if (b, n) not in own or own[b, n][6] is None}
+        counts = sorted((-list(said.values()).count(w), w) for w in set(said.values()))
+        if not said:
+            assert f.absence is None
+        elif len(counts) == 1 and len(said) == len(beats) * len(leads):
+            assert f.absence.kind == "unmeasurable" and f.absence.reason == counts[0][1]
+        else:
+            assert f.absence.default.reason == counts[0][1]
+            assert (f.absence.unmeasurable or {}) == {c: w for c, w in said.items() if w != counts[0][1]}
+        assert doc.acquisition.sample_rate_hz == (500.0 if k == "r1" else None)
+
+
+def test_documents_deal_their_rows_once(spark):
+    """Facts are dealt once, by number, and no whole document is sorted (before: by bytes, sorted for each cell, and merged with acquisitions)."""
+    many = spark.range(1000).select(F.col("id").cast("string").alias("record_id"), *(F.lit(0 if "int" in t or "long" in t else "x").cast(t).alias(c) for c, t in (x.split() for x in FACTS.split(", ")[1:])))
+    acquired = spark.range(1000).select(F.col("id").cast("string").alias("record_id"), *(F.lit("1").cast(t).alias(c) for c, t in (x.split() for x in ACQUIRED.split(", ")[1:])))
+    plan = plan_of(documents.documents(many, acquired, {"fiducials": ["t_amplitude_uv"], "amplitudes": ["t_amplitude_uv"]}))
+    assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan
+    assert "SortAggregate" not in plan and "Sort [" not in plan
+
+
 def test_dense_bytes_are_written_in_batches(spark):
     """The bytes and states of Arrow batches are those made cell by cell, whatever absence says; text of each cell is made no more."""
     rows = [("r1", b, f"b{b}", 0, x, f"L{x}", None if (b + x) % 3 else -b, "low" if b else "flat") for b in range(4) for x in range(3)]
