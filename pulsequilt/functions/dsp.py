@@ -213,6 +213,83 @@ def fuse(values: np.ndarray, weights: np.ndarray, fs: float, radius_ms: float =
     return {"boundary": round(mid * fs / 1000), "support": int(x.size), "mad_ms": mad, "ci_ms": 1.96 * mad / float(np.sqrt(g.sum()))}
 
 
+#: Members from which on a record is fused alone: steps over many records pay for short ones.
+FUSED_TOGETHER = 64
+
+
+def fuse_all(values: np.ndarray, weights: np.ndarray, sizes: np.ndarray, fs: float, radius_ms: float = 25.0) -> dict[str, np.ndarray]:
+    """fuse() of many records, whose members (sizes of them each) lie one behind another: each step is taken by all records together.
+
+    Sums are taken over rows of one length, so that they round as those of a single
+    record; records that are long, or have members that aren't finite or without
+    weight, go through fuse().
+    """
+    starts = np.cumsum(sizes) - sizes
+    order = np.lexsort((values, np.repeat(np.arange(sizes.size), sizes)))
+    v, w = values[order].astype(float) * 1000 / fs, weights[order].astype(float)
+    out = {"boundary": np.zeros(sizes.size, np.int64), "support": np.zeros(sizes.size, np.int64), "mad_ms": np.zeros(sizes.size), "ci_ms": np.zeros(sizes.size)}
+    bad = np.concatenate([[0], np.cumsum(~(np.isfinite(v) & np.isfinite(w) & (w > 0)))])
+    together = (sizes > 0) & (sizes < FUSED_TOGETHER) & (bad[starts + sizes] == bad[starts])
+    for k in np.flatnonzero(~together).tolist():
+        at = slice(starts[k], starts[k] + sizes[k])
+        for name, x in fuse(values[at], weights[at], fs, radius_ms).items():
+            out[name][k] = x
+
+    def by_length(lengths):
+        """Which rows have each length."""
+        return [(n, np.flatnonzero(lengths == n)) for n in np.unique(lengths).tolist()]
+
+    def row(x, first, n):
+        return x[first[:, None] + np.arange(n)]
+
+    def wmedian(first, n):
+        g = row(w, first, n)
+        return v[first + (np.cumsum(g, axis=1) < g.sum(axis=1)[:, None] / 2).sum(axis=1)]
+
+    def each(f, first, lengths):
+        got = np.empty(first.size)
+        for n, at in by_length(lengths):
+            got[at] = f(first[at], n)
+        return got
+
+    ids = np.flatnonzero(together)
+    first, size = starts[ids], sizes[ids]
+    # the last cluster of each record begins at s; the heaviest one so far is told by its weight, begin and end
+    s, heaviest, begin, end = first.copy(), np.full(ids.size, -np.inf), first.copy(), first.copy()
+
+    def close(at, stop):
+        total = each(lambda a, n: row(w, a, n).sum(axis=1), s[at], stop - s[at])
+        more = total > heaviest[at]
+        hit = at[more]
+        heaviest[hit], begin[hit], end[hit] = total[more], s[hit], stop[more]
+
+    for i in range(1, int(size.max(initial=0))):
+        at = np.flatnonzero(size > i)
+        here = first[at] + i
+        near = (v[here] - each(wmedian, s[at], here - s[at]) <= radius_ms) & (v[here] - v[s[at]] <= 2 * radius_ms)
+        close(at[~near], here[~near])
+        s[at[~near]] = here[~near]
+    close(np.arange(ids.size), first + size)
+    mid, mad = each(wmedian, begin, end - begin), np.empty(ids.size)
+    for n, at in by_length(end - begin):
+        off = np.abs(row(v, begin[at], n) - mid[at, None])
+        mad[at] = np.maximum(3.0, 1.4826 * np.median(off, axis=1))
+        inside = off <= np.maximum(3 * mad[at], 15.0)[:, None]
+        begin[at] += inside.argmax(axis=1)  # members are sorted, so those inside lie together
+        end[at] = begin[at] + inside.sum(axis=1)
+    for n, at in by_length(end - begin):
+        x, g = row(v, begin[at], n), row(w, begin[at], n)
+        m, scale, open_ = mid[at], mad[at], np.ones(at.size, bool)
+        for _ in range(5):
+            h = g * np.minimum(1, 1.345 * scale[:, None] / np.maximum(np.abs(x - m[:, None]), 1e-9))
+            new = (h * x).sum(axis=1) / h.sum(axis=1)
+            done, m = np.abs(new - m) < 0.5, np.where(open_, new, m)
+            open_ &= ~done
+        k = ids[at]
+        out["boundary"][k], out["support"][k], out["mad_ms"][k], out["ci_ms"][k] = np.rint(m * fs / 1000), n, scale, 1.96 * scale / np.sqrt(g.sum(axis=1))
+    return out
+
+
 def spectral_quality(x: np.ndarray, fs: float, mains: float = 50.0) -> dict:
     """Shares of power: below 0.7 Hz (drift), above 30 Hz (muscle), around mains, and 5-15 of 5-40 Hz (pSQI)."""
     f = np.fft.rfftfreq(x.size, 1 / fs)

@@ -143,6 +143,13 @@ def clustered(waves: DataFrame) -> DataFrame:
 
 
 def fused_t_ends(members: DataFrame, fs: float) -> DataFrame:
-    """One T end a beat of members (record_id, value in samples, weight)."""
-    rows = members.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("value", "weight"))).alias("x")).select("record_id", F.lit(fs).alias("fs"), F.array().cast("array<string>").alias("leads"), F.array(F.col("x.value").cast("array<double>"), F.col("x.weight").cast("array<double>")).alias("samples"))
-    return per_record(rows, lambda record_id, rate, _, x: [{"record_id": record_id, **dsp.fuse(x[0], x[1], rate)}], "record_id long, boundary long, support long, mad_ms double, ci_ms double")
+    """One T end a beat of members (record_id, value in samples, weight); the records of an Arrow batch are fused together, since each has a few members."""
+    rows = members.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("value", "weight"))).alias("x")).select(F.col("record_id").cast("long").alias("record_id"), F.col("x.value").cast("array<double>").alias("values"), F.col("x.weight").cast("array<double>").alias("weights"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, weights = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("values", "weights"))
+            made = dsp.fuse_all(values, weights, batch.column("values").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), fs)
+            yield pa.RecordBatch.from_arrays([batch.column("record_id"), *map(pa.array, made.values())], names=["record_id", *made])
+
+    return rows.mapInArrow(run, "record_id long, boundary long, support long, mad_ms double, ci_ms double")

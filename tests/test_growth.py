@@ -8,7 +8,7 @@ import statistics
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulsequilt.functions import beats
+from pulsequilt.functions import beats, dsp
 from pulsequilt.operators import documents, engine, fusion, rescues
 
 
@@ -180,3 +180,27 @@ def test_dense_bytes_are_written_in_batches(spark):
         state = lambda c: code[k] if k else 2 if c in (u or {}) else 3 if c in (n or {}) else code[d]  # noqa: B023, E731
         assert got[f"r1.{i}"] == (b"".join((x[6] or 0).to_bytes(4, "little", signed=True) for x in rows), [state(f"{x[2]}|{x[5]}") if x[6] is None else 0 for x in rows])
     assert "MapInArrow" in plan_of(cells)
+
+
+def test_boundaries_are_fused_together_as_alone():
+    """To the last bit, whatever the sizes (sums of eight and more round otherwise), ties, weights and values that aren't finite."""
+    r = np.random.default_rng(3)
+    sizes = np.concatenate([r.integers(1, 25, 3000), [63, 64, 200]])
+    n = int(sizes.sum())
+    for values, weights in ((r.integers(200, 251, n).astype(float), 1 - 5 * np.round(r.integers(0, 11, n) / 100, 2)), (r.normal(300, 20, n), r.uniform(1e-3, 2, n))):
+        odd = r.integers(0, n, 40)
+        values[odd[:20]] = np.nan
+        weights[odd[20:]] = 0.0
+        starts = np.cumsum(sizes) - sizes
+        alone = []
+        for a, k in zip(starts, sizes, strict=True):
+            try:
+                alone.append(dsp.fuse(values[a : a + k], weights[a : a + k], 500.0))
+            except ValueError:  # a boundary that isn't a number is an error, as before
+                alone.append(None)
+        good = np.array([x is not None for x in alone])
+        held = np.repeat(good, sizes)
+        got = dsp.fuse_all(values[held], weights[held], sizes[good], 500.0)
+        for name in ("boundary", "support", "mad_ms", "ci_ms"):
+            assert np.array_equal(got[name], np.array([x[name] for x in alone if x is not None]), equal_nan=True), name
+    assert all(x.size == 0 for x in dsp.fuse_all(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 500.0).values())
