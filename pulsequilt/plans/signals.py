@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsequilt.functions.expressions import centred, dot, rounded, total
+from pulsequilt.functions.expressions import centred, dot, rounded, spread, total
 from pulsequilt.operators import kernels as K
 from pulsequilt.operators import quality as Q
 from pulsequilt.plans.registry import query
@@ -18,11 +18,11 @@ RECORD_VECTORS, RATE = 80, 250.0
 
 
 def recordings(spark, sf) -> DataFrame:
-    """record_id, lead (I, II), fs, samples: 40 vectors a lead in order of vec_id, ten seconds; recordings grow in number with the table. One shuffle by record and lead."""
+    """record_id, lead (I, II), fs, samples: 40 vectors a lead in order of vec_id, ten seconds; recordings grow in number with the table. One shuffle by record, by number: what follows by record stays where it lies."""
     v = F.col("vec_id")
-    e = table(spark, sf, "embeddings").select(F.floor(v / RECORD_VECTORS).cast("long").alias("record_id"), F.when(v % 2 == 0, "I").otherwise("II").alias("lead"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    joined = e.groupBy("record_id", "lead").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("parts"))
-    return joined.select("record_id", "lead", F.lit(RATE).alias("fs"), F.flatten(F.transform("parts", lambda p: p["x"])).alias("samples"))
+    e = table(spark, sf, "embeddings").select(F.floor(v / RECORD_VECTORS).cast("long").alias("record_id"), F.when(v % 2 == 0, "I").otherwise("II").alias("lead"), "vec_id", F.col("embedding").alias("x"))
+    joined = spread(e, "record_id").groupBy("record_id", "lead").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("parts"))
+    return joined.select("record_id", "lead", F.lit(RATE).alias("fs"), F.flatten(F.col("parts").getField("x")).cast("array<double>").alias("samples"))
 
 
 def limbs(spark, sf) -> DataFrame:

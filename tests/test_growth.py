@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pulsequilt.functions import beats, dsp
-from pulsequilt.operators import documents, engine, fusion, rescues
+from pulsequilt.operators import documents, engine, fusion, kernels, rescues
+from pulsequilt.plans import signals
 
 
 def plan_of(df) -> str:
@@ -204,3 +205,9 @@ def test_boundaries_are_fused_together_as_alone():
         for name in ("boundary", "support", "mad_ms", "ci_ms"):
             assert np.array_equal(got[name], np.array([x[name] for x in alone if x is not None]), equal_nan=True), name
     assert all(x.size == 0 for x in dsp.fuse_all(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 500.0).values())
+
+
+def test_recordings_are_dealt_once(spark):
+    """From vectors to a record's leads: one shuffle, by number (before: several, by bytes, so that few tasks held all samples)."""
+    plan = plan_of(kernels.records(signals.limbs(spark, "/root/testdata/sf0.001")))
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
