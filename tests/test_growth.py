@@ -122,6 +122,7 @@ def test_reliable_leads_are_sorted_once(spark):
 
 
 FACTS = "record_id string, beat int, beat_id string, r_sample int, lead_no int, lead string, t_amplitude_uv long, t_amplitude_uv_why string"
+with_onset = lambda x: x.withColumns({"p_onset": F.lit(1).cast("long"), "p_onset_why": F.lit(None).cast("string")})
 ACQUIRED = "record_id string, sample_rate_hz double, sample_count int, input_mode string, amplitude_unit string"
 
 
@@ -136,7 +137,7 @@ def test_documents_fill_gaps_by_place(spark):
         order = [lows(v) for v in (x[2], x[3], x[5], x[6], x[7])]
         if key not in least or order < least[key][0]:
             least[key] = order, x
-    docs = {d.record_id: d.doc for d in documents.documents(spark.createDataFrame(rows, FACTS), spark.createDataFrame([("r1", 500.0, 9, "limited", "mV")], ACQUIRED), {"fiducials": ["t_amplitude_uv"], "amplitudes": ["t_amplitude_uv"]}).collect()}
+    docs = {d.record_id: d.doc for d in documents.documents(with_onset(spark.createDataFrame(rows, FACTS)), spark.createDataFrame([("r1", 500.0, 9, "limited", "mV")], ACQUIRED), {"fiducials": ["p_onset"], "amplitudes": ["t_amplitude_uv"]}).collect()}
     assert set(docs) == {x[0] for x in rows}
     for k, doc in docs.items():
         own = {c[1:]: x for c, (_, x) in least.items() if c[0] == k}
@@ -159,7 +160,7 @@ def test_documents_deal_their_rows_once(spark):
     """Facts are dealt once, by number, and no whole document is sorted (before: by bytes, sorted for each cell, and merged with acquisitions)."""
     many = spark.range(1000).select(F.col("id").cast("string").alias("record_id"), *(F.lit(0 if "int" in t or "long" in t else "x").cast(t).alias(c) for c, t in (x.split() for x in FACTS.split(", ")[1:])))
     acquired = spark.range(1000).select(F.col("id").cast("string").alias("record_id"), *(F.lit("1").cast(t).alias(c) for c, t in (x.split() for x in ACQUIRED.split(", ")[1:])))
-    plan = plan_of(documents.documents(many, acquired, {"fiducials": ["t_amplitude_uv"], "amplitudes": ["t_amplitude_uv"]}))
+    plan = plan_of(documents.documents(with_onset(many), acquired, {"fiducials": ["p_onset"], "amplitudes": ["t_amplitude_uv"]}))
     assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan
     assert "SortAggregate" not in plan and "Sort [" not in plan
 
@@ -167,7 +168,7 @@ def test_documents_deal_their_rows_once(spark):
 def test_dense_bytes_are_written_in_batches(spark):
     """The bytes and states of Arrow batches are those made cell by cell, whatever absence says; text of each cell is made no more."""
     rows = [("r1", b, f"b{b}", 0, x, f"L{x}", None if (b + x) % 3 else -b, "low" if b else "flat") for b in range(4) for x in range(3)]
-    docs = documents.documents(spark.createDataFrame(rows, FACTS), spark.createDataFrame([], ACQUIRED), {"fiducials": ["t_amplitude_uv"], "amplitudes": ["t_amplitude_uv"]})
+    docs = documents.documents(with_onset(spark.createDataFrame(rows, FACTS)), spark.createDataFrame([], ACQUIRED), {"fiducials": ["p_onset"], "amplitudes": ["t_amplitude_uv"]})
     path, absence = "measurements.amplitudes.t_amplitude_uv.absence", F.col("doc.measurements.amplitudes.t_amplitude_uv.absence")
     texts = lambda m: F.lit(None).cast("map<string,string>") if m is None else F.create_map(*(F.lit(v) for kv in m.items() for v in kv))
     default = lambda kind: F.when(F.lit(kind is not None), F.struct(F.lit(kind).alias("kind"), F.lit("low").alias("reason"))).cast("struct<kind:string,reason:string>")
