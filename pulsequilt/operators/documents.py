@@ -626,12 +626,13 @@ def join_dense(docs: DataFrame, cells: DataFrame) -> DataFrame:
     sidecar_missing: no arrays under the document's digest; sidecar_digest: their bytes
     give another; sidecar_identity: the artifact names another record; invalid_sidecar:
     other fields or sizes than the document tells; sidecar_state: a state that the
-    document's absence contradicts. One shuffle by record.
+    document's absence contradicts. One shuffle by record; neither side is ever broadcast,
+    since Spark takes cells for far fewer bytes than they are.
     """
     fields = _dense(docs)
-    kept = cells.groupBy("record_id", "sha256").agg(F.array_sort(F.collect_list(F.struct("pointer", "data", "states"))).alias("parts"))
+    kept = spread(cells, "record_id", "sha256").groupBy("record_id", "sha256").agg(F.array_sort(F.collect_list(F.struct("pointer", "data", "states"))).alias("parts"))
     d = _of("artifacts.dense_measurements")
-    x = docs.withColumn("coordinates", _coordinates()).withColumn("sha256", d["sha256"]).join(kept, ["record_id", "sha256"], "left")
+    x = spread(docs.withColumn("sha256", d["sha256"]), "record_id", "sha256").withColumn("coordinates", _coordinates()).join(kept.hint("shuffle_hash"), ["record_id", "sha256"], "left")
     part = lambda p: F.get(F.filter("parts", lambda y: y["pointer"] == p), F.lit(0))
     values = lambda p: let(int32_values(part(p)["data"]), lambda v: let(part(p)["states"], lambda s: F.transform(v, lambda a, k: F.when(F.substr(s, k + 1, F.lit(1)) == F.lit(b"\0"), a))))
     for k, (p, _, _) in enumerate(fields):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsequilt.functions.expressions import LEADS
 from pulsequilt.operators import documents as R
+from pulsequilt.plans import documents as P_DOCS
 from pulsequilt.sources.adapters import stored
 
 
@@ -217,3 +218,10 @@ def test_cells_are_read_back_from_bytes_and_documents_compared_by_fingerprint(sp
     d = spark.createDataFrame([(1, ("a", 1)), (2, ("a", 1)), (3, ("a", 2)), (4, None)], "k int, doc struct<n:string,m:int>")
     one, same, other, none = (r[0] for r in d.orderBy("k").select(R.fingerprint()).collect())
     assert one == same != other and none is None
+
+
+def test_round_trip_broadcasts_nothing(spark):
+    """Cells and fingerprints are rows of every record: a broadcast of them would go through the driver."""
+    df = P_DOCS.sidecar_round_trip(spark, "/root/testdata/sf0.001")
+    assert df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
