@@ -11,15 +11,19 @@ null where the field names a sidecar.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cache, reduce
+from itertools import chain as chained
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from pulsequilt.functions.expressions import LEADS, escape_token, let, spread, unescape_token
 
@@ -194,12 +198,12 @@ def _document_rules() -> Column:
     at = lambda p, kind="variant": _at(f"_{p.split('.')[1]}", ".".join(["$", *p.split(".")[2:]]), kind)
     text = lambda p: at(p, "string")
     kind = lambda p: kind_of(at(p))
-    leads, beats = at("$.axes.leads", "array<variant>"), at("$.axes.beats", "array<variant>")
+    leads, beats, lead_names, beat_ids = map(F.col, ("lead_items", "beat_items", "lead_names", "beat_names"))
     count = F.col("sample_count")
     limited = text("$.acquisition.input_mode") == "limited"
-    lead_names, beat_ids = F.transform(leads, lambda x: F.try_variant_get(x, "$", "string")), F.transform(beats, lambda x: F.try_variant_get(x, "$.id", "string"))
-    good_name = lambda x, path: (kind_of(F.try_variant_get(x, path, "variant")) == "STRING") & (F.try_variant_get(x, path, "string") != "") & ~F.try_variant_get(x, path, "string").contains("|")
-    in_record = lambda x: F.coalesce(kind_of(F.try_variant_get(x, "$.r_sample", "variant")), F.lit("VOID")).isin("VOID") | (kind_of(F.try_variant_get(x, "$.r_sample", "variant")) == "BIGINT") & F.try_variant_get(x, "$.r_sample", "bigint").between(0, count - 1)
+    good_name = lambda x, path: (F.schema_of_variant(F.try_variant_get(x, path, "variant")) == "STRING") & let(F.try_variant_get(x, path, "string"), lambda s: (s != "") & ~s.contains("|"))
+    sample = lambda x: F.try_variant_get(x, "$.r_sample", "variant")
+    in_record = lambda x: let(F.coalesce(F.schema_of_variant(sample(x)), F.lit("VOID")), lambda kind: (kind == "VOID") | (kind == "BIGINT") & F.try_variant_get(x, "$.r_sample", "bigint").between(0, count - 1))
     every = lambda xs, test: F.forall(xs, lambda x: F.coalesce(test(x), F.lit(False)))
     missing = F.array_compact(F.array(*(F.when(F.col("members")[m].isNull(), F.lit(m)) for m in MEMBERS)))
     record_id = text("$.record_id")
@@ -376,22 +380,147 @@ def _named_rules() -> Column:
     return F.when(F.try_variant_get("absence", "$.kind", "variant").isNull(), named)
 
 
+#: What a plain field's wrapper holds besides its unit, values and absence.
+_PLAIN = {"axes": ["beat", "lead"], "type": "integer", "validation": {"evidence": [], "status": "unvalidated"}}
+_EXACT = 2**53
+
+
+def _once(pairs: list) -> dict:
+    made = dict(pairs)
+    if len(made) < len(pairs):
+        raise ValueError("repeated member")
+    return made
+
+
+def _as_written(number: str) -> float:
+    if repr(float(number)) != number:
+        raise ValueError("a number that would be written otherwise")
+    return float(number)
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+_JSON = json.JSONDecoder(object_pairs_hook=_once, parse_float=_as_written, parse_constant=_no_constant)
+
+
+def _said(x: object) -> bool:
+    return type(x) is str and x != ""
+
+
+def _absence_fits(a: object, flat: list, place: dict[str, int]) -> bool:
+    """Whether a field's absence breaks no rule: one reason for all cells, or a default and the null cells it names, each once."""
+    good = lambda x: type(x) is dict and set(x) == {"kind", "reason"} and x["kind"] in ABSENT and _said(x["reason"])
+    if type(a) is not dict or "kind" in a:
+        return good(a) and not any(v is not None for v in flat)
+    maps = [a[k] for k in ABSENT if k in a]
+    if not set(a) <= {"default", *ABSENT} or not all(type(m) is dict and all(map(_said, m.values())) for m in maps):
+        return False
+    named = [c for m in maps for c in m]
+    return ("default" not in a or good(a["default"])) and len(set(named)) == len(named) and all(c in place and flat[place[c]] is None for c in named)
+
+
+def plain_fields(text: str | None) -> tuple[str | None, list[tuple[str, str]]]:
+    """A document's text without its plain fields, and their violations (pointer, message).
+
+    A field is plain if it is dense, holds whole numbers and nulls and has the wrapper
+    that documents() writes, so only the range and the order of its cells can be wrong.
+    What is anything else stays in the text, for the rules: a field with all others of
+    its chain of bounds, or the whole document where its axes are not sound.
+    """
+    if text is None or len(text) > 1 << 22 or "\\u" in text:
+        return text, []
+    try:
+        doc = _JSON.decode(text)
+        leads, beats, count = doc["axes"]["leads"], [b["id"] for b in doc["axes"]["beats"]], doc["acquisition"]["sample_count"]
+        fiducials, measured, provenance = doc["delineation"]["fiducials"], doc["measurements"], {"provenance": doc["provenance"]}
+        sound = all(type(xs) is list and xs and all(_said(x) and "|" not in x for x in xs) and len(set(xs)) == len(xs) for xs in (leads, beats))
+    except (ValueError, KeyError, TypeError, RecursionError):
+        return text, []
+    if not sound or type(count) is not int or abs(count) >= _EXACT or type(fiducials) is not dict or type(measured) is not dict:
+        return text, []
+    place = {f"{b}|{x}": k for k, (b, x) in enumerate((b, x) for b in beats for x in leads)}
+
+    @cache
+    def resolved(ref: str) -> bool:
+        at = provenance
+        for token in ref.split("/")[1:] if re.fullmatch(r"/provenance(/[A-Za-z0-9_]+){1,9}", ref) else ("",):
+            at = at.get(token) if type(at) is dict else None
+        return type(at) is dict or _said(at)
+
+    def cells(group: str, name: str, f: object) -> list | None:
+        """The cells of a plain field in order of beats and leads; None of another."""
+        if type(f) is not dict or f.keys() - {"absence"} != set(FIELD) or not re.fullmatch("[^~/]+", name):
+            return None
+        if f["nullable"] is not True or f["unit"] != UNITS[group] or any(f[k] != v for k, v in _PLAIN.items()) or not (_said(f["provenance_ref"]) and resolved(f["provenance_ref"])):
+            return None
+        rows = f["values"]
+        if type(rows) is not list or len(rows) != len(beats) or not all(type(r) is list and len(r) == len(leads) for r in rows):
+            return None
+        flat = list(chained.from_iterable(rows))
+        whole = [v for v in flat if v is not None]
+        if not set(map(type, whole)) <= {int} or whole and not -_EXACT < min(whole) <= max(whole) < _EXACT:
+            return None
+        return flat if "absence" not in f or _absence_fits(f["absence"], flat, place) else None
+
+    groups = {("fiducials", "/delineation/fiducials"): fiducials} | {(g, f"/measurements/{g}"): f for g, f in measured.items() if g in ("intervals", "amplitudes", "areas") and type(f) is dict}
+    found = {(g, n): flat for (g, _), fields in groups.items() for n, f in fields.items() if (flat := cells(g, n, f)) is not None}
+    out = []
+    for names in CHAINS:
+        bounds = [found.get(("fiducials", n)) for n in names]
+        if None not in bounds:
+            wrong = sorted({k for one, other in combinations(bounds, 2) for k, (a, b) in enumerate(zip(one, other)) if a is not None and b is not None and a > b})
+            out += [(f"/delineation/fiducials/{names[0]}/values/{k // len(leads)}/{k % len(leads)}", "/".join(names) + ": fiducial order violated") for k in wrong]
+        elif all(n in fiducials for n in names):
+            found = {key: flat for key, flat in found.items() if key[0] != "fiducials" or key[1] not in names}
+    for (group, where), fields in groups.items():
+        for name in [n for g, n in found if g == group]:
+            del fields[name]
+            flat, message = found[group, name], {"fiducials": "sample outside acquisition", "intervals": "negative interval"}.get(group)
+            if message:
+                wrong = [k for k, v in enumerate(flat) if v is not None and (v < 0 or group == "fiducials" and v >= count)]
+                out += [(f"{where}/{name}/values/{k // len(leads)}/{k % len(leads)}", message) for k in wrong]
+    return (json.dumps(doc, ensure_ascii=False) if found else text), out
+
+
+def _without_plain_fields(docs: DataFrame) -> DataFrame:
+    """docs (_key, doc) with plain fields taken out of their texts and, as told_cells, what these break. Rules over each cell of a variant are what took the time."""
+    kinds = StructType([*docs.schema.fields[:1], StructField("doc", StringType()), StructField("told_cells", docs.select(F.lit(None).cast(_VIOLATIONS).alias("x")).schema["x"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, told = zip(*map(plain_fields, batch.column("doc").to_pylist())) if len(batch) else ((), ())
+            pointers, messages = ([x[k] for xs in told for x in xs] for k in (0, 1))
+            ends = np.cumsum([0, *map(len, told)]).astype("int32")
+            rows = pa.StructArray.from_arrays([pa.array([CONTRACT] * len(pointers), pa.string()), pa.array(pointers, pa.string()), pa.array(messages, pa.string())], ["code", "pointer", "message"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends), rows)], names=["_key", "doc", "told_cells"])
+
+    return docs.mapInArrow(run, kinds)
+
+
 def violations(docs: DataFrame, registry: DataFrame | None = None, key: str = "record_id") -> DataFrame:
     """key, code, pointer, message: every rule that a document (key, doc as JSON) breaks; a valid one has no rows.
 
     registry (pointer, ceiling): the highest validation status that a field may
     claim. It has a row a field of the contract, whatever the input. All violations
     are told, not the first alone. Nothing is shuffled: a document's rules read that document.
+    Without a registry, fields that are as documents() writes them are settled in Arrow batches first.
     """
+    docs = docs.select(F.col(key).alias("_key"), "doc")
+    docs = _without_plain_fields(docs) if registry is None else docs.withColumn("told_cells", F.array().cast(_VIOLATIONS))
     # a variant taken out of another is a copy of all below it, so each level is taken apart once, into columns
-    parsed = docs.select(F.col(key).alias("_key"), F.try_parse_json("doc").alias("v"))
+    parsed = docs.select("_key", "told_cells", F.try_parse_json("doc").alias("v"))
     leads, beats = _at("v", "$.axes.leads", "array<string>"), F.transform(_at("v", "$.axes.beats", "array<variant>"), lambda b: F.try_variant_get(b, "$.id", "string"))
     none = F.array().cast("array<string>")
     empty = F.create_map().cast("map<string,variant>")
     whole = parsed.select(
         "_key",
+        "told_cells",
         "v",
         F.try_variant_get("v", "$", _MAP).alias("members"),
+        _at("v", "$.axes.leads", "array<variant>").alias("lead_items"),
+        _at("v", "$.axes.beats", "array<variant>").alias("beat_items"),
         F.coalesce(leads, none).alias("leads"),
         F.coalesce(beats, none).alias("beat_ids"),
         _at("v", "$.acquisition.sample_count", "bigint").alias("sample_count"),
@@ -401,7 +530,7 @@ def violations(docs: DataFrame, registry: DataFrame | None = None, key: str = "r
     group = lambda name, fields: F.struct(name.alias("grp"), fields.isNotNull().alias("there"), F.try_variant_get(fields, "$", _MAP).alias("fields"))
     measured = F.transform(F.map_entries(F.coalesce(F.try_variant_get(F.col("members")["measurements"], "$", _MAP), empty)), lambda e: group(e["key"], e["value"]))
     first = let(F.try_variant_get(F.col("members")["delineation"], "$", _MAP), lambda d: group(F.lit("fiducials"), d["fiducials"]))
-    whole = whole.withColumns({"provenance": F.to_json(F.col("members")["provenance"]), "groups": F.concat(F.array(first), measured)} | {f"_{m}": F.col("members")[m] for m in MEMBERS if m not in ("delineation", "measurements")})
+    whole = whole.withColumns({"lead_names": F.transform("lead_items", lambda x: F.try_variant_get(x, "$", "string")), "beat_names": F.transform("beat_items", lambda x: F.try_variant_get(x, "$.id", "string")), "provenance": F.to_json(F.col("members")["provenance"]), "groups": F.concat(F.array(first), measured)} | {f"_{m}": F.col("members")[m] for m in MEMBERS if m not in ("delineation", "measurements")})
     whole = whole.withColumn("fiducials", F.get("groups", F.lit(0))["fields"])
     whole = whole.withColumns({f"values_{n}": _at(F.col("fiducials")[n], "$.values") for c in CHAINS for n in c} | {f"dense_{n}": F.to_json(_at(F.col("fiducials")[n], "$.axes")) == '["beat","lead"]' for c in CHAINS for n in c})
     whole = whole.withColumns({f"rows_{n}": F.coalesce(_whole_rows(F.col(f"values_{n}"), F.schema_of_variant(f"values_{n}")), _at(f"values_{n}", "$", "array<array<bigint>>")) for c in CHAINS for n in c})
@@ -414,7 +543,7 @@ def violations(docs: DataFrame, registry: DataFrame | None = None, key: str = "r
     readable = F.col("members").isNotNull()
     parts = F.concat(_fiducial_order(), _artifact_rules(), F.flatten(F.transform("groups", group_rules)))
     none_found = F.array().cast(_VIOLATIONS)
-    told = F.concat(_document_rules(), F.when(readable, F.coalesce(parts, none_found)).otherwise(none_found))
+    told = F.concat("told_cells", _document_rules(), F.when(readable, F.coalesce(parts, none_found)).otherwise(none_found))
     fields = whole.select("_key", "provenance", "leads", "beat_ids", "sample_count", "limited", told.alias("told"), F.posexplode_outer(F.when(readable, F.flatten(F.transform("groups", members)))).alias("pos", "f"))
     fields = fields.select("*", "f.grp", "f.name", "f.field", F.concat(place(F.col("f.grp")), F.lit("/"), escape_token(F.col("f.name"))).alias("pointer"), F.try_variant_get("f.field", "$", _MAP).alias("wrapper")).drop("f")
     fields = fields.withColumns({"values": F.col("wrapper")["values"], "absence": F.col("wrapper")["absence"], "axes": F.to_json(F.col("wrapper")["axes"]), "backed": F.col("wrapper")["sidecar"].isNotNull()})

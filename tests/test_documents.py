@@ -225,3 +225,38 @@ def test_round_trip_broadcasts_nothing(spark):
     df = P_DOCS.sidecar_round_trip(spark, "/root/testdata/sf0.001")
     assert df.collect()
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_base():
+    doc = base()
+    doc["record_id"] = "r2"
+    for n, v in (("qrs_onset", [[140, 150], [620, 650]]), ("r_peak", [[150, 149], [None, 660]]), ("qrs_offset", [[160, 170], [610, 1000]])):
+        doc["delineation"]["fiducials"][n] = field(values=v)
+    doc["delineation"]["fiducials"]["r_peak"]["absence"] = {"default": {"kind": "unmeasurable", "reason": "low"}, "unmeasurable": {"b2|I": "noise"}}
+    doc["measurements"]["intervals"]["qrs_duration_ms"] = field(unit="ms", values=[[40, -40], [None, 0]])
+    return doc
+
+
+def test_plain_fields_break_the_same_rules(spark):
+    """A registry without rows leaves every field to the rules: what is told without one is the same, whether fields are taken out of the text before or not."""
+    docs = [plain_base()]
+    for path, new, _ in CASES:
+        doc = plain_base()
+        at = doc
+        for k in path[:-1]:
+            at = at[k]
+        if new is ...:
+            del at[path[-1]]
+        else:
+            at[path[-1]] = new
+        docs.append(doc)
+    texts = [(str(k), json.dumps(d)) for k, d in enumerate(docs)]
+    texts += [("nan", texts[0][1].replace("500.0", "NaN")), ("twice", texts[0][1].replace('"nullable": true', '"nullable": true, "nullable": true', 1)), ("one", texts[0][1].replace('"nullable": true', '"nullable": 1')), ("long", texts[0][1].replace("620", str(2**63))), ("real", texts[0][1].replace("620", "620.0")), ("none", None)]
+    df = spark.createDataFrame(texts, "record_id string, doc string")
+    told = lambda r: sorted(map(tuple, R.violations(df, r).collect()), key=repr)
+    assert told(None) == told(spark.createDataFrame([], "pointer string, ceiling string"))
+    lean, cells = R.plain_fields(texts[0][1])
+    # p_onset stays with p_offset where one of both is not plain; here all are
+    assert json.loads(lean)["delineation"]["fiducials"] == {} and json.loads(lean)["measurements"]["intervals"] == {}
+    assert {m for _, m in cells} == {"sample outside acquisition", "negative interval", "qrs_onset/r_peak/qrs_offset: fiducial order violated"}
+    assert R.plain_fields("no JSON") == ("no JSON", []) and R.plain_fields(None) == (None, [])
