@@ -54,10 +54,6 @@ _DENSE_WHOLE = ("ARRAY<ARRAY<BIGINT>>", "ARRAY<ARRAY<VOID>>")
 # ---------------------------------------------------------------- building
 
 
-def _no_map() -> Column:
-    return F.lit(None).cast("map<string,string>")
-
-
 def one_a_cell(rows: Column) -> Column:
     """Of a record's sorted cells those that are the least of their beat and lead."""
     return let(rows, lambda xs: F.filter(xs, lambda x, i: (i == 0) | ~(x["beat"].eqNullSafe(F.get(xs, i - 1)["beat"]) & x["lead_no"].eqNullSafe(F.get(xs, i - 1)["lead_no"]))))
@@ -73,27 +69,53 @@ def filled(cells: Column, beats: Column, leads: Column) -> Column:
     return let(place, lambda at: F.concat(F.flatten(apart(at)), free(F.size(beats) * n - 1 - F.element_at(at, -1))))
 
 
-def absence_of(values: Column, whys: Column, names: Column) -> Column:
-    """How a dense field says why cells are null: one reason for all of them, or the most frequent reason (ties by name) and the cells that have another; null if no cell is."""
-    zipped = F.filter(F.arrays_zip(values.alias("v"), whys.alias("w"), names.alias("c")), lambda x: x["v"].isNull())
-
-    def told(missing: Column, said: Column, reasons: Column) -> Column:
-        # whatever is said of a cell is counted in whole arrays; cells are gone through only where reasons differ
-        most = F.array_min(F.transform(reasons, lambda r: F.struct((F.size(F.array_remove(said, r)) - F.size(said)).alias("k"), r.alias("r"))))
-        no_default = F.lit(None).cast("struct<kind:string,reason:string>")
-        whole = (F.size(missing) == F.size(values)) & (F.size(reasons) == 1)
+def absences(values: pa.ListArray, whys: pa.ListArray, names: pa.ListArray) -> pa.StructArray:
+    """How each record's dense field says why cells are null: one reason for all of them, or the most frequent reason (ties by name) and the cells that have another; null if no cell is."""
+    n, sizes = len(values), values.value_lengths().to_numpy(zero_copy_only=False)
+    missing = np.flatnonzero(values.flatten().is_null().to_numpy(zero_copy_only=False))
+    record = np.repeat(np.arange(n), sizes)[missing]
+    said = pc.fill_null(whys.flatten().take(pa.array(missing)), NO_REASON).dictionary_encode()
+    # words in order of their bytes, as Spark compares them
+    order = sorted(range(len(said.dictionary)), key=lambda k: said.dictionary[k].as_py().encode()) or [0]
+    words = said.dictionary.take(pa.array(order[: len(said.dictionary)], pa.int64()))
+    word = np.argsort(order)[said.indices.to_numpy()]
+    counts = np.bincount(record * len(order) + word, minlength=n * len(order)).reshape(n, len(order))
+    most, some = counts.argmax(1), counts.sum(1) > 0
+    whole = some & (counts.sum(1) == sizes) & ((counts > 0).sum(1) == 1)
+    other = word != most[record]
+    ends = np.concatenate([[0], np.bincount(record[other], minlength=n).cumsum()]).astype("int32")
+    # offsets that are null make null maps: cells are named only where reasons differ
+    starts = pa.array(ends, mask=np.append(np.diff(ends) == 0, False))
+    named = pa.MapArray.from_arrays(starts, names.flatten().take(pa.array(missing[other])), words.take(pa.array(word[other])))
+    reason = words.take(pa.array(most, mask=~some))
+    kind = pa.array([ABSENT[0]] * n, pa.string())
+    only = lambda xs, where: pc.if_else(pa.array(where), xs, pa.scalar(None, pa.string()))
+    default = pa.StructArray.from_arrays([kind, reason], ["kind", "reason"], mask=pa.array(~some | whole))
+    none = pa.nulls(n, pa.map_(pa.string(), pa.string()))
+    return pa.StructArray.from_arrays([default, only(kind, whole), none, only(reason, whole), named], ["default", "kind", "not_applicable", "reason", "unmeasurable"], mask=pa.array(~some))
+
+
+_ABSENCE = "struct<default:struct<kind:string,reason:string>,kind:string,not_applicable:map<string,string>,reason:string,unmeasurable:map<string,string>>"
+
+
+def _with_fields(one: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of one but its cells and coordinates, and values_k and absence_k of each field: a row of numbers and nulls a beat, and why cells are null. Written in Arrow batches, since lambdas over each cell are what took the time."""
+    kept = [c for c in one.columns if c not in ("cells", "coordinates")]
+    cells = F.col("cells")
+    flat = one.select(*kept, "coordinates", *(cells.getField(f).cast("array<bigint>").alias(f"v{k}") for k, f in enumerate(names)), *(cells.getField(f"{f}_why").alias(f"w{k}") for k, f in enumerate(names)))
+    made = {f"values_{k}": "array<array<bigint>>" for k in range(len(names))} | {f"absence_{k}": _ABSENCE for k in range(len(names))}
+    kinds = StructType([*one.select(*kept).schema.fields, *one.select(*(F.lit(None).cast(kind).alias(c) for c, kind in made.items())).schema.fields])
 
-        def listed(default: Column) -> Column:
-            other = F.filter(F.arrays_zip(missing.getField("c").alias("c"), said.alias("w")), lambda x: x["w"] != default["r"])
-            cells = F.when(F.size(reasons) > 1, F.map_from_entries(other))
-            split = F.struct(F.struct(F.lit(ABSENT[0]).alias("kind"), default["r"].alias("reason")).alias("default"), F.lit(None).cast("string").alias("kind"), _no_map().alias("not_applicable"), F.lit(None).cast("string").alias("reason"), cells.alias("unmeasurable"))
-            one = F.struct(no_default.alias("default"), F.lit(ABSENT[0]).alias("kind"), _no_map().alias("not_applicable"), default["r"].alias("reason"), _no_map().alias("unmeasurable"))
-            return F.when(whole, one).otherwise(split)
-
-        return F.when(F.size(missing) > 0, let(most, listed))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            beats, leads = (batch.column(c).value_lengths().to_numpy(zero_copy_only=False) for c in ("beats", "leads"))
+            at = lambda sizes: pa.array(np.concatenate([[0], sizes.cumsum()]).astype("int32"))
+            outer, inner = at(beats), at(np.repeat(leads, beats))
+            rows = [pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, batch.column(f"v{k}").flatten())) for k in range(len(names))]
+            why = [absences(batch.column(f"v{k}"), batch.column(f"w{k}"), batch.column("coordinates")) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *rows, *why], names=kinds.names)
 
-    reason = lambda missing: F.transform(missing.getField("w"), lambda w: F.coalesce(w, F.lit(NO_REASON)))
-    return let(zipped, lambda m: let(reason(m), lambda s: let(F.array_distinct(s), lambda r: told(m, s, r))))
+    return flat.mapInArrow(run, kinds)
 
 
 def documents(facts: DataFrame, acquisition: DataFrame, groups: dict[str, list[str]], profile: str = "all") -> DataFrame:
@@ -120,19 +142,19 @@ def documents(facts: DataFrame, acquisition: DataFrame, groups: dict[str, list[s
     names_of = F.flatten(F.transform("beats", lambda b: F.transform("leads", lambda x: F.concat(b["id"], F.lit("|"), x["lead"]))))
     # a merge join would sort whole documents
     one = one.withColumn("coordinates", names_of).join(acquisition.hint("shuffle_hash"), "record_id", "left")
+    names = sorted({n for fields in groups.values() for n in fields})
+    one = _with_fields(one, names)
 
     def field(group: str, name: str) -> Column:
-        flat = F.col("cells").getField(name).cast("array<bigint>")
-        rows = let(flat, lambda v: F.transform(F.sequence(F.lit(0), F.size("beats") - 1), lambda i: F.slice(v, i * F.size("leads") + 1, F.size("leads"))))
         return F.struct(
-            let(flat, lambda v: absence_of(v, F.col("cells").getField(f"{name}_why"), F.col("coordinates"))).alias("absence"),
+            F.col(f"absence_{names.index(name)}").alias("absence"),
             F.array(F.lit("beat"), F.lit("lead")).alias("axes"),
             F.lit(True).alias("nullable"),
             F.lit("/provenance/fields/kernels").alias("provenance_ref"),
             F.lit("integer").alias("type"),
             F.lit(UNITS[group]).alias("unit"),
             F.struct(F.array().cast("array<string>").alias("evidence"), F.lit("unvalidated").alias("status")).alias("validation"),
-            rows.alias("values"),
+            F.col(f"values_{names.index(name)}").alias("values"),
         ).alias(name)
 
     lead_names = F.transform("leads", lambda x: x["lead"])

@@ -59,7 +59,7 @@ def spread_out(docs: DataFrame) -> DataFrame:
 
 def clean_documents(spark, sf) -> DataFrame:
     """Published documents as a table, as users of documents have them."""
-    return stored(spread_out(R.documents(published(spark, sf), acquisition(spark, sf, clean=True), GROUPS)))
+    return stored(R.documents(published(spark, sf), acquisition(spark, sf, clean=True), GROUPS))
 
 
 _ON = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LEADS[:7], 1))
@@ -126,7 +126,7 @@ _PLACE = lambda g, f: f"'/{'delineation' if g == 'fiducials' else 'measurements'
 ]))
 def document_errors(spark, sf):
     """Every rule that documents of unpublished lines break."""
-    return R.violations(spread_out(stored(spread_out(R.as_json(R.documents(lines(spark, sf), acquisition(spark, sf, clean=False), GROUPS))))))
+    return R.violations(spread_out(stored(R.as_json(R.documents(lines(spark, sf), acquisition(spark, sf, clean=False), GROUPS)))))
 
 
 _HEX = "lpad(to_hex(coalesce(value, 0) & 4294967295), 8, '0')"

@@ -3,6 +3,7 @@
 import copy
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,14 @@ def test_plain_fields_break_the_same_rules(spark):
     assert json.loads(lean)["delineation"]["fiducials"] == {} and json.loads(lean)["measurements"]["intervals"] == {}
     assert {m for _, m in cells} == {"sample outside acquisition", "negative interval", "qrs_onset/r_peak/qrs_offset: fiducial order violated"}
     assert R.plain_fields("no JSON") == ("no JSON", []) and R.plain_fields(None) == (None, [])
+
+
+def test_absences_by_hand():
+    values = pa.array([[1, None, None, None], [None, None], [1], [None, 5, None]], pa.list_(pa.int64()))
+    whys = pa.array([[None, "b", "a", None], ["low", "low"], [None], ["low", None, "low"]], pa.list_(pa.string()))
+    names = pa.array([["c0", "c1", "c2", "c3"], ["d0", "d1"], ["e0"], ["f0", "f1", "f2"]])
+    told = lambda default, reason, named: {"default": default and {"kind": "unmeasurable", "reason": default}, "kind": reason and "unmeasurable", "not_applicable": None, "reason": reason, "unmeasurable": named}
+    # of equally frequent reasons the first by name
+    assert R.absences(values, whys, names).to_pylist() == [told("a", None, [("c1", "b"), ("c3", R.NO_REASON)]), told(None, "low", None), None, told("low", None, None)]
+    assert R.absences(values[2:3], whys[2:3], names[2:3]).to_pylist() == [None]
+    assert R.absences(values[:0], whys[:0], names[:0]).to_pylist() == []
