@@ -1,3 +1,5 @@
+import contextlib
+import io
 import random
 
 from hypothesis import given, settings
@@ -90,6 +92,40 @@ def test_cases_by_hand(spark):
     assert {r.key: r.status for r in leads.compare_cases(before, after, tolerances, ("fs", "window")).collect()}["near"] == "diff"
 
 
+def test_cases_keep_repeated_and_odd_ones(spark):
+    side = lambda rows: spark.createDataFrame(rows, "key string, fs int, doc string")
+    before = side([("twice", 500, '{"a":1,"b":1}')] * 2 + [("mixed", 500, '{"a":1}'), ("mixed", 250, '{"a":1}'), ("other", 250, '{"a":1}'), ("none", 500, None), ("both none", 500, None), ("bad", 500, "{no"), ("some", 500, '{"a":1,"b":2}'), ("some", 500, '{"a":1}'), (None, 500, "{}"), ("gone", 500, None), ("gone", 500, None)])
+    after = side([("twice", 500, '{"a":2,"c":1}')] * 2 + [("mixed", 500, '{"a":2}'), ("other", 500, '{"a":2}'), ("none", 500, '{"a":1}'), ("both none", 500, None), ("bad", 500, ""), ("some", 500, '{"a":1,"b":2}'), (None, 500, "{}")])
+    tolerances = spark.createDataFrame([("^/none", 1.0), (None, 9.0), ("^/a", None)], "pattern string, at_most double")
+    got = {}
+    for r in leads.compare_cases(before, after, tolerances, ("fs",)).collect():
+        got.setdefault(r.key, []).append((r.status, r.mismatches, r.changed, r.removed, r.added))
+    assert got.pop("twice") == [("diff", [], 1, 1, 1)] * 16  # every pair of rows, for every pair
+    assert sorted(got.pop("mixed")) == [("diff", [], 1, 0, 0)] * 2 + [("integrity_error", ["fs"], 1, 0, 0)] * 2
+    assert got.pop("some") == [("pass", [], 0, 0, 0)] * 4  # a leaf that one of two equal ids has is there
+    assert got.pop(None) == got.pop("gone") == [("missing", [], 0, 0, 0)] * 2
+    assert got == {"other": [("integrity_error", ["fs"], 0, 0, 0)], "none": [("diff", [], 0, 0, 1)], "both none": [("pass", [], 0, 0, 0)], "bad": [("pass", [], 0, 0, 0)]}
+    assert leads.compare_cases(before, after, tolerances.where("false"), ("fs",)).where("status = 'diff'").count() == 19
+
+
+def test_cases_deal_documents_once_and_no_leaves(spark):
+    """The leaves of both sides are held against each other where the documents lie (before: two shuffles of all leaves, one of those apart, two of documents)."""
+    x = spark.range(20).select(F.col("id").alias("key"), F.lit(500).alias("fs"), F.format_string('{"a":%d}', "id").alias("doc"))
+    tolerances = spark.createDataFrame([("^/a$", 0.5)], "pattern string, at_most double")
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        leads.compare_cases(x, x.where("key > 3"), tolerances, ("fs",)).explain()
+    dealt = [line for line in out.getvalue().splitlines() if "Exchange hashpartitioning" in line]
+    assert 0 < len(dealt) <= 9 and not any("pointer" in line for line in dealt)
+    assert "SortMergeJoin" in out.getvalue() and "MapInArrow" in out.getvalue()
+
+
+def test_leaves_keep_what_stands_beside_them(spark):
+    rows = [(1, 0, '{"a":[1,2]}'), (2, 1, None), (None, 1, '"x"')]
+    got = [tuple(r) for r in leads.leaves(spark.createDataFrame(rows, "key long, side int, doc string").coalesce(1), "side").collect()]
+    assert got == [(1, 0, "/a/0", "1"), (1, 0, "/a/1", "2"), (None, 1, "", '"x"')]
+
+
 def test_null_peaks_match_nothing(spark):
     a = spark.createDataFrame([(1, 5.0), (1, None), (2, None)], "record_id long, x double")
     b = spark.createDataFrame([(1, None), (1, 6.0), (1, 4.0), (1, 4.0)], "record_id long, y double")
