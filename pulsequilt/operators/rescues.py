qt_rescues deals leads with what is told of them instead of what tells it

Symptom: qt_rescues shuffled 50 MB over the 10.8 MB of lineitem at sf0.1 in the profiler, written and read alike, in two exchanges.
Evidence: by the event log 22.2 MB are the lines dealt by part, where the query builds its leads, and 28.3 MB the leads dealt by record with spread, confidence, T wave, flags, facts and two derived QT values for all 600,000 rows, though windows and rules need little of that.
Fix: what a lead tells by itself (its strict value, its spread if weak, which rules it may speak for, whether QRS is wide, a small T) is worked out before leads are dealt, so that its sources are pruned; leads that can neither be reliable nor speak for a rule carry only their record. A filter in place of the nulls was measured and left out: it sent 11.9 MB, but its code was too long to be compiled and took some 19 s more CPU. The first exchange is input code and stays.
Effect: at 1 GB of input CPU 1984 -> 2024 s, shuffle 3.12 -> 2.27 GB, spill 0.00 -> 0.00 GB, read 0.77 -> 0.77 GB, longest task 22 -> 34 s, most memory of a task 42 -> 42 MB; at 6 GB of input CPU 7805 -> 4124 s, shuffle 18.96 -> 13.91 GB, spill 0.00 -> 0.00 GB, read 5.40 -> 5.40 GB, longest task 48 -> 24 s, most memory of a task 235 -> 201 MB; with hot keys, at 1 GB of input CPU 1849 -> 947 s, shuffle 3.08 -> 2.25 GB, spill 0.18 -> 0.19 GB, read 0.76 -> 0.76 GB, longest task 53 -> 29 s, most memory of a task 738 -> 906 MB.

@@ -9,6 +9,8 @@ as zero, a missing flag as false.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,14 @@ def prepared(leads: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     return x.withColumns({"qt_value": F.coalesce("qt_consensus", "qt"), "raw": F.when(fits_width(F.col("qt")), F.col("qt"))})
 
 
+def _evidence() -> tuple[Column, Column]:
+    """Of a lead by itself: its QT value if it is strict, its spread if it may serve where none is; else null."""
+    seen = _sure(F.col("t") >= VISIBLE_T) & F.col("qt_value").isNotNull()
+    strict = seen & F.col("reliable_qt") & _sure(F.col("qt_sd") <= QT_SD) & (F.col("conf") >= QT_CONF)
+    weak = seen & _sure(F.col("qt_sd") <= RESCUE_SD) & (F.col("conf") >= RESCUE_CONF)
+    return F.when(strict, F.col("qt_value")), F.when(weak, F.col("qt_sd"))
+
+
 def with_reliable(x: DataFrame) -> DataFrame:
     """prepared() with ``good``: whether QT may be taken from a lead.
 
@@ -55,18 +65,17 @@ def with_reliable(x: DataFrame) -> DataFrame:
     more those within 80 ms of their median, if these are two at least. A record without any has its lead of
     least spread (ties by lead order) under weaker limits.
     """
-    seen = _sure(F.col("t") >= VISIBLE_T) & F.col("qt_value").isNotNull()
-    strict = seen & F.col("reliable_qt") & _sure(F.col("qt_sd") <= QT_SD) & (F.col("conf") >= QT_CONF)
-    weak = seen & _sure(F.col("qt_sd") <= RESCUE_SD) & (F.col("conf") >= RESCUE_CONF)
+    value, sd = _evidence()
     w = by_record()
-    x = spread(x.withColumns({"strict": strict, "weak": weak}), "record_id")
+    x = spread(x.withColumns({"strict_value": value, "weak_sd": sd}), "record_id")
+    strict, weak = F.col("strict_value").isNotNull(), F.col("weak_sd").isNotNull()
     # the window with an order comes first: its sort serves the others
-    x = x.withColumn("first", F.row_number().over(w.orderBy(F.when(F.col("weak"), 0).otherwise(1), "qt_sd", "lead_no")))
-    x = x.withColumns({"n_strict": F.count_if("strict").over(w), "center": F.percentile(F.when(F.col("strict"), F.col("qt_value")), F.lit(0.5)).over(w)})
-    x = x.withColumn("near", F.col("strict") & (F.abs(F.col("qt_value") - F.col("center")) <= OUTLIER_MS))
+    x = x.withColumn("first", F.row_number().over(w.orderBy(F.col("weak_sd").asc_nulls_last(), "lead_no")))
+    x = x.withColumns({"n_strict": F.count("strict_value").over(w), "center": F.percentile("strict_value", F.lit(0.5)).over(w)})
+    x = x.withColumn("near", strict & (F.abs(F.col("strict_value") - F.col("center")) <= OUTLIER_MS))
     x = x.withColumn("n_near", F.count_if("near").over(w))
-    kept = F.when(F.col("n_strict") == 0, F.col("weak") & (F.col("first") == 1)).when((F.col("n_strict") >= 3) & (F.col("n_near") >= 2), F.col("near")).otherwise(F.col("strict"))
-    return x.withColumn("good", kept).drop("strict", "weak", "n_strict", "center", "near", "first", "n_near")
+    kept = F.when(F.col("n_strict") == 0, weak & (F.col("first") == 1)).when((F.col("n_strict") >= 3) & (F.col("n_near") >= 2), F.col("near")).otherwise(strict)
+    return x.withColumn("good", kept).drop("strict_value", "weak_sd", "n_strict", "center", "near", "first", "n_near")
 
 
 def reliable_leads(x: DataFrame) -> DataFrame:
@@ -102,23 +111,29 @@ def _narrow_regular() -> Column:
     return F.col("consensus_ms").isNotNull() & ~is_wide() & ~_sure(F.col("rr_cv") >= IRREGULAR_CV)
 
 
-def _rules() -> Column:
-    """The rules that a lead may speak for, each with its limits."""
+def _speaks() -> dict[str, Column]:
+    """By rule, whether a lead may speak for it as far as the lead itself tells (for late_cluster it must be good, too)."""
     visible, known, conf = _sure(F.col("t") >= VISIBLE_T), F.col("consensus_ms").isNotNull(), F.col("conf")
-    least = F.when(is_wide(), 2).otherwise(3)
+    speaks = {
+        LATE: _narrow_regular() & ~F.col("confused") & visible & (conf >= 0.45),
+        TAIL: _narrow_regular() & F.col("reliable_t") & _sure(F.col("t") >= 0.02) & (conf >= 0.25) & _sure(F.col("raw") - F.col("consensus_ms") >= 40.0),
+        LOW_SUPPORT: _narrow_regular() & F.col("reliable_global") & F.col("reliable_qt") & ~F.col("confused") & visible & (conf >= 0.10),
+        LATE_CORE: _narrow_regular() & F.col("reliable_global") & _sure(F.col("t") >= 0.015) & (conf >= 0.20),
+        WIDE_LONG: known & is_wide() & (F.col("consensus_ms") >= 500.0) & F.col("reliable_qt") & ~F.col("confused") & _sure(F.col("t") >= 0.03) & (conf >= 0.25),
+        PACED: is_wide() & F.col("reliable_qt") & F.col("reliable_global") & _sure(F.col("t") >= 0.03) & (conf >= 0.0),
+    }
+    return {r.name: F.col("raw").isNotNull() & when for r, when in speaks.items()}
+
+
+def _rules() -> Column:
+    """The rules that a lead speaks for, each with its limits."""
+    known, wide, good = F.col("consensus_ms").isNotNull(), F.col("wide"), F.col("good") & F.col("raw").isNotNull()
+    least = F.when(wide, 2).otherwise(3)
     agreed = known & F.col("n_good").between(least, MOST_RELIABLE) & (F.col("n_consensus") >= least) & (F.col("apart") <= CONSENSUS_SPREAD)
-    speaks = [
-        (LATE, F.col("good") & _narrow_regular() & ~F.col("confused") & visible & (conf >= 0.45)),
-        (TAIL, _narrow_regular() & F.col("reliable_t") & _sure(F.col("t") >= 0.02) & (conf >= 0.25) & _sure(F.col("raw") - F.col("consensus_ms") >= 40.0)),
-        (LOW_SUPPORT, _narrow_regular() & F.col("reliable_global") & F.col("reliable_qt") & ~F.col("confused") & visible & (conf >= 0.10)),
-        (LATE_CORE, _narrow_regular() & F.col("reliable_global") & _sure(F.col("t") >= 0.015) & (conf >= 0.20)),
-        (WIDE_LONG, known & is_wide() & (F.col("consensus_ms") >= 500.0) & F.col("reliable_qt") & ~F.col("confused") & _sure(F.col("t") >= 0.03) & (conf >= 0.25)),
-        (RELIABLE, F.col("good") & _sure(agreed)),
-        (PACED, is_wide() & F.col("reliable_qt") & F.col("reliable_global") & _sure(F.col("t") >= 0.03) & (conf >= 0.0)),
-    ]
+    speaks = [(LATE, good & F.col(LATE.name)), *((r, F.col(r.name)) for r in (TAIL, LOW_SUPPORT, LATE_CORE, WIDE_LONG, PACED)), (RELIABLE, good & _sure(agreed))]
     limits = lambda r: F.struct(F.lit(r.name).alias("rule"), F.lit(r.width).alias("width"), (least if r is RELIABLE else F.lit(r.support)).alias("least"), F.lit(r.share).alias("share"), F.lit(r.delta).cast("double").alias("delta"), F.lit(r.by_span).alias("by_span"))
-    wide = F.struct(F.lit("wide_raw").alias("rule"), F.lit(0.0).alias("width"), F.lit(2).alias("least"), F.lit(0.0).alias("share"), F.lit(None).cast("double").alias("delta"), F.lit(False).alias("by_span"))
-    return F.array_compact(F.array(*(F.when(F.col("raw").isNotNull() & when, limits(r)) for r, when in speaks), F.when(F.col("raw").isNotNull() & F.col("good") & known & is_wide(), wide)))
+    raw = F.struct(F.lit("wide_raw").alias("rule"), F.lit(0.0).alias("width"), F.lit(2).alias("least"), F.lit(0.0).alias("share"), F.lit(None).cast("double").alias("delta"), F.lit(False).alias("by_span"))
+    return F.array_compact(F.array(*(F.when(when, limits(r)) for r, when in speaks), F.when(good & known & wide, raw)))
 
 
 def _middle(values: Column) -> Column:
@@ -130,18 +145,26 @@ def _middle(values: Column) -> Column:
 def qt_rescues(leads: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """record_id, rule, qt_ms, n_leads, leads (in standard order): what each rule would put in the consensus's place.
 
-    Leads are dealt by record once: windows tell the reliable ones, then each lead goes to the
-    rules that it may speak for, and the (at most some sixteen) leads of a record and rule are
-    held together to find the stretch. Two rules have more to say: wide_raw takes all its leads if
+    What a lead tells by itself is worked out where it lies. Leads are then dealt by record once,
+    with what is told of them instead of what tells it, and with little but their record where they
+    can neither be reliable nor speak for a rule. Windows find the reliable ones, each lead goes to
+    the rules that it speaks for, and the (at most some sixteen) leads of a record and rule are held
+    together to find the stretch. Two rules have more to say: wide_raw takes all its leads if
     they lie within 40 ms and 15 ms late; tail_confirmed must not be too late where it has few
     leads, nor too small in the chest.
     """
     w = by_record()
-    x = with_reliable(prepared(leads, facts))
+    value, sd = _evidence()
+    evident, speaks = value.isNotNull() | sd.isNotNull(), _speaks()
+    faint = F.coalesce(F.col("t") < TAIL_PRECORDIAL_MV, F.lit(True))
+    x = prepared(leads, facts).withColumns(speaks | {"wide": is_wide(), "faint": faint, "agreeing": F.when(evident, F.col("qt_consensus"))})
+    # as nulls: a filter would repeat all of these conditions in code too long to be compiled
+    heard = evident | reduce(or_, map(F.col, speaks))
+    x = with_reliable(x.withColumns({c: F.when(heard, F.col(c)) for c in ("lead", "lead_no", "raw", "consensus_ms")}))
     good = F.col("good")
-    x = x.withColumns({"n_good": F.count_if(good).over(w), "n_consensus": F.count(F.when(good, F.col("qt_consensus"))).over(w), "apart": F.max(F.when(good, F.col("qt_consensus"))).over(w) - F.min(F.when(good, F.col("qt_consensus"))).over(w)})
-    told = x.select("record_id", "consensus_ms", "lead", "lead_no", "raw", "t", F.explode(_rules()).alias("r"))
-    g = told.groupBy("record_id", "r.rule").agg(F.first("r").alias("r"), F.first("consensus_ms").alias("consensus_ms"), F.array_sort(F.collect_list(F.struct("raw", "lead_no", "lead", "t"))).alias("all"))
+    x = x.withColumns({"n_good": F.count_if(good).over(w), "n_consensus": F.count(F.when(good, F.col("agreeing"))).over(w), "apart": F.max(F.when(good, F.col("agreeing"))).over(w) - F.min(F.when(good, F.col("agreeing"))).over(w)})
+    told = x.select("record_id", "consensus_ms", "lead", "lead_no", "raw", "faint", F.explode(_rules()).alias("r"))
+    g = told.groupBy("record_id", "r.rule").agg(F.first("r").alias("r"), F.first("consensus_ms").alias("consensus_ms"), F.array_sort(F.collect_list(F.struct("raw", "lead_no", "lead", "faint"))).alias("all"))
     within = lambda start: F.filter("all", lambda v: v["raw"].between(start, start + F.col("r.width")))
     total = F.size("all")
     enough = F.greatest(F.col("r.least").cast("double"), F.ceil(F.col("r.share") * total).cast("double"))
@@ -164,7 +187,7 @@ def qt_rescues(leads: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     x = g.withColumn("members", F.when(F.col("rule") == "wide_raw", F.when(everyone, F.col("all"))).otherwise(let(best, lambda b: F.when(b.isNotNull(), within(-b["low"])))))
     x = x.where("members is not null").withColumns({"qt_ms": _middle(F.col("members")), "n_leads": F.size("members").cast("long")})
     small, mid = F.col("n_leads") < 4, F.col("qt_ms")
-    weak = small & (mid >= TAIL_PRECORDIAL_MS) & F.forall("members", lambda v: v["lead"].startswith("V")) & F.exists("members", lambda v: F.coalesce(v["t"] < TAIL_PRECORDIAL_MV, F.lit(True)))
+    weak = small & (mid >= TAIL_PRECORDIAL_MS) & F.forall("members", lambda v: v["lead"].startswith("V")) & F.exists("members", lambda v: v["faint"])
     early = F.element_at("members", -1)["raw"] - F.col("consensus_ms") < TAIL_DELTA
     wrong = (F.col("rule") == TAIL.name) & (early | small & (mid > TAIL_SMALL_MS) | (F.col("n_leads") == TAIL.support) & (mid > TAIL_PAIR_MS) | weak)
     named = F.transform(F.array_sort(F.transform("members", lambda v: F.struct(v["lead_no"], v["lead"]))), lambda v: v["lead"])

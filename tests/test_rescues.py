@@ -1,5 +1,9 @@
 """QT rescues: cases worked out by hand."""
 
+import contextlib
+import io
+import re
+
 import pytest
 
 from pulsequilt.functions.expressions import LEADS
@@ -73,3 +77,27 @@ def test_reliable_leads_by_hand(spark, told):
     for r in Q.reliable_leads(x).collect():
         got.setdefault(r.record_id, []).append(r.lead)
     assert {k: sorted(v) for k, v in got.items()} == {1: ["I", "II"], 2: ["I", "II", "III"], 3: ["II"], 4: ["II", "aVR"]}
+
+
+def test_leads_are_dealt_with_what_is_told_of_them(spark):
+    """What tells it (spread, confidence, T wave, flags, facts) stays behind; before, all of it was dealt."""
+    x = spark.createDataFrame([(*lead(1, 0, 430.0), 90.0, 400.0, 0.02)], f"{LEAD}, qrs_ms double, consensus_ms double, rr_cv double")
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        Q.qt_rescues(x).explain(mode="formatted")
+    (dealt,) = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", out.getvalue())
+    names = {c.split("#")[0] for c in dealt.split(", ")}
+    assert {"record_id", "lead", "raw", "strict_value", "weak_sd"} <= names
+    assert not names & {"qt", "qt_value", "qt_consensus", "qt_sd", "conf", "t_amp", "t", "reliable_qt", "reliable_global", "reliable_t", "confused", "qrs_ms", "rr_cv"}
+
+
+def test_leads_that_tell_nothing_change_nothing(spark):
+    heard = [lead(1, no, qt) for no, qt in enumerate([430.0, 432.0, 428.0, 436.0])] + [lead(None, no, qt) for no, qt in enumerate([430.0, 432.0, 428.0, 436.0])]
+    heard += [lead(2, no, qt) for no, qt in [(0, 430.0), (0, 430.0), (1, 432.0), (2, 428.0), (2, 436.0)]]  # repeated leads
+    heard += [lead(3, 2, 440.0, conf=0.15, rq=None, rg=None), lead(3, 2, 441.0, sd=29.0, rg=None)]  # none strict: the weak one of least spread
+    mute = [lead(k, no, qt, consensus, sd, t=t, rg=rg) for k in (1, 2, 3, None) for no, qt, consensus, sd, t, rg in [(6, None, None, 1.0, 0.3, True), (7, 431.0, 400.0, 1.0, 0.01, True), (8, 100.0, 900.0, 0.0, 0.3, True), (9, 431.0, None, None, None, None)]]
+    facts = spark.createDataFrame([(k, 90.0, 400.0, 0.02) for k in (1, 2, 3)], FACT)
+    told = lambda rows: sorted((str(r.record_id), r.rule, r.qt_ms, r.n_leads, r.leads) for r in Q.qt_rescues(spark.createDataFrame(rows, LEAD).repartition(3), facts).collect())
+    assert told(heard) == told(heard + mute)
+    assert ("1", "late_cluster", 431.0, 4, ["I", "II", "III", "aVR"]) in told(heard)
+    assert ("2", "late_cluster", 430.0, 5, ["I", "I", "II", "III", "III"]) in told(heard)
