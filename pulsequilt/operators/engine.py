@@ -83,60 +83,94 @@ def with_marks(rows: DataFrame, kernel, schema: str) -> DataFrame:
 # ---------------------------------------------------------------- sequences of boundaries
 
 
+#: What is told of a beat, and of each of its states.
+_BEAT, _STATE = ["record_id", "lead", "beat_id", "anchor", "rr", "qrs_width"], ["state", "onset", "offset", "cost"]
+
+
+def _beats_at_once(states: DataFrame) -> DataFrame:
+    """Rows of states that follow one another and tell the same of their beat, as one row with lists. Nothing is shuffled; a beat whose states lie apart has several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [batch.column(c).dictionary_encode("encode").indices.to_numpy() for c in _BEAT]  # nulls have a code, too
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+            starts = np.flatnonzero(new)
+            offsets = pa.array(np.append(starts, batch.num_rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(starts)) for c in _BEAT), *(pa.ListArray.from_arrays(offsets, batch.column(c)) for c in _STATE)], names=[*_BEAT, *_STATE])
+
+    return states.mapInArrow(run, "record_id long, lead string, beat_id long, anchor double, rr double, qrs_width double, state array<long>, onset array<double>, offset array<double>, cost array<double>")
+
+
 def boundary_sequences(states: DataFrame, fs: float) -> DataFrame:
-    """record_id, lead, beat_id, state, chain_cost of the cheapest sequence of boundary pairs; states: record_id, lead, beat_id, anchor, rr, qrs_width, state, onset, offset, cost (samples).
+    """record_id, lead, beat_id, state, chain_cost, last (no chosen beat has the next beat_id) of the cheapest sequence of boundary pairs; states: record_id, lead, beat_id, anchor, rr, qrs_width, state, onset, offset, cost (samples).
 
     Exact over all sequences. Moves of both bounds against the beats cost up to a cap;
     a change of QRS width or RR, or a gap, breaks the coupling; a beat whose states are all
-    null breaks the chain. One shuffle by record and lead; a task holds the candidates of
-    one beat and the back pointers since the last break.
+    null breaks the chain. One shuffle by record and lead, of a beat's states together and
+    their bounds from its anchor; a task holds the candidates of one beat and the back
+    pointers since the last break.
     """
-    names = ["record_id", "lead", "beat_id", "anchor", "rr", "qrs_width", "state", "onset", "offset", "cost"]
-    rows = states.select(F.col("record_id").cast("long").alias("record_id"), F.col("lead").cast("string").alias("lead"), F.col("beat_id").cast("long").alias("beat_id"), *(F.col(n).cast("double").alias(n) for n in names[3:6]), F.col("state").cast("long").alias("state"), *(F.col(n).cast("double").alias(n) for n in names[7:]))
+    rows = states.select(F.col("record_id").cast("long").alias("record_id"), F.col("lead").cast("string").alias("lead"), F.col("beat_id").cast("long").alias("beat_id"), *(F.col(n).cast("double").alias(n) for n in _BEAT[3:]), F.col("state").cast("long").alias("state"), *(F.col(n).cast("double").alias(n) for n in _STATE[1:]))
+    rows = rows.withColumns({n: F.col(n) - F.coalesce("anchor", F.lit(0.0)) for n in ("onset", "offset")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, group, beat, facts, held = X.Chain(fs), None, None, None, []
+        chain, group, beat, held, waiting = X.Chain(fs), None, None, [], None
         picked: dict[int, list[int]] = {}
 
         def told(done: list) -> list[tuple]:
             return [(*group, b, picked.pop(b)[k], c) for b, k, c in done]
 
         def ended() -> list[tuple]:
-            """The beat in hand goes to the chain."""
+            """The beat in hand goes to the chain: its states in order, nulls first, with what the first one tells of it."""
             if beat is None:
                 return []
-            found = [s for s in held if s[0] is not None]
-            picked[beat] = [s[0] for s in found]
-            cols = np.array([s[1:] for s in found], float).reshape(-1, 3)
-            out = told(chain.add(beat, *facts, cols[:, 0], cols[:, 1], cols[:, 2]))
+            (anchor, rr, width), found, *bounds = held[0]
+            if len(held) > 1 or any(None in x for x in (found, *bounds)) or found != sorted(found):
+                rows = sorted(((*s, facts) for facts, *lists in held for s in zip(*lists, strict=True)), key=lambda s: (s[0] is not None, s[0] or 0))
+                anchor, rr, width = rows[0][4]
+                found, *bounds = [[s[i] for s in rows if None not in s[:4]] for i in range(4)]
+            if found and anchor is None:
+                raise TypeError(f"no anchor of beat {beat} of record {group[0]}")
+            picked[beat] = found
+            out = told(chain.add(beat, anchor, rr or 0.0, width, *(np.array(x, float) for x in bounds)))
             if not found:
                 picked.pop(beat, None)
             return out
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["record_id", "lead", "beat_id", "state", "chain_cost"])
+        def batch_of(rows: list[tuple], more: bool) -> list[pa.RecordBatch]:
+            """All rows but the last one, which waits as long as there may be more: the next one tells whether it is last."""
+            nonlocal waiting
+            rows = [waiting, *rows] if waiting else rows
+            if not rows:
+                return []
+            made = [(*x, y is None or y[:2] != x[:2] or y[2] != x[2] + 1) for x, y in zip(rows, [*rows[1:], None], strict=True)]
+            waiting = rows[-1] if more else None
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+            made = made[:-1] if more else made
+            return [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["record_id", "lead", "beat_id", "state", "chain_cost", "last"])] if made else []
 
         for batch in batches:
             out = []
-            for record_id, lead, b, anchor, rr, width, state, on, off, cost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            offsets = batch.column("state").offsets.to_numpy()
+            ends = (offsets - offsets[0]).tolist()
+            flat = [batch.column(c).flatten().to_pylist() for c in _STATE]
+            for k, (record_id, lead, b, *facts) in enumerate(zip(*(batch.column(c).to_pylist() for c in _BEAT), strict=True)):
                 if (record_id, lead) != group or b != beat:
                     out += ended()
                     held = []
                     if (record_id, lead) != group:
                         out += told(chain.close()) if group else []
                         group = record_id, lead
-                    beat, facts = b, (anchor, rr or 0.0, width)
-                held.append((state if on is not None and off is not None and cost is not None else None, on, off, cost))
-            if out:
-                yield batch_of(out)
+                    beat = b
+                held.append((facts, *(x[ends[k] : ends[k + 1]] for x in flat)))
+            yield from batch_of(out, True)
         out = ended()
         if group:
             out += told(chain.close())
-        if out:
-            yield batch_of(out)
+        yield from batch_of(out, False)
 
-    return rows.repartition("record_id", "lead").sortWithinPartitions("record_id", "lead", "beat_id", "state").mapInArrow(run, "record_id long, lead string, beat_id long, state long, chain_cost double")
+    return spread(_beats_at_once(rows), "record_id", "lead").sortWithinPartitions("record_id", "lead", "beat_id").mapInArrow(run, "record_id long, lead string, beat_id long, state long, chain_cost double, last boolean")
 
 
 # ---------------------------------------------------------------- detection

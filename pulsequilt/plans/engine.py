@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsequilt.functions.expressions import listed, rounded
@@ -68,9 +68,7 @@ SELECT record_id, count(*) FILTER (seen) AS n_chosen, round(sum(list_min(costs))
 def boundary_sequences(spark, sf):
     """The cheapest sequence of boundary pairs of each record: beats it covers, and the cost of all its chains."""
     got = E.boundary_sequences(boundary_states(spark, sf), 500.0)
-    after = F.lead("beat_id").over(Window.partitionBy("record_id", "lead").orderBy("beat_id"))
-    ends = got.withColumn("last", F.coalesce(after != F.col("beat_id") + 1, F.lit(True)))
-    return ends.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_chosen"), rounded(F.sum(F.when(F.col("last"), F.col("chain_cost")))).alias("cost"))
+    return got.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_chosen"), rounded(F.sum(F.when(F.col("last"), F.col("chain_cost")))).alias("cost"))
 
 
 @query()

@@ -1,5 +1,7 @@
 """Signal analysis against loops, brute force and planted waves."""
 
+import contextlib
+import io
 import itertools
 import math
 import random
@@ -175,6 +177,48 @@ def test_sequences_equal_brute_force(spark):
     assert n == len(got) > 60
 
 
+STATE = "record_id long, lead string, beat_id long, anchor double, rr double, qrs_width double, state long, onset double, offset double, cost double"
+
+
+def test_sequences_do_not_depend_on_how_rows_lie(spark):
+    """States of a beat that lie apart or come twice, null keys and null states, and batches that end anywhere; last tells where the next beat isn't chosen."""
+    r = random.Random(8)
+    rows = []
+    for record in (*range(12), None):
+        for lead in ("II", None):
+            for b in range(r.randint(1, 12)):
+                facts = (b * 400.0, r.choice([400.0, 410.0, 520.0, None]), r.choice([40.0, 70.0]))
+                states = [(k, b * 400.0 + r.randint(80, 120), b * 400.0 + r.randint(180, 240), round(r.random(), 6)) for k in range(3)] if r.random() < 0.8 else [(None, None, None, None), (1, None, 5.0, 0.1)]
+                rows += [(record, lead, b, *facts, *x) for x in states if r.random() < 0.9]
+    rows += [(20, "II", 0, 0.0, 400.0, 40.0, 1, 100.0, 200.0, 0.5)] * 2 + [(20, "II", None, 0.0, 400.0, 40.0, 1, 100.0, 200.0, 0.5)]
+    near = spark.createDataFrame(sorted(rows, key=str), STATE).coalesce(1)
+    apart = spark.createDataFrame(r.sample(rows, len(rows)), STATE).repartition(5)
+    told = lambda df: sorted((str(x) for x in E.boundary_sequences(df, FS).collect()))
+    want = told(near)
+    assert told(apart) == want and len(want) > 60
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        assert told(near) == told(apart) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    got = {(x.record_id, x.lead, x.beat_id): x.last for x in E.boundary_sequences(near, FS).collect()}
+    assert got == {(k, lead, b): (k, lead, b + 1) not in got for k, lead, b in got} and got[20, "II", 0] and len(want) == len(got)
+
+
+def test_sequences_deal_a_beat_as_one_row_and_need_its_anchor(spark):
+    """Before, each state was dealt with all that is told of its beat."""
+    row = (1, "II", 0, 0.0, 400.0, 40.0, 0, 100.0, 200.0, 0.5)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        E.boundary_sequences(spark.createDataFrame([row], STATE), FS).explain()
+    lines = [line for line in out.getvalue().splitlines() if "Exchange" in line or "MapInArrow" in line]
+    assert ["Exchange" in line for line in lines] == [False, True, False] and "REPARTITION_BY_NUM" in lines[1]
+    with pytest.raises(Exception, match="no anchor of beat 0"):
+        E.boundary_sequences(spark.createDataFrame([(*row[:3], None, *row[4:])], STATE), FS).collect()
+    assert E.boundary_sequences(spark.createDataFrame([(*row[:3], None, *row[4:6], None, None, None, None)], STATE), FS).count() == 0
+
+
 # ---------------------------------------------------------------- spectra
 
 
